@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelens.operators import html as H
 from sitelens.operators import traffic as T
 from sitelens.sources import driver as D
 
@@ -36,7 +37,15 @@ TRAFFIC: dict[str, Query] = {
 }
 
 
+HTML: dict[str, Query] = {
+    "html_metadata": lambda s, sf: H.html_metadata(D.pages_table(s, sf)),
+    "html_counts": lambda s, sf: H.html_counts(D.pages_table(s, sf)),
+    "html_clean": lambda s, sf: H.html_clean(D.pages_table(s, sf)),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    out.update(TRAFFIC)
+    for group in (TRAFFIC, HTML):
+        out.update(group)
     return out

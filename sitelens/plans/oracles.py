@@ -150,7 +150,77 @@ FROM g""",
 }
 
 
+
+
+# ------------------------------------------------------------------ html
+from sitelens.functions import patterns as P  # noqa: E402
+from sitelens.functions.text import SPLITLINES  # noqa: E402
+
+
+def has_keyword(t: str) -> str:
+    return "(" + " OR ".join(f"contains({t}, {q(k)})" for k in C.METADATA_KEYWORDS) + ")"
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def doc_title_lines(t: str) -> str:
+    return f"list_filter(string_split_regex({t}, {q(SPLITLINES)}), lambda l: contains(l, 'document.title'))"
+
+
+def dynamic_assign(line: str) -> str:
+    v = strip_ws(f"regexp_extract({line}, {q(P.DOCUMENT_TITLE_ASSIGN)}, 1)")
+    return f"(regexp_matches({line}, {q(P.DOCUMENT_TITLE_ASSIGN)}) AND NOT regexp_matches({v}, {q(P.STATIC_QUOTED)}))"
+
+
+def flags_sql(t: str) -> dict[str, str]:
+    titles = f"regexp_extract_all({t}, {q(P.TITLE)}, 1)"
+    dl = doc_title_lines(t)
+    return {
+        "sets_title": f"(len({titles}) > 0 OR len({dl}) > 0)",
+        "sets_description": f"regexp_matches({t}, {q(P.DESCRIPTION)})",
+        "sets_og_tags": f"regexp_matches({t}, {q(P.OG_META)})",
+        "sets_canonical": f"regexp_matches({t}, {q(P.CANONICAL)})",
+        "title_is_dynamic": f"(len(list_filter({titles}, lambda x: regexp_matches(x, {q(P.DYNAMIC_VALUE)}))) > 0"
+                            f" OR len(list_filter({dl}, lambda l: {dynamic_assign('l')})) > 0)",
+        "has_document_title": f"(len({dl}) > 0)",
+    }
+
+
+def img_without_dims(t: str) -> str:
+    return (f"len(list_filter(regexp_extract_all({t}, {q(P.IMG_TAG)}, 0), "
+            f"lambda x: NOT regexp_matches(x, {q(P.WIDTH_OR_HEIGHT)})))")
+
+
+def count_matches(t: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({t}, {q(pattern)}, 0))"
+
+
+def clean_sql(h: str) -> str:
+    for pattern in P.STRIP_SCRIPTS:
+        h = f"regexp_replace({h}, {q(pattern)}, '', 'g')"
+    return (f"(CASE WHEN instr({h}, '<head>') > 0 THEN concat(substr({h}, 1, instr({h}, '<head>') - 1), "
+            f"'<head>', chr(10), {q(C.PRERENDER_MARKER)}, substr({h}, instr({h}, '<head>') + 6)) "
+            f"ELSE concat({q(C.PRERENDER_MARKER)}, chr(10), {h}) END)")
+
+
+_F = flags_sql("html")
+HTML = {
+    "html_metadata": "SELECT page_id, " + has_keyword("html") + " AS has_keywords, " + ", ".join(
+        f"{has_keyword('html')} AND {_F[c]} AS {c}" for c in
+        ["sets_title", "sets_description", "sets_og_tags", "sets_canonical", "title_is_dynamic"]) + " FROM pages",
+    "html_counts": f"""SELECT page_id, CAST(length(html) AS INTEGER) AS html_chars,
+  CAST({img_without_dims('html')} AS INTEGER) AS images_without_dimensions,
+  CAST({count_matches('html', P.THIRD_PARTY_SCRIPT)} AS INTEGER) AS third_party_scripts,
+  CAST({count_matches('html', P.IMPORT_STMT)} AS INTEGER) AS import_statements FROM pages""",
+    "html_clean": f"""SELECT page_id, sha256(c) AS html_sha256, CAST(length(c) AS INTEGER) AS clean_chars
+FROM (SELECT page_id, {clean_sql('html')} AS c FROM pages)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    out.update(TRAFFIC)
+    for group in (TRAFFIC, HTML):
+        out.update(group)
     return out
