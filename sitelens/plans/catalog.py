@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitelens.operators import bundle as B
 from sitelens.operators import html as H
+from sitelens.operators import scan as S
 from sitelens.operators import traffic as T
 from sitelens.sources import driver as D
 
@@ -44,8 +46,19 @@ HTML: dict[str, Query] = {
 }
 
 
+def _sf(spark: SparkSession, sf: str) -> DataFrame:
+    return D.site_files_table(spark, sf)
+
+
+AUDIT: dict[str, Query] = {
+    "project_status": lambda s, sf: S.project_status(_sf(s, sf)),
+    "source_files": lambda s, sf: S.source_files(_sf(s, sf)).drop("content"),
+    "bundle_info": lambda s, sf: B.analyse_bundle(_sf(s, sf)),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (TRAFFIC, HTML):
+    for group in (TRAFFIC, HTML, AUDIT):
         out.update(group)
     return out

@@ -219,8 +219,92 @@ FROM (SELECT page_id, {clean_sql('html')} AS c FROM pages)""",
 }
 
 
+# ------------------------------------------------------------------ audit
+def basename_sql(p: str) -> str:
+    return f"string_split({p}, '/')[-1]"
+
+
+EXTS = "|".join(e.lstrip(".") for e in C.JS_EXTENSIONS)
+STATUS_CTE = f"""status AS (
+  SELECT p.project_id,
+    CASE WHEN m.ok IS NULL THEN 'no_package_json' WHEN NOT m.ok THEN 'invalid_json'
+         WHEN NOT (json_exists(m.content, '$.dependencies.react') OR json_exists(m.content, '$.devDependencies.react')) THEN 'not_react'
+         ELSE 'ok' END AS status
+  FROM (SELECT DISTINCT project_id FROM site_files) p
+  LEFT JOIN (SELECT project_id, json_valid(content) AS ok, content FROM site_files WHERE path = 'package.json') m USING (project_id))"""
+
+SOURCES_CTE = f"""roots AS (SELECT project_id, bool_or(starts_with(path, 'src/')) AS has_src FROM site_files GROUP BY project_id),
+sources AS (
+  SELECT f.project_id, f.path, f.content,
+    {basename_sql('f.path')} IN {in_list(C.ENTRY_NAMES)} AS is_entry,
+    {basename_sql('f.path')} IN {in_list(C.ROUTER_NAMES)} AS is_router
+  FROM site_files f JOIN roots r USING (project_id) JOIN status s USING (project_id)
+  WHERE s.status = 'ok' AND (NOT r.has_src OR starts_with(f.path, 'src/'))
+    AND NOT list_has_any(string_split(f.path, '/'), [{', '.join(q(d) for d in C.EXCLUDE_DIRS)}])
+    AND NOT ({' OR '.join(f"contains({basename_sql('f.path')}, {q(x)})" for x in C.SKIP_NAME_FRAGMENTS)})
+    AND regexp_matches(lower({basename_sql('f.path')}), '^.+\\.({EXTS})$'))"""
+
+
+def has_dep_sql(n: str) -> str:
+    return f"(list_contains(dk, {q(n)}) OR list_contains(ddk, {q(n)}))"
+
+
+def dep_version_sql(n: str) -> str:
+    return (f"coalesce(json_extract_string(content, '$.devDependencies.\"{n}\"'), "
+            f"json_extract_string(content, '$.dependencies.\"{n}\"'))")
+
+
+def major_sql(v: str) -> str:
+    return f"nullif(regexp_extract(regexp_replace({v}, '^[ \\t]+', ''), '^[\\^~]?([0-9]+)\\.', 1), '')"
+
+
+def any_dep_sql(names) -> str:
+    return "(" + " OR ".join(has_dep_sql(n) for n in names) + ")"
+
+
+BUNDLE_CTE = f"""man AS (
+  SELECT project_id, content, json_valid(content) AS ok,
+    CASE WHEN json_valid(content) THEN coalesce(json_keys(content, '$.dependencies'), []) END AS dk,
+    CASE WHEN json_valid(content) THEN coalesce(json_keys(content, '$.devDependencies'), []) END AS ddk,
+    CASE WHEN json_valid(content) THEN coalesce(json_extract_string(content, '$.scripts.*'), []) END AS sv
+  FROM site_files WHERE path = 'package.json'),
+entry AS (SELECT project_id, arg_min(path, string_split(path, '/')) AS entry_point FROM sources WHERE is_entry GROUP BY 1),
+cfg AS (SELECT project_id, arg_min(o, path) AS cfg_outdir FROM (
+          SELECT project_id, path, nullif(regexp_extract(content, {q("outDir\\s*:\\s*[\"']([^\"']+)[\"']")}, 1), '') AS o
+          FROM site_files WHERE path IN {in_list(C.CONFIG_NAMES)}) WHERE o IS NOT NULL GROUP BY 1),
+top AS (SELECT project_id, bool_or(t = 'build') AS has_build, bool_or(t = 'dist') AS has_dist FROM (
+          SELECT project_id, string_split(path, '/')[1] AS t FROM site_files) WHERE t IN ('build', 'dist') GROUP BY 1),
+bundle AS (
+  SELECT man.project_id,
+    CASE WHEN NOT ok THEN 'unknown' WHEN {has_dep_sql('next')} THEN 'nextjs'
+         WHEN {has_dep_sql('@craco/craco')} OR len(list_filter(sv, lambda v: contains(v, 'react-scripts'))) > 0 THEN 'cra'
+         WHEN {has_dep_sql('vite')} THEN 'vite' WHEN {has_dep_sql('webpack')} OR {has_dep_sql('webpack-cli')} THEN 'webpack'
+         ELSE 'unknown' END AS framework,
+    CASE WHEN ok THEN {major_sql(dep_version_sql('react'))} END AS react_version,
+    CASE WHEN NOT ok THEN NULL WHEN {has_dep_sql('react-router-dom')} THEN {major_sql(dep_version_sql('react-router-dom'))}
+         WHEN {has_dep_sql('react-router')} THEN {major_sql(dep_version_sql('react-router'))} END AS react_router_version,
+    coalesce(ok AND {any_dep_sql(C.SSR_PACKAGES)}, false) AS has_ssr_setup,
+    coalesce(ok AND {any_dep_sql(C.SSG_PACKAGES)}, false) AS has_ssg_setup,
+    coalesce(ok AND {has_dep_sql('react-helmet')}, false) AS has_helmet,
+    coalesce(ok AND {has_dep_sql('react-helmet-async')}, false) AS has_helmet_async,
+    coalesce(ok AND {any_dep_sql(C.REACT_QUERY_PACKAGES)}, false) AS has_react_query,
+    coalesce(ok AND {has_dep_sql('swr')}, false) AS has_swr,
+    coalesce(ok AND {any_dep_sql(C.PRERENDER_PACKAGES)}, false) AS has_existing_prerender,
+    CASE WHEN ok THEN entry.entry_point END AS entry_point,
+    CASE WHEN ok THEN coalesce(cfg.cfg_outdir, CASE WHEN top.has_build THEN 'build' END, CASE WHEN top.has_dist THEN 'dist' END) END AS build_output_dir,
+    CASE WHEN ok THEN CAST(len(list_distinct(list_concat(dk, ddk))) AS INTEGER) ELSE 0 END AS total_dependencies,
+    CASE WHEN NOT ok THEN 'unknown' WHEN {any_dep_sql(C.SSG_PACKAGES)} THEN 'ssg' WHEN {any_dep_sql(C.SSR_PACKAGES)} THEN 'ssr' ELSE 'csr' END AS rendering_type
+  FROM man LEFT JOIN entry USING (project_id) LEFT JOIN cfg USING (project_id) LEFT JOIN top USING (project_id))"""
+
+AUDIT = {
+    "project_status": f"WITH {site_files_cte()}, {STATUS_CTE} SELECT * FROM status",
+    "source_files": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE} SELECT project_id, path, is_entry, is_router FROM sources",
+    "bundle_info": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {BUNDLE_CTE} SELECT * FROM bundle",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for group in (TRAFFIC, HTML):
+    for group in (TRAFFIC, HTML, AUDIT):
         out.update(group)
     return out
