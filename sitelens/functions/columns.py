@@ -58,3 +58,29 @@ def day(ts: str | Column) -> Column:
 def bround1(x: Column) -> Column:
     """Half-even rounding to one decimal (DuckDB oracle: ``round_even``)."""
     return F.bround(x, 1)
+
+
+def py_round1(num: Column, den: Column) -> Column:
+    """``round(num / den, 1)`` exactly as Python rounds the quotient double.
+
+    Integer arithmetic: the rational is rounded half-up/half-down by its
+    remainder; an exact tie ``(2q+1)/20`` follows the binary double nearest to
+    it — half-even when that tie is representable (``2q+1`` divisible by 5),
+    otherwise up iff the double lies above the tie.  The double of ``N/20``
+    lies above iff ``N·2^s mod 20 >= 10`` for its scale ``s = 52 - e``
+    (``e = floor(log2(N/20))``); ``2^s mod 20`` cycles 16, 12, 4, 8.
+    """
+    n10 = num.cast("long") * 10
+    d = den.cast("long")
+    qd = F.floor(n10 / d).cast("long")
+    r = n10 - qd * d
+    big = 2 * r
+    odd = 2 * qd + 1
+    e = F.floor(F.log2(odd / F.lit(20.0))).cast("long")
+    s = F.lit(52) - e
+    pm = (F.when(F.pmod(s, F.lit(4)) == 0, 16).when(F.pmod(s, F.lit(4)) == 1, 12)
+          .when(F.pmod(s, F.lit(4)) == 2, 4).otherwise(8))
+    tie_up = F.when(F.pmod(odd, F.lit(5)) == 0, F.pmod(qd, F.lit(2)) == 1).otherwise(
+        F.pmod(F.pmod(odd, F.lit(20)) * pm, F.lit(20)) >= 10)
+    up = (big > d) | ((big == d) & tie_up)
+    return (qd + F.when(up, 1).otherwise(0)) / F.lit(10.0)

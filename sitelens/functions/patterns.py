@@ -47,3 +47,30 @@ STRIP_SCRIPTS = [
     r"(?m)//# sourceMappingURL=\S+",
 ]
 # ------------------------------------------------------------ END FIXED VALUES
+
+
+# ---------------------------------------------------------------- FIXED VALUES
+# Routes (P1–P9).  Java spellings are possessive where nesting could recurse
+# deeply; ``re2()`` gives the oracle spelling (same language, no possessive).
+BRACED = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+ROUTE_ELEMENT = r"<Route(?=[\s/>])((?:[^{}<>]++|" + BRACED + r")*+)>"
+ROUTE_ELEMENT_RE2 = (r"<Route((?:[\s/](?:[^{}<>]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)?)>")
+JSX_ATTR = (r"([A-Za-z_$][A-Za-z0-9_$.:-]*)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|" + BRACED + r"))?")
+CONFIG_ROUTE = (r"path\s*:\s*[\"']([^\"']+)[\"'][\s\S]{0,200}?"
+                r"(?:element\s*:\s*<([A-Z][A-Za-z0-9_]*)|component\s*:\s*([A-Z][A-Za-z0-9_]*))")
+ROUTE_PATH_FALLBACK = r"path\s*[=:]\s*[\"']([^\"']+)[\"']"
+LAZY_ASSIGN = (r"(?:const|let|var)\s+([A-Z][A-Za-z0-9_]*)\s*=\s*(?:React\.)?lazy\s*\(\s*\(\s*\)\s*=>"
+               r"\s*import\(\s*[\"']([^\"']+)[\"']\s*\)\s*\)")
+LAZY_DECL = r"(?:const|let|var)\s+([A-Z][A-Za-z0-9_]*)\s*=\s*(?:React\.)?lazy\s*\("
+IMPORT_CLAUSE = r"import\s+([\p{L}\p{N}_\s{},*]+?)\s+from\s+[\"']([^\"']+)[\"']"
+JSX_COMPONENT_REF = r"<\s*([A-Z][A-Za-z0-9_]*)"
+IDENT_COMPONENT_REF = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Za-z0-9_]*)(?:[^\p{L}\p{N}_]|$)"
+USE_EFFECT_FETCH_ROUTE = r"useEffect\s*\([^)]*=>[\s\S]*?fetch\s*\("
+# Import declarations with their source (the AST form, P10) — one per line start.
+IMPORT_DECL = r"(?m)^[ \t]*import(?:[\s{][^;'\"]*?from)?\s*[\"']([^\"'\n]+)[\"']"
+# ------------------------------------------------------------ END FIXED VALUES
+
+
+def re2(p: str) -> str:
+    """Oracle spelling of a possessive Java pattern (same matches here)."""
+    return p.replace("*+", "*").replace("++", "+")
