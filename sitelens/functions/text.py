@@ -49,3 +49,30 @@ def splitlines(text: Column) -> Column:
 
 def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
+
+
+def with_matches(df, text: str, pattern: str, groups: int, out: str):
+    """DataFrame form of ``matches_with_lines``: each regex pass is computed
+    once into a temporary column, so the expression is not duplicated."""
+    pat = F.lit(pattern)
+    t = F.col(text)
+    tm, tp = f"__{out}_m", f"__{out}_p"
+    df = df.withColumn(tm, F.regexp_extract_all(t, pat, 0)).withColumn(tp, F.split(t, pattern, -1))
+    gnames = []
+    for i in range(1, groups + 1):
+        g = f"__{out}_g{i}"
+        df = df.withColumn(g, F.regexp_extract_all(t, pat, i))
+        gnames.append(g)
+    ms = F.col(tm)
+    pre = F.transform(F.slice(F.col(tp), 1, F.size(ms)), newlines)
+    inside = F.transform(ms, newlines)
+    steps = F.zip_with(pre, inside, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    init = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
+    lines = F.aggregate(
+        steps, init,
+        lambda acc, x: F.struct(
+            (acc["run"] + x["p"] + x["m"]).alias("run"),
+            F.concat(acc["out"], F.array(acc["run"] + x["p"] + 1)).alias("out")),
+        lambda acc: acc["out"])
+    fields = [lines.alias("line"), ms.alias("m")] + [F.col(g).alias(f"g{i + 1}") for i, g in enumerate(gnames)]
+    return df.withColumn(out, F.arrays_zip(*fields)).drop(tm, tp, *gnames)

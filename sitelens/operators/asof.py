@@ -91,3 +91,37 @@ def asof(probes: DataFrame, candidates: DataFrame, key: str, *,
 def earlier(a: Column, b: Column) -> Column:
     """The smaller of two nullable (t, id) structs."""
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.least(a, b))
+
+
+def running_sum(df: DataFrame, key: str, order: list[Column], value: Column,
+                bucket: list[Column], out: str) -> DataFrame:
+    """Inclusive running sum of ``value`` per ``key`` in ``order``.
+
+    ``bucket`` must coarsen ``order`` (rows of a bucket are contiguous in the
+    order, and sorting buckets by the same columns keeps that order).  The sum
+    runs inside each (key, bucket) window; bucket totals (one row per bucket)
+    are carried by a window over the small summary and added back, so a huge
+    key is spread over many tasks.
+    """
+    bcols = [b.alias(f"_bk{i}") for i, b in enumerate(bucket)]
+    bnames = [f"_bk{i}" for i in range(len(bucket))]
+    d = df.select("*", *bcols, value.alias("_v"))
+    w = (Window.partitionBy(key, *bnames).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    d = d.withColumn("_in", F.sum("_v").over(w))
+    tot = d.groupBy(key, *bnames).agg(F.sum("_v").alias("_tot"))
+    border = [_like(o, n) for o, n in zip(bucket_orders(order, len(bucket)), bnames)]
+    ws = Window.partitionBy(key).orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("_carry", F.coalesce(F.sum("_tot").over(ws), F.lit(0)))
+    return (d.join(tot.select(key, *bnames, "_carry"), [key, *bnames])
+            .withColumn(out, F.col("_in") + F.col("_carry"))
+            .drop("_in", "_carry", "_v", *bnames))
+
+
+def bucket_orders(order: list[Column], n: int) -> list[Column]:
+    return order[:n]
+
+
+def _like(order_col: Column, name: str) -> Column:
+    """Sort ``name`` in the same direction as ``order_col``."""
+    return F.col(name).desc() if "DESC" in str(order_col).upper() else F.col(name).asc()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
-from sitelens.functions.text import matches_with_lines, splitlines
+from sitelens.functions.text import splitlines, with_matches
 from sitelens.operators.html import has_metadata_keyword, metadata_flags
 
 
@@ -17,8 +17,11 @@ def detect_metadata(sources: DataFrame) -> DataFrame:
     strategy or a flag.  ``line_numbers`` are 1-based, sorted and distinct.
     """
     c = F.col("content")
-    files = sources.where(has_metadata_keyword(c))
-    imports = F.transform(matches_with_lines(c, P.IMPORT_DECL, 1),
+    files = sources.where(has_metadata_keyword(c)).select("project_id", "path", "content")
+    files = with_matches(files, "content", P.IMPORT_DECL, 1, "imp_m")
+    files = with_matches(files, "content", P.HELMET_BLOCK, 0, "blk_m")
+    files = with_matches(files, "content", P.TITLE, 0, "ttl_m")
+    imports = F.transform(F.col("imp_m"),
                           lambda x, i: F.struct(i.alias("i"), x["line"].alias("line"), x["g1"].alias("src")))
     asyncs = F.filter(imports, lambda x: x["src"] == "react-helmet-async")
     helmets = F.filter(imports, lambda x: x["src"] == "react-helmet")
@@ -28,8 +31,8 @@ def detect_metadata(sources: DataFrame) -> DataFrame:
                          F.array(first_helmet["line"])).otherwise(F.array().cast("array<int>"))
     doc_lines = F.filter(F.transform(splitlines(c), lambda ln, i: F.when(ln.contains("document.title"), i + 1)),
                          lambda x: x.isNotNull())
-    block_lines = F.transform(matches_with_lines(c, P.HELMET_BLOCK, 0), lambda x: x["line"])
-    title_lines = F.transform(matches_with_lines(c, P.TITLE, 0), lambda x: x["line"])
+    block_lines = F.transform(F.col("blk_m"), lambda x: x["line"])
+    title_lines = F.transform(F.col("ttl_m"), lambda x: x["line"])
     lines = F.array_sort(F.array_distinct(F.concat(
         F.transform(asyncs, lambda x: x["line"]), helmet_line, block_lines, doc_lines, title_lines)))
     strategy = (F.when(F.size(asyncs) > 0, "react_helmet_async")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import constants as C
 from sitelens.functions import patterns as P
-from sitelens.functions.text import matches_with_lines, strip_ws
+from sitelens.functions.text import strip_ws, with_matches
 from sitelens.operators.scan import path_order, project_status, source_files
 
 SORTED_EXTS = sorted(C.JS_EXTENSIONS)
@@ -178,46 +178,53 @@ def name_maps(sources: DataFrame, all_paths: DataFrame) -> tuple[DataFrame, Data
 
 # ---------------------------------------------------------------- routes
 def route_candidates(sources: DataFrame) -> DataFrame:
-    """Route rows of every source file before resolution and dedup."""
-    c = F.col("content")
+    """Route rows of every source file before resolution and dedup.
 
-    def jsx_row(e):
-        body = e["g1"]
-        names = F.regexp_extract_all(body, F.lit(P.JSX_ATTR), 1)
-        values = F.regexp_extract_all(body, F.lit(P.JSX_ATTR), 2)
-        comp = attr_value(names, values, "component")
-        elem = attr_value(names, values, "element")
-        raw = F.when(truthy(comp), comp).when(truthy(elem), elem).otherwise(F.lit(""))
-        kind = F.when(F.rtrim(body).endswith("/"), 1).otherwise(0)
-        return F.struct(kind.alias("kind"), e["line"].alias("line"),
-                        attr_value(names, values, "path").alias("path"),
-                        component_ref(raw).alias("ref"))
-
-    jsx = F.transform(matches_with_lines(c, P.ROUTE_ELEMENT, 1), jsx_row)
-    jsx = F.filter(jsx, lambda r: truthy(r["path"]) & r["path"].startswith("/"))
+    Matches are exploded to rows early and every derived value is its own
+    column, so each regex runs once per text or element."""
+    c = F.col("content")
     guard = F.lit(False)
     for g in C.ROUTER_OBJECT_GUARDS:
         guard = guard | c.contains(g)
-    cfg = F.transform(matches_with_lines(c, P.CONFIG_ROUTE, 3), lambda e: F.struct(
-        F.lit(2).alias("kind"), e["line"].alias("line"), e["g1"].alias("path"),
-        F.coalesce(F.nullif(e["g2"], F.lit("")), F.nullif(e["g3"], F.lit(""))).alias("ref")))
-    cfg = F.when(guard, F.filter(cfg, lambda r: r["path"].startswith("/"))).otherwise(
-        F.filter(cfg, lambda r: F.lit(False)))
-    fb = F.transform(matches_with_lines(c, P.ROUTE_PATH_FALLBACK, 1), lambda e: F.struct(
-        F.lit(3).alias("kind"), e["line"].alias("line"), e["g1"].alias("path"),
-        F.lit(None).cast("string").alias("ref")))
-    fb = F.filter(fb, lambda r: r["path"].startswith("/"))
-    found = F.concat(jsx, cfg)
-    rows = F.when(F.size(found) > 0, found).otherwise(fb)
-    lazy_names = F.regexp_extract_all(c, F.lit(P.LAZY_DECL), 1)
-    any_lazy = c.contains("React.lazy(") | c.contains("lazy(() => import(")
-    return (sources.select("project_id", F.col("path").alias("file"), "is_router",
-                           F.posexplode(rows).alias("pos", "r"), lazy_names.alias("lazy_names"),
-                           any_lazy.alias("any_lazy"))
-            .select("project_id", "file", "is_router", "pos", "r.*",
-                    F.when(F.col("r.kind") < 2,
-                           F.when(F.col("r.ref").isNotNull(), F.array_contains("lazy_names", F.col("r.ref")))
-                           .otherwise(F.col("any_lazy"))).otherwise(F.lit(False)).alias("lazy_decl")))
+    base = sources.select(
+        "project_id", F.col("path").alias("file"), "is_router", "content",
+        guard.alias("guard"),
+        F.regexp_extract_all(c, F.lit(P.LAZY_DECL), 1).alias("lazy_names"),
+        (c.contains("React.lazy(") | c.contains("lazy(() => import(")).alias("any_lazy"))
+    base = with_matches(base, "content", P.ROUTE_ELEMENT, 1, "jsx_m")
+    base = with_matches(base, "content", P.CONFIG_ROUTE, 3, "cfg_m")
+    base = with_matches(base, "content", P.ROUTE_PATH_FALLBACK, 1, "fb_m").drop("content")
+    keep = ["project_id", "file", "is_router", "lazy_names", "any_lazy"]
+
+    jsx = (base.select(*keep, F.posexplode("jsx_m").alias("pos", "e"))
+           .select(*keep, "pos", F.col("e.line").alias("line"), F.col("e.g1").alias("body"))
+           .withColumn("names", F.regexp_extract_all("body", F.lit(P.JSX_ATTR), 1))
+           .withColumn("vals", F.regexp_extract_all("body", F.lit(P.JSX_ATTR), 2))
+           .withColumn("path", attr_value(F.col("names"), F.col("vals"), "path"))
+           .withColumn("comp", attr_value(F.col("names"), F.col("vals"), "component"))
+           .withColumn("elem", attr_value(F.col("names"), F.col("vals"), "element"))
+           .where(truthy(F.col("path")) & F.col("path").startswith("/"))
+           .withColumn("raw", F.when(truthy(F.col("comp")), F.col("comp"))
+                       .when(truthy(F.col("elem")), F.col("elem")).otherwise(F.lit("")))
+           .withColumn("ref", component_ref(F.col("raw")))
+           .withColumn("kind", F.when(F.rtrim("body").endswith("/"), 1).otherwise(0))
+           .withColumn("lazy_decl", F.when(F.col("ref").isNotNull(), F.array_contains("lazy_names", F.col("ref")))
+                       .otherwise(F.col("any_lazy"))))
+    cfg = (base.where("guard").select(*keep, F.posexplode("cfg_m").alias("pos", "e"))
+           .select(*keep, "pos", F.lit(2).alias("kind"), F.col("e.line").alias("line"),
+                   F.col("e.g1").alias("path"),
+                   F.coalesce(F.nullif(F.col("e.g2"), F.lit("")), F.nullif(F.col("e.g3"), F.lit(""))).alias("ref"),
+                   F.lit(False).alias("lazy_decl"))
+           .where(F.col("path").startswith("/")))
+    cols = ["project_id", "file", "is_router", "pos", "kind", "line", "path", "ref", "lazy_decl"]
+    found = jsx.select(*cols).unionByName(cfg.select(*cols))
+    fb = (base.select(*keep, F.posexplode("fb_m").alias("pos", "e"))
+          .select(*keep, "pos", F.lit(3).alias("kind"), F.col("e.line").alias("line"),
+                  F.col("e.g1").alias("path"), F.lit(None).cast("string").alias("ref"),
+                  F.lit(False).alias("lazy_decl"))
+          .where(F.col("path").startswith("/"))
+          .join(found.select("project_id", "file").distinct(), ["project_id", "file"], "left_anti"))
+    return found.unionByName(fb.select(*cols))
 
 
 def map_routes(site_files: DataFrame, sources: DataFrame | None = None) -> DataFrame:

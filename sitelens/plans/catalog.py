@@ -10,7 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from sitelens.operators import bundle as B
+from sitelens.operators import chunks as CH
+from sitelens.operators import components as K
+from sitelens.operators import metadata as M
+from sitelens.operators import routes as R
+from sitelens.plans import audit as A
+from sitelens.plans import reports as RP
 from sitelens.operators import html as H
 from sitelens.operators import scan as S
 from sitelens.operators import traffic as T
@@ -50,10 +58,81 @@ def _sf(spark: SparkSession, sf: str) -> DataFrame:
     return D.site_files_table(spark, sf)
 
 
+def _audit(spark: SparkSession, sf: str) -> A.Audit:
+    return A.run_audit(_sf(spark, sf))
+
+
+def _imports_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    files = _sf(spark, sf)
+    sources = S.source_files(files)
+    lazy, imp = R.name_maps(sources, files.select("project_id", "path"))
+    return (lazy.select("project_id", "file", "name", F.col("lazy_file").alias("resolved"),
+                        F.lit("lazy").alias("kind"))
+            .unionByName(imp.select("project_id", "file", "name", F.col("import_file").alias("resolved"),
+                                    F.lit("import").alias("kind"))))
+
+
+def _metadata(spark: SparkSession, sf: str) -> DataFrame:
+    m = M.detect_metadata(S.source_files(_sf(spark, sf)))
+    return m.withColumn("line_numbers", F.array_join("line_numbers", ","))
+
+
+def _cwv(spark: SparkSession, sf: str) -> DataFrame:
+    a = _audit(spark, sf)
+    return a.cwv.withColumn("notes", F.array_join("notes", "\n"))
+
+
+def _components(spark: SparkSession, sf: str) -> DataFrame:
+    c = K.classify_components(S.source_files(_sf(spark, sf)))
+    return c.select("project_id", "file_path", "component_type",
+                    F.array_join("reasons", " | ").alias("reasons"),
+                    F.array_join("client_hooks_found", ", ").alias("client_hooks_found"),
+                    "has_data_fetching", "data_fetch_pattern",
+                    F.array_join("migration_notes", "\n").alias("migration_notes"))
+
+
+def _chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return CH.chunk_files(S.source_files(_sf(spark, sf)))
+
+
+def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = D.read_table(spark, sf, "documents").select(
+        F.col("source").alias("project_id"),
+        F.concat(F.lit("docs/doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+        F.col("text").alias("content"))
+    return CH.chunk_files(docs)
+
+
+def _bundle_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    files = _sf(spark, sf)
+    a = A.run_audit(files)
+    chunks = CH.chunk_files(a.sources)
+    comps = K.classify_components(a.sources)
+    return RP.bundle_tokens(chunks, comps, a.sources, a.routes)
+
+
+def _report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    a = _audit(spark, sf)
+    return RP.report_rows(a.score, a.bundle, a.cwv, a.issues)
+
+
 AUDIT: dict[str, Query] = {
     "project_status": lambda s, sf: S.project_status(_sf(s, sf)),
     "source_files": lambda s, sf: S.source_files(_sf(s, sf)).drop("content"),
     "bundle_info": lambda s, sf: B.analyse_bundle(_sf(s, sf)),
+    "imports_resolved": _imports_resolved,
+    "routes": lambda s, sf: _audit(s, sf).routes,
+    "metadata_findings": _metadata,
+    "cwv_estimate": _cwv,
+    "issues": lambda s, sf: _audit(s, sf).issues,
+    "audit_score": lambda s, sf: _audit(s, sf).score,
+    "components": _components,
+    "chunks": _chunks,
+    "document_chunks": _document_chunks,
+    "bundle_tokens": _bundle_tokens,
+    "sitemap": lambda s, sf: RP.sitemap(_audit(s, sf).routes),
+    "report_json": lambda s, sf: RP.report_json(_report_rows(s, sf)),
+    "report_md": lambda s, sf: RP.report_markdown(_report_rows(s, sf)),
 }
 
 
