@@ -164,6 +164,7 @@ def name_maps(sources: DataFrame, all_paths: DataFrame) -> tuple[DataFrame, Data
            .where(F.col("source").startswith("."))
            .select("project_id", "file", "idx", "source",
                    F.posexplode(imported_identifiers(F.col("clause"))).alias("sub", "name")))
+    lazy, imp = lazy.checkpoint(eager=True), imp.checkpoint(eager=True)
     res = resolve_imports(lazy.select("project_id", "file", "source")
                           .unionByName(imp.select("project_id", "file", "source")), all_paths)
     keys = ["project_id", "file", "source"]
@@ -194,6 +195,7 @@ def route_candidates(sources: DataFrame) -> DataFrame:
     base = with_matches(base, "content", P.ROUTE_ELEMENT, 1, "jsx_m")
     base = with_matches(base, "content", P.CONFIG_ROUTE, 3, "cfg_m")
     base = with_matches(base, "content", P.ROUTE_PATH_FALLBACK, 1, "fb_m").drop("content")
+    base = base.checkpoint(eager=True)  # one scan feeds three extractors
     keep = ["project_id", "file", "is_router", "lazy_names", "any_lazy"]
 
     jsx = (base.select(*keep, F.posexplode("jsx_m").alias("pos", "e"))
@@ -227,11 +229,14 @@ def route_candidates(sources: DataFrame) -> DataFrame:
     return found.unionByName(fb.select(*cols))
 
 
-def map_routes(site_files: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def map_routes(site_files: DataFrame, sources: DataFrame | None = None,
+               status: DataFrame | None = None) -> DataFrame:
     """Routes per project: path, component file, dynamic, lazy, fetch
     pattern, line, and the report order ``route_order``."""
+    if status is None:
+        status = project_status(site_files)
     if sources is None:
-        sources = source_files(site_files)
+        sources = source_files(site_files, status)
     all_paths = site_files.select("project_id", "path")
     lazy_map, import_map = name_maps(sources, all_paths)
     cand = route_candidates(sources)
@@ -262,7 +267,7 @@ def map_routes(site_files: DataFrame, sources: DataFrame | None = None) -> DataF
         .alias("data_fetch_pattern"),
         F.col("line").alias("line_number"), "o")
     # A project without routes gets the catch-all default.
-    ok = source_projects(site_files)
+    ok = status.where(F.col("status") == "ok").select("project_id")
     default = (ok.join(routes.select("project_id"), "project_id", "left_anti")
                .select("project_id", F.lit("/*").alias("path"),
                        F.lit(None).cast("string").alias("component_file"),

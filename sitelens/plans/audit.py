@@ -34,11 +34,14 @@ class Audit:
 
 
 def run_audit(site_files: DataFrame) -> Audit:
-    status = S.project_status(site_files)
-    sources = S.source_files(site_files, status)
+    """Shared inputs are checkpointed once (to ``spark.checkpoint.dir``):
+    the branches then read one materialised scan instead of re-deriving it,
+    and a lost executor only recomputes from the checkpoint."""
+    status = S.project_status(site_files).checkpoint(eager=True)
+    sources = S.source_files(site_files, status).checkpoint(eager=True)
     bundle = B.analyse_bundle(site_files, sources)
-    routes = R.map_routes(site_files, sources)
-    findings = M.detect_metadata(sources)
+    routes = R.map_routes(site_files, sources, status).checkpoint(eager=True)
+    findings = M.detect_metadata(sources).checkpoint(eager=True)
     cwv = W.estimate_cwv(site_files, sources, routes)
     facts = I.project_facts(site_files, bundle, routes, findings, cwv)
     issues = I.issues(facts)

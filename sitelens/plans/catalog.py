@@ -55,7 +55,8 @@ HTML: dict[str, Query] = {
 
 
 def _sf(spark: SparkSession, sf: str) -> DataFrame:
-    return D.site_files_table(spark, sf)
+    # The derived view is materialised once so every branch reads a table.
+    return D.site_files_table(spark, sf).checkpoint(eager=True)
 
 
 def _audit(spark: SparkSession, sf: str) -> A.Audit:
