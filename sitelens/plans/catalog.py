@@ -23,6 +23,7 @@ from sitelens.operators import html as H
 from sitelens.operators import scan as S
 from sitelens.operators import traffic as T
 from sitelens.sources import driver as D
+from sitelens.streaming import streams as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -137,8 +138,28 @@ AUDIT: dict[str, Query] = {
 }
 
 
+def _stream(spark: SparkSession, sf: str):
+    src = ST.stage_events(spark, D.read_table(spark, sf, "events"))
+    return ST.request_stream(spark, src)
+
+
+def _stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    t = ST.run_to_table(spark, ST.hourly_metrics(_stream(spark, sf)), "metrics", mode="update")
+    return ST.latest_versions(t, ["hour"])
+
+
+STREAMING: dict[str, Query] = {
+    "stream_bot_tags": lambda s, sf: ST.run_to_table(s, ST.bot_tags(_stream(s, sf)), "bots").drop("_batch"),
+    "stream_metrics": _stream_metrics,
+    "stream_dedup": lambda s, sf: ST.run_to_table(s, ST.dedup_renders(_stream(s, sf)), "dedup").drop("_batch"),
+    "stream_ttl": lambda s, sf: ST.run_to_table(s, ST.ttl_outcomes(_stream(s, sf)), "ttl").drop("_batch"),
+    "stream_snapshots": lambda s, sf: ST.snapshot_table(
+        ST.run_to_table(s, ST.snapshot_events(_stream(s, sf)), "snapshots")),
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for group in (TRAFFIC, HTML, AUDIT):
+    for group in (TRAFFIC, HTML, AUDIT, STREAMING):
         out.update(group)
     return out

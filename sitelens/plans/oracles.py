@@ -303,8 +303,19 @@ AUDIT = {
 }
 
 
+STREAMING = {
+    "stream_bot_tags": TRAFFIC["bot_requests"],
+    "stream_ttl": TRAFFIC["ttl_hits"],
+    "stream_snapshots": TRAFFIC["snapshot_latest"],
+    "stream_metrics": f"""WITH {requests_cte()}
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, CAST(count(*) AS BIGINT) AS requests,
+       CAST(count_if({is_bot('user_agent')}) AS BIGINT) AS bot_requests
+FROM requests GROUP BY 1""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for group in (TRAFFIC, HTML, AUDIT):
+    for group in (TRAFFIC, HTML, AUDIT, STREAMING):
         out.update(group)
     return out
