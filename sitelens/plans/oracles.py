@@ -206,6 +206,7 @@ def clean_sql(h: str) -> str:
 
 
 _F = flags_sql("html")
+_F_SRC = flags_sql("content")
 HTML = {
     "html_metadata": "SELECT page_id, " + has_keyword("html") + " AS has_keywords, " + ", ".join(
         f"{has_keyword('html')} AND {_F[c]} AS {c}" for c in
@@ -303,6 +304,116 @@ AUDIT = {
 }
 
 
+# ------------------------------------------------------------ audit II
+def nl(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, chr(10), '')))"
+
+
+def match_lines(t: str, pattern: str) -> str:
+    """1-based start lines of every match (same split/extract construction)."""
+    ms = f"regexp_extract_all({t}, {q(pattern)}, 0)"
+    pcs = f"string_split_regex({t}, {q(pattern)})"
+    return (f"list_transform(range(1, len({ms}) + 1), lambda k: CAST(1 + coalesce(list_sum(list_transform({pcs}[1:k], "
+            f"lambda p: {nl('p')})), 0) + coalesce(list_sum(list_transform({ms}[1:k - 1], lambda p: {nl('p')})), 0) AS INTEGER))")
+
+
+def ordered_distinct(lst: str) -> str:
+    return (f"list_filter(list_transform(range(1, len({lst}) + 1), lambda i: CASE WHEN list_position({lst}, {lst}[i]) = i "
+            f"THEN {lst}[i] END), lambda x: x IS NOT NULL)")
+
+
+META_CTE = f"""mf AS (
+  SELECT project_id, path AS file_path, content,
+    regexp_extract_all(content, {q(P.IMPORT_DECL)}, 1) AS srcs,
+    {match_lines('content', P.IMPORT_DECL)} AS ilines,
+    string_split_regex(content, {q(SPLITLINES)}) AS ls
+  FROM sources WHERE {has_keyword('content')}),
+mf2 AS (
+  SELECT *, coalesce(list_position(srcs, 'react-helmet-async'), 0) AS fa, coalesce(list_position(srcs, 'react-helmet'), 0) AS fh,
+    list_filter(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN contains(ls[i], 'document.title') THEN CAST(i AS INTEGER) END),
+                lambda x: x IS NOT NULL) AS dl
+  FROM mf),
+meta AS (
+  SELECT project_id, file_path,
+    CASE WHEN fa > 0 THEN 'react_helmet_async' WHEN fh > 0 THEN 'react_helmet' WHEN len(dl) > 0 THEN 'document_title_direct' ELSE 'none' END AS strategy,
+    {_F_SRC['sets_title']} AS sets_title, {_F_SRC['sets_description']} AS sets_description,
+    {_F_SRC['sets_og_tags']} AS sets_og_tags, {_F_SRC['sets_canonical']} AS sets_canonical,
+    {_F_SRC['title_is_dynamic']} AS title_is_dynamic,
+    array_to_string(list_sort(list_distinct(list_concat(
+      list_filter(list_transform(range(1, len(srcs) + 1), lambda k: CASE WHEN srcs[k] = 'react-helmet-async' THEN ilines[k] END), lambda x: x IS NOT NULL),
+      CASE WHEN fh > 0 AND (fa = 0 OR fh < fa) THEN [ilines[fh]] ELSE [] END,
+      {match_lines('content', P.HELMET_BLOCK)}, dl, {match_lines('content', P.TITLE)}))), ',') AS line_numbers
+  FROM mf2)"""
+
+from sitelens.operators import components as K  # noqa: E402
+
+HOOK_LIST = "[" + ", ".join(q(h) for h in C.CLIENT_HOOKS) + "]"
+COMP_CTE = f"""cc AS (
+  SELECT project_id, path AS file_path, content,
+    list_filter(list_transform(regexp_extract_all(content, {q(K.CALL)}, 0), lambda c: regexp_extract(c, {q(K.CALLEE_LAST)}, 1)),
+                lambda c: list_contains({HOOK_LIST}, c)) AS calls
+  FROM sources),
+cc2 AS (
+  SELECT *, {ordered_distinct('calls')} AS hooks,
+    contains(content, 'useQuery') OR contains(content, 'useMutation') AS rq, contains(content, 'useSWR') AS swr,
+    regexp_matches(content, {q(K.USE_EFFECT_FETCH)}) AS eff
+  FROM cc),
+cc3 AS (
+  SELECT *, list_concat(list_transform(hooks, lambda h: concat('Uses ', h, '()')),
+      list_filter([{', '.join(f"CASE WHEN regexp_matches(content, {q(P.word(g))}) THEN {q('Accesses browser global: ' + g)} END" for g in sorted(C.CLIENT_GLOBALS))}], lambda x: x IS NOT NULL),
+      CASE WHEN regexp_matches(content, {q(K.EVENT_HANDLER)}) THEN [{q(K.HANDLER_REASON)}] ELSE [] END) AS reasons
+  FROM cc2),
+comps AS (
+  SELECT project_id, file_path,
+    CASE WHEN len(reasons) > 0 THEN 'client' ELSE 'server' END AS component_type,
+    CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ' | ') ELSE {q(K.SERVER_REASON)} END AS reasons,
+    array_to_string(list_concat(hooks, CASE WHEN rq AND contains(content, 'useQuery') AND NOT list_contains(hooks, 'useQuery') THEN ['useQuery']
+                                        WHEN NOT rq AND swr AND NOT list_contains(hooks, 'useSWR') THEN ['useSWR'] ELSE [] END), ', ') AS client_hooks_found,
+    rq OR swr OR eff AS has_data_fetching,
+    CASE WHEN rq THEN 'react_query' WHEN swr THEN 'swr' WHEN eff THEN 'useEffect_fetch' ELSE 'none' END AS data_fetch_pattern,
+    array_to_string(list_filter([
+      CASE WHEN rq THEN {q(K.NOTE_REACT_QUERY)} WHEN swr THEN {q(K.NOTE_SWR)} WHEN eff THEN {q(K.NOTE_EFFECT)} END,
+      CASE WHEN len(reasons) > 0 AND list_contains(hooks, 'useEffect') AND (rq OR swr OR eff) THEN {q(K.NOTE_SPLIT)}
+           WHEN len(reasons) = 0 AND (rq OR swr OR eff) THEN {q(K.NOTE_PURE)} END], lambda x: x IS NOT NULL), chr(10)) AS migration_notes
+  FROM cc3)"""
+
+
+def priority_sql(path: str) -> str:
+    base = basename_sql(path)
+    return "CASE " + " ".join(f"WHEN {base} = {q(k)} THEN {v}" for k, v in C.FILE_PRIORITIES.items()) + \
+        f" ELSE {C.DEFAULT_FILE_PRIORITY} END"
+
+
+def chunk_sql(files_cte: str) -> str:
+    t = C.DEFAULT_CHUNK_TARGET_CHARS
+    return f"""{files_cte},
+o AS (SELECT project_id, path, CAST(length(content) AS BIGINT) AS chars, CAST({priority_sql('path')} AS INTEGER) AS priority,
+        row_number() OVER (PARTITION BY project_id ORDER BY {priority_sql('path')} DESC, path DESC) AS rn FROM cf),
+walk(project_id, rn, path, part, cur) AS (
+  SELECT project_id, rn, path, 1, chars FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.project_id, o.rn, o.path,
+    CASE WHEN w.cur + o.chars > {t} THEN w.part + 1 ELSE w.part END,
+    CASE WHEN w.cur + o.chars > {t} THEN o.chars ELSE w.cur + o.chars END
+  FROM walk w JOIN o ON o.project_id = w.project_id AND o.rn = w.rn + 1),
+j AS (SELECT o.*, CAST(w.part AS BIGINT) AS part_number FROM o JOIN walk w ON w.project_id = o.project_id AND w.rn = o.rn)
+SELECT project_id, part_number, path, chars, priority, CAST(rn AS BIGINT) AS file_order,
+  CAST(max(part_number) OVER (PARTITION BY project_id) AS BIGINT) AS total_parts,
+  CAST(sum(chars) OVER (PARTITION BY project_id, part_number) AS BIGINT) AS part_chars
+FROM j"""
+
+
+_F_SRC_PLACEHOLDER = None
+AUDIT.update({
+    "metadata_findings": f"""WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {META_CTE}
+SELECT * FROM meta WHERE strategy <> 'none' OR sets_title OR sets_description OR sets_og_tags OR sets_canonical""",
+    "components": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {COMP_CTE} SELECT * FROM comps",
+    "chunks": "WITH RECURSIVE " + chunk_sql(f"{site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, cf AS (SELECT project_id, path, content FROM sources)"),
+    "document_chunks": "WITH RECURSIVE " + chunk_sql(
+        "cf AS (SELECT source AS project_id, concat('docs/doc', CAST(doc_id AS VARCHAR), '.md') AS path, text AS content FROM documents)"),
+})
+
+
 STREAMING = {
     "stream_bot_tags": TRAFFIC["bot_requests"],
     "stream_ttl": TRAFFIC["ttl_hits"],
