@@ -414,6 +414,124 @@ SELECT * FROM meta WHERE strategy <> 'none' OR sets_title OR sets_description OR
 })
 
 
+# ------------------------------------------------------------ routes
+def sws(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def strip_value(x: str) -> str:
+    return (f"regexp_replace(regexp_replace({sws(x)}, '^[{{}}]+|[{{}}]+$', '', 'g'), "
+            f"'^[''\"`]+|[''\"`]+$', '', 'g')")
+
+
+def attr_sql(n: str) -> str:
+    pos = f"coalesce(list_position(names, {q(n)}), 0)"
+    raw = f"(CASE WHEN {pos} > 0 THEN CASE WHEN vals[{pos}] = '' THEN {q(n)} ELSE vals[{pos}] END END)"
+    return strip_value(raw)
+
+
+def ref_sql(raw: str) -> str:
+    return (f"coalesce(nullif(regexp_extract({raw}, {q(P.JSX_COMPONENT_REF)}, 1), ''), "
+            f"nullif(regexp_extract({raw}, {q(P.IDENT_COMPONENT_REF)}, 1), ''))")
+
+
+def idents_sql(c: str) -> str:
+    before = sws(f"regexp_replace(split_part({c}, '{{', 1), '[, ]+$', '')")
+    named = (f"list_transform(list_filter(list_transform(string_split(regexp_extract({c}, '^[^{{]*\\{{([^}}]*)', 1), ','), "
+             f"lambda x: {sws('x')}), lambda x: x <> ''), lambda n: CASE WHEN contains(n, ' as ') "
+             f"THEN {sws("regexp_extract(n, '^.*? as (.*)$', 1)")} ELSE n END)")
+    return (f"(CASE WHEN starts_with({c}, '* as ') THEN [string_split_regex({c}, '\\s+')[-1]] "
+            f"WHEN contains({c}, '{{') AND contains({c}, '}}') THEN list_concat(CASE WHEN {before} <> '' THEN [{before}] ELSE [] END, {named}) "
+            f"WHEN {c} <> '' THEN list_filter([{sws(f'split_part({c}, chr(44), 1)')}], lambda x: x <> '') ELSE [] END)")
+
+
+EXT_SORTED = sorted(C.JS_EXTENSIONS)
+ROUTE_RE2 = P.ROUTE_ELEMENT_RE2
+ATTR_RE2 = P.re2(P.JSX_ATTR)
+ROUTES_CTE = f"""rb AS (
+  SELECT project_id, path AS file, is_router, content,
+    regexp_extract_all(content, {q(P.LAZY_DECL)}, 1) AS lazy_names,
+    contains(content, 'React.lazy(') OR contains(content, 'lazy(() => import(') AS any_lazy,
+    ({' OR '.join(f"contains(content, {q(g)})" for g in C.ROUTER_OBJECT_GUARDS)}) AS guard,
+    regexp_extract_all(content, {q(ROUTE_RE2)}, 1) AS jb, {match_lines('content', ROUTE_RE2)} AS jl,
+    regexp_extract_all(content, {q(P.CONFIG_ROUTE)}, 1) AS cp, regexp_extract_all(content, {q(P.CONFIG_ROUTE)}, 2) AS ce,
+    regexp_extract_all(content, {q(P.CONFIG_ROUTE)}, 3) AS cc, {match_lines('content', P.CONFIG_ROUTE)} AS cl,
+    regexp_extract_all(content, {q(P.ROUTE_PATH_FALLBACK)}, 1) AS fp, {match_lines('content', P.ROUTE_PATH_FALLBACK)} AS fl
+  FROM sources),
+jx0 AS (SELECT project_id, file, is_router, lazy_names, any_lazy, k AS pos, jl[k] AS line, jb[k] AS body
+        FROM (SELECT *, unnest(generate_series(1, len(jb))) AS k FROM rb WHERE len(jb) > 0)),
+jx1 AS (SELECT *, regexp_extract_all(body, {q(ATTR_RE2)}, 1) AS names, regexp_extract_all(body, {q(ATTR_RE2)}, 2) AS vals FROM jx0),
+jx2 AS (SELECT *, {attr_sql('path')} AS path, {attr_sql('component')} AS comp, {attr_sql('element')} AS elem FROM jx1),
+jx AS (SELECT project_id, file, is_router, pos, CASE WHEN ends_with(rtrim(body), '/') THEN 1 ELSE 0 END AS kind, line, path,
+         {ref_sql("(CASE WHEN comp IS NOT NULL AND comp <> '' THEN comp WHEN elem IS NOT NULL AND elem <> '' THEN elem ELSE '' END)")} AS ref,
+         lazy_names, any_lazy
+       FROM jx2 WHERE path IS NOT NULL AND path <> '' AND starts_with(path, '/')),
+jx_l AS (SELECT project_id, file, is_router, pos, kind, line, path, ref,
+           CASE WHEN ref IS NOT NULL THEN list_contains(lazy_names, ref) ELSE any_lazy END AS lazy_decl FROM jx),
+cf0 AS (SELECT project_id, file, is_router, k AS pos, 2 AS kind, cl[k] AS line, cp[k] AS path,
+          coalesce(nullif(ce[k], ''), nullif(cc[k], '')) AS ref, false AS lazy_decl
+        FROM (SELECT *, unnest(generate_series(1, len(cp))) AS k FROM rb WHERE guard AND len(cp) > 0)),
+found AS (SELECT * FROM jx_l UNION ALL SELECT * FROM cf0 WHERE starts_with(path, '/')),
+fb AS (SELECT project_id, file, is_router, k AS pos, 3 AS kind, fl[k] AS line, fp[k] AS path, CAST(NULL AS VARCHAR) AS ref, false AS lazy_decl
+       FROM (SELECT *, unnest(generate_series(1, len(fp))) AS k FROM rb WHERE len(fp) > 0)
+       WHERE starts_with(path, '/') AND (project_id, file) NOT IN (SELECT project_id, file FROM found)),
+cand AS (SELECT * FROM found UNION ALL SELECT * FROM fb),
+lz AS (SELECT project_id, path AS file, k AS idx, n[k] AS name, s[k] AS source FROM (
+         SELECT *, unnest(generate_series(1, len(n))) AS k FROM (
+           SELECT project_id, path, regexp_extract_all(content, {q(P.LAZY_ASSIGN)}, 1) AS n,
+                  regexp_extract_all(content, {q(P.LAZY_ASSIGN)}, 2) AS s FROM sources) WHERE len(n) > 0)),
+im0 AS (SELECT project_id, path AS file, k AS idx, {sws('cl0[k]')} AS clause, s[k] AS source FROM (
+         SELECT *, unnest(generate_series(1, len(cl0))) AS k FROM (
+           SELECT project_id, path, regexp_extract_all(content, {q(P.IMPORT_CLAUSE)}, 1) AS cl0,
+                  regexp_extract_all(content, {q(P.IMPORT_CLAUSE)}, 2) AS s FROM sources) WHERE len(cl0) > 0)),
+im AS (SELECT project_id, file, idx, source, j AS sub, ids[j] AS name FROM (
+         SELECT *, unnest(generate_series(1, len(ids))) AS j FROM (
+           SELECT *, {idents_sql('clause')} AS ids FROM im0 WHERE starts_with(source, '.')) WHERE len(ids) > 0)),
+pairs AS (SELECT DISTINCT project_id, file, source FROM (SELECT project_id, file, source FROM lz UNION ALL SELECT project_id, file, source FROM im)),
+nb AS (SELECT *, list_reduce(list_prepend('', string_split(concat(CASE WHEN contains(file, '/') THEN regexp_replace(file, '/[^/]*$', '') ELSE '' END, '/', source), '/')),
+         lambda acc, p: CASE WHEN starts_with(acc, '#ESC#') THEN acc WHEN p = '' OR p = '.' THEN acc
+                             WHEN p = '..' THEN CASE WHEN acc = '' THEN '#ESC#' ELSE regexp_replace(acc, '/?[^/]*$', '') END
+                             WHEN acc = '' THEN p ELSE concat(acc, '/', p) END) AS acc FROM pairs),
+nb2 AS (SELECT project_id, file, source, acc AS base,
+          CASE WHEN contains(acc, '/') THEN regexp_replace(acc, '/[^/]*$', '/') ELSE '' END AS dir,
+          string_split(acc, '/')[-1] AS nm
+        FROM nb WHERE acc <> '' AND NOT starts_with(acc, '#ESC#')),
+cands AS (SELECT project_id, file, source, c.rank AS rank, c.path AS path FROM (
+  SELECT *, unnest([
+    {{'rank': 0, 'path': CASE WHEN regexp_matches(lower(nm), '^.+\\.({EXTS})$') THEN base END}},
+    {', '.join(f"{{'rank': {1 + i}, 'path': concat(dir, regexp_replace(nm, '^(.+)\\.[^.]+$', '\\1'), {q(e)})}}" for i, e in enumerate(EXT_SORTED))},
+    {', '.join(f"{{'rank': {7 + i}, 'path': concat(base, {q('/index' + e)})}}" for i, e in enumerate(EXT_SORTED))}]) AS c FROM nb2)
+  WHERE c.path IS NOT NULL),
+resolved AS (SELECT c.project_id, c.file, c.source, arg_min(c.path, c.rank) AS resolved
+             FROM cands c JOIN site_files f ON f.project_id = c.project_id AND f.path = c.path GROUP BY 1, 2, 3),
+lmap AS (SELECT lz.project_id, lz.file, lz.name, arg_max(r.resolved, lz.idx) AS lazy_file
+         FROM lz JOIN resolved r USING (project_id, file, source) GROUP BY 1, 2, 3),
+imap AS (SELECT im.project_id, im.file, im.name, arg_max(r.resolved, im.idx * 1000000 + im.sub) AS import_file
+         FROM im JOIN resolved r USING (project_id, file, source) GROUP BY 1, 2, 3),
+rc AS (SELECT c.*, l.lazy_file, i.import_file,
+         CASE WHEN c.kind < 3 THEN coalesce(l.lazy_file, i.import_file) END AS res,
+         CASE WHEN c.kind < 2 THEN l.lazy_file IS NOT NULL OR c.lazy_decl WHEN c.kind = 2 THEN l.lazy_file IS NOT NULL ELSE false END AS is_lazy
+       FROM cand c LEFT JOIN lmap l ON l.project_id = c.project_id AND l.file = c.file AND l.name = c.ref
+       LEFT JOIN imap i ON i.project_id = c.project_id AND i.file = c.file AND i.name = c.ref),
+rfirst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id, path
+             ORDER BY NOT is_router, string_split(file, '/'), kind, pos) AS rk FROM rc) WHERE rk = 1),
+rfull AS (
+  SELECT r.project_id, r.path, coalesce(r.res, r.file) AS component_file, regexp_matches(r.path, '[:*]') AS is_dynamic, r.is_lazy,
+    CASE WHEN r.res IS NULL OR t.content IS NULL THEN 'none'
+         {' '.join(f"WHEN contains(t.content, {q(tok)}) THEN {q(pat)}" for tok, pat in C.FETCH_HOOKS)}
+         WHEN regexp_matches(t.content, {q(P.USE_EFFECT_FETCH_ROUTE)}) THEN 'useEffect_fetch' ELSE 'none' END AS data_fetch_pattern,
+    CAST(r.line AS INTEGER) AS line_number, NOT r.is_router AS o1, string_split(r.file, '/') AS o2, r.kind AS o3, r.pos AS o4
+  FROM rfirst r LEFT JOIN site_files t ON t.project_id = r.project_id AND t.path = r.res
+  UNION ALL
+  SELECT s.project_id, '/*', NULL, true, false, 'none', NULL, NULL, NULL, NULL, NULL
+  FROM status s WHERE s.status = 'ok' AND s.project_id NOT IN (SELECT project_id FROM rfirst)),
+routes AS (SELECT project_id, path, component_file, is_dynamic, is_lazy, data_fetch_pattern, line_number,
+  CAST(row_number() OVER (PARTITION BY project_id ORDER BY o1 NULLS FIRST, o2 NULLS FIRST, o3 NULLS FIRST, o4 NULLS FIRST, path) AS INTEGER) AS route_order
+  FROM rfull)"""
+
+AUDIT["routes"] = f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {ROUTES_CTE} SELECT * FROM routes"
+
+
 STREAMING = {
     "stream_bot_tags": TRAFFIC["bot_requests"],
     "stream_ttl": TRAFFIC["ttl_hits"],
