@@ -532,6 +532,103 @@ routes AS (SELECT project_id, path, component_file, is_dynamic, is_lazy, data_fe
 AUDIT["routes"] = f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {ROUTES_CTE} SELECT * FROM routes"
 
 
+
+def py_round1_sql(num: str, den: str) -> str:
+    qd = f"CAST(floor(({num}) * 10 / ({den})) AS BIGINT)"
+    r = f"(({num}) * 10 - {qd} * ({den}))"
+    odd = f"(2 * {qd} + 1)"
+    sv = f"(52 - CAST(floor(log2({odd} / 20.0)) AS BIGINT))"
+    pm = f"(CASE {sv} % 4 WHEN 0 THEN 16 WHEN 1 THEN 12 WHEN 2 THEN 4 ELSE 8 END)"
+    tie = f"(CASE WHEN {odd} % 5 = 0 THEN {qd} % 2 = 1 ELSE (({odd} % 20) * {pm}) % 20 >= 10 END)"
+    up = f"(2 * {r} > ({den}) OR (2 * {r} = ({den}) AND {tie}))"
+    return f"(({qd} + CASE WHEN {up} THEN 1 ELSE 0 END) / 10.0)"
+
+
+CWV_CTE = f"""cwf AS (SELECT project_id, CAST(sum({count_matches('content', P.IMPORT_STMT)}) AS BIGINT) AS total_imports,
+          CAST(sum({img_without_dims('content')}) AS BIGINT) AS imgs, count(*) AS n_files FROM sources GROUP BY 1),
+shells AS (SELECT project_id, CAST(sum({count_matches('content', P.THIRD_PARTY_SCRIPT)}) AS BIGINT) AS third
+           FROM site_files WHERE path IN {in_list(C.HTML_SHELLS)} GROUP BY 1),
+rr AS (SELECT project_id, count(*) AS n_routes, CAST(count_if(is_lazy) AS BIGINT) AS lazy FROM routes GROUP BY 1),
+cx AS (SELECT rr.project_id, lazy, coalesce(total_imports, 0) AS imp, coalesce(imgs, 0) AS img, coalesce(n_files, 0) AS nf,
+         coalesce(third, 0) AS third, greatest(n_routes, 1) AS tr
+       FROM rr LEFT JOIN cwf USING (project_id) LEFT JOIN shells USING (project_id)),
+cx2 AS (SELECT *, {py_round1_sql('imp', 'tr')} AS ipr, (imp > tr * 10 OR nf > 100) AS large FROM cx),
+cwv AS (SELECT project_id,
+    CASE WHEN large THEN 'high' WHEN imp > tr * 6 THEN 'medium' ELSE 'low' END AS lcp_risk,
+    CASE WHEN img > 3 THEN 'high' WHEN img > 0 THEN 'medium' ELSE 'low' END AS cls_risk,
+    CASE WHEN lazy * 2 > tr THEN 'high' WHEN lazy > 0 THEN 'medium' ELSE 'low' END AS fid_risk,
+    ipr AS estimated_js_imports_per_route, img AS images_without_dimensions, lazy AS lazy_loaded_routes,
+    third AS third_party_scripts, large AS large_bundle_risk,
+    array_to_string(list_filter([
+      CASE WHEN large THEN concat('LCP HIGH: estimated ', printf('%.1f', ipr), ' imports per route suggest heavy JavaScript before content can render.')
+           WHEN imp > tr * 6 THEN concat('LCP MEDIUM: estimated ', printf('%.1f', ipr), ' imports per route. Review route-level code splitting.') END,
+      CASE WHEN img > 3 THEN printf('CLS HIGH: %d <img> tags found without width/height.', img)
+           WHEN img > 0 THEN printf('CLS MEDIUM: %d <img> tag(s) without width/height.', img) END,
+      CASE WHEN lazy * 2 > tr THEN printf('INP HIGH: %d/%d routes are lazy-loaded. Prefetch critical routes or trim route-level chunk sizes.', lazy, tr)
+           WHEN lazy > 0 THEN printf('INP MEDIUM: %d/%d routes are lazy-loaded.', lazy, tr) END,
+      CASE WHEN third > 0 THEN printf('PERF NOTE: %d third-party script(s) detected in index.html.', third) END],
+      lambda x: x IS NOT NULL), chr(10)) AS notes,
+    imp AS total_imports
+  FROM cx2)"""
+
+from sitelens.operators import issues as IS  # noqa: E402
+
+FACTS_CTE = f"""fmeta AS (SELECT * FROM meta WHERE strategy <> 'none' OR sets_title OR sets_description OR sets_og_tags OR sets_canonical),
+fr AS (SELECT project_id, count(*) AS total_routes, CAST(count_if(is_dynamic) AS BIGINT) AS dynamic_routes,
+         CAST(count_if(is_lazy) AS BIGINT) AS lazy_routes, bool_or(path <> '/*') AS has_real_route FROM routes GROUP BY 1),
+ff AS (SELECT project_id, count(*) AS n_findings, count_if(strategy IN {in_list(IS.HELMET_STRATEGIES)}) AS n_helmet,
+         bool_or(sets_og_tags) AS any_og, bool_or(sets_canonical) AS any_canonical,
+         array_to_string(list(file_path ORDER BY string_split(file_path, '/')) FILTER (WHERE strategy IN {in_list(IS.HELMET_STRATEGIES)})[1:{IS.AFFECTED_FILES_SHOWN}], ', ') AS helmet_files
+       FROM fmeta GROUP BY 1),
+rcm AS (SELECT r.project_id, count(*) AS routes_with_client_metadata FROM routes r
+        WHERE (r.project_id, r.component_file) IN (SELECT project_id, file_path FROM fmeta WHERE strategy IN {in_list(IS.CLIENT_STRATEGIES)}) GROUP BY 1),
+assets AS (SELECT project_id, bool_or(ends_with(path, 'sitemap.xml')) AS has_sitemap, bool_or(ends_with(path, 'robots.txt')) AS has_robots
+           FROM site_files WHERE path IN ('public/sitemap.xml', 'sitemap.xml', 'public/robots.txt', 'robots.txt') GROUP BY 1),
+facts AS (SELECT fr.*, b.rendering_type, coalesce(ff.n_findings, 0) AS n_findings, coalesce(ff.n_helmet, 0) AS n_helmet,
+            coalesce(ff.any_og, false) AS any_og, coalesce(ff.any_canonical, false) AS any_canonical, ff.helmet_files,
+            coalesce(rcm.routes_with_client_metadata, 0) AS routes_with_client_metadata,
+            coalesce(a.has_sitemap, false) AS has_sitemap, coalesce(a.has_robots, false) AS has_robots,
+            w.lcp_risk, w.images_without_dimensions
+          FROM fr LEFT JOIN bundle b USING (project_id) LEFT JOIN ff USING (project_id) LEFT JOIN rcm USING (project_id)
+          LEFT JOIN assets a USING (project_id) LEFT JOIN cwv w USING (project_id)),
+iss0 AS (
+  {' UNION ALL '.join(
+      f"SELECT project_id, {n} AS rule, {q(sev)} AS severity, {q(cat)} AS category, "
+      + (f"concat(CAST(dynamic_routes AS VARCHAR), {q(' ' + t)})" if n == 4 else
+         f"concat({q(t + ': ')}, CAST(images_without_dimensions AS VARCHAR))" if n == 9 else q(t)) + " AS title, "
+      + ("helmet_files" if n == 3 else "CAST(NULL AS VARCHAR)") + " AS affected_files, "
+      + ("dynamic_routes" if n == 4 else "CAST(0 AS BIGINT)") + " AS affected_routes FROM facts WHERE "
+      + {1: "rendering_type = 'csr'", 2: "n_findings = 0", 3: "n_helmet > 0 AND rendering_type = 'csr'",
+         4: "dynamic_routes > 0", 5: "NOT has_sitemap", 6: "NOT any_og", 7: "NOT any_canonical",
+         8: "lcp_risk = 'high'", 9: "images_without_dimensions > 0", 10: "NOT has_robots"}[n]
+      for n, sev, cat, t in IS.RULES)}),
+issues AS (SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY rule) AS INTEGER) AS issue_no,
+             CAST(rule AS INTEGER) AS rule, severity, category, title, affected_files, affected_routes FROM iss0),
+cnt AS (SELECT project_id, CAST(count_if(severity = 'critical') AS BIGINT) AS critical_count, CAST(count_if(severity = 'high') AS BIGINT) AS high_count,
+          CAST(count_if(severity = 'medium') AS BIGINT) AS medium_count, CAST(count_if(severity = 'low') AS BIGINT) AS low_count
+        FROM issues GROUP BY 1),
+scored AS (SELECT f.project_id, f.total_routes, f.dynamic_routes, f.lazy_routes, CAST(f.routes_with_client_metadata AS BIGINT) AS routes_with_client_metadata,
+             coalesce(c.critical_count, 0) AS critical_count, coalesce(c.high_count, 0) AS high_count,
+             coalesce(c.medium_count, 0) AS medium_count, coalesce(c.low_count, 0) AS low_count,
+             CAST(greatest({C.SCORE_START} - CASE WHEN f.rendering_type = 'csr' THEN {C.SCORE_CSR_PENALTY} ELSE 0 END
+               - CASE WHEN NOT f.has_real_route AND f.total_routes = 1 THEN {C.SCORE_NO_ROUTES_PENALTY} ELSE 0 END
+               - CASE WHEN f.n_findings > 0 AND f.rendering_type = 'csr' THEN {C.SCORE_CLIENT_METADATA_PENALTY} ELSE 0 END
+               - least(coalesce(c.critical_count, 0) * {C.SCORE_CRITICAL_EACH}, {C.SCORE_CRITICAL_CAP})
+               - least(coalesce(c.high_count, 0) * {C.SCORE_HIGH_EACH}, {C.SCORE_HIGH_CAP})
+               - least(coalesce(c.medium_count, 0) * {C.SCORE_MEDIUM_EACH}, {C.SCORE_MEDIUM_CAP}), 0) AS INTEGER) AS seo_score
+           FROM facts f LEFT JOIN cnt c USING (project_id)),
+score AS (SELECT s.project_id, s.status, x.total_routes, x.dynamic_routes, x.lazy_routes, x.routes_with_client_metadata,
+            x.critical_count, x.high_count, x.medium_count, x.low_count, x.seo_score,
+            CASE WHEN x.seo_score IS NULL THEN NULL WHEN x.seo_score >= 80 THEN 'good' WHEN x.seo_score >= 50 THEN 'needs_work' ELSE 'critical' END AS score_band,
+            CASE WHEN s.status <> 'ok' THEN 1 WHEN x.critical_count > 0 THEN 2 ELSE 0 END AS gate
+          FROM status s LEFT JOIN scored x USING (project_id))"""
+
+_AUD = f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {BUNDLE_CTE}, {ROUTES_CTE}, {CWV_CTE}"
+AUDIT["cwv_estimate"] = f"{_AUD} SELECT * FROM cwv"
+AUDIT["issues"] = f"{_AUD}, {META_CTE}, {FACTS_CTE} SELECT * FROM issues"
+AUDIT["audit_score"] = f"{_AUD}, {META_CTE}, {FACTS_CTE} SELECT * FROM score"
+
+
 STREAMING = {
     "stream_bot_tags": TRAFFIC["bot_requests"],
     "stream_ttl": TRAFFIC["ttl_hits"],
