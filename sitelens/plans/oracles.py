@@ -645,3 +645,9 @@ def oracle_sql() -> dict[str, str]:
     for group in (TRAFFIC, HTML, AUDIT, STREAMING):
         out.update(group)
     return out
+
+
+AUDIT["imports_resolved"] = (
+    f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {ROUTES_CTE} "
+    "SELECT project_id, file, name, lazy_file AS resolved, 'lazy' AS kind FROM lmap "
+    "UNION ALL SELECT project_id, file, name, import_file AS resolved, 'import' AS kind FROM imap")
