@@ -71,12 +71,15 @@ def asof(probes: DataFrame, candidates: DataFrame, key: str, *,
     else:
         inside = F.first("_c", ignorenulls=True).over(
             w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    matched = u.withColumn("_in", inside).where(F.col("_kind") == (0 if backward else 1))
+    wu = u.withColumn("_in", inside)
+    matched = wu.where(F.col("_kind") == (0 if backward else 1))
 
     # One row per (key, bucket): the extreme candidate inside the bucket, then
-    # carried across buckets by a window over the (small) summary.
+    # carried across buckets by a window over the (small) summary.  It is
+    # computed from the windowed frame, which is already partitioned by
+    # (key, bucket), so it adds no shuffle of the input.
     extreme = F.max("_c") if backward else F.min("_c")
-    summary = u.groupBy("_k", "_b").agg(extreme.alias("_e"))
+    summary = wu.groupBy("_k", "_b").agg(extreme.alias("_e"))
     ws = Window.partitionBy("_k").orderBy("_b")
     if backward:
         carry = F.last("_e", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1))

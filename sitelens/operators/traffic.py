@@ -175,7 +175,8 @@ def snapshot_asof(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
                   bucket_us: int = 3_600_000_000) -> DataFrame:
     """For each render request, the freshest earlier successful write of
     its key, and whether it is still within TTL (age <= TTL is readable)."""
-    log = render_log(requests)
+    # The keyed log is materialised once: both sides of the lookup read it.
+    log = render_log(requests).select("cache_key", "t", "id", "ok").checkpoint(eager=True)
     probes = log.select("cache_key", "t", "id")
     writes = log.where("ok").select("cache_key", "t", "id")
     m = asof(probes, writes, "cache_key", direction="backward", bucket_us=bucket_us, out="w")
@@ -196,33 +197,43 @@ def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
     last successful render of its key is at most TTL old; otherwise it
     renders (MISS, or ERROR when the render fails, which stores nothing).
 
-    The stored snapshots ("anchors") form a chain per key: from an anchor
-    ``a`` the next one is the earlier of the first forced successful render
-    after ``a`` and the first successful render later than ``a.t + TTL``.
-    Both are as-of lookups (no pairs); the chain from the first successful
-    render of each key is then walked by pointer doubling (log2(chain length)
-    rounds of id equi-joins, lineage cut by ``checkpoint``), so even a key with
-    a third of all traffic is processed by many tasks.
+    The stored snapshots ("anchors") are found without a per-key fold:
+
+    * every forced successful render is an anchor, and so is the first
+      successful render of each key — these are chain heads;
+    * from an anchor ``a`` the next anchor is the earlier of the next forced
+      success (a head anyway) and the first success later than ``a.t + TTL``;
+      so each success gets an "expiry" pointer, kept only when it comes
+      before the next forced success.  Both are as-of lookups (no pairs).
+
+    The chains from the heads are walked by pointer doubling (log2 of the
+    longest chain rounds of id equi-joins, lineage cut by ``checkpoint``);
+    forced renders split long chains, so few rounds are needed.  A key with a
+    third of all traffic is processed by many tasks throughout.
     """
     ttl_us = ttl_seconds * 1_000_000
-    log = render_log(requests).select("cache_key", "t", "id", "forced", "ok")
-    ok = log.where("ok").select("cache_key", "t", "id")
+    # The keyed log is materialised once; every lookup below reads it.
+    log = render_log(requests).select("cache_key", "t", "id", "forced", "ok").checkpoint(eager=True)
+    ok = log.where("ok").select("cache_key", "t", "id", "forced")
 
-    nxt_forced = asof(ok, log.where("ok AND forced").select("cache_key", "t", "id"),
+    nxt_forced = asof(ok.select("cache_key", "t", "id"), ok.where("forced").select("cache_key", "t", "id"),
                       "cache_key", direction="forward", bucket_us=bucket_us, out="f")
     shifted = ok.select("cache_key", (F.col("t") + ttl_us).alias("t"),
                         F.lit(MAX_ID).alias("id"), F.col("id").alias("src"))
-    nxt_expired = asof(shifted, ok, "cache_key", direction="forward",
+    nxt_expired = asof(shifted, ok.select("cache_key", "t", "id"), "cache_key", direction="forward",
                        bucket_us=bucket_us, out="e")
-    nxt = (nxt_forced.select("id", F.col("f").alias("f"))
+    nxt = (nxt_forced.select("id", "f")
            .join(nxt_expired.select(F.col("src").alias("id"), "e"), "id")
            .select(F.col("id").alias("node"),
-                   earlier(F.col("f"), F.col("e")).getField("id").alias("nxt")))
-    heads = ok.groupBy("cache_key").agg(F.min(F.struct("t", "id")).alias("h")).select(
+                   F.when(F.col("e").isNotNull() & (F.col("f").isNull() | (F.col("e") < F.col("f"))),
+                          F.col("e.id")).alias("nxt")))
+    firsts = ok.groupBy("cache_key").agg(F.min(F.struct("t", "id")).alias("h")).select(
         F.col("h.id").alias("node"))
+    heads = firsts.unionByName(ok.where("forced").select(F.col("id").alias("node"))).distinct()
 
     anchors = _walk_chains(heads, nxt, max_rounds)
-    anchor_rows = ok.join(anchors, ok["id"] == anchors["node"], "left_semi")
+    anchor_rows = ok.select("cache_key", "t", "id").join(
+        anchors.withColumnRenamed("node", "id"), "id", "left_semi")
 
     m = asof(log, anchor_rows, "cache_key", direction="backward", bucket_us=bucket_us, out="a")
     hit = (~F.col("forced")) & F.col("a").isNotNull() & ((F.col("t") - F.col("a.t")) <= ttl_us)
@@ -233,21 +244,23 @@ def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
 def _walk_chains(heads: DataFrame, nxt: DataFrame, max_rounds: int) -> DataFrame:
     """All nodes reachable from ``heads`` along ``nxt`` (node -> nxt).
 
-    Round j holds ``reach`` = the first 2^j chain nodes and ``jump`` = the
-    2^j-th successor of every node; both double per round.  Each round is two
-    equi-joins on the unique node id and is checkpointed to cut lineage.
+    Round j holds ``reach`` = the first 2^j nodes of every chain and ``jump``
+    = the 2^j-th successor of every node; both double per round.  Each round
+    is two equi-joins on the unique node id, checkpointed to cut lineage;
+    the walk stops when a round adds no node.
     """
-    reach = heads.select("node")
-    jump = nxt.select("node", "nxt")
+    reach = heads.select("node").distinct().checkpoint(eager=True)
+    jump = nxt.select("node", "nxt").where(F.col("nxt").isNotNull()).checkpoint(eager=True)
+    size = reach.count()
     for _ in range(max_rounds):
-        new = (reach.join(jump, "node").where(F.col("nxt").isNotNull())
-               .select(F.col("nxt").alias("node")))
-        new = new.checkpoint(eager=True)
-        if new.isEmpty():
-            return reach
-        reach = reach.unionByName(new).checkpoint(eager=True)
+        new = reach.join(jump, "node").select(F.col("nxt").alias("node"))
+        grown = reach.unionByName(new).distinct().checkpoint(eager=True)
+        grown_size = grown.count()
+        if grown_size == size:
+            return grown
+        reach, size = grown, grown_size
         a, b = jump.alias("a"), jump.alias("b")
-        jump = (a.join(b, F.col("a.nxt") == F.col("b.node"), "left")
+        jump = (a.join(b, F.col("a.nxt") == F.col("b.node"))
                 .select(F.col("a.node").alias("node"), F.col("b.nxt").alias("nxt"))
                 .checkpoint(eager=True))
     raise RuntimeError("chain longer than 2^max_rounds")
