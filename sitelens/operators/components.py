@@ -35,31 +35,40 @@ def called_hooks(text: Column) -> Column:
 
 
 def classify_components(sources: DataFrame) -> DataFrame:
+    """P27–P31 per source file.  Every derived array is staged as its own
+    column, so each regex pass runs once per file."""
     c = F.col("content")
-    hooks = called_hooks(c)
-    global_reasons = F.array_compact(F.array(*[
-        F.when(c.rlike(word(g)), F.lit("Accesses browser global: " + g)) for g in sorted(C.CLIENT_GLOBALS)]))
-    reasons = F.concat(F.transform(hooks, lambda h: F.concat(F.lit("Uses "), h, F.lit("()"))),
-                       global_reasons,
-                       F.when(c.rlike(EVENT_HANDLER), F.array(F.lit(HANDLER_REASON)))
-                       .otherwise(F.array().cast("array<string>")))
-    rq = c.contains("useQuery") | c.contains("useMutation")
-    swr = c.contains("useSWR")
-    effect = c.rlike(USE_EFFECT_FETCH)
-    pattern = F.when(rq, "react_query").when(swr, "swr").when(effect, "useEffect_fetch").otherwise("none")
+    empty = F.array().cast("array<string>")
+    staged = (sources.select("project_id", F.col("path").alias("file_path"), "content")
+              .withColumn("hooks", called_hooks(c))
+              .withColumn("globals", F.array_compact(F.array(*[
+                  F.when(c.rlike(word(g)), F.lit("Accesses browser global: " + g))
+                  for g in sorted(C.CLIENT_GLOBALS)])))
+              .withColumn("handler", c.rlike(EVENT_HANDLER))
+              .withColumn("rq", c.contains("useQuery") | c.contains("useMutation"))
+              .withColumn("swr", c.contains("useSWR"))
+              .withColumn("effect", c.rlike(USE_EFFECT_FETCH))
+              .withColumn("has_use_query", c.contains("useQuery"))
+              .drop("content"))
+    hooks = F.col("hooks")
+    staged = staged.withColumn("reasons", F.concat(
+        F.transform(hooks, lambda h: F.concat(F.lit("Uses "), h, F.lit("()"))), F.col("globals"),
+        F.when(F.col("handler"), F.array(F.lit(HANDLER_REASON))).otherwise(empty)))
+    rq, swr, effect = F.col("rq"), F.col("swr"), F.col("effect")
     fetching = rq | swr | effect
-    extra = (F.when(rq & c.contains("useQuery") & ~F.array_contains(hooks, "useQuery"), F.array(F.lit("useQuery")))
+    client = F.size("reasons") > 0
+    extra = (F.when(rq & F.col("has_use_query") & ~F.array_contains(hooks, "useQuery"), F.array(F.lit("useQuery")))
              .when(~rq & swr & ~F.array_contains(hooks, "useSWR"), F.array(F.lit("useSWR")))
-             .otherwise(F.array().cast("array<string>")))
-    client = F.size(reasons) > 0
+             .otherwise(empty))
     notes = F.array_compact(F.array(
         F.when(rq, F.lit(NOTE_REACT_QUERY)).when(swr, F.lit(NOTE_SWR)).when(effect, F.lit(NOTE_EFFECT)),
         F.when(client & F.array_contains(hooks, "useEffect") & fetching, F.lit(NOTE_SPLIT))
         .when(~client & fetching, F.lit(NOTE_PURE))))
-    return sources.select(
-        "project_id", F.col("path").alias("file_path"),
+    pattern = F.when(rq, "react_query").when(swr, "swr").when(effect, "useEffect_fetch").otherwise("none")
+    return staged.select(
+        "project_id", "file_path",
         F.when(client, "client").otherwise("server").alias("component_type"),
-        F.when(client, reasons).otherwise(F.array(F.lit(SERVER_REASON))).alias("reasons"),
+        F.when(client, F.col("reasons")).otherwise(F.array(F.lit(SERVER_REASON))).alias("reasons"),
         F.concat(hooks, extra).alias("client_hooks_found"),
         fetching.alias("has_data_fetching"), pattern.alias("data_fetch_pattern"),
         notes.alias("migration_notes"))

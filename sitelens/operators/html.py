@@ -56,13 +56,31 @@ def metadata_flags(text: Column) -> Column:
     )
 
 
+def with_metadata_flags(df: DataFrame, text: str, out: str = "f") -> DataFrame:
+    """``metadata_flags`` with the title list and document.title lines staged
+    as columns, so each regex pass runs once per text."""
+    t = F.col(text)
+    df = (df.withColumn("__titles", title_texts(t))
+          .withColumn("__doc_lines", document_title_lines(t)))
+    titles, doc_lines = F.col("__titles"), F.col("__doc_lines")
+    flags = F.struct(
+        ((F.size(titles) > 0) | (F.size(doc_lines) > 0)).alias("sets_title"),
+        t.rlike(P.DESCRIPTION).alias("sets_description"),
+        t.rlike(P.OG_META).alias("sets_og_tags"),
+        t.rlike(P.CANONICAL).alias("sets_canonical"),
+        (F.exists(titles, lambda x: x.rlike(P.DYNAMIC_VALUE))
+         | F.exists(doc_lines, dynamic_assignment)).alias("title_is_dynamic"),
+        (F.size(doc_lines) > 0).alias("has_document_title"))
+    return df.withColumn(out, flags).drop("__titles", "__doc_lines")
+
+
 def html_metadata(pages: DataFrame) -> DataFrame:
     """Per page: F9 pre-filter, then the metadata flags (all false when the
     pre-filter rejects the page)."""
     kw = has_metadata_keyword(F.col("html"))
-    f = metadata_flags(F.col("html"))
     cols = ["sets_title", "sets_description", "sets_og_tags", "sets_canonical", "title_is_dynamic"]
-    return pages.select("page_id", kw.alias("has_keywords"), f.alias("f")).select(
+    staged = with_metadata_flags(pages.select("page_id", "html", kw.alias("has_keywords")), "html")
+    return staged.select(
         "page_id", "has_keywords",
         *[(F.col("has_keywords") & F.col(f"f.{c}")).alias(c) for c in cols])
 
@@ -91,20 +109,30 @@ def html_counts(pages: DataFrame) -> DataFrame:
         import_statements(h).alias("import_statements"))
 
 
-def clean_html(html: Column) -> Column:
-    """P20: drop analytics/tracking/chat scripts and source-map comments, then
-    mark the snapshot right after the first ``<head>`` (or prepend it)."""
+def strip_tracking(html: Column) -> Column:
+    """P20, part 1: drop analytics/tracking/chat scripts and source maps."""
     h = html
     for pattern in P.STRIP_SCRIPTS:
         h = F.regexp_replace(h, pattern, "")
+    return h
+
+
+def mark_snapshot(h: Column) -> Column:
+    """P20, part 2: the marker right after the first ``<head>``, else first."""
     pos = F.instr(h, "<head>")
     marked = F.concat(F.substring_index(h, "<head>", 1), F.lit("<head>\n" + C.PRERENDER_MARKER),
                       h.substr(pos + 6, F.length(h) + 1))
     return F.when(pos > 0, marked).otherwise(F.concat(F.lit(C.PRERENDER_MARKER + "\n"), h))
 
 
+def clean_html(html: Column) -> Column:
+    """P20 as one expression (use ``html_clean`` on tables: it stages the
+    stripped text so the regex passes run once)."""
+    return mark_snapshot(strip_tracking(html))
+
+
 def html_clean(pages: DataFrame) -> DataFrame:
-    cleaned = clean_html(F.col("html"))
-    return pages.select("page_id", cleaned.alias("html_clean")).withColumn(
-        "html_sha256", F.sha2("html_clean", 256)).select(
-        "page_id", "html_sha256", F.length("html_clean").alias("clean_chars"))
+    staged = pages.select("page_id", strip_tracking(F.col("html")).alias("stripped"))
+    cleaned = staged.select("page_id", mark_snapshot(F.col("stripped")).alias("html_clean"))
+    return cleaned.select("page_id", F.sha2("html_clean", 256).alias("html_sha256"),
+                          F.length("html_clean").alias("clean_chars"))

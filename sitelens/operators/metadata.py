@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
 from sitelens.functions.text import splitlines, with_matches
-from sitelens.operators.html import has_metadata_keyword, metadata_flags
+from sitelens.operators.html import has_metadata_keyword, with_metadata_flags
 
 
 def detect_metadata(sources: DataFrame) -> DataFrame:
@@ -21,6 +21,10 @@ def detect_metadata(sources: DataFrame) -> DataFrame:
     files = with_matches(files, "content", P.IMPORT_DECL, 1, "imp_m")
     files = with_matches(files, "content", P.HELMET_BLOCK, 0, "blk_m")
     files = with_matches(files, "content", P.TITLE, 0, "ttl_m")
+    files = files.withColumn("doc_lines", F.filter(
+        F.transform(splitlines(c), lambda ln, i: F.when(ln.contains("document.title"), i + 1)),
+        lambda x: x.isNotNull()))
+    files = with_metadata_flags(files, "content")
     imports = F.transform(F.col("imp_m"),
                           lambda x, i: F.struct(i.alias("i"), x["line"].alias("line"), x["g1"].alias("src")))
     asyncs = F.filter(imports, lambda x: x["src"] == "react-helmet-async")
@@ -29,8 +33,7 @@ def detect_metadata(sources: DataFrame) -> DataFrame:
     first_helmet = F.element_at(helmets, 1)
     helmet_line = F.when((F.size(helmets) > 0) & (first_async.isNull() | (first_helmet["i"] < first_async)),
                          F.array(first_helmet["line"])).otherwise(F.array().cast("array<int>"))
-    doc_lines = F.filter(F.transform(splitlines(c), lambda ln, i: F.when(ln.contains("document.title"), i + 1)),
-                         lambda x: x.isNotNull())
+    doc_lines = F.col("doc_lines")
     block_lines = F.transform(F.col("blk_m"), lambda x: x["line"])
     title_lines = F.transform(F.col("ttl_m"), lambda x: x["line"])
     lines = F.array_sort(F.array_distinct(F.concat(
@@ -39,7 +42,7 @@ def detect_metadata(sources: DataFrame) -> DataFrame:
                 .when(F.size(helmets) > 0, "react_helmet")
                 .when(F.size(doc_lines) > 0, "document_title_direct")
                 .otherwise("none"))
-    f = metadata_flags(c)
+    f = F.col("f")
     out = files.select(
         "project_id", F.col("path").alias("file_path"), strategy.alias("strategy"),
         f["sets_title"].alias("sets_title"), f["sets_description"].alias("sets_description"),
