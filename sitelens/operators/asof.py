@@ -126,5 +126,8 @@ def bucket_orders(order: list[Column], n: int) -> list[Column]:
 
 
 def _like(order_col: Column, name: str) -> Column:
-    """Sort ``name`` in the same direction as ``order_col``."""
-    return F.col(name).desc() if "DESC" in str(order_col).upper() else F.col(name).asc()
+    """Sort ``name`` in the same direction (and null order) as ``order_col``."""
+    text = str(order_col).upper()
+    if "DESC" in text:
+        return F.col(name).desc_nulls_last() if "NULLS LAST" in text else F.col(name).desc_nulls_first()
+    return F.col(name).asc_nulls_last() if "NULLS LAST" in text else F.col(name).asc_nulls_first()

@@ -17,12 +17,13 @@ files first, then by path components, then kind, then text order) — a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import constants as C
 from sitelens.functions import patterns as P
 from sitelens.functions.text import strip_ws, with_matches
+from sitelens.operators.asof import running_sum
 from sitelens.operators.scan import path_order, project_status, source_files
 
 SORTED_EXTS = sorted(C.JS_EXTENSIONS)
@@ -167,6 +168,7 @@ def name_maps(sources: DataFrame, all_paths: DataFrame) -> tuple[DataFrame, Data
     lazy, imp = lazy.checkpoint(eager=True), imp.checkpoint(eager=True)
     res = resolve_imports(lazy.select("project_id", "file", "source")
                           .unionByName(imp.select("project_id", "file", "source")), all_paths)
+    res = res.checkpoint(eager=True)  # read by both maps
     keys = ["project_id", "file", "source"]
     lazy_map = (lazy.join(res, keys).where(F.col("resolved").isNotNull())
                 .groupBy("project_id", "file", "name")
@@ -276,8 +278,12 @@ def map_routes(site_files: DataFrame, sources: DataFrame | None = None,
                        F.lit(None).cast("int").alias("line_number"),
                        F.lit(None).cast(routes.schema["o"].dataType).alias("o")))
     allr = routes.unionByName(default)
-    w = Window.partitionBy("project_id").orderBy(F.col("o").asc_nulls_first(), "path")
-    return allr.withColumn("route_order", F.row_number().over(w)).drop("o")
+    # Report order = running count in scan order, bucketed by (router
+    # file?, first path component) so one huge project is not one window.
+    order = [F.col("o").asc_nulls_first(), F.col("path").asc()]
+    bucket = [F.col("o.nr"), F.element_at(F.col("o.fp"), 1)]
+    ordered = running_sum(allr, "project_id", order, F.lit(1).cast("long"), bucket, "route_order")
+    return ordered.withColumn("route_order", F.col("route_order").cast("int")).drop("o")
 
 
 def source_projects(site_files: DataFrame) -> DataFrame:
