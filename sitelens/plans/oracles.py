@@ -396,11 +396,11 @@ walk(project_id, rn, path, part, cur) AS (
     CASE WHEN w.cur + o.chars > {t} THEN w.part + 1 ELSE w.part END,
     CASE WHEN w.cur + o.chars > {t} THEN o.chars ELSE w.cur + o.chars END
   FROM walk w JOIN o ON o.project_id = w.project_id AND o.rn = w.rn + 1),
-j AS (SELECT o.*, CAST(w.part AS BIGINT) AS part_number FROM o JOIN walk w ON w.project_id = o.project_id AND w.rn = o.rn)
-SELECT project_id, part_number, path, chars, priority, CAST(rn AS BIGINT) AS file_order,
+j AS (SELECT o.*, CAST(w.part AS BIGINT) AS part_number FROM o JOIN walk w ON w.project_id = o.project_id AND w.rn = o.rn),
+chunks AS (SELECT project_id, part_number, path, chars, priority, CAST(rn AS BIGINT) AS file_order,
   CAST(max(part_number) OVER (PARTITION BY project_id) AS BIGINT) AS total_parts,
   CAST(sum(chars) OVER (PARTITION BY project_id, part_number) AS BIGINT) AS part_chars
-FROM j"""
+FROM j)"""
 
 
 _F_SRC_PLACEHOLDER = None
@@ -408,9 +408,9 @@ AUDIT.update({
     "metadata_findings": f"""WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {META_CTE}
 SELECT * FROM meta WHERE strategy <> 'none' OR sets_title OR sets_description OR sets_og_tags OR sets_canonical""",
     "components": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {COMP_CTE} SELECT * FROM comps",
-    "chunks": "WITH RECURSIVE " + chunk_sql(f"{site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, cf AS (SELECT project_id, path, content FROM sources)"),
+    "chunks": "WITH RECURSIVE " + chunk_sql(f"{site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, cf AS (SELECT project_id, path, content FROM sources)") + " SELECT * FROM chunks",
     "document_chunks": "WITH RECURSIVE " + chunk_sql(
-        "cf AS (SELECT source AS project_id, concat('docs/doc', CAST(doc_id AS VARCHAR), '.md') AS path, text AS content FROM documents)"),
+        "cf AS (SELECT source AS project_id, concat('docs/doc', CAST(doc_id AS VARCHAR), '.md') AS path, text AS content FROM documents)") + " SELECT * FROM chunks",
 })
 
 
@@ -651,3 +651,59 @@ AUDIT["imports_resolved"] = (
     f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {ROUTES_CTE} "
     "SELECT project_id, file, name, lazy_file AS resolved, 'lazy' AS kind FROM lmap "
     "UNION ALL SELECT project_id, file, name, import_file AS resolved, 'import' AS kind FROM imap")
+
+
+# ------------------------------------------------------------ sitemap / bundles
+from sitelens.plans import reports as RP  # noqa: E402
+
+
+def xml_escape_sql(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return x
+
+
+SITEMAP_CTE = f"""sm AS (
+  SELECT project_id, CAST(ceil(route_order / {RP.SITEMAP_MAX_URLS}) AS INTEGER) AS part, route_order, is_dynamic,
+    CASE WHEN NOT is_dynamic THEN concat('  <url>' || chr(10) || '    <loc>',
+      {xml_escape_sql("concat('https://', project_id, '.example.com', path)")},
+      '</loc>' || chr(10) || '    <changefreq>weekly</changefreq>' || chr(10) || '    <priority>',
+      CASE WHEN path = '/' THEN '1.0' ELSE '0.8' END, '</priority>' || chr(10) || '  </url>' || chr(10)) END AS line
+  FROM routes),
+smp AS (SELECT project_id, part, CAST(count_if(NOT is_dynamic) AS BIGINT) AS url_count,
+          coalesce(string_agg(line, '' ORDER BY route_order), '') AS body FROM sm GROUP BY 1, 2),
+smd AS (SELECT project_id, count_if(is_dynamic) AS n_dynamic FROM routes GROUP BY 1),
+sitemap AS (SELECT project_id, part, url_count,
+  concat({q(RP.SITEMAP_HEAD)}, body,
+    CASE WHEN part = 1 AND n_dynamic > 0 THEN printf('  <!-- %d dynamic route(s) were detected and skipped. Supply explicit IDs or slugs to include them in a production sitemap. -->' || chr(10), n_dynamic) ELSE '' END,
+    {q(RP.SITEMAP_TAIL)}) AS xml
+  FROM smp JOIN smd USING (project_id))"""
+
+AUDIT["sitemap"] = f"{_AUD}, {SITEMAP_CTE} SELECT * FROM sitemap"
+
+BUNDLE_TOKENS_SQL = f"""WITH RECURSIVE {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {BUNDLE_CTE}, {ROUTES_CTE},
+{COMP_CTE}, {chunk_sql("cf AS (SELECT project_id, path, content FROM sources)")},
+sec AS (
+  SELECT c.project_id, c.part_number, c.total_parts,
+    length(concat('### `', {basename_sql('c.path')}, '`' || chr(10) || '**Type:** ', upper(coalesce(k.component_type, 'unknown')), chr(10),
+      CASE WHEN k.reasons IS NOT NULL AND k.reasons <> '' THEN concat('**Reason:** ', k.reasons, chr(10)) ELSE '' END,
+      CASE WHEN k.migration_notes IS NOT NULL AND k.migration_notes <> '' THEN concat('**Migration notes:**' || chr(10) || '- ',
+           replace(k.migration_notes, chr(10), chr(10) || '- '), chr(10)) ELSE '' END,
+      chr(10) || '```jsx' || chr(10), s.content, chr(10) || '```' || chr(10) || chr(10))) AS n
+  FROM chunks c LEFT JOIN comps k ON k.project_id = c.project_id AND k.file_path = c.path
+  JOIN sources s ON s.project_id = c.project_id AND s.path = c.path),
+pp AS (SELECT project_id, part_number, total_parts, count(*) AS n_files, sum(n) AS section_chars FROM sec GROUP BY 1, 2, 3),
+ctx AS (SELECT r.project_id, sum(length(concat('| `', r.path, '` | `', coalesce({basename_sql('r.component_file')}, 'unknown'), '` | ',
+          CASE WHEN r.is_dynamic THEN 'Y' ELSE '-' END, ' | ',
+          CASE WHEN k.client_hooks_found IS NOT NULL AND k.client_hooks_found <> '' THEN k.client_hooks_found ELSE '-' END,
+          ' | ', r.data_fetch_pattern, ' |' || chr(10)))) AS context_chars
+        FROM routes r LEFT JOIN comps k ON k.project_id = r.project_id AND k.file_path = r.component_file GROUP BY 1),
+bt AS (SELECT pp.*, CAST(length(concat('## SOURCE FILES' || chr(10),
+          CASE WHEN total_parts > 1 THEN printf('> **Part %d of %d**' || chr(10) || '> Migrate these files using the project context and classification summary above.' || chr(10), part_number, total_parts) ELSE '' END,
+          chr(10))) + coalesce(ctx.context_chars, 0) + section_chars AS BIGINT) AS chars
+       FROM pp LEFT JOIN ctx USING (project_id))
+SELECT project_id, part_number, total_parts,
+  CASE WHEN total_parts = 1 THEN 'bundle.md' ELSE printf('bundle-part%d.md', part_number) END AS bundle_name,
+  CAST(n_files AS BIGINT) AS n_files, chars, CAST(floor(chars / 4) AS BIGINT) AS estimated_tokens
+FROM bt"""
+AUDIT["bundle_tokens"] = BUNDLE_TOKENS_SQL
