@@ -1,18 +1,24 @@
-"""The assembled corpus audit: one scan of ``site_files`` feeding the four
+"""The assembled corpus audit: one scan of ``site_files`` feeding four
 independent branches (bundle, routes, metadata, cwv), then issues and score.
 
-Shuffles happen only at the per-project aggregates and at the
-(project, path) joins of route resolution; ``content`` is dropped before
-any shuffle that does not need it.
+Each piece is built on first use, so a job that needs only routes (sitemap)
+does not run the metadata branch.  Shared inputs are checkpointed once (to
+``spark.checkpoint.dir``): branches read one materialised scan instead of
+re-deriving it, and a lost executor only recomputes from the checkpoint.
+Shuffles happen at the per-project aggregates and at the (project, path)
+joins of route resolution; ``content`` is dropped before shuffles that do
+not need it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from sitelens.operators import bundle as B
+from sitelens.operators import chunks as CH
+from sitelens.operators import components as K
 from sitelens.operators import cwv as W
 from sitelens.operators import issues as I
 from sitelens.operators import metadata as M
@@ -20,30 +26,54 @@ from sitelens.operators import routes as R
 from sitelens.operators import scan as S
 
 
-@dataclass
 class Audit:
-    status: DataFrame
-    sources: DataFrame
-    bundle: DataFrame
-    routes: DataFrame
-    findings: DataFrame
-    cwv: DataFrame
-    facts: DataFrame
-    issues: DataFrame
-    score: DataFrame
+    def __init__(self, site_files: DataFrame):
+        self.site_files = site_files
+
+    @cached_property
+    def status(self) -> DataFrame:
+        return S.project_status(self.site_files).checkpoint(eager=True)
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        return S.source_files(self.site_files, self.status).checkpoint(eager=True)
+
+    @cached_property
+    def bundle(self) -> DataFrame:
+        return B.analyse_bundle(self.site_files, self.sources)
+
+    @cached_property
+    def routes(self) -> DataFrame:
+        return R.map_routes(self.site_files, self.sources, self.status).checkpoint(eager=True)
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        return M.detect_metadata(self.sources).checkpoint(eager=True)
+
+    @cached_property
+    def cwv(self) -> DataFrame:
+        return W.estimate_cwv(self.site_files, self.sources, self.routes)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return I.project_facts(self.site_files, self.bundle, self.routes, self.findings, self.cwv)
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return I.issues(self.facts)
+
+    @cached_property
+    def score(self) -> DataFrame:
+        return I.audit_score(self.status, self.facts, self.issues)
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return K.classify_components(self.sources)
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return CH.chunk_files(self.sources)
 
 
 def run_audit(site_files: DataFrame) -> Audit:
-    """Shared inputs are checkpointed once (to ``spark.checkpoint.dir``):
-    the branches then read one materialised scan instead of re-deriving it,
-    and a lost executor only recomputes from the checkpoint."""
-    status = S.project_status(site_files).checkpoint(eager=True)
-    sources = S.source_files(site_files, status).checkpoint(eager=True)
-    bundle = B.analyse_bundle(site_files, sources)
-    routes = R.map_routes(site_files, sources, status).checkpoint(eager=True)
-    findings = M.detect_metadata(sources).checkpoint(eager=True)
-    cwv = W.estimate_cwv(site_files, sources, routes)
-    facts = I.project_facts(site_files, bundle, routes, findings, cwv)
-    issues = I.issues(facts)
-    score = I.audit_score(status, facts, issues)
-    return Audit(status, sources, bundle, routes, findings, cwv, facts, issues, score)
+    return Audit(site_files)

@@ -75,7 +75,7 @@ def _imports_resolved(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _metadata(spark: SparkSession, sf: str) -> DataFrame:
-    m = M.detect_metadata(S.source_files(_sf(spark, sf)))
+    m = _audit(spark, sf).findings
     return m.withColumn("line_numbers", F.array_join("line_numbers", ","))
 
 
@@ -85,7 +85,7 @@ def _cwv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _components(spark: SparkSession, sf: str) -> DataFrame:
-    c = K.classify_components(S.source_files(_sf(spark, sf)))
+    c = _audit(spark, sf).components
     return c.select("project_id", "file_path", "component_type",
                     F.array_join("reasons", " | ").alias("reasons"),
                     F.array_join("client_hooks_found", ", ").alias("client_hooks_found"),
@@ -94,7 +94,7 @@ def _components(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return CH.chunk_files(S.source_files(_sf(spark, sf)))
+    return _audit(spark, sf).chunks
 
 
 def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,11 +106,8 @@ def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bundle_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    files = _sf(spark, sf)
-    a = A.run_audit(files)
-    chunks = CH.chunk_files(a.sources)
-    comps = K.classify_components(a.sources)
-    return RP.bundle_tokens(chunks, comps, a.sources, a.routes)
+    a = _audit(spark, sf)
+    return RP.bundle_tokens(a.chunks, a.components, a.sources, a.routes)
 
 
 def _report_rows(spark: SparkSession, sf: str) -> DataFrame:
