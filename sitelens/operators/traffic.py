@@ -48,16 +48,17 @@ def prerender_routing(requests: DataFrame, prerender_url_set: bool = True) -> Da
     """F15/F16/F19 per request: which edge targets send it to the prerenderer.
 
     Targets: vercel, cloudflare, express, nginx (decision table in SURVEY).
+    The URL path and the crawler test are staged once per row.
     """
-    path = X.url_path("url")
-    is_get = F.col("method") == "GET"
-    bot = X.is_bot("user_agent")
+    staged = requests.select("event_id", "url", (F.col("method") == "GET").alias("is_get"),
+                             X.is_bot("user_agent").alias("bot"), X.url_path("url").alias("path"))
+    path, is_get, bot = F.col("path"), F.col("is_get"), F.col("bot")
     api = path.startswith("/api/")
     static_ext = path.rlike("(?i)\\.(" + "|".join(C.STATIC_ASSET_EXTENSIONS) + ")$")
     next_or_static = path.startswith("/_next/") | path.startswith("/static/")
     matcher_skip = path.rlike("^/(_next/static|_next/image|favicon.ico)")
     configured = F.lit(prerender_url_set)
-    return requests.select(
+    return staged.select(
         "event_id",
         X.url_ok("url").alias("url_ok"),
         (~disallowed(path)).alias("crawl_allowed"),
@@ -190,7 +191,8 @@ def snapshot_asof(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
 
 # --------------------------------------------- anchored-TTL HIT/MISS
 def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
-                 bucket_us: int = 3_600_000_000, max_rounds: int = 64) -> DataFrame:
+                 bucket_us: int = 3_600_000_000, max_rounds: int = 64,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
     """HIT / MISS / ERROR of every render request under an anchored TTL.
 
     A request is a HIT when it is not forced and the snapshot stored by the
@@ -213,7 +215,7 @@ def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
     """
     ttl_us = ttl_seconds * 1_000_000
     # The keyed log is materialised once; every lookup below reads it.
-    log = render_log(requests).select("cache_key", "t", "id", "forced", "ok").checkpoint(eager=True)
+    log = render_log(requests).select("cache_key", "t", "id", "forced", "ok", *carry).checkpoint(eager=True)
     ok = log.where("ok").select("cache_key", "t", "id", "forced")
 
     nxt_forced = asof(ok.select("cache_key", "t", "id"), ok.where("forced").select("cache_key", "t", "id"),
@@ -238,7 +240,7 @@ def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
     m = asof(log, anchor_rows, "cache_key", direction="backward", bucket_us=bucket_us, out="a")
     hit = (~F.col("forced")) & F.col("a").isNotNull() & ((F.col("t") - F.col("a.t")) <= ttl_us)
     outcome = F.when(hit, "HIT").when(F.col("ok"), "MISS").otherwise("ERROR")
-    return m.select(F.col("id").alias("event_id"), "cache_key", "t", outcome.alias("outcome"))
+    return m.select(F.col("id").alias("event_id"), "cache_key", "t", outcome.alias("outcome"), *carry)
 
 
 def _walk_chains(heads: DataFrame, nxt: DataFrame, max_rounds: int) -> DataFrame:
@@ -269,9 +271,7 @@ def _walk_chains(heads: DataFrame, nxt: DataFrame, max_rounds: int) -> DataFrame
 def service_metrics(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
     """A7 + P47 per day: renders (incl. failed), hits, errors, hit rate %,
     uptime (seconds between first and last request) and crawler share."""
-    out = ttl_outcomes(requests, ttl_seconds)
-    tagged = out.join(render_log(requests).select("id", "user_agent", "ts")
-                      .withColumnRenamed("id", "event_id"), "event_id")
+    tagged = ttl_outcomes(requests, ttl_seconds, carry=("ts", "user_agent"))
     g = tagged.groupBy(X.day("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(X.is_bot("user_agent")).alias("bot_requests"),
