@@ -1,8 +1,8 @@
 """Text helpers over whole documents, all built-in Spark expressions.
 
-``matches_with_lines`` returns every non-overlapping regex match of a text
-with its 1-based start line, like iterating ``finditer`` and counting the
-newlines before each match.  It runs the regex sequentially twice per text
+``with_matches`` adds every non-overlapping regex match of a text with its
+1-based start line, like iterating ``finditer`` and counting the newlines
+before each match.  It runs the regex sequentially twice per text
 (``regexp_extract_all`` for the matches, ``split`` for the text between them)
 and turns newline counts into start lines with one ``aggregate`` fold, so it
 stays JVM-side and linear in the text (a lazy ``(.*?)`` prefix would be
@@ -22,26 +22,6 @@ def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def matches_with_lines(text: Column, pattern: str, groups: int = 0) -> Column:
-    """array<struct<line:int, m:string, g1..gN:string>> of all matches."""
-    pat = F.lit(pattern)
-    ms = F.regexp_extract_all(text, pat, 0)
-    pieces = F.split(text, pattern, -1)
-    gs = [F.regexp_extract_all(text, pat, i) for i in range(1, groups + 1)]
-    pre = F.transform(F.slice(pieces, 1, F.size(ms)), newlines)
-    inside = F.transform(ms, newlines)
-    steps = F.zip_with(pre, inside, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    init = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
-    lines = F.aggregate(
-        steps, init,
-        lambda acc, x: F.struct(
-            (acc["run"] + x["p"] + x["m"]).alias("run"),
-            F.concat(acc["out"], F.array(acc["run"] + x["p"] + 1)).alias("out")),
-        lambda acc: acc["out"])
-    fields = [lines.alias("line"), ms.alias("m")] + [g.alias(f"g{i + 1}") for i, g in enumerate(gs)]
-    return F.arrays_zip(*fields)
-
-
 def splitlines(text: Column) -> Column:
     """Lines as Python's ``str.splitlines`` would cut them (trailing '' kept)."""
     return F.split(text, SPLITLINES, -1)
@@ -52,8 +32,10 @@ def strip_ws(c: Column) -> Column:
 
 
 def with_matches(df, text: str, pattern: str, groups: int, out: str):
-    """DataFrame form of ``matches_with_lines``: each regex pass is computed
-    once into a temporary column, so the expression is not duplicated."""
+    """Add ``out`` = array<struct<line:int, m:string, g1..gN:string>>.
+
+    Each regex pass is computed once into a temporary column, so the
+    expression is not duplicated."""
     pat = F.lit(pattern)
     t = F.col(text)
     tm, tp = f"__{out}_m", f"__{out}_p"

@@ -113,7 +113,7 @@ def running_sum(df: DataFrame, key: str, order: list[Column], value: Column,
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_in", F.sum("_v").over(w))
     tot = d.groupBy(key, *bnames).agg(F.sum("_v").alias("_tot"))
-    border = [_like(o, n) for o, n in zip(bucket_orders(order, len(bucket)), bnames)]
+    border = [_like(o, n) for o, n in zip(order[:len(bucket)], bnames)]
     ws = Window.partitionBy(key).orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_carry", F.coalesce(F.sum("_tot").over(ws), F.lit(0)))
     return (d.join(tot.select(key, *bnames, "_carry"), [key, *bnames])
@@ -121,10 +121,6 @@ def running_sum(df: DataFrame, key: str, order: list[Column], value: Column,
             .drop("_in", "_carry", "_v", *bnames))
 
 
-def bucket_orders(order: list[Column], n: int) -> list[Column]:
-    return order[:n]
-
-
 def _like(order_col: Column, name: str) -> Column:
     """Sort ``name`` in the same direction (and null order) as ``order_col``."""
     text = str(order_col).upper()

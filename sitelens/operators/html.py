@@ -35,30 +35,13 @@ def dynamic_assignment(line: Column) -> Column:
     return line.rlike(P.DOCUMENT_TITLE_ASSIGN) & ~value.rlike(P.STATIC_QUOTED)
 
 
-def metadata_flags(text: Column) -> Column:
-    """P14/P15 flags of one text (whole-file checks).
+def with_metadata_flags(df: DataFrame, text: str, out: str = "f") -> DataFrame:
+    """P14/P15 flags of one text (whole-file checks) as struct column ``out``.
 
     Titles inside ``<Helmet>`` blocks are also titles of the whole text, so
-    the block scan adds line numbers only (see ``metadata_lines``).
-    """
-    titles = title_texts(text)
-    doc_lines = document_title_lines(text)
-    sets_title = (F.size(titles) > 0) | (F.size(doc_lines) > 0)
-    dynamic = (F.exists(titles, lambda t: t.rlike(P.DYNAMIC_VALUE))
-               | F.exists(doc_lines, dynamic_assignment))
-    return F.struct(
-        sets_title.alias("sets_title"),
-        text.rlike(P.DESCRIPTION).alias("sets_description"),
-        text.rlike(P.OG_META).alias("sets_og_tags"),
-        text.rlike(P.CANONICAL).alias("sets_canonical"),
-        dynamic.alias("title_is_dynamic"),
-        (F.size(doc_lines) > 0).alias("has_document_title"),
-    )
-
-
-def with_metadata_flags(df: DataFrame, text: str, out: str = "f") -> DataFrame:
-    """``metadata_flags`` with the title list and document.title lines staged
-    as columns, so each regex pass runs once per text."""
+    the block scan only adds line numbers (metadata findings).  The title
+    list and document.title lines are staged as columns, so each regex pass
+    runs once per text."""
     t = F.col(text)
     df = (df.withColumn("__titles", title_texts(t))
           .withColumn("__doc_lines", document_title_lines(t)))

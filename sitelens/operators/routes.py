@@ -284,7 +284,3 @@ def map_routes(site_files: DataFrame, sources: DataFrame | None = None,
     bucket = [F.col("o.nr"), F.element_at(F.col("o.fp"), 1)]
     ordered = running_sum(allr, "project_id", order, F.lit(1).cast("long"), bucket, "route_order")
     return ordered.withColumn("route_order", F.col("route_order").cast("int")).drop("o")
-
-
-def source_projects(site_files: DataFrame) -> DataFrame:
-    return project_status(site_files).where(F.col("status") == "ok").select("project_id")

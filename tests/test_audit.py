@@ -107,3 +107,17 @@ def test_reports(audit):
     md = {x.project_id: x.markdown for x in report_markdown(r).collect()}
     assert "34/100" in md["cra_basic"]
     assert report_json(r).count() == 2
+
+
+def test_bundle_sink_and_tokens(spark, audit, tmp_path):
+    from sitelens.operators.chunks import chunk_files
+    from sitelens.operators.components import classify_components
+    from sitelens.plans.reports import bundle_sections, bundle_tokens, write_bundles
+    chunks, comps = chunk_files(audit.sources), classify_components(audit.sources)
+    tok = {r.project_id: r for r in bundle_tokens(chunks, comps, audit.sources, audit.routes).collect()}
+    assert tok["cra_basic"].bundle_name == "bundle.md" and tok["cra_basic"].n_files == 5
+    assert tok["cra_basic"].estimated_tokens == tok["cra_basic"].chars // 4
+    out = str(tmp_path / "bundles")
+    write_bundles(bundle_sections(chunks, comps, audit.sources), out)
+    text = "\n".join(r.value for r in spark.read.text(out).where("project_id = 'cra_basic'").collect())
+    assert "### `App.jsx`" in text and "**Type:** CLIENT" in text
