@@ -51,6 +51,11 @@ def epoch_us(ts: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), col(ts))
 
 
+def ntz_from_micros(us: Column) -> Column:
+    """TIMESTAMP_NTZ wall clock (UTC) of epoch microseconds, zone-independent."""
+    return F.timestamp_add("MICROSECOND", us, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+
+
 def day(ts: str | Column) -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd")
 

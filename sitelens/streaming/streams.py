@@ -72,8 +72,8 @@ def hourly_metrics(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
             .groupBy(F.window("ts_ltz", "1 hour").alias("w"))
             .agg(F.count(F.lit(1)).alias("requests"),
                  F.count_if(X.is_bot("user_agent")).alias("bot_requests"))
-            .select(F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm").alias("hour"),
-                    "requests", "bot_requests"))
+            .select(F.date_format(X.ntz_from_micros(F.unix_micros(F.col("w.start"))), "yyyy-MM-dd HH:mm")
+                    .alias("hour"), "requests", "bot_requests"))
 
 
 def dedup_renders(stream: DataFrame, ttl: str = "1 day") -> DataFrame:
