@@ -148,7 +148,8 @@ def _stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
 STREAMING: dict[str, Query] = {
     "stream_bot_tags": lambda s, sf: ST.run_to_table(s, ST.bot_tags(_stream(s, sf)), "bots").drop("_batch"),
     "stream_metrics": _stream_metrics,
-    "stream_dedup": lambda s, sf: ST.run_to_table(s, ST.dedup_renders(_stream(s, sf)), "dedup").drop("_batch"),
+    # Which duplicate survives is arrival-dependent; the kept key set is not.
+    "stream_dedup": lambda s, sf: ST.run_to_table(s, ST.dedup_renders(_stream(s, sf)), "dedup").select("cache_key"),
     "stream_ttl": lambda s, sf: ST.run_to_table(s, ST.ttl_outcomes(_stream(s, sf)), "ttl").drop("_batch"),
     "stream_snapshots": lambda s, sf: ST.snapshot_table(
         ST.run_to_table(s, ST.snapshot_events(_stream(s, sf)), "snapshots")),

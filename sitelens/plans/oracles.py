@@ -630,6 +630,7 @@ AUDIT["audit_score"] = f"{_AUD}, {META_CTE}, {FACTS_CTE} SELECT * FROM score"
 
 
 STREAMING = {
+    "stream_dedup": f"WITH {requests_cte()} SELECT DISTINCT sha256({norm_url('url')}) AS cache_key FROM requests WHERE {URL_OK}",
     "stream_bot_tags": TRAFFIC["bot_requests"],
     "stream_ttl": TRAFFIC["ttl_hits"],
     "stream_snapshots": TRAFFIC["snapshot_latest"],

@@ -131,16 +131,19 @@ def snapshot_events(stream: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- runners
 def run_to_table(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drive a streaming frame to completion (availableNow) into a Parquet
-    folder under the shared checkpoint dir and read it back."""
+    folder under the shared checkpoint dir and read it back.
+
+    Each micro-batch overwrites its own ``_batch=<id>`` folder, so a batch
+    replayed after a failure replaces its earlier output (idempotent sink)."""
     out, ckpt = scratch(spark, name), scratch(spark, name + "-ckpt")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"_batch={batch_id}"))
 
     q = (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.option("basePath", out).parquet(out)
 
 
 def latest_versions(table: DataFrame, key: list[str]) -> DataFrame:
