@@ -708,3 +708,26 @@ SELECT project_id, part_number, total_parts,
   CAST(n_files AS BIGINT) AS n_files, chars, CAST(floor(chars / 4) AS BIGINT) AS estimated_tokens
 FROM bt"""
 AUDIT["bundle_tokens"] = BUNDLE_TOKENS_SQL
+
+
+REPORT_MD_SQL = f"""{_AUD}, {META_CTE}, {FACTS_CTE},
+il AS (SELECT project_id, string_agg(printf('### %d. %s' || chr(10) || chr(10) || '**Severity:** %s' || chr(10) || '**Category:** %s'
+          || chr(10) || chr(10) || '---' || chr(10), issue_no, title, upper(severity), category), chr(10) ORDER BY issue_no) AS lines
+       FROM issues GROUP BY 1)
+SELECT s.project_id, concat('# SEO Audit Report' || chr(10) || chr(10) || '**Project:** `', s.project_id,
+  '`' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## SEO Score: ', CAST(s.seo_score AS VARCHAR), '/100' || chr(10) || chr(10),
+  CASE WHEN s.seo_score >= 80 THEN '**Good** - Minor improvements recommended.'
+       WHEN s.seo_score >= 50 THEN '**Needs work** - Several SEO issues detected.'
+       ELSE '**Critical issues** - This site is likely poorly indexed by search engines.' END,
+  chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|---|---|' || chr(10),
+  printf('| Rendering type | `%s` |' || chr(10) || '| Framework | `%s` |' || chr(10) || '| Total routes found | %d |' || chr(10)
+         || '| Dynamic routes | %d |' || chr(10) || '| Lazy-loaded routes | %d |' || chr(10),
+         b.rendering_type, b.framework, s.total_routes, s.dynamic_routes, s.lazy_routes),
+  printf(chr(10) || '## Issues Summary' || chr(10) || chr(10) || '| Severity | Count |' || chr(10) || '|---|---|' || chr(10)
+         || '| Critical | %d |' || chr(10) || '| High | %d |' || chr(10) || '| Medium | %d |' || chr(10) || '| Low | %d |'
+         || chr(10) || chr(10) || '## Issues Detail' || chr(10) || chr(10),
+         s.critical_count, s.high_count, s.medium_count, s.low_count),
+  coalesce(il.lines, '')) AS markdown
+FROM score s LEFT JOIN bundle b USING (project_id) LEFT JOIN il USING (project_id)
+WHERE s.status = 'ok'"""
+AUDIT["report_md"] = REPORT_MD_SQL
