@@ -157,3 +157,16 @@ def report_markdown(rows: DataFrame) -> DataFrame:
                         F.col("critical_count"), F.col("high_count"), F.col("medium_count"), F.col("low_count")),
         issue_lines)
     return rows.where(F.col("status") == "ok").select("project_id", md.alias("markdown"))
+
+
+def write_reports(rows: DataFrame, out_dir: str) -> None:
+    """K1 sink: nested JSON report rows, one folder per project."""
+    rows.write.mode("overwrite").partitionBy("project_id").json(out_dir)
+
+
+def read_reports(spark, in_dir: str, schema=None) -> DataFrame:
+    """Load earlier reports (schema given, or the writer's schema)."""
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.json(in_dir)

@@ -121,3 +121,27 @@ def test_bundle_sink_and_tokens(spark, audit, tmp_path):
     write_bundles(bundle_sections(chunks, comps, audit.sources), out)
     text = "\n".join(r.value for r in spark.read.text(out).where("project_id = 'cra_basic'").collect())
     assert "### `App.jsx`" in text and "**Type:** CLIENT" in text
+
+
+def test_source_tree_reader(spark, tmp_path):
+    import fixtures
+    from sitelens.plans.audit import run_audit
+    from sitelens.sources.tree import read_source_tree
+    for project, path, content in fixtures.ROWS:
+        f = tmp_path / "tree" / project / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(content)
+    sf = read_source_tree(spark, str(tmp_path / "tree"))
+    got = sorted((r.project_id, r.path) for r in sf.select("project_id", "path").collect())
+    assert got == sorted((p, q) for p, q, _ in fixtures.ROWS)
+    score = {r.project_id: r.seo_score for r in run_audit(sf).score.collect()}
+    assert score == {"cra_basic": 34, "vite_with_router": 42}
+
+
+def test_report_roundtrip(spark, audit, tmp_path):
+    from sitelens.plans.reports import read_reports, report_rows, write_reports
+    rows = report_rows(audit.score, audit.bundle, audit.cwv, audit.issues)
+    write_reports(rows, str(tmp_path / "reports"))
+    back = {r.project_id: r for r in read_reports(spark, str(tmp_path / "reports"), rows.drop("project_id").schema
+                                                  .add("project_id", "string")).collect()}
+    assert back["cra_basic"].seo_score == 34 and len(back["cra_basic"].issues) == 7
