@@ -116,9 +116,14 @@ def running_sum(df: DataFrame, key: str, order: list[Column], value: Column,
     border = [_like(o, n) for o, n in zip(order[:len(bucket)], bnames)]
     ws = Window.partitionBy(key).orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_carry", F.coalesce(F.sum("_tot").over(ws), F.lit(0)))
-    return (d.join(tot.select(key, *bnames, "_carry"), [key, *bnames])
+    # Null-safe on the bucket columns: a null bucket is a bucket too.
+    t = tot.select(*[F.col(c).alias("_t" + c) for c in [key, *bnames]], "_carry")
+    cond = F.col(key) == F.col("_t" + key)
+    for c in bnames:
+        cond = cond & F.col(c).eqNullSafe(F.col("_t" + c))
+    return (d.join(t, cond)
             .withColumn(out, F.col("_in") + F.col("_carry"))
-            .drop("_in", "_carry", "_v", *bnames))
+            .drop("_in", "_carry", "_v", *bnames, *["_t" + c for c in [key, *bnames]]))
 
 
 def _like(order_col: Column, name: str) -> Column:
