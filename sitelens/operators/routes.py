@@ -257,15 +257,17 @@ def map_routes(site_files: DataFrame, sources: DataFrame | None = None,
     first = (cand.groupBy("project_id", "path")
              .agg(F.min(F.struct(order.alias("o"), "file", "resolved", "is_lazy", "line")).alias("x"))
              .select("project_id", "path", "x.o", "x.file", "x.resolved", "x.is_lazy", "x.line"))
-    texts = site_files.select("project_id", F.col("path").alias("resolved"),
-                              F.col("content").alias("comp_text"))
-    first = first.join(texts, ["project_id", "resolved"], "left")
+    # The fetch pattern is computed map-side on every file, so only
+    # (project, path, pattern) is shuffled for the join — never the text.
+    patterns = site_files.select("project_id", F.col("path").alias("resolved"),
+                                 fetch_pattern(F.col("content")).alias("comp_pattern"))
+    first = first.join(patterns, ["project_id", "resolved"], "left")
     routes = first.select(
         "project_id", "path",
         F.coalesce("resolved", "file").alias("component_file"),
         is_dynamic(F.col("path")).alias("is_dynamic"),
         "is_lazy",
-        F.when(F.col("resolved").isNull(), F.lit("none")).otherwise(fetch_pattern(F.col("comp_text")))
+        F.when(F.col("resolved").isNull(), F.lit("none")).otherwise(F.coalesce("comp_pattern", F.lit("none")))
         .alias("data_fetch_pattern"),
         F.col("line").alias("line_number"), "o")
     # A project without routes gets the catch-all default.

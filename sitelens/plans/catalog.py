@@ -107,7 +107,7 @@ def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bundle_tokens(spark: SparkSession, sf: str) -> DataFrame:
     a = _audit(spark, sf)
-    return RP.bundle_tokens(a.chunks, a.components, a.sources, a.routes)
+    return RP.bundle_tokens(a.chunks, a.components, a.routes)
 
 
 def _report_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -92,14 +92,20 @@ def bundle_sections(chunks: DataFrame, components: DataFrame, files: DataFrame)
     return j.select("project_id", "part_number", "total_parts", "file_order", section.alias("section"))
 
 
-def bundle_tokens(chunks: DataFrame, components: DataFrame, files: DataFrame,
-                  routes: DataFrame) -> DataFrame:
+def bundle_tokens(chunks: DataFrame, components: DataFrame, routes: DataFrame) -> DataFrame:
     """P32 + A12 + J7: size and token estimate (chars // 4) of every bundle
     part: part header + route manifest (context, repeated per part) + the
     part's file sections.  Sizes are summed, texts are never concatenated."""
-    sec = bundle_sections(chunks, components, files)
-    per_part = sec.groupBy("project_id", "part_number", "total_parts").agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum(F.length("section")).alias("section_chars"))
+    # Section size = wrapper text (from the classification) + the file's
+    # char count, so file texts are not joined or shuffled here.
+    j = chunks.join(components.withColumnRenamed("file_path", "path"), ["project_id", "path"], "left")
+    wrapper = file_section(basename(F.col("path")), F.coalesce("component_type", F.lit("unknown")),
+                           F.coalesce("reasons", F.array().cast("array<string>")),
+                           F.coalesce("migration_notes", F.array().cast("array<string>")), F.lit(""))
+    per_part = (j.select("project_id", "part_number", "total_parts",
+                         (F.length(wrapper) + F.col("chars")).alias("n"))
+                .groupBy("project_id", "part_number", "total_parts")
+                .agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("section_chars")))
     hooks = components.select("project_id", F.col("file_path").alias("component_file"),
                               F.col("client_hooks_found").alias("hooks"))
     ctx = (routes.join(hooks, ["project_id", "component_file"], "left")

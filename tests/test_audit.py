@@ -114,7 +114,7 @@ def test_bundle_sink_and_tokens(spark, audit, tmp_path):
     from sitelens.operators.components import classify_components
     from sitelens.plans.reports import bundle_sections, bundle_tokens, write_bundles
     chunks, comps = chunk_files(audit.sources), classify_components(audit.sources)
-    tok = {r.project_id: r for r in bundle_tokens(chunks, comps, audit.sources, audit.routes).collect()}
+    tok = {r.project_id: r for r in bundle_tokens(chunks, comps, audit.routes).collect()}
     assert tok["cra_basic"].bundle_name == "bundle.md" and tok["cra_basic"].n_files == 5
     assert tok["cra_basic"].estimated_tokens == tok["cra_basic"].chars // 4
     out = str(tmp_path / "bundles")
