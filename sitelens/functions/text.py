@@ -58,3 +58,19 @@ def with_matches(df, text: str, pattern: str, groups: int, out: str):
         lambda acc: acc["out"])
     fields = [lines.alias("line"), ms.alias("m")] + [F.col(g).alias(f"g{i + 1}") for i, g in enumerate(gnames)]
     return df.withColumn(out, F.arrays_zip(*fields)).drop(tm, tp, *gnames)
+
+
+# Block comments anywhere, and line comments that start a line.  (A ``//``
+# after code is left alone: it is too often part of a URL string.)
+COMMENT = r"(?m)/\*[\s\S]*?\*/|^[ \t]*//[^\n]*"
+
+
+def mask_comments(text: Column) -> Column:
+    """The text with every comment replaced by its newlines only, so line
+    numbers are unchanged.  Used where the audited tool reads a syntax tree
+    (JSX elements, import declarations, calls), which ignores comments."""
+    pieces = F.split(text, COMMENT, -1)
+    comments = F.regexp_extract_all(text, F.lit(COMMENT), 0)
+    glued = F.zip_with(pieces, comments, lambda p, c: F.concat(
+        p, F.coalesce(F.repeat(F.lit("\n"), newlines(c)), F.lit(""))))
+    return F.array_join(glued, "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import constants as C
 from sitelens.functions.patterns import word
+from sitelens.functions.text import mask_comments
 
 # Identifier chains followed by a call (optionally with type arguments).
 CALL = r"[\p{L}_$][\p{L}\p{N}_$]*(?:\s*\.\s*[\p{L}_$][\p{L}\p{N}_$]*)*\s*(?:<[^()]*>)?\s*\("
@@ -40,7 +41,7 @@ def classify_components(sources: DataFrame) -> DataFrame:
     c = F.col("content")
     empty = F.array().cast("array<string>")
     staged = (sources.select("project_id", F.col("path").alias("file_path"), "content")
-              .withColumn("hooks", called_hooks(c))
+              .withColumn("hooks", called_hooks(mask_comments(c)))  # calls: syntax tree, no comments
               .withColumn("globals", F.array_compact(F.array(*[
                   F.when(c.rlike(word(g)), F.lit("Accesses browser global: " + g))
                   for g in sorted(C.CLIENT_GLOBALS)])))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
-from sitelens.functions.text import splitlines, with_matches
+from sitelens.functions.text import mask_comments, splitlines, with_matches
 from sitelens.operators.html import has_metadata_keyword, with_metadata_flags
 
 
@@ -18,7 +18,9 @@ def detect_metadata(sources: DataFrame) -> DataFrame:
     """
     c = F.col("content")
     files = sources.where(has_metadata_keyword(c)).select("project_id", "path", "content")
-    files = with_matches(files, "content", P.IMPORT_DECL, 1, "imp_m")
+    # Import declarations come from a syntax tree in the audited tool.
+    files = files.withColumn("masked", mask_comments(c))
+    files = with_matches(files, "masked", P.IMPORT_DECL, 1, "imp_m").drop("masked")
     files = with_matches(files, "content", P.HELMET_BLOCK, 0, "blk_m")
     files = with_matches(files, "content", P.TITLE, 0, "ttl_m")
     files = files.withColumn("doc_lines", F.filter(

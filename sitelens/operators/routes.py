@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import constants as C
 from sitelens.functions import patterns as P
-from sitelens.functions.text import strip_ws, with_matches
+from sitelens.functions.text import mask_comments, strip_ws, with_matches
 from sitelens.operators.asof import running_sum
 from sitelens.operators.scan import path_order, project_status, source_files
 
@@ -194,7 +194,9 @@ def route_candidates(sources: DataFrame) -> DataFrame:
         guard.alias("guard"),
         F.regexp_extract_all(c, F.lit(P.LAZY_DECL), 1).alias("lazy_names"),
         (c.contains("React.lazy(") | c.contains("lazy(() => import(")).alias("any_lazy"))
-    base = with_matches(base, "content", P.ROUTE_ELEMENT, 1, "jsx_m")
+    # JSX elements come from a syntax tree in the audited tool: comments out.
+    base = base.withColumn("masked", mask_comments(F.col("content")))
+    base = with_matches(base, "masked", P.ROUTE_ELEMENT, 1, "jsx_m").drop("masked")
     base = with_matches(base, "content", P.CONFIG_ROUTE, 3, "cfg_m")
     base = with_matches(base, "content", P.ROUTE_PATH_FALLBACK, 1, "fb_m").drop("content")
     base = base.checkpoint(eager=True)  # one scan feeds three extractors

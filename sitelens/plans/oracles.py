@@ -317,6 +317,14 @@ def match_lines(t: str, pattern: str) -> str:
             f"lambda p: {nl('p')})), 0) + coalesce(list_sum(list_transform({ms}[1:k - 1], lambda p: {nl('p')})), 0) AS INTEGER))")
 
 
+def mask_sql(t: str) -> str:
+    from sitelens.functions.text import COMMENT
+    pcs = f"string_split_regex({t}, {q(COMMENT)})"
+    cms = f"regexp_extract_all({t}, {q(COMMENT)}, 0)"
+    return (f"array_to_string(list_transform(range(1, len({pcs}) + 1), lambda i: concat({pcs}[i], "
+            f"coalesce(repeat(chr(10), {nl(cms + '[i]')}), ''))), '')")
+
+
 def ordered_distinct(lst: str) -> str:
     return (f"list_filter(list_transform(range(1, len({lst}) + 1), lambda i: CASE WHEN list_position({lst}, {lst}[i]) = i "
             f"THEN {lst}[i] END), lambda x: x IS NOT NULL)")
@@ -324,10 +332,10 @@ def ordered_distinct(lst: str) -> str:
 
 META_CTE = f"""mf AS (
   SELECT project_id, path AS file_path, content,
-    regexp_extract_all(content, {q(P.IMPORT_DECL)}, 1) AS srcs,
-    {match_lines('content', P.IMPORT_DECL)} AS ilines,
+    regexp_extract_all(masked, {q(P.IMPORT_DECL)}, 1) AS srcs,
+    {match_lines('masked', P.IMPORT_DECL)} AS ilines,
     string_split_regex(content, {q(SPLITLINES)}) AS ls
-  FROM sources WHERE {has_keyword('content')}),
+  FROM (SELECT *, {mask_sql('content')} AS masked FROM sources WHERE {has_keyword('content')})),
 mf2 AS (
   SELECT *, coalesce(list_position(srcs, 'react-helmet-async'), 0) AS fa, coalesce(list_position(srcs, 'react-helmet'), 0) AS fh,
     list_filter(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN contains(ls[i], 'document.title') THEN CAST(i AS INTEGER) END),
@@ -350,7 +358,7 @@ from sitelens.operators import components as K  # noqa: E402
 HOOK_LIST = "[" + ", ".join(q(h) for h in C.CLIENT_HOOKS) + "]"
 COMP_CTE = f"""cc AS (
   SELECT project_id, path AS file_path, content,
-    list_filter(list_transform(regexp_extract_all(content, {q(K.CALL)}, 0), lambda c: regexp_extract(c, {q(K.CALLEE_LAST)}, 1)),
+    list_filter(list_transform(regexp_extract_all({mask_sql('content')}, {q(K.CALL)}, 0), lambda c: regexp_extract(c, {q(K.CALLEE_LAST)}, 1)),
                 lambda c: list_contains({HOOK_LIST}, c)) AS calls
   FROM sources),
 cc2 AS (
@@ -453,11 +461,11 @@ ROUTES_CTE = f"""rb AS (
     regexp_extract_all(content, {q(P.LAZY_DECL)}, 1) AS lazy_names,
     contains(content, 'React.lazy(') OR contains(content, 'lazy(() => import(') AS any_lazy,
     ({' OR '.join(f"contains(content, {q(g)})" for g in C.ROUTER_OBJECT_GUARDS)}) AS guard,
-    regexp_extract_all(content, {q(ROUTE_RE2)}, 1) AS jb, {match_lines('content', ROUTE_RE2)} AS jl,
+    regexp_extract_all(masked, {q(ROUTE_RE2)}, 1) AS jb, {match_lines('masked', ROUTE_RE2)} AS jl,
     regexp_extract_all(content, {q(P.CONFIG_ROUTE)}, 1) AS cp, regexp_extract_all(content, {q(P.CONFIG_ROUTE)}, 2) AS ce,
     regexp_extract_all(content, {q(P.CONFIG_ROUTE)}, 3) AS cc, {match_lines('content', P.CONFIG_ROUTE)} AS cl,
     regexp_extract_all(content, {q(P.ROUTE_PATH_FALLBACK)}, 1) AS fp, {match_lines('content', P.ROUTE_PATH_FALLBACK)} AS fl
-  FROM sources),
+  FROM (SELECT *, {mask_sql('content')} AS masked FROM sources)),
 jx0 AS (SELECT project_id, file, is_router, lazy_names, any_lazy, k AS pos, jl[k] AS line, jb[k] AS body
         FROM (SELECT *, unnest(generate_series(1, len(jb))) AS k FROM rb WHERE len(jb) > 0)),
 jx1 AS (SELECT *, regexp_extract_all(body, {q(ATTR_RE2)}, 1) AS names, regexp_extract_all(body, {q(ATTR_RE2)}, 2) AS vals FROM jx0),

@@ -84,3 +84,25 @@ def test_semver_major(spark):
     from sitelens.operators.bundle import major_version
     df = spark.createDataFrame([("^18.2.0",), ("~17.0.1",), (">=16.0",), ("18",), (" \t^6.1",)], "v string")
     assert [r.m for r in df.select(major_version(F.col("v")).alias("m")).collect()] == ["18", "17", None, None, "6"]
+
+
+def test_commented_code_is_ignored(spark):
+    from sitelens.operators.components import classify_components
+    from sitelens.operators.metadata import detect_metadata
+    from sitelens.operators.routes import map_routes
+    from sitelens.operators.scan import source_files
+    app = """import Home from './Home';
+/* old routes
+<Route path="/old" element={<Home />} />
+*/
+// <Route path="/older" element={<Home />} />
+export const r = <Route path="/" element={<Home />} />;
+"""
+    home = "// useState(0)\n// import { Helmet } from 'react-helmet';\nexport default function Home() { return <title>Hi</title>; }\n"
+    sf = _files(spark, [("src/App.jsx", app), ("src/Home.jsx", home)])
+    routes = {r.path: r for r in map_routes(sf).collect()}
+    assert set(routes) == {"/"} and routes["/"].line_number == 6
+    comps = {r.file_path: r for r in classify_components(source_files(sf)).collect()}
+    assert comps["src/Home.jsx"].client_hooks_found == []
+    meta = {r.file_path: r for r in detect_metadata(source_files(sf)).collect()}
+    assert meta["src/Home.jsx"].strategy == "none" and meta["src/Home.jsx"].sets_title
