@@ -23,6 +23,16 @@ def bot_agents(spark: SparkSession) -> DataFrame:
                                  "version string, token string")
 
 
+def bot_regex(bots: DataFrame) -> DataFrame:
+    """One alternation per list version, built from the table itself
+    (regex metacharacters escaped, list order kept)."""
+    escaped = F.regexp_replace("token", r"([.^$*+?()\[\]{}|\\])", r"\\$1")
+    ordered = bots.select("version", F.monotonically_increasing_id().alias("i"), escaped.alias("t"))
+    return ordered.groupBy("version").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "t"))), lambda x: x["t"]), "|")
+        .alias("regex"))
+
+
 def tag_bots(requests: DataFrame) -> DataFrame:
     """One regex over the lower-cased user agent."""
     return requests.withColumn("is_bot", X.is_bot("user_agent"))

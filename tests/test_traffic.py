@@ -130,3 +130,11 @@ def test_clean_html(spark):
     assert "googletagmanager" not in out[0].c and "sourceMappingURL" not in out[0].c
     assert out[0].c.startswith("<html><head>\n<!-- X-RSB-Prerendered: true -->")
     assert out[1].c.startswith("<!-- X-RSB-Prerendered: true -->\n<p>")
+
+
+def test_bot_regex_from_table(spark):
+    from sitelens.functions import constants as C
+    bots = T.bot_agents(spark).unionByName(spark.createDataFrame([("x", "a.b|c")], "version string, token string"))
+    got = {r.version: r.regex for r in T.bot_regex(bots).collect()}
+    assert got[C.BOT_LIST_VERSION] == C.bot_alternation()
+    assert got["x"] == r"a\.b\|c"
