@@ -91,11 +91,6 @@ def asof(probes: DataFrame, candidates: DataFrame, key: str, *,
     return joined.select("_p.*", F.coalesce("_in", "_carry").alias(out))
 
 
-def earlier(a: Column, b: Column) -> Column:
-    """The smaller of two nullable (t, id) structs."""
-    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.least(a, b))
-
-
 def running_sum(df: DataFrame, key: str, order: list[Column], value: Column,
                 bucket: list[Column], out: str) -> DataFrame:
     """Inclusive running sum of ``value`` per ``key`` in ``order``.

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from sitelens.operators import bundle as B
 from sitelens.operators import chunks as CH
-from sitelens.operators import components as K
-from sitelens.operators import metadata as M
 from sitelens.operators import routes as R
 from sitelens.plans import audit as A
 from sitelens.plans import reports as RP
