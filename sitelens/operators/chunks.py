@@ -11,7 +11,8 @@ the first file ``k > i`` whose running size ``S[k]`` exceeds
 ``S[i-1] + target`` — a forward as-of lookup on the running size.  Part
 starts are then the chain from the first file, walked by pointer doubling.
 Running sizes and ordinals are bucketed running sums; nothing is collected
-per project.
+per project.  Projects whose total fits the target are one part (the
+audited tool's shortcut) and skip the lookup and walk.
 """
 
 from __future__ import annotations
