@@ -34,7 +34,7 @@ def bot_regex(bots: DataFrame) -> DataFrame:
 
 
 def tag_bots(requests: DataFrame) -> DataFrame:
-    """One regex over the lower-cased user agent."""
+    """Crawler-token substring tests on the lower-cased user agent."""
     return requests.withColumn("is_bot", X.is_bot("user_agent"))
 
 
