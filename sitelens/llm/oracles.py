@@ -78,7 +78,7 @@ u AS (SELECT x, count(*) AS c FROM tok GROUP BY 1), ud AS (SELECT doc_id, x, cou
 b AS (SELECT p, x, count(*) AS c FROM tok WHERE p IS NOT NULL GROUP BY 1, 2),
 bd AS (SELECT doc_id, p, x, count(*) AS c FROM tok WHERE p IS NOT NULL GROUP BY 1, 2, 3),
 total AS (SELECT count(*) AS n FROM tok),
-s AS (SELECT tok.doc_id, p, u.c - ud.c AS cu, coalesce(b.c - bd.c, 0) AS cb, pu.c - pud.c AS cp, n - len(ws) AS rest
+s AS (SELECT tok.doc_id, tok.p, u.c - ud.c AS cu, coalesce(b.c - bd.c, 0) AS cb, pu.c - pud.c AS cp, n - len(ws) AS rest
       FROM tok JOIN w USING (doc_id) CROSS JOIN total JOIN u ON u.x = tok.x JOIN ud ON ud.doc_id = tok.doc_id AND ud.x = tok.x
       LEFT JOIN b ON b.p = tok.p AND b.x = tok.x LEFT JOIN bd ON bd.doc_id = tok.doc_id AND bd.p = tok.p AND bd.x = tok.x
       LEFT JOIN u pu ON pu.x = tok.p LEFT JOIN ud pud ON pud.doc_id = tok.doc_id AND pud.x = tok.p),
