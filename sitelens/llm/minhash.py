@@ -9,7 +9,7 @@
 2. Texts with equal keys collapse to one node: copies are never paired.
 3. Bands of ``ROWS`` registers are hashed.  Within a band bucket nodes are
    compared with the bucket's first node only; then, as long as a bucket holds
-   nodes of several components, with its next 8, 64, 512 ... nodes, pairs of
+   nodes of several components, with its next 64, 4096 ... nodes, pairs of
    one component left out.  So every colliding pair is compared or already
    connected, and a large bucket never emits all its pairs.
 4. Pairs whose register agreement, corrected for accidental collisions, is
@@ -32,13 +32,14 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sitelens.llm import textops as X
-from sitelens.llm.common import column, cut, session, slices
+from sitelens.llm.common import buckets, column, cut, session, slices
 from sitelens.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 75  # per cent
@@ -46,6 +47,8 @@ BANDS, ROWS = 60, 6
 REGISTERS = BANDS * ROWS
 ZERO_BITS, MANTISSA_BITS = 4, 4
 MARGIN = 6  # standard deviations of the estimate below the threshold
+CENTRES = 64  # nodes of a mixed bucket that the next round compares with the rest
+BROADCAST_ROWS = 100_000
 U = X.U
 
 
@@ -177,6 +180,56 @@ def _likely(threshold: int):
     return run
 
 
+def _band_entries(n_buckets: int):
+    """Band hashes of each batch of nodes, packed by bucket.  Nodes of one
+    batch that share a band are told apart here (bucket -1), and only the
+    first of them is sent on: a large group sends one entry for each batch."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = _column(batch, "node").to_numpy()
+            regs = np.frombuffer(b"".join(_column(batch, "sketch").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
+            h = np.broadcast_to(X.mix(np.arange(1, BANDS + 1, dtype=U)), regs.shape[:2])
+            for r in range(ROWS):
+                h = X.mix(h ^ (regs[:, :, r].astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
+            h = h.ravel()
+            key = (X.bucket_of(h, n_buckets).astype(np.int64) << 32) | (h & U(0xFFFFFFFF)).astype(np.int64)
+            owner = np.repeat(node, BANDS)
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+            at = X.groups(key[1:] != key[:-1])
+            size = np.diff(np.append(at, len(key)))
+            many = np.repeat(size > 1, size)
+            sent_key, sent_node = key[at], owner[at]
+            order, rows = X.by_bucket((sent_key >> 32).astype(np.int32))
+            low, sent_node = sent_key[order].astype(np.uint32), sent_node[order]
+            cells = [(-1, key[many].tobytes(), owner[many].tobytes()),
+                     *((b, low[i:j].tobytes(), sent_node[i:j].tobytes()) for b, i, j in rows)]
+            yield pa.RecordBatch.from_pydict(dict(zip(
+                ("bucket", "h", "nodes"), (pa.array(c, t) for c, t in zip(zip(*cells), (pa.int32(), pa.binary(), pa.binary()))))))
+    return run
+
+
+def _shared_bands(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: the bands that several batches have sent."""
+    h = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["h"]])
+    node = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["nodes"]])
+    order = np.argsort(h, kind="stable")
+    h, node = h[order], node[order]
+    at = X.groups(h[1:] != h[:-1])
+    size = np.diff(np.append(at, len(h)))
+    many = np.repeat(size > 1, size)
+    return pd.DataFrame({"key": (np.int64(pdf["bucket"].iloc[0]) << np.int64(32)) | h[many].astype(np.int64), "node": node[many]})
+
+
+def _local_bands(batches):
+    for batch in batches:
+        for h, nodes in zip(_column(batch, "h").to_pylist(), _column(batch, "nodes").to_pylist()):
+            if h:
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(h, np.int64)), "node": pa.array(np.frombuffer(nodes, np.int64))})
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
@@ -185,28 +238,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingle sets; component_id is the smallest id reachable, kept tells
     whether it is the row's own.
     """
-    session(docs)
+    spark = session(docs)
     base = docs.select(column(docs, id_col, "doc_id", "bigint"), column(docs, text_col, "text", "string"))
     rows = cut(base.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, node long, check long, sketch binary"))
     nodes = cut(rows.where("n_shingles > 0").groupBy("node", "check")
                 .agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")))
-    bands = nodes.select("node", "n", F.explode(F.expr(
-        f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sketch, i * {ROWS} + 1, {ROWS})))")).alias("key"))
-    firsts = (bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members"))
-              .where("members > 1"))
-    shared = cut(bands.join(firsts, "key"))
-    pairs = (shared.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    sent = cut(nodes.select("node", "sketch").mapInArrow(_band_entries(buckets(spark)), "bucket int, h binary, nodes binary"))
+    shared = (sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_shared_bands, "key long, node long")
+              .unionByName(sent.where("bucket < 0").select("h", "nodes").mapInArrow(_local_bands, "key long, node long"))
+              .distinct())
+    shared = cut(shared.join(nodes.select("node", "n"), "node"))
+    firsts = shared.groupBy("key").agg(F.min("node").alias("a"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
+    shared = cut(shared.join(firsts.where("members > 1"), "key"))
+    pairs = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
     edges = _confirm(base, nodes, pairs, shingle, threshold)
     labels = components(edges)
     # Buckets with three nodes or more may still hold links between components.
     large = shared.where("members > 2").select("key", "node", "n", "members")
-    done, step = 1, 8
+    done, step = 1, CENTRES
     while True:
-        told = (large.where(F.col("members") > done)
+        told = (large.where(F.col("members") > done + 1)
                 .join(labels.withColumnRenamed("id", "node"), "node", "left")
                 .withColumn("component", F.coalesce("component", "node")))
-        mixed = (told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                 .where("low <> high").select("key"))
+        mixed = (told.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+                 .where("least <> most").select("key"))
         told = cut(told.join(mixed, "key"))
         if not told.limit(1).count():
             break
@@ -217,9 +272,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .where(f"a < node AND of_a <> component AND 100 * least(n, n_a) >= {threshold} * greatest(n, n_a)")
                  .select("a", F.col("node").alias("b")).distinct())
         more = _confirm(base, nodes, pairs, shingle, threshold)
-        edges = cut(edges.unionByName(more))
-        labels = components(edges)
-        done, step = done + step, step * 8
+        if more.limit(1).count():
+            edges = cut(edges.unionByName(more))
+            labels = components(edges)
+        done, step = done + step, step * CENTRES
     mine = rows.select("doc_id", "n_shingles", "node").join(labels.withColumnRenamed("id", "node"), "node", "left") \
         .withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     least = mine.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -240,12 +296,15 @@ def _confirm(base: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
                .where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
                .mapInArrow(_likely(threshold), "a long, b long, n_a long, n_b long"))
     ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(ids, "node").select("doc_id", F.col("node").alias("of"), F.col("check").alias("of_check"))
-    sets = (base.join(wanted, base["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    wanted = cut(nodes.join(ids, "node").select("doc_id", "node", "check"))
+    # Three numbers a row: sent to all only up to a fixed count, else both sides are exchanged.
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    some = F.broadcast if few else (lambda df: df)
+    same = base["doc_id"].eqNullSafe(wanted["doc_id"])
+    sets = (base.join(some(wanted.select("doc_id")), same, "left_semi")
             .mapInArrow(_sets(shingle), "node long, check long, shingles array<long>")
-            .join(wanted.select("of", "of_check"), (F.col("node") == F.col("of")) & (F.col("check") == F.col("of_check")), "left_semi")
+            .join(some(wanted.select("node", "check")), ["node", "check"], "left_semi")
             .groupBy("node").agg(F.any_value("shingles").alias("shingles")))
-    sets = cut(sets)
     return cut(near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
                .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
                .withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
