@@ -3,12 +3,13 @@
 Records are hashed where they are read; only (file, offset, length, digest)
 travels.  In each file the records that start in one range of ``RANGE`` bytes
 form a leaf range, ``FANOUT`` ranges form the next node, and so on up to the
-file's root; files are ordered by a 16-bit key of their name under four more
-levels of 16.  Ranges are cut by offset, not by count, so the trees of two
+file's root; files hang under a 16-bit key of their name, keys under nodes of
+``NAMES``, and these under the root.  Ranges are cut by offset, not by count, so the trees of two
 replicas line up even where one lacks a record.
 
 The audit compares the two roots and descends: at each level only the
-children of nodes that differ are joined.  Equal replicas cost one comparison,
+children of nodes that differ are compared, first across files by joins, then
+down the levels of each file.  Equal replicas cost one comparison,
 and a few bad records cost a few branches.
 
 Defined results: a record that one replica lacks is ``missing`` or ``extra``;
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 
 from sitelens.llm.common import cut, session
 
-RANGE, FANOUT, FILE_LEVELS, NAME_LEVELS = 1 << 16, 16, 6, 4
+RANGE, FANOUT, FILE_LEVELS, NAMES = 1 << 18, 16, 4, 256
 PLACE = ["file", "offset"]
 
 
@@ -81,40 +82,39 @@ def leaves(records: DataFrame) -> DataFrame:
         F.octet_length(body).cast("long").alias("length"), F.sha2(body, 256).alias("digest"))
 
 
-def _parent(nodes: DataFrame, level: int, key: Column, by: list[str]) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("node", "hash")))
-    return (nodes.withColumn("up", key).groupBy(*by, "up").agg(F.sha2(F.to_json(listed), 256).alias("hash"))
-            .select(F.lit(level).alias("level"), *by, F.col("up").alias("node"), "hash"))
-
-
-def tree(found: DataFrame) -> DataFrame:
-    """(level, file, node, hash) of all inner nodes; levels from 0 (ranges)
-    up to the single root.  ``found`` is a frame as ``leaves`` gives it."""
-    per_file = found.repartition("file")  # all levels of a file need no further exchange
-    level0 = per_file.groupBy("file", F.floor(F.col("offset") / RANGE).alias("node")).agg(
-        F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("offset", "length", "digest")))), 256).alias("hash"))
-    levels = [level0.select(F.lit(0).alias("level"), "file", "node", "hash")]
-    for k in range(1, FILE_LEVELS + 1):
-        levels.append(_parent(levels[-1], k, F.floor(F.col("node") / FANOUT), ["file"]))
-    # Beyond FILE_LEVELS a file's nodes meet under its name.
-    top = levels[-1].groupBy("file").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("node", "hash")))), 256).alias("hash"))
-    files = top.select("hash", F.col("file").alias("node"), _name_key(F.col("file")).alias("key"))
-    names = files.groupBy("key").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("node", "hash")))), 256).alias("hash"))
-    level = FILE_LEVELS + 1
-    levels.append(files.select(F.lit(level).alias("level"), F.col("node").alias("file"), F.lit(0).cast("long").alias("node"), "hash"))
-    nodes = names.select(F.lit(level + 1).alias("level"), F.lit("").alias("file"), F.col("key").alias("node"), "hash")
-    levels.append(nodes)
-    for k in range(1, NAME_LEVELS + 1):
-        nodes = _parent(nodes, level + 1 + k, F.floor(F.col("node") / FANOUT), ["file"])
-        levels.append(nodes)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x.select("level", "file", "node", "hash"))
-    return out
-
-
-def _name_key(file: Column) -> Column:
-    return F.pmod(F.xxhash64(file), F.lit(FANOUT ** NAME_LEVELS)).cast("long")
+def _hash(nodes: Column) -> Column:
+    """Hash of a node over its ordered children."""
+    return F.sha2(F.to_json(nodes), 256)
+
+
+def _up(nodes: Column) -> Column:
+    """The next level of a file's ordered nodes."""
+    parent = lambda x: F.floor(x["node"] / FANOUT)
+    return F.transform(F.array_distinct(F.transform(nodes, parent)), lambda p: F.struct(
+        p.alias("node"), _hash(F.filter(nodes, lambda x: parent(x) == p)).alias("hash")))
+
+
+def file_trees(found: DataFrame) -> DataFrame:
+    """(file, name, hash, l0, l1, ...): each file's ordered ranges with their
+    hashes, the levels above, and its root.  ``found`` is as ``leaves`` gives
+    it; what one row holds is bounded by the size of a file."""
+    ranges = found.groupBy("file", F.floor(F.col("offset") / RANGE).alias("node")).agg(
+        _hash(F.array_sort(F.collect_list(F.struct("offset", "length", "digest")))).alias("hash"))
+    out = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("l0"))
+    for k in range(1, FILE_LEVELS):
+        out = out.withColumn(f"l{k}", _up(F.col(f"l{k - 1}")))
+    name = F.pmod(F.xxhash64("file"), F.lit(NAMES ** 2)).cast("long")
+    return out.withColumn("hash", _hash(F.col(f"l{FILE_LEVELS - 1}"))).withColumn("name", name)
+
+
+def name_tree(files: DataFrame) -> list[DataFrame]:
+    """Levels of (node, hash) above the files: by name key, by NAMES keys, root."""
+    levels = [files.groupBy(F.col("name").alias("node")).agg(_hash(F.array_sort(F.collect_list(F.struct("file", "hash")))).alias("hash"))]
+    for _ in range(2):
+        listed = F.array_sort(F.collect_list(F.struct("node", "hash")))
+        levels.append(levels[-1].groupBy(F.floor(F.col("node") / NAMES).alias("up")).agg(_hash(listed).alias("hash"))
+                      .select(F.col("up").alias("node"), "hash"))
+    return levels
 
 
 def _differ(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -126,28 +126,31 @@ def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     """Where two replicas, as ``leaves`` gives them, differ: file, offset,
     kind, length_a, length_b, digest_a, digest_b (lists joined by a comma
     where a place holds several records)."""
-    a, b = cut(tree(one)), cut(tree(other))
-    top = FILE_LEVELS + 2 + NAME_LEVELS
-    bad = _differ(a.where(F.col("level") == top), b.where(F.col("level") == top), ["file", "node"], "hash")
-    for level in range(top - 1, -1, -1):
-        if level >= FILE_LEVELS + 2:     # under nodes of file keys
-            up = [F.lit("").alias("file"), F.floor(F.col("node") / FANOUT).alias("up")]
-        elif level == FILE_LEVELS + 1:   # files under their key
-            up = [F.lit("").alias("file"), _name_key(F.col("file")).alias("up")]
-        elif level == FILE_LEVELS:       # a file's highest nodes under it
-            up = [F.col("file"), F.lit(0).cast("long").alias("up")]
-        else:
-            up = [F.col("file"), F.floor(F.col("node") / FANOUT).alias("up")]
-        parents = bad.select(F.col("file").alias("p_file"), F.col("node").alias("p_node"))
-
-        def below(t):
-            children = t.where(F.col("level") == level).select("*", up[0].alias("in_file"), up[1])
-            return children.join(parents, (F.col("in_file") == F.col("p_file")) & (F.col("up") == F.col("p_node")), "left_semi")
-
-        bad = cut(_differ(below(a), below(b), ["file", "node"], "hash"))
+    a, b = cut(file_trees(one)), cut(file_trees(other))
+    names_a, names_b = ([cut(x) for x in name_tree(t)] for t in (a, b))
+    bad = None
+    for x, y in zip(reversed(names_a), reversed(names_b)):
+        if bad is not None:
+            up = bad.withColumnRenamed("node", "up")
+            x, y = (t.join(up, F.floor(t["node"] / NAMES) == up["up"], "left_semi") for t in (x, y))
+        bad = cut(_differ(x, y, ["node"], "hash"))
         if not bad.limit(1).count():
             break
-    ranges = bad.select("file", "node")
+    # Files under differing names, then down each file's levels.
+    under = bad.withColumnRenamed("node", "name")
+    levels = [f"l{k}" for k in range(FILE_LEVELS)]
+    x, y = (t.join(under, "name", "left_semi").select("file", F.col("hash").alias(f"hash_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in levels])
+            for t, s in ((a, "a"), (b, "b")))
+    both = x.join(y, "file", "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+    nothing = F.array().cast("array<struct<node:bigint,hash:string>>")
+    bad_nodes = None
+    for c in reversed(levels):
+        p, q = (F.coalesce(F.col(f"{c}_{s}"), nothing) for s in "ab")
+        if bad_nodes is not None:
+            p, q = (F.filter(v, lambda n: F.array_contains(F.col("bad"), F.floor(n["node"] / FANOUT))) for v in (p, q))
+        bad_nodes = F.array_distinct(F.transform(F.concat(F.array_except(p, q), F.array_except(q, p)), lambda n: n["node"]))
+        both = both.withColumn("bad", bad_nodes)
+    ranges = both.select("file", F.explode("bad").alias("node"))
 
     def records(x, suffix):
         inside = x.withColumn("node", F.floor(F.col("offset") / RANGE)).join(ranges, ["file", "node"], "left_semi")
