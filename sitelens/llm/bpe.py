@@ -23,11 +23,11 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,33 +40,48 @@ STEP, OVERLAP = 32_768, 512
 # Characters that a piece's start may look ahead (the longest contraction).
 LOOK = 3
 # A worker's memory of merged pieces: it is emptied when it is full.
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 
-class Vocabulary:
+class Vocabulary(dict):
+    """Pre-token to its token ids (as int32 bytes), merged on first use."""
+
     def __init__(self, path: str):
+        super().__init__()
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-        self.bytes = [b""] * (max(self.ranks.values()) + 1)
+        table = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.bytes[rank] = token
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Token ids of one pre-token: merges of the lowest rank, leftmost
-        first, until none applies."""
-        found = self.known.get(text)
-        if found is None:
-            raw = text.encode("utf-8", "surrogatepass")
-            one = self.ranks.get(raw)
-            found = (one,) if one is not None else tuple(self._merge(raw))
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-            if len(text) < 256:
-                self.known[text] = found
+            table[rank] = token
+        self.table = pa.array(table, pa.large_binary())
+
+    def __missing__(self, text: str) -> bytes:
+        raw = text.encode("utf-8", "surrogatepass")
+        one = self.ranks.get(raw)
+        found = np.array([one] if one is not None else self._short(raw) if len(raw) <= 48 else self._merge(raw), np.int32).tobytes()
+        if len(self) >= MEMORY:
+            self.clear()
+        if len(text) < 256:
+            self[text] = found
         return found
 
+    def _short(self, raw: bytes) -> list[int]:
+        """Merges of the lowest rank, leftmost first, until none applies."""
+        parts = [raw[i:i + 1] for i in range(len(raw))]
+        get = self.ranks.get
+        while len(parts) > 1:
+            least, at = None, 0
+            for i in range(len(parts) - 1):
+                r = get(parts[i] + parts[i + 1])
+                if r is not None and (least is None or r < least):
+                    least, at = r, i
+            if least is None:
+                break
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ranks[p] for p in parts]
+
     def _merge(self, raw: bytes) -> list[int]:
+        """The same for long pieces, in n log n."""
         n = len(raw)
         end = list(range(1, n + 1))       # of the part that starts at i
         before = list(range(-1, n - 1))   # start of the part before
@@ -101,20 +116,16 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encode(text: str, find, piece) -> list[int]:
-    return list(chain.from_iterable(map(piece, find(text))))
-
-
-def _lists(rows: list[list[int]]) -> pa.Array:
+def _lists(rows: list[bytes]) -> pa.Array:
     edges = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=edges[1:])
-    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(edges[-1]))))
+    np.cumsum([len(r) // 4 for r in rows], out=edges[1:])
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
 def _encode_rows(path: str, pattern: str, schema: pa.Schema, at_once: int = 1 << 22):
     """Texts (or segments) to token ids; the text column goes."""
     def run(batches):
-        vocab, find = vocabulary(path), regex.compile(pattern).findall
+        ids, find = vocabulary(path).__getitem__, regex.compile(pattern).findall
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             begin = 0
@@ -122,7 +133,7 @@ def _encode_rows(path: str, pattern: str, schema: pa.Schema, at_once: int = 1 <<
                 rows, size, end = [], 0, begin
                 while end < batch.num_rows and size < at_once:
                     text = texts[end].as_py() or ""
-                    rows.append(_encode(text, find, vocab.piece))
+                    rows.append(b"".join(map(ids, find(text))))
                     size += len(text)
                     end += 1
                 part = batch.slice(begin, end - begin)
@@ -256,11 +267,22 @@ def decode(tokens: DataFrame, path: str, tokens_col: str = "tokens", out: str =
     done = T.StructType([base.schema["row"], T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        table = vocabulary(path).bytes
+        table = vocabulary(path).table
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("tokens"))
-            raw = [b"" if not x.is_valid else b"".join(map(table.__getitem__, x.values.to_pylist())) for x in lists]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("row")), pa.array(raw, pa.binary())], names=["row", "decoded"])
+            begin = 0
+            while begin < batch.num_rows:
+                # Rows of some millions of tokens at a time.
+                sizes = np.cumsum(lists.slice(begin).value_lengths().fill_null(0).to_numpy())
+                end = begin + max(1, int(np.searchsorted(sizes, 1 << 21, "right")))
+                part = lists.slice(begin, end - begin)
+                flat = table.take(part.flatten())
+                at = np.concatenate(([0], sizes[:end - begin]))
+                byte = np.concatenate(([0], np.cumsum(pc.binary_length(flat).to_numpy())))[at]
+                joined = b"".join(flat.to_pylist()) if flat.offset else flat.buffers()[2].slice(0, int(byte[-1]))
+                raw = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(byte.astype(np.int64)), pa.py_buffer(joined)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(batch.schema.get_field_index("row")).slice(begin, end - begin), raw.cast(pa.binary())], names=["row", "decoded"])
+                begin = end
 
     return base.mapInArrow(run, done).select("row.*", F.col("decoded").alias(out))
