@@ -46,8 +46,9 @@ SHINGLE, THRESHOLD = 5, 75  # per cent
 BANDS, ROWS = 60, 6
 REGISTERS = BANDS * ROWS
 ZERO_BITS, MANTISSA_BITS = 4, 4
-MARGIN = 6  # standard deviations of the estimate below the threshold
+MARGIN = 4  # standard deviations of the estimate below the threshold
 CENTRES = 64  # nodes of a mixed bucket that the next round compares with the rest
+CHUNK = 2048
 BROADCAST_ROWS = 100_000
 U = X.U
 
@@ -164,10 +165,14 @@ def _sets(shingle: int):
     return run
 
 
+def _cutoff(threshold: int) -> float:
+    t = threshold / 100
+    return t - MARGIN * (t * (1 - t) / REGISTERS) ** 0.5
+
+
 def _likely(threshold: int):
     """Pairs whose corrected estimate does not rule the threshold out."""
-    t = threshold / 100
-    least = t - MARGIN * (t * (1 - t) / REGISTERS) ** 0.5
+    least = _cutoff(threshold)
 
     def run(batches):
         for batch in batches:
@@ -251,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = shared.groupBy("key").agg(F.min("node").alias("a"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
     shared = cut(shared.join(firsts.where("members > 1"), "key"))
     pairs = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    edges = _confirm(base, nodes, pairs, shingle, threshold)
+    edges = _confirm(base, nodes, _estimated(nodes, pairs, threshold), shingle, threshold)
     labels = components(edges)
     # Buckets with three nodes or more may still hold links between components.
     large = shared.where("members > 2").select("key", "node", "n", "members")
@@ -262,16 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .withColumn("component", F.coalesce("component", "node")))
         mixed = (told.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
                  .where("least <> most").select("key"))
-        told = cut(told.join(mixed, "key"))
+        told = cut(told.join(mixed, "key").join(nodes.select("node", "sketch"), "node"))
         if not told.limit(1).count():
             break
-        rank = F.row_number().over(W.partitionBy("key").orderBy("node"))
-        centres = (told.withColumn("rank", rank).where(F.col("rank") <= done + step).where(F.col("rank") > done)
-                   .select("key", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("n_a")))
-        pairs = (centres.join(told, "key")
-                 .where(f"a < node AND of_a <> component AND 100 * least(n, n_a) >= {threshold} * greatest(n, n_a)")
-                 .select("a", F.col("node").alias("b")).distinct())
-        more = _confirm(base, nodes, pairs, shingle, threshold)
+        more = _confirm(base, nodes, cut(_across(told, done, step, threshold)), shingle, threshold)
         if more.limit(1).count():
             edges = cut(edges.unionByName(more))
             labels = components(edges)
@@ -285,16 +284,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _confirm(base: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The pairs that link: estimated on sketches, decided on full sets."""
-    size = nodes.select("node", "n", "sketch")
-
+def _estimated(nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose sketches do not rule the threshold out."""
     def side(x):
-        return size.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        return nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
-    near = cut(pairs.join(side("a"), "a").join(side("b"), "b")
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b")
                .where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
                .mapInArrow(_likely(threshold), "a long, b long, n_a long, n_b long"))
+
+
+def _across(told: DataFrame, done: int, step: int, threshold: int) -> DataFrame:
+    """Likely pairs between components in mixed buckets: the next ``step``
+    nodes of each bucket against all that follow.  Sketches are compared where
+    the members are, in chunks of ``CHUNK``; only likely pairs become rows."""
+    rank = F.row_number().over(W.partitionBy("key").orderBy("node"))
+    cell = F.struct("node", "n", "component", "sketch")
+    centres = (told.withColumn("rank", rank).where(F.col("rank") <= done + step).where(F.col("rank") > done)
+               .groupBy("key").agg(F.collect_list(cell).alias("centres")))
+    chunk = F.pmod(F.hash("node"), F.ceil(F.col("members") / CHUNK)).cast("int")
+    members = told.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(cell).alias("others"))
+    return (members.join(centres, "key").select("centres", "others")
+            .mapInArrow(_compare(threshold), "a long, b long, n_a long, n_b long").distinct())
+
+
+def _compare(threshold: int):
+    least = _cutoff(threshold)
+
+    def cells(value):
+        flat = value.values
+        return (*(flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component")),
+                np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS))
+
+    def run(batches):
+        for batch in batches:
+            for x, y in zip(_column(batch, "centres"), _column(batch, "others")):
+                node, n, of, regs = cells(y)
+                parts = [[], [], [], []]
+                for a, n_a, of_a, regs_a in zip(*cells(x)):
+                    ok = np.flatnonzero((node > a) & (of != of_a) & (100 * np.minimum(n, n_a) >= threshold * np.maximum(n, n_a)))
+                    if not len(ok):
+                        continue
+                    likely = ok[estimate((regs[ok] == regs_a).mean(1), np.full(len(ok), n_a), n[ok]) >= least]
+                    for part, v in zip(parts, (np.full(len(likely), a), node[likely], np.full(len(likely), n_a), n[likely])):
+                        part.append(v)
+                if parts[0]:
+                    yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v), pa.int64()) for k, v in zip(("a", "b", "n_a", "n_b"), parts)})
+    return run
+
+
+def _confirm(base: DataFrame, nodes: DataFrame, near: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """The likely pairs that link, decided on full sets."""
     ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     wanted = cut(nodes.join(ids, "node").select("doc_id", "node", "check"))
     # Three numbers a row: sent to all only up to a fixed count, else both sides are exchanged.
