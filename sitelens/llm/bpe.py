@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -34,13 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sitelens.llm.common import session
+from sitelens.llm.common import packed, session, unpacked
 
 STEP, OVERLAP = 32_768, 512
 # Characters that a piece's start may look ahead (the longest contraction).
 LOOK = 3
 # A worker's memory of merged pieces: it is emptied when it is full.
-MEMORY = 500_000
+MEMORY = 400_000
 
 
 class Vocabulary(dict):
@@ -58,7 +59,7 @@ class Vocabulary(dict):
     def __missing__(self, text: str) -> bytes:
         raw = text.encode("utf-8", "surrogatepass")
         one = self.ranks.get(raw)
-        found = np.array([one] if one is not None else self._short(raw) if len(raw) <= 48 else self._merge(raw), np.int32).tobytes()
+        found = array("i", [one] if one is not None else self._short(raw) if len(raw) <= 48 else self._merge(raw)).tobytes()
         if len(self) >= MEMORY:
             self.clear()
         if len(text) < 256:
@@ -67,17 +68,17 @@ class Vocabulary(dict):
 
     def _short(self, raw: bytes) -> list[int]:
         """Merges of the lowest rank, leftmost first, until none applies."""
+        get, none = self.ranks.get, 1 << 60
         parts = [raw[i:i + 1] for i in range(len(raw))]
-        get = self.ranks.get
-        while len(parts) > 1:
-            least, at = None, 0
-            for i in range(len(parts) - 1):
-                r = get(parts[i] + parts[i + 1])
-                if r is not None and (least is None or r < least):
-                    least, at = r, i
-            if least is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [get(raw[i:i + 2], none) for i in range(len(raw) - 1)]
+        while pairs and (least := min(pairs)) != none:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
         return [self.ranks[p] for p in parts]
 
     def _merge(self, raw: bytes) -> list[int]:
@@ -234,11 +235,11 @@ def _stitch(pattern: str, step: int, overlap: int):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "tokens",
-           step: int = STEP, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` with the token ids of each text as ``out`` array<int>."""
+           step: int = STEP, overlap: int = OVERLAP, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` (or its ``carry`` columns) with the token ids of each text as
+    ``out`` array<int>."""
     session(docs)
-    names = [c for c in docs.columns if c != out]
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    base = packed(docs, text_col, out, carry)
     ids = T.StructField("tokens", T.ArrayType(T.IntegerType(), True))
     done = T.StructType([base.schema["row"], ids])
     long_ = F.coalesce(F.length("text"), F.lit(0)) > step
@@ -256,15 +257,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
               .groupBy("key").agg(F.flatten(F.transform(
                   F.array_sort(F.collect_list(F.struct("segment", "tokens"))), lambda s: s["tokens"])).alias("tokens")))
     joined = more.select("row", "key").join(tokens, "key").select("row", "tokens")
-    return short.unionByName(joined).select("row.*", F.col("tokens").alias(out))
+    return unpacked(short.unionByName(joined), "tokens", out)
 
 
 def decode(tokens: DataFrame, path: str, tokens_col: str = "tokens", out: str = "decoded") -> DataFrame:
     """``tokens`` with the bytes of each list of ids as ``out``; null lists: no bytes."""
     session(tokens)
-    names = [c for c in tokens.columns if c != out]
-    base = tokens.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{tokens_col}`").alias("tokens"))
-    done = T.StructType([base.schema["row"], T.StructField("decoded", T.BinaryType())])
+    names = [c for c in tokens.columns if c not in (out, tokens_col)]
+    # The lists travel once; the result brings them back beside the bytes.
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
+    base = tokens.select(row.alias("row"), F.col(f"`{tokens_col}`").alias("tokens"))
+    done = T.StructType([base.schema["row"], base.schema["tokens"], T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
         table = vocabulary(path).table
@@ -282,7 +285,8 @@ def decode(tokens: DataFrame, path: str, tokens_col: str = "tokens", out: str =
                 joined = b"".join(flat.to_pylist()) if flat.offset else flat.buffers()[2].slice(0, int(byte[-1]))
                 raw = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(byte.astype(np.int64)), pa.py_buffer(joined)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index("row")).slice(begin, end - begin), raw.cast(pa.binary())], names=["row", "decoded"])
+                    [batch.column(batch.schema.get_field_index("row")).slice(begin, end - begin), part, raw.cast(pa.binary())],
+                    names=["row", "tokens", "decoded"])
                 begin = end
 
-    return base.mapInArrow(run, done).select("row.*", F.col("decoded").alias(out))
+    return base.mapInArrow(run, done).select(*[F.col("row")[c].alias(c) for c in names], F.col("tokens").alias(tokens_col), F.col("decoded").alias(out))

@@ -75,6 +75,19 @@ def column(df: DataFrame, source: str, name: str, kind: str):
     return c.alias(name)
 
 
+def packed(df: DataFrame, text: str, out: str, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """(row, text): the columns to carry through Python as one struct, so that
+    no name clashes, and the text.  ``carry`` None: all columns but ``out``."""
+    names = [c for c in df.columns if c != out] if carry is None else list(carry)
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
+    return df.select(row.alias("row"), column(df, text, "text", "string"))
+
+
+def unpacked(df: DataFrame, value: str, out: str) -> DataFrame:
+    """The carried columns and ``value`` as ``out``."""
+    return df.select("row.*", F.col(value).alias(out))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
            max_bytes: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Row ranges of the batches with their texts as bytes (null: empty)."""
