@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.llm import textops as X
-from sitelens.llm.common import column, session, slices
+from sitelens.llm.common import column, packed, session, slices, unpacked
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
 BLOCK_BYTES = 8 << 20
@@ -194,14 +194,12 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int) -> li
 
 def flag(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
          window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE,
-         block_bytes: int = BLOCK_BYTES, out: str = "matches") -> DataFrame:
-    """``docs`` with the items found in each text as ``out``: item_id,
+         block_bytes: int = BLOCK_BYTES, out: str = "matches", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` (or its ``carry`` columns) with the items found in each text as ``out``: item_id,
     n_covered of n_item words, n_changed slots, and the first and last + 1
     word of the place.  A column of that name is replaced."""
     spark = session(docs)
-    names = [c for c in docs.columns if c != out]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"),
-                       F.lit(None).cast(MATCHES).alias("matches"))
+    rows = packed(docs, text_col, out, carry).withColumn("matches", F.lit(None).cast(MATCHES))
     schema = rows.schema
     kind = pa.list_(pa.struct([(f.name, pa.int64()) for f in schema["matches"].dataType.elementType.fields]))
 
@@ -217,4 +215,4 @@ def flag(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id_col:
 
     for block in blocks(bench, item_id_col, item_text_col, block_bytes):
         rows = rows.mapInArrow(search(spark.sparkContext.broadcast(block)), T.StructType(schema.fields))
-    return rows.select("row.*", F.col("matches").alias(out))
+    return unpacked(rows, "matches", out)

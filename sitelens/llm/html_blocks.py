@@ -28,10 +28,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.llm.common import session
+from sitelens.llm.common import packed, session, unpacked
 
 PATH, TEXT, HIDDEN = 96, 24, 20
 DENSE = 12
@@ -458,23 +457,23 @@ def extract(page: str | None, model: Labeller) -> str:
     return " ".join(b[1] for b, k in zip(found, model.label([features(found)])[0]) if k) if found else ""
 
 
-def extract_text(pages: DataFrame, html_col: str = "html", out: str = "text", at_once: int = 512) -> DataFrame:
-    """``pages`` with each one's main text as ``out``; a column of that name is replaced."""
+def extract_text(pages: DataFrame, html_col: str = "html", out: str = "text", at_once: int = 512,
+                 carry: tuple[str, ...] | None = None) -> DataFrame:
+    """``pages`` (or their ``carry`` columns) with each one's main text as
+    ``out``; a column of that name is replaced."""
     spark = session(pages)
     shared = spark.sparkContext.broadcast(trained().w)
-    names = [c for c in pages.columns if c != out]
-    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    base = packed(pages, html_col, out, carry)
 
     def run(batches):
         model = Labeller(np.random.default_rng(0))
         model.w = shared.value
         for batch in batches:
-            rows, texts = batch.column(batch.schema.get_field_index("row")), batch.column(batch.schema.get_field_index("html"))
+            rows, texts = batch.column(batch.schema.get_field_index("row")), batch.column(batch.schema.get_field_index("text"))
             for at in range(0, batch.num_rows, at_once):
                 found = [blocks(x or "") for x in texts.slice(at, at_once).to_pylist()]
                 keep = model.label([features(f) for f in found])
                 done = [" ".join(b[1] for b, k in zip(f, ks) if k) for f, ks in zip(found, keep)]
                 yield pa.RecordBatch.from_arrays([rows.slice(at, at_once), pa.array(done, pa.string())], names=["row", "text"])
 
-    return (base.mapInArrow(run, T.StructType([base.schema["row"], T.StructField("text", T.StringType())]))
-            .select("row.*", F.col("text").alias(out)))
+    return unpacked(base.mapInArrow(run, T.StructType([base.schema["row"], T.StructField("text", T.StringType())])), "text", out)

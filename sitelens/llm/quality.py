@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.llm import textops as X
-from sitelens.llm.common import column, session, slices
+from sitelens.llm.common import column, packed, session, slices, unpacked
 
 PASSAGE, SAMPLE, BAG = 64, 6000, 32
 HASHED, HIDDEN, ATTENTION, STEPS, RATE, DECAY = 48, 24, 16, 400, 0.02, 1e-4
@@ -194,12 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return model
 
 
-def score(docs: DataFrame, model: Attention, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with each text's score as ``out``; a column of that name is replaced."""
+def score(docs: DataFrame, model: Attention, text_col: str = "text", out: str = "score", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` (or its ``carry`` columns) with each text's score as ``out``; a
+    column of that name is replaced."""
     spark = session(docs)
     shared = spark.sparkContext.broadcast((model.w, model.mean, model.scale))
-    names = [c for c in docs.columns if c != out]
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    base = packed(docs, text_col, out, carry)
 
     def run(batches):
         m = Attention(np.random.default_rng(0), FEATURES)
@@ -210,4 +210,4 @@ def score(docs: DataFrame, model: Attention, text_col: str = "text", out: str =
                                              names=["row", "score"])
 
     done = T.StructType([base.schema["row"], T.StructField("score", T.DoubleType())])
-    return base.mapInArrow(run, done).select("row.*", F.col("score").alias(out))
+    return unpacked(base.mapInArrow(run, done), "score", out)

@@ -32,7 +32,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) encoded and decoded: doc_id, tokens, n_tokens
     and the digests of the ids and of the decoded bytes."""
     path, pattern = tokenizer()
-    tokens = bpe.encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "tokens")
+    tokens = bpe.encode(docs, path, pattern, carry=("doc_id",))
     return bpe.decode(tokens, path).select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens",
         F.sha2(F.array_join(F.col("tokens").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -67,7 +67,7 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.flag(docs, read(spark, sf_dir, "benchmark"))
+    found = decontaminate.flag(docs, read(spark, sf_dir, "benchmark"), carry=("doc_id",))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
 
 
@@ -82,13 +82,13 @@ def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).select(
+    return quality.score(docs, model, carry=("doc_id",)).select(
         "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return html_blocks.extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return html_blocks.extract_text(pages, carry=("page_id", "url")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
