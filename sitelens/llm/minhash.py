@@ -8,10 +8,10 @@
    two sets with the probability of their Jaccard similarity at any set size.
 2. Texts with equal keys collapse to one node: copies are never paired.
 3. Bands of ``ROWS`` registers are hashed.  Within a band bucket nodes are
-   compared with the bucket's first node only; then, as long as a bucket holds
-   nodes of several components, with its next 64, 4096 ... nodes, pairs of
-   one component left out.  So every colliding pair is compared or already
-   connected, and a large bucket never emits all its pairs.
+   compared with the bucket's first node only.  Where the nodes that share a
+   first node then fall into several components, pairs across components are
+   compared in blocks, in the tasks: every colliding pair is compared or
+   already connected, and no bucket emits its pairs.
 4. Pairs whose register agreement, corrected for accidental collisions, is
    clearly below the threshold are dropped; the rest is decided on full sets.
 5. Links are unioned by ``graph.components``.
@@ -47,8 +47,7 @@ BANDS, ROWS = 60, 6
 REGISTERS = BANDS * ROWS
 ZERO_BITS, MANTISSA_BITS = 4, 4
 MARGIN = 4  # standard deviations of the estimate below the threshold
-CENTRES = 64  # nodes of a mixed bucket that the next round compares with the rest
-CHUNK = 2048
+CHUNK = 1024  # nodes of a star on either side of a block
 BROADCAST_ROWS = 100_000
 U = X.U
 
@@ -252,29 +251,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = (sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_shared_bands, "key long, node long")
               .unionByName(sent.where("bucket < 0").select("h", "nodes").mapInArrow(_local_bands, "key long, node long"))
               .distinct())
-    shared = cut(shared.join(nodes.select("node", "n"), "node"))
-    firsts = shared.groupBy("key").agg(F.min("node").alias("a"), F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("members"))
-    shared = cut(shared.join(firsts.where("members > 1"), "key"))
-    pairs = shared.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    shared = cut(shared)
+    firsts = shared.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = cut(shared.join(firsts, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
     edges = _confirm(base, nodes, _estimated(nodes, pairs, threshold), shingle, threshold)
     labels = components(edges)
-    # Buckets with three nodes or more may still hold links between components.
-    large = shared.where("members > 2").select("key", "node", "n", "members")
-    done, step = 1, CENTRES
-    while True:
-        told = (large.where(F.col("members") > done + 1)
-                .join(labels.withColumnRenamed("id", "node"), "node", "left")
-                .withColumn("component", F.coalesce("component", "node")))
-        mixed = (told.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-                 .where("least <> most").select("key"))
-        told = cut(told.join(mixed, "key").join(nodes.select("node", "sketch"), "node"))
-        if not told.limit(1).count():
-            break
-        more = _confirm(base, nodes, cut(_across(told, done, step, threshold)), shingle, threshold)
-        if more.limit(1).count():
-            edges = cut(edges.unionByName(more))
-            labels = components(edges)
-        done, step = done + step, step * CENTRES
+    more = _across(base, nodes, pairs, labels, shingle, threshold)
+    if more is not None:
+        labels = components(edges.unionByName(more))
     mine = rows.select("doc_id", "n_shingles", "node").join(labels.withColumnRenamed("id", "node"), "node", "left") \
         .withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     least = mine.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -294,57 +278,84 @@ def _estimated(nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
                .mapInArrow(_likely(threshold), "a long, b long, n_a long, n_b long"))
 
 
-def _across(told: DataFrame, done: int, step: int, threshold: int) -> DataFrame:
-    """Likely pairs between components in mixed buckets: the next ``step``
-    nodes of each bucket against all that follow.  Sketches are compared where
-    the members are, in chunks of ``CHUNK``; only likely pairs become rows."""
-    rank = F.row_number().over(W.partitionBy("key").orderBy("node"))
-    cell = F.struct("node", "n", "component", "sketch")
-    centres = (told.withColumn("rank", rank).where(F.col("rank") <= done + step).where(F.col("rank") > done)
-               .groupBy("key").agg(F.collect_list(cell).alias("centres")))
-    chunk = F.pmod(F.hash("node"), F.ceil(F.col("members") / CHUNK)).cast("int")
-    members = told.groupBy("key", chunk.alias("chunk")).agg(F.collect_list(cell).alias("others"))
-    return (members.join(centres, "key").select("centres", "others")
-            .mapInArrow(_compare(threshold), "a long, b long, n_a long, n_b long").distinct())
+def _across(base: DataFrame, nodes: DataFrame, pairs: DataFrame, labels: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
+    """Links between components among the nodes that share a first node.
+
+    Nodes that collide have the first node of their bucket in common, so all
+    colliding pairs meet here.  A star is compared in blocks of ``CHUNK`` by
+    ``CHUNK`` nodes, where the blocks are, and only links become rows.
+    """
+    told = (pairs.select("a", F.col("b").alias("node")).unionByName(pairs.select("a", F.col("a").alias("node")).distinct())
+            .join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = (told.groupBy("a").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members"))
+             .where("least <> most AND members > 2").select("a", "members"))
+    told = cut(told.join(mixed, "a"))
+    if not told.limit(1).count():
+        return None
+    k = F.ceil(F.col("members") / CHUNK).cast("int")
+    told = (told.withColumn("chunk", F.pmod(F.hash("node"), k)).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+            .select("a", "node", "component", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")))
+    cells = told.join(nodes.select("node", "n", "sketch"), "node").join(_sets_of(base, nodes, told.select("node").distinct(), shingle), "node")
+    return cut(cells.groupBy("a", "low", "high").applyInPandas(_compare(threshold), "a long, b long"))
 
 
 def _compare(threshold: int):
+    """Of one block: links between different components, as a forest."""
     least = _cutoff(threshold)
 
-    def cells(value):
-        flat = value.values
-        return (*(flat.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component")),
-                np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS))
-
-    def run(batches):
-        for batch in batches:
-            for x, y in zip(_column(batch, "centres"), _column(batch, "others")):
-                node, n, of, regs = cells(y)
-                parts = [[], [], [], []]
-                for a, n_a, of_a, regs_a in zip(*cells(x)):
-                    ok = np.flatnonzero((node > a) & (of != of_a) & (100 * np.minimum(n, n_a) >= threshold * np.maximum(n, n_a)))
-                    if not len(ok):
-                        continue
-                    likely = ok[estimate((regs[ok] == regs_a).mean(1), np.full(len(ok), n_a), n[ok]) >= least]
-                    for part, v in zip(parts, (np.full(len(likely), a), node[likely], np.full(len(likely), n_a), n[likely])):
-                        part.append(v)
-                if parts[0]:
-                    yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v), pa.int64()) for k, v in zip(("a", "b", "n_a", "n_b"), parts)})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, n, of, chunk = (pdf[c].to_numpy() for c in ("node", "n", "component", "chunk"))
+        regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, REGISTERS)
+        sets = [np.asarray(x, np.int64).view(U) for x in pdf["shingles"]]  # sorted as unsigned
+        parent = {int(c): int(c) for c in of}
+
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        names, counts = np.unique(of, return_counts=True)
+        largest = of == names[counts.argmax()]
+        across = len(set(chunk.tolist())) > 1
+        links = []
+        # Pairs within the largest component need no look, so its nodes never lead.
+        for i in np.flatnonzero(~largest):
+            ok = (of != of[i]) & (largest | (node > node[i])) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]))
+            if across:
+                ok &= chunk != chunk[i]
+            ok = np.flatnonzero(ok)
+            if not len(ok):
+                continue
+            for j in ok[estimate((regs[ok] == regs[i]).mean(1), np.full(len(ok), n[i]), n[ok]) >= least]:
+                x, y = find(int(of[i])), find(int(of[j]))
+                if x == y:
+                    continue
+                at = np.searchsorted(sets[j], sets[i])
+                both = int((sets[j][np.minimum(at, len(sets[j]) - 1)] == sets[i]).sum())
+                if 100 * both >= threshold * (n[i] + n[j] - both):
+                    parent[x] = y
+                    links.append((node[i], node[j]))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
     return run
 
 
-def _confirm(base: DataFrame, nodes: DataFrame, near: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The likely pairs that link, decided on full sets."""
-    ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+def _sets_of(base: DataFrame, nodes: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the full sets, sorted, of the nodes in ``ids``."""
     wanted = cut(nodes.join(ids, "node").select("doc_id", "node", "check"))
     # Three numbers a row: sent to all only up to a fixed count, else both sides are exchanged.
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     some = F.broadcast if few else (lambda df: df)
     same = base["doc_id"].eqNullSafe(wanted["doc_id"])
-    sets = (base.join(some(wanted.select("doc_id")), same, "left_semi")
+    return (base.join(some(wanted.select("doc_id")), same, "left_semi")
             .mapInArrow(_sets(shingle), "node long, check long, shingles array<long>")
             .join(some(wanted.select("node", "check")), ["node", "check"], "left_semi")
             .groupBy("node").agg(F.any_value("shingles").alias("shingles")))
+
+
+def _confirm(base: DataFrame, nodes: DataFrame, near: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """The likely pairs that link, decided on full sets."""
+    ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_of(base, nodes, ids, shingle)
     return cut(near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
                .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
                .withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
