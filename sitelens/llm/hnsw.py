@@ -34,9 +34,9 @@ from sitelens.llm.common import column, cut, session
 from sitelens.llm.graph import components
 
 COSINE = 0.9
-LINKS, BEAM_BUILD, BEAM = 16, 64, 32
+LINKS, BEAM_BUILD, PEERS, BEAM = 10, 32, 12, 16
 SHARD_ROWS, LEAST_SHARDS = 50_000, 6
-QUERY_ROWS, COPIES = 1024, 4
+QUERY_ROWS, COPIES = 1024, 8
 AUDIT, RECALL = 128, 0.999
 
 
@@ -75,7 +75,7 @@ class Graph:
                 continue
             # Nodes of the same batch are neighbours as well.
             peers = np.where(mine[None, :], inside[rows], -2)
-            best = np.argsort(-peers, axis=1)[:, :BEAM_BUILD]
+            best = np.argpartition(-peers, min(PEERS, peers.shape[1]) - 1, axis=1)[:, :PEERS]
             ids = np.concatenate([found[rows], np.where(np.take_along_axis(peers, best, 1) > -2, batch[best], -1)], 1)
             score = np.concatenate([sims[rows], np.take_along_axis(peers, best, 1)], 1)
             chosen = self._diverse(ids, np.where(ids >= 0, score, -3), LINKS)
@@ -113,15 +113,18 @@ class Graph:
         if not len(dst):
             return
         at = X.groups(dst[1:] != dst[:-1])
-        for i, j in zip(at, [*at[1:], len(dst)]):
-            node = dst[i]
-            row = links[node]
-            all_ = np.unique(np.concatenate([row[row >= 0], src[i:j]]))
-            if len(all_) > len(row):
-                score = (self.x[all_] @ self.x[node])[None, :]
-                all_ = self._diverse(all_[None, :], score, len(row))[0]
-            row[:] = -1
-            row[:len(all_)] = all_
+        nth = np.arange(len(dst)) - np.repeat(at, np.diff(np.append(at, len(dst))))
+        # All nodes at once; those with more than PEERS new links in further turns.
+        for turn in range(int(nth.max()) // PEERS + 1):
+            now = nth // PEERS == turn
+            nodes, row = np.unique(dst[now], return_inverse=True)
+            fresh = np.full((len(nodes), PEERS), -1, np.int32)
+            fresh[row, nth[now] % PEERS] = src[now]
+            old = links[nodes]
+            fresh[(fresh[:, :, None] == old[:, None, :]).any(2)] = -1
+            ids = np.concatenate([old, fresh], 1)
+            score = np.einsum("nwd,nd->nw", self.x[np.maximum(ids, 0)], self.x[nodes])
+            links[nodes] = self._diverse(ids, np.where(ids >= 0, score, -3), links.shape[1])
 
     def search(self, q: np.ndarray, k: int, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of all queries at once on layer ``k``: the ``beam``
@@ -149,11 +152,18 @@ class Graph:
             seen[live[row], new] = True
             s = np.full(near.shape, -2.0, np.float32)
             s[row, col] = np.einsum("nd,nd->n", self.x[new], q[live[row]])
-            ids2 = np.concatenate([ids[live], np.where(fresh, near, -1)], 1)
-            sims2 = np.concatenate([sims[live], s], 1)
-            open2 = np.concatenate([open_[live], fresh], 1)
-            top = np.argpartition(-sims2, beam - 1, axis=1)[:, :beam] if sims2.shape[1] > beam else np.arange(beam)[None].repeat(len(live), 0)
-            ids[live], sims[live], open_[live] = (np.take_along_axis(a, top, 1) for a in (ids2, sims2, open2))
+            # Only queries with a node that enters their beam have anything to update.
+            enters = s.max(1) > sims[live].min(1)
+            if not enters.all():
+                keep = np.flatnonzero(enters)
+                ids_, near, s, fresh = live[keep], near[keep], s[keep], fresh[keep]
+            else:
+                ids_ = live
+            ids2 = np.concatenate([ids[ids_], np.where(fresh, near, -1)], 1)
+            sims2 = np.concatenate([sims[ids_], s], 1)
+            open2 = np.concatenate([open_[ids_], fresh], 1)
+            top = np.argpartition(-sims2, beam - 1, axis=1)[:, :beam]
+            ids[ids_], sims[ids_], open_[ids_] = (np.take_along_axis(a, top, 1) for a in (ids2, sims2, open2))
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
@@ -238,15 +248,18 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _query(least: float):
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                node, members = np.frombuffer(r.nodes, np.int64), np.frombuffer(r.members, np.int64)
-                x = np.frombuffer(r.vectors, np.float64).reshape(len(node), -1)
-                g = Graph.__new__(Graph)
-                g.x, g.beam, g.entry = x.astype(np.float32), r.beam, r.entry
-                g.layers = [np.frombuffer(b, np.int32).reshape(len(node), -1) for b in r.links]
-                mine, q = np.frombuffer(r.q_nodes, np.int64), _normal(_unit(list(r.q_raw)))
+    """Blocks of queries against one shard."""
+    def run(asked: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "other": pd.array([], "Int64")})]
+        if len(asked) and len(index):
+            r = index.iloc[0]
+            node, members = np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["members"], np.int64)
+            x = np.frombuffer(r["vectors"], np.float64).reshape(len(node), -1)
+            g = Graph.__new__(Graph)
+            g.x, g.beam, g.entry = x.astype(np.float32), int(r["beam"]), int(r["entry"])
+            g.layers = [np.frombuffer(b, np.int32).reshape(len(node), -1) for b in r["links"]]
+            for q_nodes, q_raw in zip(asked["q_nodes"], asked["q_raw"]):
+                mine, q = np.frombuffer(q_nodes, np.int64), _normal(_unit(list(q_raw)))
                 counts, a, b = np.zeros(len(mine), np.int64), [], []
                 for i, found in enumerate(g.near(q.astype(np.float32), least - 1e-4)):
                     found = found[(x[found] @ q[i] >= least) & (node[found] != mine[i])]
@@ -256,9 +269,10 @@ def _query(least: float):
                 a, b = np.concatenate(a), np.concatenate(b)
                 keep = _forest(a, b)
                 has = np.flatnonzero(counts)
-                yield pd.DataFrame({"node": np.concatenate([mine[has], a[keep]]),
-                                    "links": np.concatenate([counts[has], np.zeros(len(keep), np.int64)]),
-                                    "other": pd.array([None] * len(has) + b[keep].tolist(), "Int64")})
+                out.append(pd.DataFrame({"node": np.concatenate([mine[has], a[keep]]),
+                                         "links": np.concatenate([counts[has], np.zeros(len(keep), np.int64)]),
+                                         "other": pd.array([None] * len(has) + b[keep].tolist(), "Int64")}))
+        return pd.concat(out)
     return run
 
 
@@ -285,11 +299,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     blocks = max(1, -(-count // QUERY_ROWS))
     asked = (nodes.groupBy("dim", F.pmod(F.hash("node"), F.lit(blocks)).alias("block"))
              .applyInPandas(_block, "dim int, block int, q_nodes binary, q_raw array<binary>"))
+    # Queries go to every shard; each shard's graph serves them in COPIES tasks.
     copies = min(COPIES, blocks)
-    found = (asked.withColumn("copy", F.pmod(F.col("block"), F.lit(copies)))
-             .join(index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))), ["dim", "copy"])
-             .repartition("dim", "shard", "block")
-             .mapInPandas(_query(cosine), "node long, links long, other long"))
+    asked = (asked.withColumn("copy", F.pmod(F.col("block"), F.lit(copies)))
+             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+    index = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    keys = ["dim", "shard", "copy"]
+    found = asked.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(_query(cosine), "node long, links long, other long")
     found = cut(found)
     total = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.where("other IS NOT NULL"), "node", "other")
