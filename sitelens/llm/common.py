@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of text that one numpy pass holds; longer texts form a pass of their own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 # Rows of one pass: their ordinals must fit the 12 bits that textops packs.
 SLICE_ROWS = 4096
 

@@ -34,6 +34,8 @@ from sitelens.llm import textops as X
 from sitelens.llm.common import buckets, column, session, slices
 
 WINDOW, BLOCK = 50, 25
+# Text that is packed together: one cell for each bucket.
+PACKED_BYTES = 2 << 20
 _HITS = "doc_id long, pos array<int>"
 _SPANS = "doc_id long, text_key int, pos array<int>"
 
@@ -45,7 +47,7 @@ def _column(batch: pa.RecordBatch, name: str):
 def _probes(window: int, block: int, n_buckets: int):
     """All rolling windows of ``block`` words, packed by bucket."""
     def run(batches):
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, max_bytes=PACKED_BYTES):
             ids = _column(part, "doc_id").to_numpy()
             w = X.words(texts)
             at, text = X.fits(w.first, block)
@@ -101,7 +103,7 @@ def _find_hits(block: int):
 def _candidates(window: int, block: int, n_buckets: int):
     """The windows around the hits, packed by bucket."""
     def run(batches):
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, max_bytes=PACKED_BYTES):
             ids, keys = _column(part, "doc_id").to_numpy(), _column(part, "text_key").to_numpy()
             w = X.words(texts)
             n = np.diff(w.first)

@@ -15,7 +15,7 @@ import numpy as np
 import zstandard
 
 LONG = 256
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95  # odd: it has an inverse modulo 2**64
