@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sitelens.llm.common import packed, session, unpacked
+from sitelens.llm.common import packed, release, session
 
 STEP, OVERLAP = 32_768, 512
 # Characters that a piece's start may look ahead (the longest contraction).
 LOOK = 3
 # A worker's memory of merged pieces: it is emptied when it is full.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 class Vocabulary(dict):
@@ -123,10 +123,21 @@ def _lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
-def _encode_rows(path: str, pattern: str, schema: pa.Schema, at_once: int = 1 << 22):
-    """Texts (or segments) to token ids; the text column goes."""
+def _bytes(lists: pa.Array, table: pa.Array) -> pa.Array:
+    """The joined bytes of each list of ids; null lists: none."""
+    flat = table.take(lists.flatten())
+    at = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
+    byte = np.concatenate(([0], np.cumsum(pc.binary_length(flat).to_numpy())))[at].astype(np.int64)
+    joined = flat.buffers()[2] or b""
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(byte), pa.py_buffer(joined)]).cast(pa.binary())
+
+
+def _encode_rows(path: str, pattern: str, schema: pa.Schema, at_once: int = 1 << 20):
+    """Texts (or segments) to token ids, and back to bytes if the schema has
+    them; the text column goes."""
     def run(batches):
-        ids, find = vocabulary(path).__getitem__, regex.compile(pattern).findall
+        vocab, find = vocabulary(path), regex.compile(pattern).findall
+        ids = vocab.__getitem__
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             begin = 0
@@ -138,9 +149,12 @@ def _encode_rows(path: str, pattern: str, schema: pa.Schema, at_once: int = 1 <<
                     size += len(text)
                     end += 1
                 part = batch.slice(begin, end - begin)
+                tokens = _lists(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [_lists(rows) if f.name == "tokens" else part.column(part.schema.get_field_index(f.name)) for f in schema], schema=schema)
+                    [tokens if f.name == "tokens" else _bytes(tokens, vocab.table) if f.name == "decoded"
+                     else part.column(part.schema.get_field_index(f.name)) for f in schema], schema=schema)
                 begin = end
+        release()
     return run
 
 
@@ -235,13 +249,15 @@ def _stitch(pattern: str, step: int, overlap: int):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "tokens",
-           step: int = STEP, overlap: int = OVERLAP, carry: tuple[str, ...] | None = None) -> DataFrame:
+           step: int = STEP, overlap: int = OVERLAP, carry: tuple[str, ...] | None = None,
+           decoded: str | None = None) -> DataFrame:
     """``docs`` (or its ``carry`` columns) with the token ids of each text as
-    ``out`` array<int>."""
+    ``out`` array<int>; with ``decoded`` also the bytes that they decode to."""
     session(docs)
     base = packed(docs, text_col, out, carry)
     ids = T.StructField("tokens", T.ArrayType(T.IntegerType(), True))
-    done = T.StructType([base.schema["row"], ids])
+    back = [T.StructField("decoded", T.BinaryType())] if decoded else []
+    done = T.StructType([base.schema["row"], ids, *back])
     long_ = F.coalesce(F.length("text"), F.lit(0)) > step
     short = base.where(~long_).mapInArrow(_encode_rows(path, pattern, to_arrow_schema(done)), done)
     more = base.where(long_).withColumn("key", F.sha2("text", 256))
@@ -257,7 +273,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
               .groupBy("key").agg(F.flatten(F.transform(
                   F.array_sort(F.collect_list(F.struct("segment", "tokens"))), lambda s: s["tokens"])).alias("tokens")))
     joined = more.select("row", "key").join(tokens, "key").select("row", "tokens")
-    return unpacked(short.unionByName(joined), "tokens", out)
+    if decoded:
+        joined = decode(joined, path)
+    both = short.unionByName(joined)
+    return both.select("row.*", F.col("tokens").alias(out), *[F.col("decoded").alias(d) for d in [decoded] if d])
 
 
 def decode(tokens: DataFrame, path: str, tokens_col: str = "tokens", out: str = "decoded") -> DataFrame:
@@ -279,13 +298,9 @@ def decode(tokens: DataFrame, path: str, tokens_col: str = "tokens", out: str =
                 sizes = np.cumsum(lists.slice(begin).value_lengths().fill_null(0).to_numpy())
                 end = begin + max(1, int(np.searchsorted(sizes, 1 << 21, "right")))
                 part = lists.slice(begin, end - begin)
-                flat = table.take(part.flatten())
-                at = np.concatenate(([0], sizes[:end - begin]))
-                byte = np.concatenate(([0], np.cumsum(pc.binary_length(flat).to_numpy())))[at]
-                joined = b"".join(flat.to_pylist()) if flat.offset else flat.buffers()[2].slice(0, int(byte[-1]))
-                raw = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(byte.astype(np.int64)), pa.py_buffer(joined)])
+                raw = _bytes(part, table)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index("row")).slice(begin, end - begin), part, raw.cast(pa.binary())],
+                    [batch.column(batch.schema.get_field_index("row")).slice(begin, end - begin), part, raw],
                     names=["row", "tokens", "decoded"])
                 begin = end
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import pathlib
 import tempfile
 import zipfile
@@ -75,6 +77,26 @@ def column(df: DataFrame, source: str, name: str, kind: str):
     return c.alias(name)
 
 
+def release() -> None:
+    """Give freed memory back: Python workers live on for the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def frees(fn):
+    """``fn`` of one group, with its memory given back afterwards."""
+    @functools.wraps(fn)
+    def run(*args):
+        try:
+            return fn(*args)
+        finally:
+            release()
+    return run
+
+
 def packed(df: DataFrame, text: str, out: str, carry: tuple[str, ...] | None = None) -> DataFrame:
     """(row, text): the columns to carry through Python as one struct, so that
     no name clashes, and the text.  ``carry`` None: all columns but ``out``."""
@@ -103,3 +125,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             part = batch.slice(at, end - at)
             yield part, [x or b"" for x in col.slice(at, end - at).to_pylist()]
             at = end
+    release()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sitelens.llm.common import packed, session, unpacked
+from sitelens.llm.common import packed, release, session, unpacked
 
 PATH, TEXT, HIDDEN = 96, 24, 20
 DENSE = 12
@@ -475,5 +475,6 @@ def extract_text(pages: DataFrame, html_col: str = "html", out: str = "text", at
                 keep = model.label([features(f) for f in found])
                 done = [" ".join(b[1] for b, k in zip(f, ks) if k) for f, ks in zip(found, keep)]
                 yield pa.RecordBatch.from_arrays([rows.slice(at, at_once), pa.array(done, pa.string())], names=["row", "text"])
+        release()
 
     return unpacked(base.mapInArrow(run, T.StructType([base.schema["row"], T.StructField("text", T.StringType())])), "text", out)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sitelens.llm import textops as X
-from sitelens.llm.common import buckets, column, cut, session, slices
+from sitelens.llm.common import buckets, column, cut, frees, session, slices
 from sitelens.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 75  # per cent
@@ -215,6 +215,7 @@ def _band_entries(n_buckets: int):
     return run
 
 
+@frees
 def _shared_bands(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: the bands that several batches have sent."""
     h = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["h"]])
@@ -303,6 +304,7 @@ def _compare(threshold: int):
     """Of one block: links between different components, as a forest."""
     least = _cutoff(threshold)
 
+    @frees
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, n, of, chunk = (pdf[c].to_numpy() for c in ("node", "n", "component", "chunk"))
         regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, REGISTERS)

@@ -32,8 +32,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) encoded and decoded: doc_id, tokens, n_tokens
     and the digests of the ids and of the decoded bytes."""
     path, pattern = tokenizer()
-    tokens = bpe.encode(docs, path, pattern, carry=("doc_id",))
-    return bpe.decode(tokens, path).select(
+    return bpe.encode(docs, path, pattern, carry=("doc_id",), decoded="decoded").select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens",
         F.sha2(F.array_join(F.col("tokens").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

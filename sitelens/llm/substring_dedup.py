@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.llm import textops as X
-from sitelens.llm.common import buckets, column, session, slices
+from sitelens.llm.common import buckets, column, frees, session, slices
 
 WINDOW, BLOCK = 50, 25
 # Text that is packed together: one cell for each bucket.
@@ -81,6 +81,7 @@ def _lists(doc: np.ndarray, keys: list[np.ndarray], pos: np.ndarray) -> list[np.
 
 def _find_hits(block: int):
     """Of one bucket: probes whose hash is a reference block of another document."""
+    @frees
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["h"]])
         doc = np.concatenate([X.unpack(b) for b in pdf["doc"]])
@@ -134,6 +135,7 @@ def _candidates(window: int, block: int, n_buckets: int):
     return run
 
 
+@frees
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: windows that a document with a smaller id also has."""
     a = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["a"]])
