@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import functools
 import pathlib
 import tempfile
 import zipfile
@@ -87,11 +86,10 @@ def release() -> None:
 
 
 def frees(fn):
-    """``fn`` of one group, with its memory given back afterwards."""
-    @functools.wraps(fn)
-    def run(*args):
+    """``fn`` of one group's frame, with its memory given back afterwards."""
+    def run(pdf):
         try:
-            return fn(*args)
+            return fn(pdf)
         finally:
             release()
     return run
