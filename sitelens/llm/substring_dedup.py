@@ -95,7 +95,7 @@ def _find_hits(block: int):
         most = np.repeat(np.maximum.reduceat(doc, at), size)
         hit = (doc > least) | (anchor & (doc < most))
         if not hit.any():
-            return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "pos": []})
+            return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "pos": pd.Series([], dtype=object)})
         doc, pos = _lists(doc[hit], [], pos[hit])
         return pd.DataFrame({"doc_id": doc, "pos": pos})
     return run
@@ -147,7 +147,7 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(a))))
     hit = doc > least
     if not hit.any():
-        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "text_key": np.zeros(0, np.int32), "pos": []})
+        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "text_key": np.zeros(0, np.int32), "pos": pd.Series([], dtype=object)})
     doc, key, pos = _lists(doc[hit], [key[hit]], pos[hit])
     return pd.DataFrame({"doc_id": doc, "text_key": key.astype(np.int32), "pos": pos})
 
