@@ -40,7 +40,7 @@ STATIC_ASSET_EXTENSIONS = [
 ROBOTS_DISALLOW = ["/api/", "/static/", "/_next/"]
 
 # Marker inserted into cleaned snapshots.
-PRERENDER_MARKER = "<!-- X-RSB-Prerendered: true -->"
+PRERENDER_MARKER = "<!-- snapshot: prerendered -->"
 
 # Project scan: excluded directory names (any path part), source extensions,
 # skipped name fragments, entry-point names, router-file names, config names.

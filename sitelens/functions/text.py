@@ -60,17 +60,21 @@ def with_matches(df, text: str, pattern: str, groups: int, out: str):
     return df.withColumn(out, F.arrays_zip(*fields)).drop(tm, tp, *gnames)
 
 
-# Block comments anywhere, and line comments that start a line.  (A ``//``
-# after code is left alone: it is too often part of a URL string.)
-COMMENT = r"(?m)/\*[\s\S]*?\*/|^[ \t]*//[^\n]*"
+# String literals first (quoted ones end with their line), so that ``"/docs/*"``
+# opens no comment; then block comments anywhere and line comments that start
+# a line.  (A ``//`` after code is left alone: it is too often part of a URL.)
+STRING_OR_COMMENT = (r"(?m)\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\[\s\S])*+`"
+                     r"|/\*[\s\S]*?\*/|^[ \t]*//[^\n]*")
 
 
 def mask_comments(text: Column) -> Column:
     """The text with every comment replaced by its newlines only, so line
     numbers are unchanged.  Used where the audited tool reads a syntax tree
-    (JSX elements, import declarations, calls), which ignores comments."""
-    pieces = F.split(text, COMMENT, -1)
-    comments = F.regexp_extract_all(text, F.lit(COMMENT), 0)
-    glued = F.zip_with(pieces, comments, lambda p, c: F.concat(
-        p, F.coalesce(F.repeat(F.lit("\n"), newlines(c)), F.lit(""))))
+    (JSX elements, import declarations, calls), which ignores comments; comment
+    signs inside string literals are text."""
+    pieces = F.split(text, STRING_OR_COMMENT, -1)
+    tokens = F.regexp_extract_all(text, F.lit(STRING_OR_COMMENT), 0)
+    comment = lambda c: F.ltrim(c).startswith("//") | c.startswith("/*")
+    glued = F.zip_with(pieces, tokens, lambda p, c: F.concat(
+        p, F.coalesce(F.when(comment(c), F.repeat(F.lit("\n"), newlines(c))).otherwise(c), F.lit(""))))
     return F.array_join(glued, "")

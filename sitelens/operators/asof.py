@@ -63,14 +63,12 @@ def asof(probes: DataFrame, candidates: DataFrame, key: str, *,
     )
     u = p.unionByName(c).withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_us)))
 
-    order = [F.col("_t"), F.col("_id"), F.col("_kind")]
-    w = Window.partitionBy("_k", "_b").orderBy(*order)
-    if backward:
-        inside = F.last("_c", ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    else:
-        inside = F.first("_c", ignorenulls=True).over(
-            w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both directions look back along the order, so the frame only grows and a
+    # row costs the same however many there are; forward sorts the other way.
+    order = [F.col(c) if backward else F.col(c).desc() for c in ("_t", "_id", "_kind")]
+    inside = F.last("_c", ignorenulls=True).over(
+        Window.partitionBy("_k", "_b").orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     wu = u.withColumn("_in", inside)
     matched = wu.where(F.col("_kind") == (0 if backward else 1))
 
@@ -80,11 +78,8 @@ def asof(probes: DataFrame, candidates: DataFrame, key: str, *,
     # (key, bucket), so it adds no shuffle of the input.
     extreme = F.max("_c") if backward else F.min("_c")
     summary = wu.groupBy("_k", "_b").agg(extreme.alias("_e"))
-    ws = Window.partitionBy("_k").orderBy("_b")
-    if backward:
-        carry = F.last("_e", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        carry = F.first("_e", ignorenulls=True).over(ws.rowsBetween(1, Window.unboundedFollowing))
+    ws = Window.partitionBy("_k").orderBy(F.col("_b") if backward else F.col("_b").desc())
+    carry = F.last("_e", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, -1))
     summary = summary.withColumn("_carry", carry).select("_k", "_b", "_carry")
 
     joined = matched.join(summary, ["_k", "_b"], "left")
@@ -92,10 +87,11 @@ def asof(probes: DataFrame, candidates: DataFrame, key: str, *,
 
 
 def running_sum(df: DataFrame, key: str, order: list[Column], value: Column,
-                bucket: list[Column], out: str) -> DataFrame:
+                bucket: list[Column], out: str, descending: bool = False) -> DataFrame:
     """Inclusive running sum of ``value`` per ``key`` in ``order``.
 
-    ``bucket`` must coarsen ``order`` (rows of a bucket are contiguous in the
+    ``descending`` tells the direction of ``order``'s first columns, which the
+    buckets follow.  ``bucket`` must coarsen ``order`` (rows of a bucket are contiguous in the
     order, and sorting buckets by the same columns keeps that order).  The sum
     runs inside each (key, bucket) window; bucket totals (one row per bucket)
     are carried by a window over the small summary and added back, so a huge
@@ -108,7 +104,7 @@ def running_sum(df: DataFrame, key: str, order: list[Column], value: Column,
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("_in", F.sum("_v").over(w))
     tot = d.groupBy(key, *bnames).agg(F.sum("_v").alias("_tot"))
-    border = [_like(o, n) for o, n in zip(order[:len(bucket)], bnames)]
+    border = [F.col(n).desc_nulls_last() if descending else F.col(n).asc_nulls_first() for n in bnames]
     ws = Window.partitionBy(key).orderBy(*border).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.withColumn("_carry", F.coalesce(F.sum("_tot").over(ws), F.lit(0)))
     # Null-safe on the bucket columns: a null bucket is a bucket too.
@@ -120,10 +116,3 @@ def running_sum(df: DataFrame, key: str, order: list[Column], value: Column,
             .withColumn(out, F.col("_in") + F.col("_carry"))
             .drop("_in", "_carry", "_v", *bnames, *["_t" + c for c in [key, *bnames]]))
 
-
-def _like(order_col: Column, name: str) -> Column:
-    """Sort ``name`` in the same direction (and null order) as ``order_col``."""
-    text = str(order_col).upper()
-    if "DESC" in text:
-        return F.col(name).desc_nulls_last() if "NULLS LAST" in text else F.col(name).desc_nulls_first()
-    return F.col(name).asc_nulls_last() if "NULLS LAST" in text else F.col(name).asc_nulls_first()

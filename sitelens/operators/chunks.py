@@ -40,25 +40,12 @@ def chunk_files(files: DataFrame, target_chars: int = C.DEFAULT_CHUNK_TARGET_CHA
                      file_priority(F.col("path")).alias("priority"))
     order = [F.col("priority").desc(), F.col("path").desc()]
     bucket = [F.col("priority"), F.substring("path", 1, prefix_len)]
-    f = running_sum(f, "project_id", order, F.col("chars"), bucket, "S")
-    f = running_sum(f, "project_id", order, F.lit(1).cast("long"), bucket, "ord")
+    f = running_sum(f, "project_id", order, F.col("chars"), bucket, "S", descending=True)
+    f = running_sum(f, "project_id", order, F.lit(1).cast("long"), bucket, "ord", descending=True)
     f = f.withColumn("S_prev", F.col("S") - F.col("chars"))
     f = f.checkpoint(eager=True)
-    totals = f.groupBy("project_id").agg(F.max("S").alias("total"), F.max("ord").alias("n"))
-    # One part when the project's total fits (the audited tool's shortcut,
-    # and the common case): no lookup or walk for those projects.
-    single = (f.join(totals.where(F.col("total") <= target_chars), "project_id", "left_semi")
-              .select("project_id", "path", "chars", "priority", F.col("ord").alias("file_order"),
-                      F.lit(1).cast("long").alias("part_number")))
-    single = single.join(single.groupBy("project_id").agg(F.sum("chars").alias("part_chars"),
-                                                          F.lit(1).cast("long").alias("total_parts")),
-                         "project_id")
-    big = totals.where(F.col("total") > target_chars)
-    if big.isEmpty():
-        return single.select(*CHUNK_COLUMNS)
-    multi = _pack(f.join(big.select("project_id"), "project_id", "left_semi"),
-                  big.select("project_id", "n"), target_chars)
-    return single.select(*CHUNK_COLUMNS).unionByName(multi.select(*CHUNK_COLUMNS))
+    totals = f.groupBy("project_id").agg(F.max("ord").alias("n"))
+    return _pack(f, totals.select("project_id", "n"), target_chars).select(*CHUNK_COLUMNS)
 
 
 CHUNK_COLUMNS = ["project_id", "part_number", "path", "chars", "priority", "file_order",
@@ -66,7 +53,7 @@ CHUNK_COLUMNS = ["project_id", "part_number", "path", "chars", "priority", "file
 
 
 def _pack(f: DataFrame, n: DataFrame, target_chars: int) -> DataFrame:
-    """Greedy packing of projects whose total exceeds the target."""
+    """Greedy packing of every project, one part or many."""
     # next part start for a part starting at each file
     probes = f.select("project_id", (F.col("S_prev") + target_chars).alias("t"),
                       F.lit(MAX_ID).alias("id"), F.col("ord").alias("src"))

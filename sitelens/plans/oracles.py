@@ -318,11 +318,13 @@ def match_lines(t: str, pattern: str) -> str:
 
 
 def mask_sql(t: str) -> str:
-    from sitelens.functions.text import COMMENT
-    pcs = f"string_split_regex({t}, {q(COMMENT)})"
-    cms = f"regexp_extract_all({t}, {q(COMMENT)}, 0)"
-    return (f"array_to_string(list_transform(range(1, len({pcs}) + 1), lambda i: concat({pcs}[i], "
-            f"coalesce(repeat(chr(10), {nl(cms + '[i]')}), ''))), '')")
+    # Spelled here on its own: one token is a whole string or a whole comment.
+    token = q(r"""(?m)"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|/\*[\s\S]*?\*/|^[ \t]*//[^\n]*""")
+    pcs = f"string_split_regex({t}, {token})"
+    cms = f"regexp_extract_all({t}, {token}, 0)"
+    return (f"array_to_string(list_transform(range(1, len({pcs}) + 1), lambda i: concat({pcs}[i], CASE WHEN {cms}[i] IS NULL THEN '' "
+            f"WHEN starts_with({cms}[i], '/*') OR starts_with(ltrim({cms}[i], ' ' || chr(9)), '//') THEN repeat(chr(10), {nl(cms + '[i]')}) "
+            f"ELSE {cms}[i] END)), '')")
 
 
 def ordered_distinct(lst: str) -> str:

@@ -76,7 +76,7 @@ SITE_FILE_BRANCHES = [
       WHEN 1 THEN concat('  React.useEffect(() => { fetch("/api/x"); }, []);', chr(10)) ELSE '' END,
     '  return <>',
     CASE WHEN doc_id % 3 = 0 THEN '<Helmet><title>{data.name}</title><meta property="og:title" content="x" /></Helmet>' ELSE '' END,
-    '<h1>', regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', ''{g}), '</h1>',
+    '<h1>', regexp_replace(coalesce(text, ''), '[{}<>]', ' '{g}), '</h1>',
     CASE WHEN doc_id % 5 = 0 THEN '<img src="/a.jpg" />' ELSE '<img src="/a.jpg" width="3" />' END,
     '</>;', chr(10), '}', chr(10)) AS content""",
     ]),
@@ -85,7 +85,7 @@ SITE_FILE_BRANCHES = [
         "concat('src/routes/R', CAST(doc_id AS STRING), '.jsx') AS path",
         """concat(CASE WHEN doc_id % 2 = 0 THEN 'const Doc = lazy(() => import(''../pages/Doc' ELSE 'import Doc from ''../pages/Doc' END, CAST(doc_id AS STRING),
     CASE WHEN doc_id % 2 = 0 THEN '''));' ELSE ''';' END, chr(10),
-    'export const r = <Route path="/doc/', CAST(doc_id % 300 AS STRING),
+    'export const r = <Route path="/doc/', CAST(doc_id AS STRING),
     CASE WHEN doc_id % 6 = 0 THEN '/:id' ELSE '' END, '" element={<Doc />} />;', chr(10)) AS content""",
     ]),
     (False, "doc_id % 10 = 0", [

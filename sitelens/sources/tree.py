@@ -3,7 +3,8 @@
 ``root`` holds one folder per project.  Files are read with the
 ``binaryFile`` source (recursive), the project is the first folder under the
 root and ``path`` the rest, relative and ``/``-separated; bytes are decoded
-as UTF-8 (invalid bytes replaced, as the audited tool does).  Folder
+as UTF-8 (invalid bytes replaced, as the audited tool does); files that are no
+text by their name keep their path, with null content.  Folder
 exclusion is a filter on ``path`` that Spark applies right after listing.
 """
 
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_FILE = r"\.(jsx?|tsx?|mjs|cjs|html?|json|css|s[ac]ss|less|mdx?|txt|vue|svelte|xml|svg|ya?ml|toml)$|/[^/.]+$"
+
 
 def read_source_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -23,7 +26,8 @@ def read_source_tree(spark: SparkSession, root: str, glob: str | None = None) ->
     return raw.select(
         F.substring_index(rel, "/", 1).alias("project_id"),
         F.regexp_replace(rel, "^[^/]*/", "").alias("path"),
-        F.decode(F.col("content"), "UTF-8").alias("content"))
+        F.when(F.lower(F.col("path")).rlike(TEXT_FILE),
+               F.make_valid_utf8(F.col("content").cast("string"))).alias("content"))
 
 
 def _quote(s: str) -> str:

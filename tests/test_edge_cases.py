@@ -106,3 +106,30 @@ export const r = <Route path="/" element={<Home />} />;
     assert comps["src/Home.jsx"].client_hooks_found == []
     meta = {r.file_path: r for r in detect_metadata(source_files(sf)).collect()}
     assert meta["src/Home.jsx"].strategy == "none" and meta["src/Home.jsx"].sets_title
+
+
+def test_masking_respects_strings(spark):
+    from sitelens.functions.text import mask_comments
+    text = ('<Route path="/docs/*" element={<Docs />} />\n<Route path="/team" element={<Team />} />\n{/* admin\narea */}\n'
+            '<Route path="/admin" />\n// gone\nconst a = `x /* kept */`;\n<input accept=\'image/*\' />\n/* off */')
+    got = spark.createDataFrame([(text,)], "t string").select(mask_comments(F.col("t")).alias("m")).first().m
+    assert all(s in got for s in ("/docs/*", '"/team"', '"/admin"', "x /* kept */", "image/*"))
+    assert not any(s in got for s in ("area", "gone", "off")) and got.count("\n") == text.count("\n")
+
+
+def test_forward_asof_mirrors_backward(spark):
+    from sitelens.operators.asof import asof
+    rows = spark.range(2000).selectExpr("'k' AS k", "id * 7919 % 2000 AS t", "id")
+    cands = rows.where("id % 37 = 0")
+    want = sorted(r.t for r in cands.collect())
+    for r in asof(rows, cands, "k", direction="forward", bucket_us=500).collect():
+        assert (r.match.t if r.match else None) == next((t for t in want if t > r.t), None)
+
+
+def test_source_tree_with_binary_and_bad_bytes(spark, tmp_path):
+    from sitelens.sources.tree import read_source_tree
+    (tmp_path / "p" / "src").mkdir(parents=True)
+    (tmp_path / "p" / "logo.png").write_bytes(b"\x89PNG\xff\xfe\x00")
+    (tmp_path / "p" / "src" / "a.js").write_bytes("café = 1".encode("latin-1"))
+    got = {r.path: r.content for r in read_source_tree(spark, str(tmp_path)).collect()}
+    assert got == {"logo.png": None, "src/a.js": "caf� = 1"}

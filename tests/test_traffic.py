@@ -128,8 +128,8 @@ def test_clean_html(spark):
     out = spark.createDataFrame([(html,), ("<p>no head</p>",)], "html string").select(
         clean_html(F.col("html")).alias("c")).collect()
     assert "googletagmanager" not in out[0].c and "sourceMappingURL" not in out[0].c
-    assert out[0].c.startswith("<html><head>\n<!-- X-RSB-Prerendered: true -->")
-    assert out[1].c.startswith("<!-- X-RSB-Prerendered: true -->\n<p>")
+    assert out[0].c.startswith("<html><head>\n<!-- snapshot: prerendered -->")
+    assert out[1].c.startswith("<!-- snapshot: prerendered -->\n<p>")
 
 
 def test_bot_regex_from_table(spark):
