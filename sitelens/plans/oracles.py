@@ -570,13 +570,13 @@ cwv AS (SELECT project_id,
     ipr AS estimated_js_imports_per_route, img AS images_without_dimensions, lazy AS lazy_loaded_routes,
     third AS third_party_scripts, large AS large_bundle_risk,
     array_to_string(list_filter([
-      CASE WHEN large THEN concat('LCP HIGH: estimated ', printf('%.1f', ipr), ' imports per route suggest heavy JavaScript before content can render.')
-           WHEN imp > tr * 6 THEN concat('LCP MEDIUM: estimated ', printf('%.1f', ipr), ' imports per route. Review route-level code splitting.') END,
-      CASE WHEN img > 3 THEN printf('CLS HIGH: %d <img> tags found without width/height.', img)
-           WHEN img > 0 THEN printf('CLS MEDIUM: %d <img> tag(s) without width/height.', img) END,
-      CASE WHEN lazy * 2 > tr THEN printf('INP HIGH: %d/%d routes are lazy-loaded. Prefetch critical routes or trim route-level chunk sizes.', lazy, tr)
-           WHEN lazy > 0 THEN printf('INP MEDIUM: %d/%d routes are lazy-loaded.', lazy, tr) END,
-      CASE WHEN third > 0 THEN printf('PERF NOTE: %d third-party script(s) detected in index.html.', third) END],
+      CASE WHEN large THEN concat('LCP high: about ', printf('%.1f', ipr), ' imports for each route; much script runs before anything shows.')
+           WHEN imp > tr * 6 THEN concat('LCP medium: about ', printf('%.1f', ipr), ' imports for each route; check how routes are split.') END,
+      CASE WHEN img > 3 THEN printf('CLS high: %d images lack a width or height.', img)
+           WHEN img > 0 THEN printf('CLS medium: %d images lack a width or height.', img) END,
+      CASE WHEN lazy * 2 > tr THEN printf('INP high: %d of %d routes load on demand; fetch the main ones ahead.', lazy, tr)
+           WHEN lazy > 0 THEN printf('INP medium: %d of %d routes load on demand.', lazy, tr) END,
+      CASE WHEN third > 0 THEN printf('Scripts from other hosts in index.html: %d.', third) END],
       lambda x: x IS NOT NULL), chr(10)) AS notes,
     imp AS total_imports
   FROM cx2)"""
