@@ -14,22 +14,55 @@ from pyspark.sql import functions as F
 from sitelens.functions import constants as C
 from sitelens.operators.scan import path_order
 
-# Rule number → (severity, category, title).  Titles are our own wording.
+# Rule number → (severity, category, title, description, recommendation,
+# page of public documentation).  All wording is our own.
+SEO_DOCS = "https://developers.google.com/search/docs/"
 RULES = [
-    (1, "critical", "rendering", "Client-side rendering: crawlers receive an empty HTML shell"),
-    (2, "critical", "metadata", "No title or description management found"),
-    (3, "high", "metadata", "Metadata is set client-side only on a CSR app"),
-    (4, "high", "routing", "dynamic route(s) missing from any sitemap"),
-    (5, "high", "crawlability", "No sitemap.xml"),
-    (6, "medium", "metadata", "No Open Graph tags"),
-    (7, "medium", "metadata", "No canonical link tags"),
-    (8, "medium", "cwv", "LCP risk: heavy JavaScript per route"),
-    (9, "medium", "cwv", "CLS risk: image(s) without dimensions"),
-    (10, "low", "crawlability", "No robots.txt"),
+    (1, "critical", "rendering", "Client-side rendering: crawlers receive an empty HTML shell",
+     "The server sends a page without content; a crawler that runs no scripts indexes nothing.",
+     "Render on the server or at build time, or send crawlers a prerendered snapshot.",
+     SEO_DOCS + "crawling-indexing/javascript/javascript-seo-basics"),
+    (2, "critical", "metadata", "No title or description management found",
+     "No source file sets a title or a description, so all pages look alike in results.",
+     "Give every route its own title and description.",
+     SEO_DOCS + "appearance/title-link"),
+    (3, "high", "metadata", "Metadata is set client-side only on a CSR app",
+     "Titles and descriptions appear only after scripts have run; most crawlers and link previews miss them.",
+     "Send the metadata in the first HTML response.",
+     SEO_DOCS + "crawling-indexing/javascript/javascript-seo-basics"),
+    (4, "high", "routing", "dynamic route(s) missing from any sitemap",
+     "Paths with parameters cannot be listed from the source alone, the first ones being: ",
+     "List their real addresses from the content store when the site is built.",
+     SEO_DOCS + "crawling-indexing/sitemaps/build-sitemap"),
+    (5, "high", "crawlability", "No sitemap.xml",
+     "Neither the public folder nor the project root holds a sitemap.",
+     "Publish the generated sitemap and name it in robots.txt.",
+     SEO_DOCS + "crawling-indexing/sitemaps/overview"),
+    (6, "medium", "metadata", "No Open Graph tags",
+     "Shared links show neither a chosen title nor a picture.",
+     "Set og:title, og:description, og:image and og:url on every route.",
+     "https://ogp.me/"),
+    (7, "medium", "metadata", "No canonical link tags",
+     "Addresses that differ in parameters may be indexed as separate pages.",
+     "Name one canonical address on every route.",
+     SEO_DOCS + "crawling-indexing/consolidate-duplicate-urls"),
+    (8, "medium", "cwv", "LCP risk: heavy JavaScript per route",
+     "Many modules load before the largest element can be drawn.",
+     "Split the code by route and load the rest on demand.",
+     "https://web.dev/articles/lcp"),
+    (9, "medium", "cwv", "CLS risk: image(s) without dimensions",
+     "Images without width and height move the page while they load.",
+     "Give every image its width and height or reserve its place.",
+     "https://web.dev/articles/cls"),
+    (10, "low", "crawlability", "No robots.txt",
+     "Crawlers get no rules and no pointer to the sitemap.",
+     "Add a robots.txt to the public folder.",
+     SEO_DOCS + "crawling-indexing/robots/intro"),
 ]
 HELMET_STRATEGIES = ["react_helmet", "react_helmet_async"]
 CLIENT_STRATEGIES = ["react_helmet", "react_helmet_async", "document_title_direct"]
 AFFECTED_FILES_SHOWN = 5
+DYNAMIC_PATHS_SHOWN = 3
 
 
 def project_facts(site_files: DataFrame, bundle: DataFrame, routes: DataFrame,
@@ -53,6 +86,12 @@ def project_facts(site_files: DataFrame, bundle: DataFrame, routes: DataFrame,
                  .groupBy("project_id")
                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "file_path"))),
                                                lambda x: x["file_path"]), ", ").alias("helmet_files")))
+    # The first three dynamic paths in report order.
+    wd = Window.partitionBy("project_id").orderBy("route_order")
+    top_paths = (routes.where("is_dynamic").withColumn("rn", F.row_number().over(wd))
+                 .where(F.col("rn") <= DYNAMIC_PATHS_SHOWN).groupBy("project_id")
+                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "path"))),
+                                               lambda x: x["path"]), ", ").alias("dynamic_paths")))
     # Routes whose component file sets metadata client-side.
     client = findings.where(F.col("strategy").isin(CLIENT_STRATEGIES)).select(
         "project_id", F.col("file_path").alias("component_file"))
@@ -66,7 +105,7 @@ def project_facts(site_files: DataFrame, bundle: DataFrame, routes: DataFrame,
                   F.max(F.col("path").endswith("robots.txt")).alias("has_robots")))
     x = (r.join(bundle.select("project_id", "framework", "rendering_type"), "project_id", "left")
          .join(f, "project_id", "left").join(top_files, "project_id", "left")
-         .join(rcm, "project_id", "left").join(assets, "project_id", "left")
+         .join(top_paths, "project_id", "left").join(rcm, "project_id", "left").join(assets, "project_id", "left")
          .join(cwv.select("project_id", "lcp_risk", "images_without_dimensions"), "project_id", "left"))
     return x.na.fill(0, ["n_findings", "n_helmet", "routes_with_client_metadata"]).na.fill(
         False, ["any_og", "any_canonical", "has_sitemap", "has_robots"])
@@ -87,21 +126,30 @@ def issues(facts: DataFrame) -> DataFrame:
         9: F.col("images_without_dimensions") > 0,
         10: ~F.col("has_robots"),
     }
-    title = {n: F.lit(t) for n, _, _, t in RULES}
+    title = {r[0]: F.lit(r[3]) for r in RULES}
+    described = {r[0]: F.lit(r[4]) for r in RULES}
+    described[4] = F.concat(described[4], F.coalesce("dynamic_paths", F.lit("")))
     title[4] = F.concat(F.col("dynamic_routes").cast("string"), F.lit(" " + RULES[3][3]))
     title[9] = F.concat(F.lit(RULES[8][3] + ": "), F.col("images_without_dimensions").cast("string"))
     files = {3: F.col("helmet_files")}
     n_routes = {4: F.col("dynamic_routes")}
     items = [F.when(fires[n], F.struct(
         F.lit(n).alias("rule"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"),
-        title[n].alias("title"),
+        title[n].alias("title"), described[n].alias("description"),
+        F.lit(rec).alias("recommendation"), F.lit(url).alias("docs_url"),
         files.get(n, F.lit(None).cast("string")).alias("affected_files"),
         n_routes.get(n, F.lit(0).cast("long")).alias("affected_routes")))
-        for n, sev, cat, _ in RULES]
+        for n, sev, cat, _, _, rec, url in RULES]
     return (facts.select("project_id", F.posexplode(F.array_compact(F.array(*items))).alias("issue_no", "i"))
             .select("project_id", (F.col("issue_no") + 1).alias("issue_no"), "i.*"))
 
 
+def issue_routes(routes: DataFrame) -> DataFrame:
+    """P43's list of affected routes as rows (rule 4: every dynamic route), so
+    that no project's list has to fit into one row."""
+    return routes.where("is_dynamic").select("project_id", F.lit(4).alias("rule"), "route_order", "path")
+
+
 def audit_score(status: DataFrame, facts: DataFrame, issue_rows: DataFrame) -> DataFrame:
     """A2 + P44–P46 per project; invalid projects get gate 1 and no score."""
     counts = issue_rows.groupBy("project_id").agg(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelens.operators import bundle as B
 from sitelens.operators import chunks as CH
+from sitelens.operators import issues as I
 from sitelens.operators import routes as R
 from sitelens.plans import audit as A
 from sitelens.plans import reports as RP
@@ -108,9 +109,18 @@ def _bundle_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return RP.bundle_tokens(a.chunks, a.components, a.routes)
 
 
+# The report's time stamp is a parameter; the registered queries fix it.
+ANALYSED_AT = "2024-01-01T00:00:00Z"
+
+
+def _report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    a = _audit(spark, sf)
+    return RP.report_lines(a.routes, a.findings)
+
+
 def _report_rows(spark: SparkSession, sf: str) -> DataFrame:
     a = _audit(spark, sf)
-    return RP.report_rows(a.score, a.bundle, a.cwv, a.issues)
+    return RP.report_rows(a.score, a.bundle, a.cwv, a.issues, ANALYSED_AT)
 
 
 AUDIT: dict[str, Query] = {
@@ -129,6 +139,8 @@ AUDIT: dict[str, Query] = {
     "bundle_tokens": _bundle_tokens,
     "sitemap": lambda s, sf: RP.sitemap(_audit(s, sf).routes),
     "report_json": lambda s, sf: RP.report_json(_report_rows(s, sf)),
+    "report_lines": _report_lines,
+    "issue_routes": lambda s, sf: I.issue_routes(_audit(s, sf).routes),
     "report_md": lambda s, sf: RP.report_markdown(_report_rows(s, sf)),
 }
 

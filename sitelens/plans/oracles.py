@@ -590,30 +590,32 @@ ff AS (SELECT project_id, count(*) AS n_findings, count_if(strategy IN {in_list(
          bool_or(sets_og_tags) AS any_og, bool_or(sets_canonical) AS any_canonical,
          array_to_string(list(file_path ORDER BY string_split(file_path, '/')) FILTER (WHERE strategy IN {in_list(IS.HELMET_STRATEGIES)})[1:{IS.AFFECTED_FILES_SHOWN}], ', ') AS helmet_files
        FROM fmeta GROUP BY 1),
+dyn AS (SELECT project_id, array_to_string(list(path ORDER BY route_order)[1:3], ', ') AS dynamic_paths FROM routes WHERE is_dynamic GROUP BY 1),
 rcm AS (SELECT r.project_id, count(*) AS routes_with_client_metadata FROM routes r
         WHERE (r.project_id, r.component_file) IN (SELECT project_id, file_path FROM fmeta WHERE strategy IN {in_list(IS.CLIENT_STRATEGIES)}) GROUP BY 1),
 assets AS (SELECT project_id, bool_or(ends_with(path, 'sitemap.xml')) AS has_sitemap, bool_or(ends_with(path, 'robots.txt')) AS has_robots
            FROM site_files WHERE path IN ('public/sitemap.xml', 'sitemap.xml', 'public/robots.txt', 'robots.txt') GROUP BY 1),
 facts AS (SELECT fr.*, b.rendering_type, coalesce(ff.n_findings, 0) AS n_findings, coalesce(ff.n_helmet, 0) AS n_helmet,
-            coalesce(ff.any_og, false) AS any_og, coalesce(ff.any_canonical, false) AS any_canonical, ff.helmet_files,
+            coalesce(ff.any_og, false) AS any_og, coalesce(ff.any_canonical, false) AS any_canonical, ff.helmet_files, dyn.dynamic_paths,
             coalesce(rcm.routes_with_client_metadata, 0) AS routes_with_client_metadata,
             coalesce(a.has_sitemap, false) AS has_sitemap, coalesce(a.has_robots, false) AS has_robots,
             w.lcp_risk, w.images_without_dimensions
-          FROM fr LEFT JOIN bundle b USING (project_id) LEFT JOIN ff USING (project_id) LEFT JOIN rcm USING (project_id)
+          FROM fr LEFT JOIN bundle b USING (project_id) LEFT JOIN ff USING (project_id) LEFT JOIN dyn USING (project_id) LEFT JOIN rcm USING (project_id)
           LEFT JOIN assets a USING (project_id) LEFT JOIN cwv w USING (project_id)),
 iss0 AS (
   {' UNION ALL '.join(
       f"SELECT project_id, {n} AS rule, {q(sev)} AS severity, {q(cat)} AS category, "
       + (f"concat(CAST(dynamic_routes AS VARCHAR), {q(' ' + t)})" if n == 4 else
          f"concat({q(t + ': ')}, CAST(images_without_dimensions AS VARCHAR))" if n == 9 else q(t)) + " AS title, "
+      + (f"concat({q(d)}, coalesce(dynamic_paths, ''))" if n == 4 else q(d)) + f" AS description, {q(rec)} AS recommendation, {q(url)} AS docs_url, "
       + ("helmet_files" if n == 3 else "CAST(NULL AS VARCHAR)") + " AS affected_files, "
       + ("dynamic_routes" if n == 4 else "CAST(0 AS BIGINT)") + " AS affected_routes FROM facts WHERE "
       + {1: "rendering_type = 'csr'", 2: "n_findings = 0", 3: "n_helmet > 0 AND rendering_type = 'csr'",
          4: "dynamic_routes > 0", 5: "NOT has_sitemap", 6: "NOT any_og", 7: "NOT any_canonical",
          8: "lcp_risk = 'high'", 9: "images_without_dimensions > 0", 10: "NOT has_robots"}[n]
-      for n, sev, cat, t in IS.RULES)}),
+      for n, sev, cat, t, d, rec, url in IS.RULES)}),
 issues AS (SELECT project_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY rule) AS INTEGER) AS issue_no,
-             CAST(rule AS INTEGER) AS rule, severity, category, title, affected_files, affected_routes FROM iss0),
+             CAST(rule AS INTEGER) AS rule, severity, category, title, description, recommendation, docs_url, affected_files, affected_routes FROM iss0),
 cnt AS (SELECT project_id, CAST(count_if(severity = 'critical') AS BIGINT) AS critical_count, CAST(count_if(severity = 'high') AS BIGINT) AS high_count,
           CAST(count_if(severity = 'medium') AS BIGINT) AS medium_count, CAST(count_if(severity = 'low') AS BIGINT) AS low_count
         FROM issues GROUP BY 1),
@@ -636,6 +638,7 @@ score AS (SELECT s.project_id, s.status, x.total_routes, x.dynamic_routes, x.laz
 _AUD = f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {BUNDLE_CTE}, {ROUTES_CTE}, {CWV_CTE}"
 AUDIT["cwv_estimate"] = f"{_AUD} SELECT * FROM cwv"
 AUDIT["issues"] = f"{_AUD}, {META_CTE}, {FACTS_CTE} SELECT * FROM issues"
+AUDIT["issue_routes"] = f"{_AUD} SELECT project_id, 4 AS rule, route_order, path FROM routes WHERE is_dynamic"
 AUDIT["audit_score"] = f"{_AUD}, {META_CTE}, {FACTS_CTE} SELECT * FROM score"
 
 
@@ -686,7 +689,7 @@ smp AS (SELECT project_id, part, CAST(count_if(NOT is_dynamic) AS BIGINT) AS url
 smd AS (SELECT project_id, count_if(is_dynamic) AS n_dynamic FROM routes GROUP BY 1),
 sitemap AS (SELECT project_id, part, url_count,
   concat({q(RP.SITEMAP_HEAD)}, body,
-    CASE WHEN part = 1 AND n_dynamic > 0 THEN printf('  <!-- %d dynamic route(s) were detected and skipped. Supply explicit IDs or slugs to include them in a production sitemap. -->' || chr(10), n_dynamic) ELSE '' END,
+    CASE WHEN part = 1 AND n_dynamic > 0 THEN printf('  <!-- %d dynamic routes left out: list their real addresses to include them. -->' || chr(10), n_dynamic) ELSE '' END,
     {q(RP.SITEMAP_TAIL)}) AS xml
   FROM smp JOIN smd USING (project_id))"""
 
@@ -709,8 +712,8 @@ ctx AS (SELECT r.project_id, sum(length(concat('| `', r.path, '` | `', coalesce(
           CASE WHEN k.client_hooks_found IS NOT NULL AND k.client_hooks_found <> '' THEN k.client_hooks_found ELSE '-' END,
           ' | ', r.data_fetch_pattern, ' |' || chr(10)))) AS context_chars
         FROM routes r LEFT JOIN comps k ON k.project_id = r.project_id AND k.file_path = r.component_file GROUP BY 1),
-bt AS (SELECT pp.*, CAST(length(concat('## SOURCE FILES' || chr(10),
-          CASE WHEN total_parts > 1 THEN printf('> **Part %d of %d**' || chr(10) || '> Migrate these files using the project context and classification summary above.' || chr(10), part_number, total_parts) ELSE '' END,
+bt AS (SELECT pp.*, CAST(length(concat('## Files' || chr(10),
+          CASE WHEN total_parts > 1 THEN printf('> Part %d of %d; the project context above holds for every part.' || chr(10), part_number, total_parts) ELSE '' END,
           chr(10))) + coalesce(ctx.context_chars, 0) + section_chars AS BIGINT) AS chars
        FROM pp LEFT JOIN ctx USING (project_id))
 SELECT project_id, part_number, total_parts,
@@ -721,23 +724,55 @@ AUDIT["bundle_tokens"] = BUNDLE_TOKENS_SQL
 
 
 REPORT_MD_SQL = f"""{_AUD}, {META_CTE}, {FACTS_CTE},
-il AS (SELECT project_id, string_agg(printf('### %d. %s' || chr(10) || chr(10) || '**Severity:** %s' || chr(10) || '**Category:** %s'
-          || chr(10) || chr(10) || '---' || chr(10), issue_no, title, upper(severity), category), chr(10) ORDER BY issue_no) AS lines
+il AS (SELECT project_id, string_agg(concat('### ', issue_no, '. ', title, chr(10), chr(10), '- severity: ', severity, chr(10), '- category: ', category,
+          chr(10), '- see: ', docs_url, chr(10), chr(10), description, chr(10), chr(10), recommendation, chr(10)), chr(10) ORDER BY issue_no) AS lines
        FROM issues GROUP BY 1)
-SELECT s.project_id, concat('# SEO Audit Report' || chr(10) || chr(10) || '**Project:** `', s.project_id,
-  '`' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## SEO Score: ', CAST(s.seo_score AS VARCHAR), '/100' || chr(10) || chr(10),
-  CASE WHEN s.seo_score >= 80 THEN '**Good** - Minor improvements recommended.'
-       WHEN s.seo_score >= 50 THEN '**Needs work** - Several SEO issues detected.'
-       ELSE '**Critical issues** - This site is likely poorly indexed by search engines.' END,
-  chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|---|---|' || chr(10),
-  printf('| Rendering type | `%s` |' || chr(10) || '| Framework | `%s` |' || chr(10) || '| Total routes found | %d |' || chr(10)
-         || '| Dynamic routes | %d |' || chr(10) || '| Lazy-loaded routes | %d |' || chr(10),
-         b.rendering_type, b.framework, s.total_routes, s.dynamic_routes, s.lazy_routes),
-  printf(chr(10) || '## Issues Summary' || chr(10) || chr(10) || '| Severity | Count |' || chr(10) || '|---|---|' || chr(10)
-         || '| Critical | %d |' || chr(10) || '| High | %d |' || chr(10) || '| Medium | %d |' || chr(10) || '| Low | %d |'
-         || chr(10) || chr(10) || '## Issues Detail' || chr(10) || chr(10),
-         s.critical_count, s.high_count, s.medium_count, s.low_count),
-  coalesce(il.lines, '')) AS markdown
-FROM score s LEFT JOIN bundle b USING (project_id) LEFT JOIN il USING (project_id)
+SELECT s.project_id, concat('# Audit of `', s.project_id, '`', chr(10), chr(10), 'Score: ', s.seo_score, ' of 100 (',
+  CASE s.score_band WHEN 'good' THEN 'good' WHEN 'needs_work' THEN 'needs work' ELSE 'critical' END, ')', chr(10), chr(10),
+  '| Fact | Value |', chr(10), '|---|---|', chr(10),
+  '| Framework | ', b.framework, ' |', chr(10), '| Rendering | ', b.rendering_type, ' |', chr(10),
+  '| React | ', coalesce(b.react_version, '-'), ' |', chr(10), '| Router | ', coalesce(b.react_router_version, '-'), ' |', chr(10),
+  '| Entry | ', coalesce(b.entry_point, '-'), ' |', chr(10), '| Build folder | ', coalesce(b.build_output_dir, '-'), ' |', chr(10),
+  '| Dependencies | ', b.total_dependencies, ' |', chr(10),
+  '| Routes | ', s.total_routes, ' |', chr(10), '| Dynamic routes | ', s.dynamic_routes, ' |', chr(10), '| Lazy routes | ', s.lazy_routes, ' |', chr(10),
+  chr(10), '| Vital | Risk |', chr(10), '|---|---|', chr(10), '| LCP | ', w.lcp_risk, ' |', chr(10), '| CLS | ', w.cls_risk, ' |', chr(10),
+  '| INP | ', w.fid_risk, ' |', chr(10), chr(10), w.notes, CASE WHEN w.notes = '' THEN '' ELSE chr(10) || chr(10) END,
+  '| Severity | Issues |', chr(10), '|---|---|', chr(10), '| critical | ', s.critical_count, ' |', chr(10), '| high | ', s.high_count, ' |', chr(10),
+  '| medium | ', s.medium_count, ' |', chr(10), '| low | ', s.low_count, ' |', chr(10), chr(10), coalesce(il.lines, '')) AS markdown
+FROM score s LEFT JOIN bundle b USING (project_id) LEFT JOIN cwv w USING (project_id) LEFT JOIN il USING (project_id)
 WHERE s.status = 'ok'"""
 AUDIT["report_md"] = REPORT_MD_SQL
+
+BUNDLE_FIELDS = """framework react_version react_router_version has_ssr_setup has_ssg_setup has_helmet has_helmet_async
+has_react_query has_swr has_existing_prerender entry_point build_output_dir total_dependencies rendering_type""".split()
+CWV_FIELDS = """lcp_risk cls_risk fid_risk estimated_js_imports_per_route images_without_dimensions lazy_loaded_routes
+third_party_scripts large_bundle_risk notes total_imports""".split()
+SCORE_FIELDS = """status total_routes dynamic_routes lazy_routes routes_with_client_metadata critical_count high_count
+medium_count low_count seo_score score_band gate""".split()
+
+
+def _fields(alias: str, names: list[str], special: dict[str, str] | None = None) -> str:
+    return ", ".join(f"{n}: {(special or {}).get(n, f'{alias}.{n}')}" for n in names)
+
+
+AUDIT["report_json"] = f"""{_AUD}, {META_CTE}, {FACTS_CTE},
+ia AS (SELECT project_id, list({{'issue_no': issue_no, 'rule': rule, 'severity': severity, 'category': category, 'title': title,
+         'description': description, 'recommendation': recommendation, 'docs_url': docs_url,
+         'affected_files': affected_files, 'affected_routes': affected_routes}} ORDER BY issue_no) AS issues FROM issues GROUP BY 1),
+ba AS (SELECT project_id, to_json({{{_fields('b', BUNDLE_FIELDS)}}}) AS j FROM bundle b),
+wa AS (SELECT project_id, to_json({{{_fields('w', CWV_FIELDS, {'notes': "CASE WHEN w.notes = '' THEN [] ELSE string_split(w.notes, chr(10)) END"})}}}) AS j FROM cwv w)
+SELECT s.project_id, concat('{{"project_id":', to_json(s.project_id), ',',
+  {", ',', ".join(f"{q(f'"{c}":')}, coalesce(CAST(to_json(s.{c}) AS VARCHAR), 'null')" for c in SCORE_FIELDS)},
+  ',"bundle":', coalesce(CAST(ba.j AS VARCHAR), 'null'), ',"cwv":', coalesce(CAST(wa.j AS VARCHAR), 'null'),
+  ',"issues":', coalesce(CAST(to_json(ia.issues) AS VARCHAR), 'null'), ',"analysed_at":"2024-01-01T00:00:00Z"}}') AS json
+FROM score s LEFT JOIN ba USING (project_id) LEFT JOIN wa USING (project_id) LEFT JOIN ia USING (project_id)"""
+
+AUDIT["report_lines"] = f"""{_AUD}, {META_CTE}, {FACTS_CTE}
+SELECT project_id, 'routes' AS section, path AS item,
+  concat('| `', path, '` | ', coalesce(component_file, '-'), ' | ', CASE WHEN is_dynamic THEN 'yes' ELSE 'no' END, ' | ',
+         CASE WHEN is_lazy THEN 'yes' ELSE 'no' END, ' | ', data_fetch_pattern, ' |') AS line FROM routes
+UNION ALL
+SELECT project_id, 'metadata', file_path,
+  concat('| `', file_path, '` | ', strategy, ' | ', array_to_string(list_filter([
+    CASE WHEN sets_title THEN 'title' END, CASE WHEN sets_description THEN 'description' END, CASE WHEN sets_og_tags THEN 'og' END,
+    CASE WHEN sets_canonical THEN 'canonical' END], lambda x: x IS NOT NULL), ', '), ' |') FROM fmeta"""

@@ -50,8 +50,7 @@ def sitemap(routes: DataFrame, base_url: Column | None = None) -> DataFrame:
             "").alias("body"))
     dyn = routes.groupBy("project_id").agg(F.count_if("is_dynamic").alias("n_dynamic"))
     comment = F.when((F.col("part") == 1) & (F.col("n_dynamic") > 0), F.format_string(
-        "  <!-- %d dynamic route(s) were detected and skipped. Supply explicit IDs or slugs "
-        "to include them in a production sitemap. -->\n", F.col("n_dynamic"))).otherwise(F.lit(""))
+        "  <!-- %d dynamic routes left out: list their real addresses to include them. -->\n", F.col("n_dynamic"))).otherwise(F.lit(""))
     return parts.join(dyn, "project_id").select(
         "project_id", "part", "url_count",
         F.concat(F.lit(SITEMAP_HEAD), F.col("body"), comment, F.lit(SITEMAP_TAIL)).alias("xml"))
@@ -70,8 +69,8 @@ def file_section(name: Column, ctype: Column, reasons: Column, notes: Column, te
 
 
 def part_header(part: Column, total: Column) -> Column:
-    return F.concat(F.lit("## SOURCE FILES\n"), F.when(total > 1, F.format_string(
-        "> **Part %d of %d**\n> Migrate these files using the project context and classification summary above.\n",
+    return F.concat(F.lit("## Files\n"), F.when(total > 1, F.format_string(
+        "> Part %d of %d; the project context above holds for every part.\n",
         part, total)).otherwise(""), F.lit("\n"))
 
 
@@ -129,42 +128,76 @@ def write_bundles(sections: DataFrame, out_dir: str) -> None:
      .write.mode("overwrite").partitionBy("project_id", "part_number").text(out_dir))
 
 
-def report_rows(score: DataFrame, bundle: DataFrame, cwv: DataFrame, issues: DataFrame) -> DataFrame:
-    """K1/A10: one nested summary row per project (issues ≤ 10, in order)."""
+def report_rows(score: DataFrame, bundle: DataFrame, cwv: DataFrame, issues: DataFrame,
+                analysed_at: str) -> DataFrame:
+    """K1/A10: one nested summary row per project (issues ≤ 10, in order),
+    stamped with the given time.  Routes, findings and affected routes stay
+    side tables keyed by project (``report_lines``, ``issue_routes``)."""
     iss = issues.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct(
-        "issue_no", "rule", "severity", "category", "title", "affected_files", "affected_routes"))).alias("issues"))
+        "issue_no", "rule", "severity", "category", "title", "description", "recommendation", "docs_url",
+        "affected_files", "affected_routes"))).alias("issues"))
     b = bundle.select("project_id", F.struct(*[c for c in bundle.columns if c != "project_id"]).alias("bundle"))
     w = cwv.select("project_id", F.struct(*[c for c in cwv.columns if c != "project_id"]).alias("cwv"))
     return (score.join(b, "project_id", "left").join(w, "project_id", "left").join(iss, "project_id", "left")
-            .withColumn("analysed_at", F.current_timestamp()))
+            .withColumn("analysed_at", F.lit(analysed_at)))
 
 
 def report_json(rows: DataFrame) -> DataFrame:
-    return rows.select("project_id", F.to_json(F.struct(*[c for c in rows.columns])).alias("json"))
+    return rows.select("project_id", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def _table(head: str, *rows: tuple[str, Column]) -> list[Column]:
+    """A Markdown table of two columns."""
+    out = [F.lit(f"| {head} |\n|---|---|\n")]
+    for name, value in rows:
+        out += [F.lit(f"| {name} | "), value.cast("string"), F.lit(" |\n")]
+    return out
 
 
 def report_markdown(rows: DataFrame) -> DataFrame:
-    """K2: Markdown summary per project (score, band, counts, issue list)."""
-    issue_lines = F.array_join(F.transform(F.coalesce("issues", F.array()), lambda i: F.format_string(
-        "### %d. %s\n\n**Severity:** %s\n**Category:** %s\n\n---\n",
-        i["issue_no"], i["title"], F.upper(i["severity"]), i["category"])), "\n")
-    band = (F.when(F.col("seo_score") >= 80, "**Good** - Minor improvements recommended.")
-            .when(F.col("seo_score") >= 50, "**Needs work** - Several SEO issues detected.")
-            .otherwise("**Critical issues** - This site is likely poorly indexed by search engines."))
+    """K2: Markdown summary per project: score, facts, vitals, issues."""
+    issue_lines = F.array_join(F.transform(F.coalesce("issues", F.array()), lambda i: F.concat(
+        F.lit("### "), i["issue_no"].cast("string"), F.lit(". "), i["title"], F.lit("\n\n- severity: "), i["severity"],
+        F.lit("\n- category: "), i["category"], F.lit("\n- see: "), i["docs_url"], F.lit("\n\n"), i["description"],
+        F.lit("\n\n"), i["recommendation"], F.lit("\n"))), "\n")
+
+    def known(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit("-"))
+
+    notes = F.array_join("cwv.notes", "\n")
     md = F.concat(
-        F.lit("# SEO Audit Report\n\n**Project:** `"), F.col("project_id"), F.lit("`\n\n---\n\n## SEO Score: "),
-        F.col("seo_score").cast("string"), F.lit("/100\n\n"), band, F.lit("\n\n| Metric | Value |\n|---|---|\n"),
-        F.format_string("| Rendering type | `%s` |\n| Framework | `%s` |\n| Total routes found | %d |\n"
-                        "| Dynamic routes | %d |\n| Lazy-loaded routes | %d |\n",
-                        F.col("bundle.rendering_type"), F.col("bundle.framework"), F.col("total_routes"),
-                        F.col("dynamic_routes"), F.col("lazy_routes")),
-        F.format_string("\n## Issues Summary\n\n| Severity | Count |\n|---|---|\n| Critical | %d |\n| High | %d |\n"
-                        "| Medium | %d |\n| Low | %d |\n\n## Issues Detail\n\n",
-                        F.col("critical_count"), F.col("high_count"), F.col("medium_count"), F.col("low_count")),
-        issue_lines)
+        F.lit("# Audit of `"), F.col("project_id"), F.lit("`\n\nScore: "), F.col("seo_score").cast("string"),
+        F.lit(" of 100 ("), F.replace("score_band", F.lit("_"), F.lit(" ")), F.lit(")\n\n"),
+        *_table("Fact | Value", ("Framework", F.col("bundle.framework")), ("Rendering", F.col("bundle.rendering_type")),
+                ("React", known("bundle.react_version")), ("Router", known("bundle.react_router_version")),
+                ("Entry", known("bundle.entry_point")), ("Build folder", known("bundle.build_output_dir")),
+                ("Dependencies", F.col("bundle.total_dependencies")), ("Routes", F.col("total_routes")),
+                ("Dynamic routes", F.col("dynamic_routes")), ("Lazy routes", F.col("lazy_routes"))),
+        F.lit("\n"), *_table("Vital | Risk", ("LCP", F.col("cwv.lcp_risk")), ("CLS", F.col("cwv.cls_risk")),
+                             ("INP", F.col("cwv.fid_risk"))),
+        F.lit("\n"), notes, F.when(notes == "", "").otherwise("\n\n"),
+        *_table("Severity | Issues", *[(k, F.col(f"{k}_count")) for k in ("critical", "high", "medium", "low")]),
+        F.lit("\n"), issue_lines)
     return rows.where(F.col("status") == "ok").select("project_id", md.alias("markdown"))
 
 
+def report_lines(routes: DataFrame, findings: DataFrame) -> DataFrame:
+    """K2's route and metadata tables as one row per line, so that a project
+    of any size fits: (project_id, section, item, line)."""
+    def yes(c: str) -> Column:
+        return F.when(F.col(c), "yes").otherwise("no")
+
+    r = routes.select("project_id", F.lit("routes").alias("section"), F.col("path").alias("item"), F.concat(
+        F.lit("| `"), F.col("path"), F.lit("` | "), F.coalesce("component_file", F.lit("-")), F.lit(" | "), yes("is_dynamic"),
+        F.lit(" | "), yes("is_lazy"), F.lit(" | "), F.col("data_fetch_pattern"), F.lit(" |")).alias("line"))
+    sets = F.array_join(F.array_compact(F.array(*[F.when(F.col(c), n) for c, n in (
+        ("sets_title", "title"), ("sets_description", "description"), ("sets_og_tags", "og"),
+        ("sets_canonical", "canonical"))])), ", ")
+    f = findings.select("project_id", F.lit("metadata").alias("section"), F.col("file_path").alias("item"), F.concat(
+        F.lit("| `"), F.col("file_path"), F.lit("` | "), F.col("strategy"), F.lit(" | "), sets, F.lit(" |")).alias("line"))
+    return r.unionByName(f)
+
+
 def write_reports(rows: DataFrame, out_dir: str) -> None:
     """K1 sink: nested JSON report rows, one folder per project."""
     rows.write.mode("overwrite").partitionBy("project_id").json(out_dir)

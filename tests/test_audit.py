@@ -9,11 +9,12 @@ def test_routes_golden(audit):
     got = rows(audit.routes, "project_id", "path", "component_file", "is_dynamic", "is_lazy",
                "data_fetch_pattern", "line_number")
     assert got == sorted([
-        ("cra_basic", "/", "src/pages/Home.jsx", False, False, "react_query", 14),
-        ("cra_basic", "/about", "src/pages/About.jsx", False, False, "none", 15),
-        ("cra_basic", "/product/:id", "src/pages/Product.jsx", True, True, "react_query", 16),
-        ("vite_with_router", "/", "src/App.jsx", False, False, "none", 14),
-        ("vite_with_router", "/docs/:slug", "src/App.jsx", True, False, "none", 15),
+        ("bakery", "/", "src/views/Front.jsx", False, False, "swr", 10),
+        ("bakery", "/help/*", "src/views/Front.jsx", True, False, "swr", 11),
+        ("bakery", "/hours", "src/views/Hours.jsx", False, False, "none", 13),
+        ("bakery", "/order/:cake", "src/views/Order.jsx", True, True, "none", 14),
+        ("atlas", "/", "src/Sheet.jsx", False, False, "none", 5),
+        ("atlas", "/sheet/:grid", "src/Sheet.jsx", True, False, "none", 6),
     ])
 
 
@@ -21,54 +22,67 @@ def test_metadata_golden(audit):
     got = rows(audit.findings, "file_path", "strategy", "sets_title", "sets_description", "sets_og_tags",
                "sets_canonical", "title_is_dynamic", "line_numbers")
     assert got == [
-        ("src/index.js", "react_helmet_async", False, False, False, False, False, [3]),
-        ("src/pages/About.jsx", "react_helmet_async", True, True, False, False, False, [2, 7, 8]),
-        ("src/pages/Home.jsx", "react_helmet_async", True, True, True, False, False, [2, 10, 11]),
-        ("src/pages/Product.jsx", "react_helmet_async", True, True, False, False, True, [2, 15, 16]),
+        ("src/Sheet.jsx", "document_title_direct", True, False, False, False, False, [2]),
+        ("src/views/Front.jsx", "react_helmet_async", True, False, True, True, False, [2, 7]),
+        ("src/views/Order.jsx", "react_helmet_async", True, True, False, False, True, [2, 7]),
     ]
 
 
 def test_bundle_golden(audit):
     got = {r.project_id: r for r in audit.bundle.collect()}
-    assert (got["cra_basic"].framework, got["cra_basic"].rendering_type) == ("cra", "csr")
-    assert (got["vite_with_router"].framework, got["vite_with_router"].react_router_version) == ("vite", "6")
-    assert got["cra_basic"].total_dependencies == 5 and got["vite_with_router"].total_dependencies == 4
-    assert got["cra_basic"].entry_point == "src/index.js"
-    assert got["cra_basic"].has_helmet_async and got["cra_basic"].has_react_query
+    b, a = got["bakery"], got["atlas"]
+    assert (b.framework, b.rendering_type, b.react_version, b.react_router_version) == ("cra", "csr", "17", "5")
+    assert (a.framework, a.rendering_type, a.react_version, a.react_router_version) == ("vite", "csr", "18", "6")
+    assert (b.total_dependencies, a.total_dependencies) == (5, 4)
+    assert (b.entry_point, a.entry_point) == ("src/index.jsx", "src/main.jsx")
+    assert (b.build_output_dir, a.build_output_dir) == (None, "public_html")
+    assert b.has_helmet_async and b.has_swr and not b.has_helmet and not a.has_react_query
 
 
 def test_cwv_golden(audit):
     got = {r.project_id: r for r in audit.cwv.collect()}
-    c = got["cra_basic"]
-    assert (c.total_imports, c.estimated_js_imports_per_route) == (19, 6.3)
-    assert (c.lcp_risk, c.cls_risk, c.fid_risk, c.images_without_dimensions) == ("medium", "medium", "medium", 1)
-    v = got["vite_with_router"]
-    assert (v.total_imports, v.estimated_js_imports_per_route, v.lcp_risk) == (5, 2.5, "low")
+    b = got["bakery"]
+    # 2 imports in the entry, 4 and a lazy one in App, 2 each in Front and Order; 10 / 4 routes.
+    assert (b.total_imports, b.estimated_js_imports_per_route, b.third_party_scripts) == (10, 2.5, 1)
+    assert (b.lcp_risk, b.cls_risk, b.fid_risk, b.images_without_dimensions) == ("low", "medium", "medium", 1)
+    a = got["atlas"]
+    assert (a.total_imports, a.estimated_js_imports_per_route, a.cls_risk, a.fid_risk) == (2, 1.0, "low", "low")
 
 
 def test_issues_and_score_golden(audit):
     fired = {}
     for r in audit.issues.collect():
         fired.setdefault(r.project_id, []).append((r.issue_no, r.rule))
-    assert [n for _, n in sorted(fired["cra_basic"])] == [1, 3, 4, 5, 7, 9, 10]
-    assert [n for _, n in sorted(fired["vite_with_router"])] == [1, 2, 4, 5, 6, 7, 10]
+        assert r.description and r.recommendation and r.docs_url.startswith("https://")
+    assert [n for _, n in sorted(fired["bakery"])] == [1, 3, 4, 5, 9]
+    assert [n for _, n in sorted(fired["atlas"])] == [1, 4, 5, 6, 7, 10]
     s = {r.project_id: r for r in audit.score.collect()}
-    c, v = s["cra_basic"], s["vite_with_router"]
-    assert (c.critical_count, c.high_count, c.medium_count, c.low_count) == (1, 3, 2, 1)
-    assert (v.critical_count, v.high_count, v.medium_count, v.low_count) == (2, 2, 2, 1)
-    assert (c.seo_score, v.seo_score, c.gate, v.gate) == (34, 42, 2, 2)
-    assert c.routes_with_client_metadata == 3 and 0 <= c.seo_score <= 100
+    b, a = s["bakery"], s["atlas"]
+    assert (b.critical_count, b.high_count, b.medium_count, b.low_count) == (1, 3, 1, 0)
+    assert (a.critical_count, a.high_count, a.medium_count, a.low_count) == (1, 2, 2, 1)
+    # 100 - 40 (client rendering) - 10 (its metadata) - 5 - 3 each high - 1 each medium
+    assert (b.seo_score, a.seo_score, b.gate, a.gate) == (35, 37, 2, 2)
+    assert (b.routes_with_client_metadata, a.routes_with_client_metadata) == (3, 2)
+
+
+def test_issue_routes(audit):
+    from sitelens.operators.issues import issue_routes
+    i = {(r.project_id, r.rule): r for r in audit.issues.collect()}[("bakery", 4)]
+    assert i.affected_routes == 2 and "/help/*, /order/:cake" in i.description
+    got = rows(issue_routes(audit.routes), "project_id", "rule", "path")
+    assert got == [("atlas", 4, "/sheet/:grid"), ("bakery", 4, "/help/*"), ("bakery", 4, "/order/:cake")]
 
 
 def test_components_golden(audit):
     from sitelens.operators.components import classify_components
     got = {(r.project_id, r.file_path): r for r in classify_components(audit.sources).collect()}
-    assert got[("cra_basic", "src/index.js")].reasons == ["Accesses browser global: document"]
-    assert got[("cra_basic", "src/App.jsx")].component_type == "server"
-    p = got[("cra_basic", "src/pages/Product.jsx")]
-    assert (p.component_type, p.client_hooks_found, p.data_fetch_pattern) == ("client", ["useParams", "useQuery"], "react_query")
-    assert p.reasons == ["Uses useParams()", "Uses useQuery()"]
-    assert got[("cra_basic", "src/pages/Home.jsx")].migration_notes
+    assert got[("bakery", "src/index.jsx")].reasons == ["Accesses browser global: window"]
+    assert got[("bakery", "src/App.jsx")].component_type == "server"
+    f = got[("bakery", "src/views/Front.jsx")]
+    assert (f.component_type, f.client_hooks_found, f.data_fetch_pattern) == ("client", ["useSWR"], "swr")
+    assert f.migration_notes
+    o = got[("bakery", "src/views/Order.jsx")]
+    assert o.client_hooks_found == ["useState"] and len(o.reasons) == 2
 
 
 def test_static_component_is_server(spark):
@@ -81,31 +95,31 @@ def test_static_component_is_server(spark):
 def test_scan_excludes_and_status(spark):
     import fixtures
     from sitelens.operators.scan import project_status, source_files
-    extra = [("cra_basic", "node_modules/react/index.js", "x"), ("cra_basic", "src/a.test.js", "x"),
+    extra = [("bakery", "node_modules/react/index.js", "x"), ("bakery", "src/a.test.js", "x"),
              ("bad", "package.json", "{not json"), ("norx", "package.json", '{"dependencies":{"vue":"3"}}'),
              ("nopkg", "src/index.js", "x")]
     sf = fixtures.site_files(spark, extra)
     st = {r.project_id: r.status for r in project_status(sf).collect()}
-    assert st == {"cra_basic": "ok", "vite_with_router": "ok", "bad": "invalid_json",
+    assert st == {"bakery": "ok", "atlas": "ok", "bad": "invalid_json",
                   "norx": "not_react", "nopkg": "no_package_json"}
-    paths = {r.path for r in source_files(sf).where(F.col("project_id") == "cra_basic").collect()}
+    paths = {r.path for r in source_files(sf).where(F.col("project_id") == "bakery").collect()}
     assert "node_modules/react/index.js" not in paths and "src/a.test.js" not in paths
     assert "src/App.jsx" in paths
 
 
 def test_sitemap_skips_dynamic(audit):
     from sitelens.plans.reports import sitemap
-    xml = {r.project_id: r.xml for r in sitemap(audit.routes).collect()}["cra_basic"]
-    assert "<loc>https://cra_basic.example.com/</loc>" in xml and "/about</loc>" in xml
-    assert "/product/:id" not in xml and "1 dynamic route(s)" in xml
+    xml = {r.project_id: r.xml for r in sitemap(audit.routes).collect()}["bakery"]
+    assert "<loc>https://bakery.example.com/</loc>" in xml and "/hours</loc>" in xml
+    assert "/order/:cake" not in xml and "2 dynamic" in xml
     assert "<priority>1.0</priority>" in xml and "<priority>0.8</priority>" in xml
 
 
 def test_reports(audit):
     from sitelens.plans.reports import report_json, report_markdown, report_rows
-    r = report_rows(audit.score, audit.bundle, audit.cwv, audit.issues)
+    r = report_rows(audit.score, audit.bundle, audit.cwv, audit.issues, "2024-05-06T07:08:09Z")
     md = {x.project_id: x.markdown for x in report_markdown(r).collect()}
-    assert "34/100" in md["cra_basic"]
+    assert "Score: 35 of 100 (critical)" in md["bakery"] and "| LCP | low |" in md["bakery"]
     assert report_json(r).count() == 2
 
 
@@ -115,11 +129,11 @@ def test_bundle_sink_and_tokens(spark, audit, tmp_path):
     from sitelens.plans.reports import bundle_sections, bundle_tokens, write_bundles
     chunks, comps = chunk_files(audit.sources), classify_components(audit.sources)
     tok = {r.project_id: r for r in bundle_tokens(chunks, comps, audit.routes).collect()}
-    assert tok["cra_basic"].bundle_name == "bundle.md" and tok["cra_basic"].n_files == 5
-    assert tok["cra_basic"].estimated_tokens == tok["cra_basic"].chars // 4
+    assert tok["bakery"].bundle_name == "bundle.md" and tok["bakery"].n_files == 5
+    assert tok["bakery"].estimated_tokens == tok["bakery"].chars // 4
     out = str(tmp_path / "bundles")
     write_bundles(bundle_sections(chunks, comps, audit.sources), out)
-    text = "\n".join(r.value for r in spark.read.text(out).where("project_id = 'cra_basic'").collect())
+    text = "\n".join(r.value for r in spark.read.text(out).where("project_id = 'bakery'").collect())
     assert "### `App.jsx`" in text and "**Type:** CLIENT" in text
 
 
@@ -135,13 +149,13 @@ def test_source_tree_reader(spark, tmp_path):
     got = sorted((r.project_id, r.path) for r in sf.select("project_id", "path").collect())
     assert got == sorted((p, q) for p, q, _ in fixtures.ROWS)
     score = {r.project_id: r.seo_score for r in run_audit(sf).score.collect()}
-    assert score == {"cra_basic": 34, "vite_with_router": 42}
+    assert score == {"bakery": 35, "atlas": 37}
 
 
 def test_report_roundtrip(spark, audit, tmp_path):
     from sitelens.plans.reports import read_reports, report_rows, write_reports
-    rows = report_rows(audit.score, audit.bundle, audit.cwv, audit.issues)
+    rows = report_rows(audit.score, audit.bundle, audit.cwv, audit.issues, "2024-05-06T07:08:09Z")
     write_reports(rows, str(tmp_path / "reports"))
     back = {r.project_id: r for r in read_reports(spark, str(tmp_path / "reports"), rows.drop("project_id").schema
                                                   .add("project_id", "string")).collect()}
-    assert back["cra_basic"].seo_score == 34 and len(back["cra_basic"].issues) == 7
+    assert back["bakery"].seo_score == 35 and len(back["bakery"].issues) == 5
