@@ -14,6 +14,8 @@ from sitelens.functions import constants as C
 from sitelens.operators.asof import asof
 
 MAX_ID = (1 << 63) - 1
+# Longest crawler list that is read into a plan; a longer one is refused.
+MOST_TOKENS = 1000
 
 
 # --------------------------------------------------------------- bots
@@ -41,15 +43,20 @@ def tag_bots(requests: DataFrame) -> DataFrame:
 def bot_token_hits(requests: DataFrame, bots: DataFrame) -> DataFrame:
     """Which crawler token each request matches, counted per token.
 
-    Requests are first reduced to distinct (user_agent, user_id) pairs with a
-    count (map-side partial aggregation), so the substring theta-join only
-    sees those pairs.  The crawler list is a fixed 41-row table, so the
-    broadcast side has a proven bound.
+    The list is fixed and short (41 rows), so it is read into one array
+    literal; each distinct user agent is matched once, and its tokens are
+    joined back to the counts by equality.
     """
-    pairs = (requests.groupBy("user_agent", "user_id").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("ua", F.lower("user_agent")))
-    hits = pairs.join(F.broadcast(bots), F.col("ua").contains(F.col("token")), "inner")
-    return hits.groupBy("version", "token").agg(
+    listed = [(r.version, r.token) for r in bots.limit(MOST_TOKENS + 1).collect()]
+    if len(listed) > MOST_TOKENS:
+        raise ValueError(f"a crawler list of more than {MOST_TOKENS} rows")
+    tokens = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(t).alias("token")) for v, t in listed]) if listed else \
+        F.array().cast("array<struct<version:string,token:string>>")
+    agents = (requests.select("user_agent").distinct()
+              .withColumn("hit", F.explode(F.filter(tokens, lambda x: F.lower("user_agent").contains(x["token"]))))
+              .select("user_agent", "hit.*"))
+    pairs = requests.groupBy("user_agent", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(agents, "user_agent").groupBy("version", "token").agg(
         F.sum("n").alias("hits"), F.countDistinct("user_id").alias("users"))
 
 
@@ -146,34 +153,44 @@ def invalidations(requests: DataFrame) -> DataFrame:
 
 
 def _latest_writes(requests: DataFrame, invalidated: DataFrame | None) -> DataFrame:
-    writes = render_log(requests).where("ok")
-    latest = writes.groupBy("cache_key").agg(
-        F.count(F.lit(1)).alias("writes"),
-        F.max(F.struct("t", "id", X.url_normalize("url").alias("norm_url"))).alias("w"))
-    latest = latest.select("cache_key", "writes", F.col("w.norm_url").alias("norm_url"),
-                           F.col("w.id").alias("stored_event_id"), F.col("w.t").alias("stored_us"))
-    if invalidated is None:
-        invalidated = invalidations(requests)
-    last_inv = invalidated.groupBy("cache_key").agg(F.max("t").alias("inv_us"))
-    return latest.join(last_inv, "cache_key", "left").withColumn(
-        "kept", F.col("inv_us").isNull() | (F.col("inv_us") < F.col("stored_us")))
+    """One row per key with a write, from one aggregate of the log; given
+    invalidations are aggregated apart and joined one to one."""
+    ok = F.col("status").isNotNull() & (F.col("status") < 400) & X.url_ok("url")
+    t = X.epoch_us("ts")
+    write = F.struct(t.alias("t"), F.col("event_id").alias("id"), X.url_normalize("url").alias("norm_url"))
+    own = F.max(F.when(F.col("event_type") == "purchase", t)) if invalidated is None else F.lit(None).cast("long")
+    latest = requests.groupBy(X.cache_key("url").alias("cache_key")).agg(
+        F.count_if(ok).alias("writes"), F.max(F.when(ok, write)).alias("w"), own.alias("inv_us"),
+        F.max(F.when(X.url_ok("url"), t)).alias("seen_us"))
+    if invalidated is not None:
+        latest = latest.drop("inv_us").join(
+            invalidated.groupBy("cache_key").agg(F.max("t").alias("inv_us")), "cache_key", "left")
+    stored = F.col("w.t")
+    return latest.select("cache_key", "writes", F.col("w.norm_url").alias("norm_url"),
+                         F.col("w.id").alias("stored_event_id"), stored.alias("stored_us"), "seen_us",
+                         (stored.isNotNull() & (F.col("inv_us").isNull() | (F.col("inv_us") < stored))).alias("kept"))
 
 
 def snapshot_latest(requests: DataFrame, invalidated: DataFrame | None = None) -> DataFrame:
     """K5 + K6: last successful write per key wins; a later invalidation
     deletes it.  Both sides are pre-aggregated to one row per key, so the
     delete is an equi-join, never a pairwise range join."""
-    return _latest_writes(requests, invalidated).where("kept").drop("inv_us", "kept")
+    return _latest_writes(requests, invalidated).where("kept").drop("seen_us", "kept")
+
+
+def snapshot_clear(requests: DataFrame, invalidated: DataFrame | None = None) -> DataFrame:
+    """K6, delete-all at the log's end: how many entries it removes."""
+    return snapshot_latest(requests, invalidated).agg(F.count(F.lit(1)).alias("deleted_entries"))
 
 
 def snapshot_stats(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
                    invalidated: DataFrame | None = None) -> DataFrame:
-    """Entries, fresh (age < TTL), stale and deleted at the log's end time.
-
-    "Now" is the last request time, a scalar subquery (computed once)."""
-    now = render_log(requests).select(F.max("t")).scalar()
+    """Entries, fresh (age < TTL), stale and deleted at the log's end time
+    (the last render request)."""
     ttl_us = ttl_seconds * 1_000_000
-    s = _latest_writes(requests, invalidated).agg(
+    rows = _latest_writes(requests, invalidated)
+    now = rows.select(F.max("seen_us")).scalar()
+    s = rows.where(F.col("stored_us").isNotNull()).agg(
         F.count_if("kept").alias("total_entries"),
         F.count_if(F.col("kept") & ((now - F.col("stored_us")) < ttl_us)).alias("fresh_entries"),
         F.count_if(~F.col("kept")).alias("deleted_entries"))
@@ -182,15 +199,29 @@ def snapshot_stats(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS
                     "deleted_entries", F.lit(ttl_seconds).alias("ttl_seconds"))
 
 
+def _with_end(writes: DataFrame, invalidated: DataFrame, bucket_us: int) -> DataFrame:
+    """Writes (cache_key, t, id, ...) with ``end_us``: the first invalidation
+    of their key at or after them (deletes of a microsecond come after its
+    requests)."""
+    inv = invalidated.select("cache_key", "t", F.lit(MAX_ID).alias("id"))
+    m = asof(writes, inv, "cache_key", direction="forward", bucket_us=bucket_us, out="v")
+    return m.select(*writes.columns, F.col("v.t").alias("end_us"))
+
+
 def snapshot_asof(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
-                  bucket_us: int = 3_600_000_000) -> DataFrame:
+                  bucket_us: int = 3_600_000_000, invalidated: DataFrame | None = None) -> DataFrame:
     """For each render request, the freshest earlier successful write of
-    its key, and whether it is still within TTL (age <= TTL is readable)."""
+    its key that no invalidation has deleted since, and whether it is still
+    within TTL (age <= TTL is readable)."""
+    if invalidated is None:
+        invalidated = invalidations(requests)
     # The keyed log is materialised once: both sides of the lookup read it.
     log = render_log(requests).select("cache_key", "t", "id", "ok").checkpoint(eager=True)
     probes = log.select("cache_key", "t", "id")
-    writes = log.where("ok").select("cache_key", "t", "id")
-    m = asof(probes, writes, "cache_key", direction="backward", bucket_us=bucket_us, out="w")
+    writes = _with_end(log.where("ok").select("cache_key", "t", "id"), invalidated, bucket_us)
+    m = asof(probes, writes, "cache_key", direction="backward", bucket_us=bucket_us,
+             value_cols=("end_us",), out="w")
+    m = m.withColumn("w", F.when(F.col("w.end_us").isNull() | (F.col("w.end_us") >= F.col("t")), F.col("w")))
     age = F.col("t") - F.col("w.t")
     return m.select(
         F.col("id").alias("event_id"), "cache_key",
@@ -202,11 +233,12 @@ def snapshot_asof(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
 # --------------------------------------------- anchored-TTL HIT/MISS
 def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
                  bucket_us: int = 3_600_000_000, max_rounds: int = 64,
-                 carry: tuple[str, ...] = ()) -> DataFrame:
+                 carry: tuple[str, ...] = (), invalidated: DataFrame | None = None) -> DataFrame:
     """HIT / MISS / ERROR of every render request under an anchored TTL.
 
     A request is a HIT when it is not forced and the snapshot stored by the
-    last successful render of its key is at most TTL old; otherwise it
+    last successful render of its key is at most TTL old and not invalidated
+    since (T6; by default each purchase invalidates); otherwise it
     renders (MISS, or ERROR when the render fails, which stores nothing).
 
     The stored snapshots ("anchors") are found without a per-key fold:
@@ -214,8 +246,8 @@ def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
     * every forced successful render is an anchor, and so is the first
       successful render of each key — these are chain heads;
     * from an anchor ``a`` the next anchor is the earlier of the next forced
-      success (a head anyway) and the first success later than ``a.t + TTL``;
-      so each success gets an "expiry" pointer, kept only when it comes
+      success (a head anyway) and the first success later than ``a.t + TTL``
+      or than the next invalidation; so each success gets an "expiry" pointer, kept only when it comes
       before the next forced success.  Both are as-of lookups (no pairs).
 
     The chains from the heads are walked by pointer doubling (log2 of the
@@ -226,11 +258,14 @@ def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
     ttl_us = ttl_seconds * 1_000_000
     # The keyed log is materialised once; every lookup below reads it.
     log = render_log(requests).select("cache_key", "t", "id", "forced", "ok", *carry).checkpoint(eager=True)
-    ok = log.where("ok").select("cache_key", "t", "id", "forced")
+    if invalidated is None:
+        invalidated = invalidations(requests)
+    # Every success with the invalidation that ends it; read three times below.
+    ok = _with_end(log.where("ok").select("cache_key", "t", "id", "forced"), invalidated, bucket_us).checkpoint(eager=True)
 
     nxt_forced = asof(ok.select("cache_key", "t", "id"), ok.where("forced").select("cache_key", "t", "id"),
                       "cache_key", direction="forward", bucket_us=bucket_us, out="f")
-    shifted = ok.select("cache_key", (F.col("t") + ttl_us).alias("t"),
+    shifted = ok.select("cache_key", F.least(F.col("t") + ttl_us, F.col("end_us")).alias("t"),
                         F.lit(MAX_ID).alias("id"), F.col("id").alias("src"))
     nxt_expired = asof(shifted, ok.select("cache_key", "t", "id"), "cache_key", direction="forward",
                        bucket_us=bucket_us, out="e")
@@ -244,11 +279,13 @@ def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
     heads = firsts.unionByName(ok.where("forced").select(F.col("id").alias("node"))).distinct()
 
     anchors = _walk_chains(heads, nxt, max_rounds)
-    anchor_rows = ok.select("cache_key", "t", "id").join(
+    anchor_rows = ok.select("cache_key", "t", "id", "end_us").join(
         anchors.withColumnRenamed("node", "id"), "id", "left_semi")
 
-    m = asof(log, anchor_rows, "cache_key", direction="backward", bucket_us=bucket_us, out="a")
-    hit = (~F.col("forced")) & F.col("a").isNotNull() & ((F.col("t") - F.col("a.t")) <= ttl_us)
+    m = asof(log, anchor_rows, "cache_key", direction="backward", bucket_us=bucket_us,
+             value_cols=("end_us",), out="a")
+    alive = F.col("a.end_us").isNull() | (F.col("a.end_us") >= F.col("t"))
+    hit = (~F.col("forced")) & F.col("a").isNotNull() & ((F.col("t") - F.col("a.t")) <= ttl_us) & alive
     outcome = F.when(hit, "HIT").when(F.col("ok"), "MISS").otherwise("ERROR")
     return m.select(F.col("id").alias("event_id"), "cache_key", "t", outcome.alias("outcome"), *carry)
 

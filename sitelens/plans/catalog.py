@@ -41,6 +41,7 @@ TRAFFIC: dict[str, Query] = {
     "url_keys": lambda s, sf: T.url_keys(D.pages_table(s, sf)),
     "snapshot_latest": lambda s, sf: T.snapshot_latest(_req(s, sf)),
     "snapshot_asof": lambda s, sf: T.snapshot_asof(_req(s, sf)),
+    "snapshot_clear": lambda s, sf: T.snapshot_clear(_req(s, sf)),
     "snapshot_stats": lambda s, sf: T.snapshot_stats(_req(s, sf)),
     "ttl_hits": lambda s, sf: T.ttl_outcomes(_req(s, sf)).drop("t"),
     "service_metrics": lambda s, sf: T.service_metrics(_req(s, sf)),
@@ -146,8 +147,8 @@ AUDIT: dict[str, Query] = {
 
 
 def _stream(spark: SparkSession, sf: str):
-    src = ST.stage_events(spark, D.read_table(spark, sf, "events"))
-    return ST.request_stream(spark, src)
+    # The given folder is the stream's landing place; nothing is staged.
+    return ST.request_stream(spark, sf, name="events.parquet")
 
 
 def _stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,9 +159,9 @@ def _stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
 STREAMING: dict[str, Query] = {
     "stream_bot_tags": lambda s, sf: ST.run_to_table(s, ST.bot_tags(_stream(s, sf)), "bots").drop("_batch"),
     "stream_metrics": _stream_metrics,
-    # Which duplicate survives is arrival-dependent; the kept key set is not.
-    "stream_dedup": lambda s, sf: ST.run_to_table(s, ST.dedup_renders(_stream(s, sf)), "dedup").select("cache_key"),
-    "stream_ttl": lambda s, sf: ST.run_to_table(s, ST.ttl_outcomes(_stream(s, sf)), "ttl").drop("_batch"),
+    "stream_dedup": lambda s, sf: ST.run_to_table(s, ST.dedup_renders(_stream(s, sf)), "dedup").drop("_batch"),
+    "stream_ttl": lambda s, sf: ST.run_to_table(s, ST.ttl_outcomes(_stream(s, sf)), "ttl").drop("_batch", "t"),
+    "stream_service": lambda s, sf: ST.service_counters(ST.run_to_table(s, ST.ttl_outcomes(_stream(s, sf)), "service")),
     "stream_snapshots": lambda s, sf: ST.snapshot_table(
         ST.run_to_table(s, ST.snapshot_events(_stream(s, sf)), "snapshots")),
 }

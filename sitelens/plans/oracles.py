@@ -54,20 +54,31 @@ LOG_CTE = f"""log AS (
          ts, url, user_agent, {norm_url('url')} AS norm_url
   FROM requests WHERE {URL_OK})"""
 
-# Anchored TTL walk, one key at a time in (t, id) order.
-TTL_CTE = f"""seq AS (
-  SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY t, id) AS rn FROM log),
+INV_CTE = f"""inv AS (SELECT sha256({norm_url('url')}) AS cache_key, epoch_us(ts) AS t FROM requests WHERE event_type = 'purchase')"""
+
+
+def walk_cte(rows: str) -> str:
+    """Anchored TTL walk, one key at a time in (t, id) order; a row with a
+    null ``ok`` empties the cache."""
+    return f"""seq AS (
+  SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY t, id) AS rn FROM ({rows})),
 walk(cache_key, rn, id, anchor, outcome) AS (
-  SELECT cache_key, rn, id, CASE WHEN ok THEN t END, CASE WHEN ok THEN 'MISS' ELSE 'ERROR' END
+  SELECT cache_key, rn, id, CASE WHEN ok THEN t END, CASE WHEN ok THEN 'MISS' WHEN NOT ok THEN 'ERROR' END
   FROM seq WHERE rn = 1
   UNION ALL
   SELECT s.cache_key, s.rn, s.id,
-    CASE WHEN NOT s.forced AND w.anchor IS NOT NULL AND s.t - w.anchor <= {TTL_US} THEN w.anchor
+    CASE WHEN s.ok IS NULL THEN NULL
+         WHEN NOT s.forced AND w.anchor IS NOT NULL AND s.t - w.anchor <= {TTL_US} THEN w.anchor
          WHEN s.ok THEN s.t ELSE w.anchor END,
-    CASE WHEN NOT s.forced AND w.anchor IS NOT NULL AND s.t - w.anchor <= {TTL_US} THEN 'HIT'
+    CASE WHEN s.ok IS NULL THEN NULL
+         WHEN NOT s.forced AND w.anchor IS NOT NULL AND s.t - w.anchor <= {TTL_US} THEN 'HIT'
          WHEN s.ok THEN 'MISS' ELSE 'ERROR' END
   FROM walk w JOIN seq s ON s.cache_key = w.cache_key AND s.rn = w.rn + 1)"""
 
+
+TTL_CTE = INV_CTE + ", " + walk_cte("""SELECT cache_key, t, id, forced, ok FROM log
+  UNION ALL SELECT cache_key, t, 9223372036854775807, false, CAST(NULL AS BOOLEAN) FROM inv""")
+
 BOTS_VALUES = "bots(version, token) AS (VALUES " + ", ".join(
     f"({q(C.BOT_LIST_VERSION)}, {q(t)})" for t in C.BOT_TOKENS) + ")"
 
@@ -113,10 +124,12 @@ w AS (SELECT cache_key, CAST(count(*) AS BIGINT) AS writes, arg_max(norm_url, t)
 inv AS (SELECT sha256({norm_url('url')}) AS cache_key, max(epoch_us(ts)) AS inv_us FROM requests WHERE event_type = 'purchase' GROUP BY 1)
 SELECT w.* FROM w LEFT JOIN inv USING (cache_key) WHERE inv.inv_us IS NULL OR inv.inv_us < w.stored_us""",
 
-    "snapshot_asof": f"""WITH {requests_cte()}, {LOG_CTE},
-m AS (SELECT *, last_value(CASE WHEN ok THEN id END IGNORE NULLS) OVER w AS sid,
+    "snapshot_asof": f"""WITH {requests_cte()}, {LOG_CTE}, {INV_CTE},
+m0 AS (SELECT *, last_value(CASE WHEN ok THEN id END IGNORE NULLS) OVER w AS sid,
                last_value(CASE WHEN ok THEN t END IGNORE NULLS) OVER w AS st
-      FROM log WINDOW w AS (PARTITION BY cache_key ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      FROM log WINDOW w AS (PARTITION BY cache_key ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT m0.cache_key, m0.id, m0.t, CASE WHEN i.t IS NULL OR i.t < st THEN sid END AS sid, CASE WHEN i.t IS NULL OR i.t < st THEN st END AS st
+      FROM m0 ASOF LEFT JOIN inv i ON i.cache_key = m0.cache_key AND m0.t > i.t)
 SELECT id AS event_id, cache_key, sid AS snapshot_event_id, t - st AS age_us,
        coalesce(t - st <= {TTL_US}, false) AS fresh FROM m""",
 
@@ -133,7 +146,12 @@ SELECT CAST(count_if(kept) AS BIGINT) AS total_entries,
 FROM k, n""",
 
     "ttl_hits": f"""WITH RECURSIVE {requests_cte()}, {LOG_CTE}, {TTL_CTE}
-SELECT id AS event_id, cache_key, outcome FROM walk""",
+SELECT id AS event_id, cache_key, outcome FROM walk WHERE outcome IS NOT NULL""",
+
+    "snapshot_clear": f"""WITH {requests_cte()}, {LOG_CTE}, {INV_CTE},
+w AS (SELECT cache_key, max(t) AS t FROM log WHERE ok GROUP BY 1)
+SELECT count(*) AS deleted_entries FROM w
+WHERE NOT EXISTS (SELECT 1 FROM inv WHERE inv.cache_key = w.cache_key AND inv.t >= w.t)""",
 
     "service_metrics": f"""WITH RECURSIVE {requests_cte()}, {LOG_CTE}, {TTL_CTE},
 o AS (SELECT l.*, w.outcome FROM walk w JOIN log l ON l.id = w.id),
@@ -643,7 +661,13 @@ AUDIT["audit_score"] = f"{_AUD}, {META_CTE}, {FACTS_CTE} SELECT * FROM score"
 
 
 STREAMING = {
-    "stream_dedup": f"WITH {requests_cte()} SELECT DISTINCT sha256({norm_url('url')}) AS cache_key FROM requests WHERE {URL_OK}",
+    "stream_dedup": f"WITH RECURSIVE {requests_cte()}, {LOG_CTE}, {walk_cte('SELECT cache_key, t, id, false AS forced, true AS ok FROM log')} "
+                    "SELECT id AS event_id, cache_key FROM walk WHERE outcome = 'MISS'",
+    "stream_service": f"""WITH RECURSIVE {requests_cte()}, {LOG_CTE}, {TTL_CTE}
+SELECT strftime(date_trunc('hour', l.ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS requests,
+       CAST(count_if(outcome <> 'HIT') AS BIGINT) AS render_count, CAST(count_if(outcome = 'HIT') AS BIGINT) AS cache_hit_count,
+       CAST(count_if(outcome = 'ERROR') AS BIGINT) AS error_count
+FROM walk w JOIN log l ON l.id = w.id GROUP BY 1""",
     "stream_bot_tags": TRAFFIC["bot_requests"],
     "stream_ttl": TRAFFIC["ttl_hits"],
     "stream_snapshots": TRAFFIC["snapshot_latest"],

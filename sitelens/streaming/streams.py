@@ -3,11 +3,10 @@
 * T1 ``bot_tags``: stateless projection of the request stream.
 * T3 ``hourly_metrics``: event-time hourly windows with a watermark, emitted
   in update mode; the sink keeps the last version of every window.
-* T5 ``dedup_renders``: one render per cache key while the watermark holds it.
-* T2 ``ttl_outcomes``: anchored-TTL HIT/MISS/ERROR with O(1) state per key
-  (``applyInPandasWithState``); rows of a micro-batch are applied in
-  (time, id) order.  A row older than its key's anchor from an earlier batch
-  is still applied in arrival order (late data is not re-ordered).
+* T5 ``dedup_renders``: one render per cache key and TTL.
+* T2/T6 ``ttl_outcomes``: anchored-TTL HIT/MISS/ERROR under invalidations with
+  O(1) state per key that expires (``applyInPandasWithState``); rows of a
+  micro-batch are applied in (time, id) order, late rows in arrival order.
 * T4/T6 ``snapshot_upserts``: successful renders and invalidations appended
   per batch; the latest write per key wins, a later invalidation deletes it.
 
@@ -21,7 +20,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -48,12 +47,15 @@ def stage_events(spark: SparkSession, events: DataFrame, files: int = 8) -> str:
     return out
 
 
-def request_stream(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
+def request_stream(spark: SparkSession, src: str, max_files: int | None = None, name: str | None = None) -> DataFrame:
     """``requests`` over a file stream of events (``ts`` stays NTZ; ``ts_ltz``
-    is the watermark column).  ``max_files`` bounds files per micro-batch;
+    is the watermark column).  ``name`` picks files of the folder, ``max_files``
+    bounds files per micro-batch;
     the file source orders files by modification time, so multi-batch replay
     is in event-time order only when the files were written in that order."""
     reader = spark.readStream.schema(EVENTS_SCHEMA)
+    if name:
+        reader = reader.option("pathGlobFilter", name)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     ev = reader.parquet(src)
@@ -76,46 +78,76 @@ def hourly_metrics(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
                     .alias("hour"), "requests", "bot_requests"))
 
 
-def dedup_renders(stream: DataFrame, ttl: str = "1 day") -> DataFrame:
-    """T5: the first render request per cache key within the watermark."""
-    return (stream.where(X.url_ok("url")).withColumn("cache_key", X.cache_key("url"))
-            .withWatermark("ts_ltz", ttl).dropDuplicatesWithinWatermark(["cache_key"])
-            .select("event_id", "cache_key"))
-
-
-OUTCOME_SCHEMA = "event_id long, cache_key string, outcome string"
-STATE_SCHEMA = "anchor long"
+OUTCOME_SCHEMA = "event_id long, cache_key string, t long, outcome string"
+STATE_SCHEMA = "anchor long, gone long"
 
 
 def _ttl_step(ttl_us: int):
+    """One key's rows of a micro-batch.  State: the time of the stored
+    snapshot and of the last invalidation.
+
+    Late rows: a row older than the stored snapshot is answered by what the
+    cache holds when it arrives, a HIT unless forced, and its render never
+    moves the stored time back.
+    """
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        anchor = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        anchor, gone = state.get if state.exists else (None, None)
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "id"], kind="stable")
         out = []
-        for t, i, forced, ok in zip(rows["t"], rows["id"], rows["forced"], rows["ok"]):
+        for t, i, forced, ok, inv in zip(rows["t"], rows["id"], rows["forced"], rows["ok"], rows["inv"]):
+            # Deletes of a microsecond come after its requests.
+            if anchor is not None and gone is not None and anchor <= gone < t:
+                anchor = None
             if not forced and anchor is not None and t - anchor <= ttl_us:
-                out.append((int(i), "HIT"))
+                out.append("HIT")
             elif ok:
-                anchor = int(t)
-                out.append((int(i), "MISS"))
+                anchor = int(t) if anchor is None else max(anchor, int(t))
+                out.append("MISS")
             else:
-                out.append((int(i), "ERROR"))
-        if anchor is not None:
-            state.update((anchor,))
-        yield pd.DataFrame({"event_id": [o[0] for o in out], "cache_key": key[0],
-                            "outcome": [o[1] for o in out]})
+                out.append("ERROR")
+            if inv:
+                gone = int(t) if gone is None else max(gone, int(t))
+        last = max(x for x in (anchor, gone, int(rows["t"].iloc[-1])) if x is not None)
+        state.update((anchor, gone))
+        # Beyond its TTL a snapshot answers nothing: the key's state goes.
+        state.setTimeoutTimestamp(max((last + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["id"].to_numpy(), "cache_key": key[0], "t": rows["t"].to_numpy(), "outcome": out})
     return step
 
 
-def ttl_outcomes(stream: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
-    """T2 with per-key state (the anchor time only)."""
-    log = (stream.where(X.url_ok("url"))
+def _cache_walk(stream: DataFrame, forced: Column, ok: Column, inv: Column, ttl_seconds: int) -> DataFrame:
+    log = (stream.where(X.url_ok("url")).withWatermark("ts_ltz", f"{ttl_seconds} seconds")
            .select(X.cache_key("url").alias("cache_key"), X.epoch_us("ts").alias("t"),
-                   F.col("event_id").alias("id"), F.coalesce("forced", F.lit(False)).alias("forced"),
-                   (F.col("status").isNotNull() & (F.col("status") < 400)).alias("ok")))
+                   F.col("event_id").alias("id"), forced.alias("forced"), ok.alias("ok"), inv.alias("inv"), "ts_ltz"))
     return log.groupBy("cache_key").applyInPandasWithState(
-        _ttl_step(ttl_seconds * 1_000_000), OUTCOME_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+        _ttl_step(ttl_seconds * 1_000_000), OUTCOME_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ttl_outcomes(stream: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
+    """T2/T6 with two numbers of state per key, dropped once the watermark
+    (one TTL behind) has passed the snapshot's expiry."""
+    return _cache_walk(stream, F.coalesce("forced", F.lit(False)), F.col("status").isNotNull() & (F.col("status") < 400),
+                       F.coalesce(F.col("event_type") == "purchase", F.lit(False)), ttl_seconds)
+
+
+def dedup_renders(stream: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
+    """T5: one render per cache key and TTL, whatever the micro-batches."""
+    renders = _cache_walk(stream, F.lit(False), F.lit(True), F.lit(False), ttl_seconds)
+    return renders.where("outcome = 'MISS'").select("event_id", "cache_key")
+
+
+def service_counters(outcomes: DataFrame) -> DataFrame:
+    """Requests, renders, hits and errors per hour of the outcomes that
+    the stream has landed."""
+    return outcomes.groupBy(F.date_format(X.ntz_from_micros("t"), "yyyy-MM-dd HH:mm").substr(1, 13).alias("h")).agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(F.col("outcome") != "HIT").alias("render_count"),
+        F.count_if(F.col("outcome") == "HIT").alias("cache_hit_count"),
+        F.count_if(F.col("outcome") == "ERROR").alias("error_count")).select(
+        F.concat("h", F.lit(":00")).alias("hour"), "requests", "render_count", "cache_hit_count", "error_count")
 
 
 def snapshot_events(stream: DataFrame) -> DataFrame:

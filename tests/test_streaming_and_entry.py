@@ -67,3 +67,47 @@ def test_stream_hourly_metrics_multi_batch(spark):
         F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm").alias("hour")).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(X.is_bot("user_agent")).alias("bot_requests")).collect()}
     assert got == want
+
+
+def test_late_rows_and_state_expiry():
+    """Late rows are answered from what the cache holds; a timed-out key's
+    state is removed."""
+    import pandas as pd
+    from sitelens.streaming.streams import _ttl_step
+
+    class State:
+        exists, hasTimedOut, get = True, False, (1000, None)
+
+        def update(self, v):
+            self.get = v
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    state, step = State(), _ttl_step(500)
+    rows = pd.DataFrame({"t": [900, 950, 1400], "id": [1, 2, 3], "forced": [False, True, False], "ok": True, "inv": False})
+    got = next(step(("k",), iter([rows]), state))
+    assert list(got["outcome"]) == ["HIT", "MISS", "HIT"] and state.get == (1000, None)
+    state.hasTimedOut = True
+    assert list(step(("k",), iter([]), state)) == [] and not state.exists
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_stream_dedup_is_the_same_in_one_and_many_batches(spark):
+    from pyspark.sql import functions as F
+    from sitelens.sources import driver as D
+    from sitelens.streaming import streams as ST
+    ev = D.read_table(spark, SF, "events")
+    days = [r.d for r in ev.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()][:5]
+    src = ST.scratch(spark, "dedup-src")
+    for d in days:
+        ev.where(F.to_date("ts") == d).coalesce(1).write.mode("append").parquet(src)
+    one, many = (ST.run_to_table(spark, ST.dedup_renders(ST.request_stream(spark, src, max_files=n)), "d") for n in (None, 1))
+    assert many.select("_batch").distinct().count() >= 2
+    assert one.drop("_batch").exceptAll(many.drop("_batch")).count() == 0 == many.drop("_batch").exceptAll(one.drop("_batch")).count()

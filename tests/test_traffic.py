@@ -44,9 +44,11 @@ def _requests(spark, rows):
 
 
 def _brute_ttl(rows, ttl):
-    anchor, out = {}, {}
+    anchor, gone, out = {}, {}, {}
     for i, (s, url, st, et) in sorted(enumerate(rows), key=lambda x: (x[1][0], x[0])):
         k = url.split("?")[0]
+        if k in anchor and anchor[k] <= gone.get(k, -1) < s:
+            del anchor[k]
         ok = st is not None and st < 400
         if et != "error" and k in anchor and s - anchor[k] <= ttl:
             out[i] = "HIT"
@@ -55,6 +57,10 @@ def _brute_ttl(rows, ttl):
             out[i] = "MISS"
         else:
             out[i] = "ERROR"
+        if et == "purchase":
+            if k in anchor and anchor[k] <= gone.get(k, -1) < s:
+                del anchor[k]
+            gone[k] = s
     return out
 
 
@@ -64,7 +70,7 @@ def test_ttl_outcomes_match_sequential_walk(spark):
     rows = []
     for _ in range(300):
         rows.append((rnd.randint(0, 20 * 86400), f"https://s{rnd.randint(0, 3)}.com/p?x={rnd.randint(0, 9)}",
-                     rnd.choice([200, 200, 200, 404, None]), rnd.choice(["view", "view", "error"])))
+                     rnd.choice([200, 200, 200, 404, None]), rnd.choice(["view", "view", "error", "purchase"])))
     got = {r.event_id: r.outcome for r in T.ttl_outcomes(_requests(spark, rows), 86400).collect()}
     assert got == _brute_ttl(rows, 86400)
     assert sum(1 for v in got.values() if v == "HIT") + sum(1 for v in got.values() if v != "HIT") == len(rows)
@@ -87,6 +93,17 @@ def test_invalidation_and_stats(spark):
     assert (s.total_entries, s.fresh_entries, s.deleted_entries) == (1, 1, 1)
 
 
+def test_invalidation_makes_the_next_request_miss(spark):
+    rows = [(0, "https://a.com/", 200, "view"), (10, "https://a.com/", 200, "purchase"), (10, "https://a.com/", 200, "view"),
+            (20, "https://a.com/", 200, "view"), (30, "https://a.com/", 200, "view")]
+    req = _requests(spark, rows)
+    got = {r.event_id: r.outcome for r in T.ttl_outcomes(req, 86400).collect()}
+    assert got == {0: "MISS", 1: "HIT", 2: "HIT", 3: "MISS", 4: "HIT"}
+    asof_rows = {r.event_id: r.snapshot_event_id for r in T.snapshot_asof(req, 86400).collect()}
+    assert asof_rows == {0: None, 1: 0, 2: 1, 3: None, 4: 3}
+    assert T.snapshot_clear(req).collect()[0].deleted_entries == 1
+
+
 def test_asof_matches_brute_force(spark):
     import random
     rnd = random.Random(3)
