@@ -52,9 +52,21 @@ STRIP_SCRIPTS = [
 # ---------------------------------------------------------------- FIXED VALUES
 # Routes (P1–P9).  Java spellings are possessive where nesting could recurse
 # deeply; ``re2()`` gives the oracle spelling (same language, no possessive).
-BRACED = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+BRACE_DEPTH = 16
+
+
+def braced(depth: int = BRACE_DEPTH) -> str:
+    """Text in balanced braces, nested ``depth`` deep at most (a regular
+    expression cannot count further)."""
+    out = r"\{[^{}]*+\}"
+    for _ in range(depth - 1):
+        out = r"\{(?:[^{}]++|" + out + r")*+\}"
+    return out
+
+
+BRACED = braced()
 ROUTE_ELEMENT = r"<Route(?=[\s/>])((?:[^{}<>]++|" + BRACED + r")*+)>"
-ROUTE_ELEMENT_RE2 = (r"<Route((?:[\s/](?:[^{}<>]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)?)>")
+ROUTE_ELEMENT_RE2 = r"<Route((?:[\s/](?:[^{}<>]|" + BRACED.replace("*+", "*").replace("++", "") + r")*)?)>"
 JSX_ATTR = (r"([A-Za-z_$][A-Za-z0-9_$.:-]*)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|" + BRACED + r"))?")
 CONFIG_ROUTE = (r"path\s*:\s*[\"']([^\"']+)[\"'][\s\S]{0,200}?"
                 r"(?:element\s*:\s*<([A-Z][A-Za-z0-9_]*)|component\s*:\s*([A-Z][A-Za-z0-9_]*))")

@@ -56,14 +56,20 @@ REQUEST_COLUMNS = [
 # ``site_files`` over ``documents``: (distinct, where, select list) per branch.
 # ``{g}`` is the dialect token: DuckDB's regexp_replace needs ``'g'`` to
 # replace every match, Spark replaces every match by default.
+# ``N``: the project's number; its last digit picks the kind of project.
+N = "CAST(substr(source, 4) AS INT)"
 SITE_FILE_BRANCHES = [
-    (True, None, [
+    (True, N + " % 10 <> 8", [
         "source AS project_id", "'package.json' AS path",
-        """CASE CAST(substr(source, 4) AS INT) % 5
+        "CASE " + N + """ % 10
     WHEN 0 THEN '{"dependencies":{"react":"^18.2.0","react-router-dom":"^6.22.0","react-helmet-async":"^2.0.4"},"scripts":{"start":"react-scripts start"}}'
     WHEN 1 THEN '{"dependencies":{"react":"^18.2.0","swr":"2.0.0"},"devDependencies":{"vite":"^5.2.0","react":"~17.0.1"}}'
     WHEN 2 THEN '{"dependencies":{"react":">=16.0","next":"14.1.0"}}'
     WHEN 3 THEN '{"dependencies":{"express":"^4"}}'
+    WHEN 5 THEN '{"dependencies":{"react":"17.0.2","react-helmet":"6.1.0","react-query":"3.39.0","react-router-dom":"~5.3.0"},"devDependencies":{"webpack":"5.0.0"}}'
+    WHEN 6 THEN '{"dependencies":{"react":"18.0.0","gatsby":"5.0.0","react-snap":"1.23.0"}}'
+    WHEN 7 THEN '{"dependencies":{"react":"18.0.0","@craco/craco":"7.0.0","@tanstack/react-query":"5.1.0"}}'
+    WHEN 9 THEN '{"dependencies":{"react":"18.0.0","react-router":"^6.4.0"},"devDependencies":{"vite":"5.0.0"}}'
     ELSE '{not json' END AS content""",
     ]),
     (False, None, [
@@ -74,28 +80,79 @@ SITE_FILE_BRANCHES = [
     'export default function Doc() {', chr(10),
     CASE doc_id % 4 WHEN 0 THEN concat('  const q = useQuery({ queryKey: [1] });', chr(10))
       WHEN 1 THEN concat('  React.useEffect(() => { fetch("/api/x"); }, []);', chr(10)) ELSE '' END,
+    CASE WHEN doc_id % 11 = 0 THEN concat('  document.title = ', CASE WHEN doc_id % 2 = 0 THEN '"News";' ELSE 'data.title;' END, chr(10)) ELSE '' END,
+    CASE WHEN doc_id % 13 = 0 THEN concat('  window.scrollTo(0, 0);', chr(10)) ELSE '' END,
     '  return <>',
     CASE WHEN doc_id % 3 = 0 THEN '<Helmet><title>{data.name}</title><meta property="og:title" content="x" /></Helmet>' ELSE '' END,
+    CASE WHEN doc_id % 7 = 0 THEN '<link rel="canonical" href="/" /><meta name="description" content="y" />' ELSE '' END,
+    CASE WHEN doc_id % 17 = 0 THEN '<input accept="image/*" onChange={pick} />' ELSE '' END,
     '<h1>', regexp_replace(coalesce(text, ''), '[{}<>]', ' '{g}), '</h1>',
     CASE WHEN doc_id % 5 = 0 THEN '<img src="/a.jpg" />' ELSE '<img src="/a.jpg" width="3" />' END,
     '</>;', chr(10), '}', chr(10)) AS content""",
     ]),
-    (False, None, [
+    (False, N + " % 10 <> 6", [
         "source AS project_id",
         "concat('src/routes/R', CAST(doc_id AS STRING), '.jsx') AS path",
         """concat(CASE WHEN doc_id % 2 = 0 THEN 'const Doc = lazy(() => import(''../pages/Doc' ELSE 'import Doc from ''../pages/Doc' END, CAST(doc_id AS STRING),
     CASE WHEN doc_id % 2 = 0 THEN '''));' ELSE ''';' END, chr(10),
     'export const r = <Route path="/doc/', CAST(doc_id AS STRING),
-    CASE WHEN doc_id % 6 = 0 THEN '/:id' ELSE '' END, '" element={<Doc />} />;', chr(10)) AS content""",
+    CASE WHEN doc_id % 6 = 0 THEN '/:id' ELSE '' END, '" element={',
+    CASE WHEN doc_id % 8 = 0 THEN '<Guard opts={{a:{b:{c:1}}}}><Doc /></Guard>' ELSE '<Doc />' END, '} />;', chr(10)) AS content""",
+    ]),
+    # Path literals outside of route elements: the fallback.
+    (False, "doc_id % 9 = 0 AND " + N + " % 10 <> 6", [
+        "source AS project_id",
+        "concat('src/nav/N', CAST(doc_id AS STRING), '.jsx') AS path",
+        """concat('export const n = <Tab path="/nav/', CAST(doc_id AS STRING), '" />;', chr(10)) AS content""",
+    ]),
+    (True, N + " % 10 IN (0, 5)", [
+        "source AS project_id", "'src/App.jsx' AS path",
+        """concat('import Home from ''./Home'';', chr(10), 'export default () => <Routes>', chr(10),
+    '  <Route path="/" element={<Home />} />', chr(10), '  <Route path="/docs/*" element={<Home />} />', chr(10),
+    '  {/* admin area */}', chr(10), '  <Route path="/admin" component={Home} />', chr(10),
+    '  {/* <Route path="/old" element={<Home />} /> */}', chr(10), '</Routes>;', chr(10)) AS content""",
+    ]),
+    (True, N + " % 10 IN (1, 9)", [
+        "source AS project_id", "'src/App.jsx' AS path",
+        """concat('import Home from ''./Home'';', chr(10), 'export default () => useRoutes([', chr(10),
+    '  { path: "/", element: <Home /> },', chr(10), '  { path: "/item/:id", component: Home },', chr(10), ']);', chr(10)) AS content""",
+    ]),
+    (True, None, [
+        "source AS project_id", "CASE WHEN " + N + " % 2 = 0 THEN 'src/index.jsx' ELSE 'src/main.tsx' END AS path",
+        "concat('import App from ''./App'';', chr(10), 'mount(document.body, <App />);', chr(10)) AS content",
+    ]),
+    (True, None, [
+        "source AS project_id", "'src/Home.jsx' AS path",
+        """concat('export default function Home() { const [a, b] = useState(0); const s = useSWR("/x"); return <p />; }', chr(10)) AS content""",
+    ]),
+    (True, N + " % 10 IN (1, 5)", [
+        "source AS project_id", "CASE " + N + " % 10 WHEN 1 THEN 'vite.config.js' ELSE 'webpack.config.js' END AS path",
+        "CASE " + N + """ % 10 WHEN 1 THEN 'export default { build: { outDir: "site" } };' ELSE 'module.exports = {};' END AS content""",
+    ]),
+    (True, N + " % 10 IN (5, 9)", [
+        "source AS project_id", "CASE " + N + " % 10 WHEN 5 THEN 'build/a.txt' ELSE 'dist/a.txt' END AS path", "'a' AS content",
+    ]),
+    (True, None, [
+        "source AS project_id", "CASE WHEN " + N + " % 2 = 0 THEN 'public/index.html' ELSE 'index.html' END AS path",
+        "concat('<html><head>', CASE WHEN " + N + """ % 3 = 0 THEN '' ELSE '<script src="https://cdn.example.net/a.js"></script>' END,
+    '<script src="/b.js"></script></head></html>') AS content""",
     ]),
     (False, "doc_id % 10 = 0", [
         "source AS project_id",
         "concat('node_modules/m', CAST(doc_id AS STRING), '/index.js') AS path",
         "'module.exports = {};' AS content",
     ]),
-    (True, "CAST(substr(source, 4) AS INT) % 2 = 0", [
+    (False, "doc_id % 10 = 1", [
+        "source AS project_id",
+        "concat('src/pages/Doc', CAST(doc_id AS STRING), CASE doc_id % 3 WHEN 0 THEN '.test.jsx' WHEN 1 THEN '.spec.jsx' ELSE '.stories.jsx' END) AS path",
+        "'check();' AS content",
+    ]),
+    (True, N + " % 2 = 0", [
         "source AS project_id", "'public/robots.txt' AS path", "'User-agent: *' AS content",
     ]),
+    (True, N + " % 4 = 1", [
+        "source AS project_id", "'public/sitemap.xml' AS path", "'<urlset />' AS content",
+    ]),
 ]
 
 
@@ -124,7 +181,8 @@ def requests_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``site_files`` derived from ``documents`` (about three files per document)."""
+    """``site_files`` derived from ``documents`` (some three files per document and
+    ten per project)."""
     docs = read_table(spark, sf_dir, "documents")
     out = None
     for distinct, where, cols in SITE_FILE_BRANCHES:
