@@ -39,5 +39,5 @@ def test_random_packing_matches_fold(spark):
 def test_fixture_order_one_part(audit):
     from sitelens.operators.chunks import chunk_files
     out = chunk_files(audit.sources).where("project_id = 'bakery'").orderBy("file_order").collect()
-    assert [r.path.split("/")[-1] for r in out] == ["index.jsx", "App.jsx", "Front.jsx", "Hours.jsx", "Order.jsx"]
+    assert [r.path.split("/")[-1] for r in out] == ["index.jsx", "App.jsx", "Order.jsx", "Hours.jsx", "Front.jsx"]
     assert {r.total_parts for r in out} == {1}
