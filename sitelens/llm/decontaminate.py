@@ -6,8 +6,10 @@ question keeps its template when its values change.  Windows of ``WINDOW``
 template words are hashed and looked up in the benchmark's; windows with few
 literal words say too little and are left out.  For every alignment of a
 document with an item the slots are then checked: each value of the item must
-stand for one value of the document throughout, and the other way round.  An
-item is found if its consistent windows cover ``COVERAGE`` of its words.
+stand for one value of the document, and the other way round.  Slots that
+break this take only their windows with them; a word counts as covered where
+as many windows are consistent as are not.  An item is found if the covered
+words are ``COVERAGE`` of its words.
 
 The benchmark is taken in blocks of ``BLOCK_BYTES`` at most, each one
 broadcast by itself: that bounds what is broadcast whatever the benchmark's
@@ -20,6 +22,8 @@ words at least.  Items with equal texts are each reported.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,11 +118,37 @@ _UNIT_HASHES = _NUMBER_HASHES = np.zeros(0, U)
 _UNIT_HASHES, _NUMBER_HASHES = Template([" ".join(UNITS).encode()]).value, Template([" ".join(NUMBERS).encode()]).value
 
 
-def consistent(item: np.ndarray, doc: np.ndarray, kind: np.ndarray) -> bool:
-    """Values of slots stand for each other one to one, by type."""
-    slots = kind != LITERAL
-    pairs = set(zip(kind[slots].tolist(), item[slots].tolist(), doc[slots].tolist()))
-    return len({p[:2] for p in pairs}) == len(pairs) == len({(p[0], p[2]) for p in pairs})
+def conflicting(item: np.ndarray, doc: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Slots whose values do not stand for each other one to one, by type.
+    A value's partner is its most frequent one, of equals the value itself;
+    slots with another partner conflict, without a partner all of them do."""
+    out = np.zeros(len(kind), bool)
+    slots = np.flatnonzero(kind != LITERAL)
+    if (item[slots] == doc[slots]).all():
+        return out
+    pairs = list(zip(kind[slots].tolist(), item[slots].tolist(), doc[slots].tolist()))
+    votes: dict[tuple, list] = {}
+    for (k, a, b), n in Counter(pairs).items():
+        votes.setdefault((k, 0, a), []).append((n, a == b, b))
+        votes.setdefault((k, 1, b), []).append((n, a == b, a))
+    best = {}
+    for key, v in votes.items():
+        v.sort()
+        best[key] = v[-1][2] if len(v) == 1 or v[-1][:2] > v[-2][:2] else None
+    out[slots] = [best[k, 0, a] != b or best[k, 1, b] != a for k, a, b in pairs]
+    return out
+
+
+def covering(start: np.ndarray, n: np.ndarray, wrong: np.ndarray) -> np.ndarray:
+    """Words over which windows (start, length) without a wrong slot lie, and
+    at least as many as windows with one."""
+    bad = np.concatenate(([0], np.cumsum(wrong)))
+    good = bad[start + n] == bad[start]
+    count = np.zeros((2, len(wrong) + 1), np.int64)
+    np.add.at(count, (good.astype(int), start), 1)
+    np.add.at(count, (good.astype(int), start + n), -1)
+    down, up = np.cumsum(count[:, :-1], 1)
+    return (up > 0) & (up >= down)
 
 
 def _index(items: list[tuple[int, bytes]], window: int, literals: int):
@@ -169,8 +199,12 @@ def _matches(texts: list[bytes], index, coverage: float, literals: int) -> list[
                 inside[p:p + n] = True
             p = np.flatnonzero(inside)
             of_item, of_doc = bench.first[i] + p, docs.first[d] + shift + p
-            if consistent(bench.value[of_item], docs.value[of_doc], bench.kind[of_item]):
-                covered |= inside
+            wrong = np.zeros(size[i], bool)
+            wrong[p] = conflicting(bench.value[of_item], docs.value[of_doc], bench.kind[of_item])
+            p = np.flatnonzero(covering(hits[x:y, 3], hits[x:y, 4], wrong))
+            if len(p):
+                of_item, of_doc = bench.first[i] + p, docs.first[d] + shift + p
+                covered[p] = True
                 where += [int(docs.word[of_doc[0]]), int(docs.word[of_doc[-1]]) + 1]
                 slots += int(((bench.kind[of_item] != LITERAL) & (bench.value[of_item] != docs.value[of_doc])).sum())
         if where and covered.mean() >= coverage:

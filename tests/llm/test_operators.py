@@ -135,6 +135,27 @@ def test_decontaminate(spark):
     assert decontaminate.flag(docs.limit(0), bench).count() == 0
 
 
+def _found(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id: {m.item_id: m for m in r.matches} for r in decontaminate.flag(docs, bench).collect()}
+
+
+def test_decontaminate_conflicts_take_only_their_windows(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    for at, n in ((20, "5"), (60, "17"), (100, "3"), (140, "17"), (180, "5")):
+        words[at] = n
+    one, same, none = list(words), list(words), list(words)
+    one[140] = "18"
+    for at, n in ((20, "4"), (60, "9"), (100, "4"), (140, "9"), (180, "4")):
+        same[at] = n
+    for at in range(0, 200, 4):
+        none[at] = "x"
+    got = _found(spark, [" ".join(words)], [" ".join(x) for x in (one, same, none)])
+    assert got[0][0].n_covered > 180 and got[1][0].n_covered > 180 and got[1][0].n_changed > 0 and not got[2]
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
