@@ -1,10 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words of documents and benchmark items are made canonical: letters and digits
-only, lower case.  Numbers, names and units become typed placeholders, so a
-question keeps its template when its values change.  Windows of ``WINDOW``
-template words are hashed and looked up in the benchmark's; windows with few
-literal words say too little and are left out.  For every alignment of a
+only, lower case.  Numbers and units become typed placeholders, so a question
+keeps its template when its values change.  Windows of ``WINDOW`` template
+words are hashed and looked up in the benchmark's; windows with few literal
+words say too little and are left out.  Whether a word is a name shows in its
+case and place only, which a copy may change: every window is looked up with
+its title-case words as they are, all as names, and as names where they begin
+no sentence or line.  An alignment with one such window is then compared in
+full, word by word, with any title-case word as a possible name.  For every alignment of a
 document with an item the slots are then checked: each value of the item must
 stand for one value of the document, and the other way round.  Slots that
 break this take only their windows with them; a word counts as covered where
@@ -93,24 +97,30 @@ class Template:
         second = np.minimum(start + 1 + wide[np.minimum(start + 1, len(buf) - 1)], len(buf) - 1)
         title = upper[start] & (_LOWER[buf[second]] | (buf[second] == 0xC3)) if len(start) else np.zeros(0, bool)
         kind = np.zeros(len(h), np.int8)
-        kind[title & ~opens] = NAME
         kind[np.isin(h, _UNIT_HASHES)] = UNIT
         kind[(digits[stop] > digits[start]) | np.isin(h, _NUMBER_HASHES)] = NUMBER
         real = size > 0
         self.value, self.kind, self.text = h[real], kind[real], text[real]
+        # Words that may be names: all in title case, and those that no sentence or line begins with.
+        self.title = title[real] & (self.kind == LITERAL)
+        self.inner = self.title & ~opens[real]
         self.word = (np.arange(len(h)) - np.searchsorted(start, offset)[text])[real]  # index among the text's words
         self.template = np.where(self.kind == LITERAL, self.value, _PLACEHOLDER[self.kind])
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
     def windows(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, index, text) of the windows with enough literal words."""
-        at, text = X.fits(self.first, n)
-        if not len(at):
-            return np.zeros(0, U), at, text
-        plain = np.concatenate(([0], np.cumsum(self.kind == LITERAL)))
-        keep = plain[at + n] - plain[at] >= literals
-        at, text = at[keep], text[keep]
-        return X.rolling(self.template, n, n)[at] if len(at) else np.zeros(0, U), at, text
+        """(hash, index, text) of the windows with enough literal words, with
+        no word taken for a name, all that may be one, and the inner ones."""
+        every, texts = X.fits(self.first, n)
+        out = [(np.zeros(0, U), every[:0], texts[:0])]
+        count = lambda x: (c := np.concatenate(([0], np.cumsum(x))))[every + n] - c[every]
+        plain, title, inner = (count(x) for x in (self.kind == LITERAL, self.title, self.inner))
+        for name, keep in ((None, plain >= literals), (self.title, (title > 0) & (plain - title >= literals)),
+                           (self.inner, (inner > 0) & (inner < title) & (plain - inner >= literals))):
+            if keep.any():
+                template = self.template if name is None else np.where(name, _PLACEHOLDER[NAME], self.template)
+                out.append((X.rolling(template, n, n)[every[keep]], every[keep], texts[keep]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 _PLACEHOLDER = X.mix(np.arange(1, 5, dtype=U) * U(0x632BE59BD9B4E019))
@@ -167,7 +177,35 @@ def _index(items: list[tuple[int, bytes]], window: int, literals: int):
     return t, size, [i for i, _ in items], tables
 
 
-def _matches(texts: list[bytes], index, coverage: float, literals: int) -> list[list[dict]]:
+def _aligned(bench: Template, i: int, docs: Template, d: int, shift: int, window: int, literals: int) -> tuple[np.ndarray, int]:
+    """Words of item ``i`` that document ``d`` covers at this shift, and how
+    many of their slots changed.  Unequal words stand for each other if both
+    are numbers or units, or if one of them may be a name."""
+    size = int(bench.first[i + 1] - bench.first[i])
+    low, high = max(0, -shift), min(size, int(docs.first[d + 1] - docs.first[d]) - shift)
+    x, y = (slice(t.first[k] + m + low, t.first[k] + m + high) for t, k, m in ((bench, i, 0), (docs, d, shift)))
+    same = bench.value[x] == docs.value[y]
+    kind = np.where((bench.kind[x] == LITERAL) & (bench.title[x] | docs.title[y]), NAME, bench.kind[x])
+    fits = np.where(bench.kind[x] == docs.kind[y], same | (kind != LITERAL), False)
+    n = min(window, size)
+    total = lambda v: (c := np.concatenate(([0], np.cumsum(v))))[n:] - c[:-n]
+    enough = total(same & (bench.kind[x] == LITERAL)) >= min(literals, n)
+    start = np.flatnonzero((total(fits) == n) & enough)
+    over = np.zeros(len(same) + 1, np.int64)
+    np.add.at(over, start, 1)
+    np.add.at(over, start + n, -1)
+    kind[np.cumsum(over[:-1]) == 0] = LITERAL  # words of no window are no slots
+    wrong = conflicting(bench.value[x], docs.value[y], kind)
+    # Where case and place leave open whether it is a name, a wrong one is just another word.
+    unsure = wrong & (kind == NAME) & ~(bench.inner[x] & docs.inner[y])
+    if unsure.any():
+        wrong &= ~unsure
+        start = np.flatnonzero((total(fits & (same | ~unsure)) == n) & enough)
+    p = np.flatnonzero(covering(start, np.full(len(start), n), wrong))
+    return p + low, int(((kind != LITERAL) & ~same)[p].sum())
+
+
+def _matches(texts: list[bytes], index, coverage: float, window: int, literals: int) -> list[list[dict]]:
     bench, size, item_ids, tables = index
     out: list[list[dict]] = [[] for _ in texts]
     docs = Template(texts)
@@ -180,33 +218,24 @@ def _matches(texts: list[bytes], index, coverage: float, literals: int) -> list[
         each = high - low
         entry = np.repeat(low - (np.cumsum(each) - each), each) + np.arange(each.sum())
         found = np.repeat(found, each)
-        hits.append(np.stack([text[found], item[entry], at[found] - docs.first[text[found]] - place[entry],
-                              place[entry], np.full(len(entry), n)], 1))
-    hits = np.concatenate(hits) if hits else np.zeros((0, 5), np.int64)
+        hits.append(np.stack([text[found], item[entry], at[found] - docs.first[text[found]] - place[entry]], 1))
+    hits = np.concatenate(hits) if hits else np.zeros((0, 3), np.int64)
     if not len(hits):
         return out
     hits = hits[np.lexsort(hits.T[::-1])]
+    hits = hits[X.groups((hits[1:] != hits[:-1]).any(1))]
     edge = X.groups((hits[1:, :2] != hits[:-1, :2]).any(1))
     for a, b in zip(edge, [*edge[1:], len(hits)]):
         d, i = int(hits[a, 0]), int(hits[a, 1])
         covered = np.zeros(size[i], bool)
         where, slots = [], 0
-        turn = X.groups(hits[a + 1:b, 2] != hits[a:b - 1, 2]) + a
-        for x, y in zip(turn, [*turn[1:], b]):
-            shift = int(hits[x, 2])
-            inside = np.zeros(size[i], bool)
-            for p, n in hits[x:y, 3:5]:
-                inside[p:p + n] = True
-            p = np.flatnonzero(inside)
-            of_item, of_doc = bench.first[i] + p, docs.first[d] + shift + p
-            wrong = np.zeros(size[i], bool)
-            wrong[p] = conflicting(bench.value[of_item], docs.value[of_doc], bench.kind[of_item])
-            p = np.flatnonzero(covering(hits[x:y, 3], hits[x:y, 4], wrong))
+        for shift in hits[a:b, 2].tolist():
+            p, changed = _aligned(bench, i, docs, d, shift, window, literals)
             if len(p):
-                of_item, of_doc = bench.first[i] + p, docs.first[d] + shift + p
                 covered[p] = True
+                of_doc = docs.first[d] + shift + p
                 where += [int(docs.word[of_doc[0]]), int(docs.word[of_doc[-1]]) + 1]
-                slots += int(((bench.kind[of_item] != LITERAL) & (bench.value[of_item] != docs.value[of_doc])).sum())
+                slots += changed
         if where and covered.mean() >= coverage:
             out[d].append({"item_id": item_ids[i], "n_covered": int(covered.sum()), "n_item": int(size[i]),
                            "n_changed": slots, "start": min(where), "end": max(where)})
@@ -241,7 +270,7 @@ def flag(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id_col:
         def run(batches):
             index = _index(shared.value, window, literals)
             for part, texts in slices(batches):
-                found = _matches(texts, index, coverage, literals)
+                found = _matches(texts, index, coverage, window, literals)
                 had = part.column(2).to_pylist()
                 both = [sorted([*(h or ()), *f], key=lambda m: (m["item_id"] is None, m["item_id"])) for h, f in zip(had, found)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, kind)], names=["row", "text", "matches"])

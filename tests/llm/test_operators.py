@@ -156,6 +156,18 @@ def test_decontaminate_conflicts_take_only_their_windows(spark):
     assert got[0][0].n_covered > 180 and got[1][0].n_covered > 180 and got[1][0].n_changed > 0 and not got[2]
 
 
+def test_decontaminate_names_in_any_case_and_place(spark):
+    janet = "Janet has 5 ducks. Janet sells 3 eggs daily. Janet buys 2 hens weekly. Janet then keeps 9 eggs."
+    mary = "Mary had 12 apples and gave Tom 5 apples, so Mary kept 7 of the 12 apples in her basket."
+    other = "Maria has 6 ducks. Maria sells 4 eggs daily. Maria buys 7 hens weekly. Maria then keeps 8 eggs."
+    bare = lambda t: t.replace(".", "").replace(",", "")
+    texts = [other, bare(other), janet.upper(), mary.upper(), mary.lower(), bare(mary), bare(janet), "Zoe " * 30]
+    got = _found(spark, [janet, mary], texts)
+    assert [sorted(got[d]) for d in range(len(texts))] == [[0], [0], [0], [1], [1], [1], [0], []]
+    assert all(m.n_covered == m.n_item for found in got.values() for m in found.values())
+    assert got[0][0].n_changed == 8 and got[3][1].n_changed == 0
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
