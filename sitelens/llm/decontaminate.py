@@ -3,8 +3,9 @@
 Words of documents and benchmark items are made canonical: letters and digits
 only, lower case.  Numbers and units become typed placeholders, so a question
 keeps its template when its values change.  Windows of ``WINDOW`` template
-words are hashed and looked up in the benchmark's; windows with few literal
-words say too little and are left out.  Whether a word is a name shows in its
+words are hashed and looked up in the benchmark's; windows with fewer than
+``LITERALS`` literal words say too little as templates and are looked up with
+their words as they are.  Whether a word is a name shows in its
 case and place only, which a copy may change: every window is looked up with
 its title-case words as they are, all as names, and as names where they begin
 no sentence or line.  An alignment with one such window is then compared in
@@ -20,8 +21,8 @@ broadcast by itself: that bounds what is broadcast whatever the benchmark's
 size.  Documents are read in one pass per block, never exchanged.
 
 Defined results: null and empty texts and items match nothing.  Items shorter
-than a window are one window of their own length, with ``LITERALS`` literal
-words at least.  Items with equal texts are each reported.
+than a window are one window of their own length, down to one word.  In
+scripts without spaces each character is a word.  Items with equal texts are each reported.
 """
 
 from __future__ import annotations
@@ -60,6 +61,30 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 
 
+def _unspaced(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a word is cut before each byte, whether the byte is part of a
+    mark): scripts written without spaces have a word for each character
+    (Han, Kana, Thai, Lao, Burmese, Khmer), ideographic and full-width marks
+    none."""
+    cut, mark = np.zeros((2, len(buf)), bool)
+    at = np.flatnonzero(buf >= 0xE0)
+    if not len(at):
+        return cut, mark
+    b = buf[np.minimum(at[None] + np.arange(3)[:, None], len(buf) - 1)].astype(int)
+    code = (b[0] << 16) | (b[1] << 8) | b[2]
+    within = lambda *ranges: np.logical_or.reduce([(code >= lo) & (code <= hi) for lo, hi in ranges])
+    marks = within((0xE38080, 0xE38084), (0xE38088, 0xE380BF), (0xEFBC81, 0xEFBC8F), (0xEFBC9A, 0xEFBCA0),
+                   (0xEFBCBB, 0xEFBD80), (0xEFBD9B, 0xEFBDA5))
+    three = marks | within((0xE30000, 0xE9FFFF), (0xE0B800, 0xE0BBFF), (0xE18000, 0xE182FF), (0xE19E00, 0xE19FFF))
+    four = within((0xF0A000, 0xF0B3FF))
+    for i, n in ((at[three], 3), (at[four], 4)):
+        cut[i] = True
+        cut[np.minimum(i + n, len(buf) - 1)] = True
+    for k in range(3):
+        mark[np.minimum(at[marks] + k, len(buf) - 1)] = True
+    return cut, mark
+
+
 class Template:
     """Canonical words of a batch of texts."""
 
@@ -77,8 +102,9 @@ class Template:
         sep = X.SEPARATOR[buf]
         before = np.ones_like(sep)
         before[1:] = sep[:-1]
-        start, stop = np.flatnonzero(before & ~sep), np.flatnonzero(sep & ~before)
-        value = _VALUE[low]
+        cut, mark = _unspaced(buf)
+        start, stop = np.flatnonzero((before | cut) & ~sep), np.flatnonzero((sep | cut) & ~before)
+        value = np.where(mark, U(0), _VALUE[low])
         counts = value != 0
         # Place of each counting byte among the counting bytes: marks inside a word do not matter.
         place = np.concatenate(([0], np.cumsum(counts)))
@@ -110,7 +136,8 @@ class Template:
 
     def windows(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, index, text) of the windows with enough literal words, with
-        no word taken for a name, all that may be one, and the inner ones."""
+        no word taken for a name, all that may be one, and the inner ones; of
+        the other windows as they are."""
         every, texts = X.fits(self.first, n)
         out = [(np.zeros(0, U), every[:0], texts[:0])]
         count = lambda x: (c := np.concatenate(([0], np.cumsum(x))))[every + n] - c[every]
@@ -120,6 +147,9 @@ class Template:
             if keep.any():
                 template = self.template if name is None else np.where(name, _PLACEHOLDER[NAME], self.template)
                 out.append((X.rolling(template, n, n)[every[keep]], every[keep], texts[keep]))
+        keep = plain < literals
+        if keep.any():
+            out.append((X.rolling(self.value, n, n)[every[keep]], every[keep], texts[keep]))
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -168,8 +198,8 @@ def _index(items: list[tuple[int, bytes]], window: int, literals: int):
     size = np.diff(t.first)
     tables = {}
     for n in sorted({min(window, int(s)) for s in size if s > 0}):
-        h, at, text = t.windows(n, min(literals, n))
-        keep = (size[text] >= window) if n == window else (size[text] == n) & (n >= literals)
+        h, at, text = t.windows(n, literals)
+        keep = (size[text] >= window) if n == window else size[text] == n
         h, at, text = h[keep], at[keep], text[keep]
         order = np.argsort(h, kind="stable")
         if len(order):
@@ -189,7 +219,7 @@ def _aligned(bench: Template, i: int, docs: Template, d: int, shift: int, window
     fits = np.where(bench.kind[x] == docs.kind[y], same | (kind != LITERAL), False)
     n = min(window, size)
     total = lambda v: (c := np.concatenate(([0], np.cumsum(v))))[n:] - c[:-n]
-    enough = total(same & (bench.kind[x] == LITERAL)) >= min(literals, n)
+    enough = (total(same & (bench.kind[x] == LITERAL)) >= literals) | (total(same) == n)
     start = np.flatnonzero((total(fits) == n) & enough)
     over = np.zeros(len(same) + 1, np.int64)
     np.add.at(over, start, 1)
@@ -211,7 +241,7 @@ def _matches(texts: list[bytes], index, coverage: float, window: int, literals:
     docs = Template(texts)
     hits = []
     for n, (keys, item, place) in tables.items():
-        h, at, text = docs.windows(n, min(literals, n))
+        h, at, text = docs.windows(n, literals)
         low = np.searchsorted(keys, h)
         found = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h)
         low, high = low[found], np.searchsorted(keys, h[found], "right")
@@ -229,7 +259,14 @@ def _matches(texts: list[bytes], index, coverage: float, window: int, literals:
         d, i = int(hits[a, 0]), int(hits[a, 1])
         covered = np.zeros(size[i], bool)
         where, slots = [], 0
-        for shift in hits[a:b, 2].tolist():
+        if size[i] < min(literals, window):  # each hit is a whole copy
+            covered[:] = True
+            of_doc = docs.first[d] + hits[[a, b - 1], 2] + (0, size[i] - 1)
+            where = [int(docs.word[of_doc[0]]), int(docs.word[of_doc[1]]) + 1]
+            shifts = ()
+        else:
+            shifts = hits[a:b, 2].tolist()
+        for shift in shifts:
             p, changed = _aligned(bench, i, docs, d, shift, window, literals)
             if len(p):
                 covered[p] = True

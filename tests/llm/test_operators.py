@@ -168,6 +168,17 @@ def test_decontaminate_names_in_any_case_and_place(spark):
     assert got[0][0].n_changed == 8 and got[3][1].n_changed == 0
 
 
+def test_decontaminate_few_literals_short_and_unspaced(spark):
+    items = ["Barack Obama, Angela Merkel, Emmanuel Macron, Justin Trudeau, Shinzo Abe, Theresa May", "12 + 7 = 19, 8 kg = 8000 g, 3 4 5 6 7 8 9 10",
+             "blue whale", "42", "\u5c0f\u660e\u67095\u4e2a\u82f9\u679c\uff0c\u4ed6\u7ed9\u4e86\u5c0f\u7ea22\u4e2a\u3002", "\uff0c\u3002"]
+    texts = ["We met " + items[0].lower() + " there", "so 12 + 7 = 19, 8 kg = 8000 g, 3 4 5 6 7 8 9 10!", "so 13 + 9 = 21, 7 kg = 7000 g, 4 3 5 6 7 8 9 11!",
+             "the Blue whale sings to a blue whale", "It is 42.", "\u6211\u4eec\u77e5\u9053" + items[4].replace("5", "7") + "\u597d", "a blue one, 420 whales"]
+    got = _found(spark, items, texts)
+    assert [sorted(got[d]) for d in range(len(texts))] == [[0], [1], [], [2], [3], [4], []]
+    assert (got[3][2].start, got[3][2].end, got[5][4].n_changed) == (1, 8, 1)
+    assert all(m.n_covered == m.n_item for found in got.values() for m in found.values())
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
