@@ -16,8 +16,9 @@
    clearly below the threshold are dropped; the rest is decided on full sets.
 5. Links are unioned by ``graph.components``.
 
-With 60 bands of 6 registers a pair at similarity 0.75 shares a bucket with
-probability 1 - 8e-6.
+A pair at similarity 0.75 is missed with probability 8e-6: with 60 bands of 6
+registers it shares no bucket with probability 8e-6, and its estimate falls
+below the cutoff (``MARGIN`` deviations, 0.613) with probability 4e-9.
 
 Defined results: words are runs of bytes other than space and 0x09-0x0D with
 A-Z lower-cased.  Under ``shingle`` words the whole sequence is the one
@@ -46,7 +47,7 @@ SHINGLE, THRESHOLD = 5, 75  # per cent
 BANDS, ROWS = 60, 6
 REGISTERS = BANDS * ROWS
 ZERO_BITS, MANTISSA_BITS = 4, 4
-MARGIN = 4  # standard deviations of the estimate below the threshold
+MARGIN = 6  # standard deviations of the estimate below the threshold
 CHUNK = 1024  # nodes of a star on either side of a block
 BROADCAST_ROWS = 100_000
 U = X.U

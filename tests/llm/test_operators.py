@@ -179,6 +179,20 @@ def test_decontaminate_few_literals_short_and_unspaced(spark):
     assert all(m.n_covered == m.n_item for found in got.values() for m in found.values())
 
 
+def test_sketch_filter_keeps_pairs_near_the_threshold():
+    import math
+
+    import pyarrow as pa
+
+    n, p, least = minhash.REGISTERS, minhash.THRESHOLD / 100, minhash._cutoff(minhash.THRESHOLD)
+    lost = sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(math.ceil(least * n)))
+    assert lost < 1e-8  # far below the banding's loss
+    a = np.zeros(n, np.uint8)
+    b = (np.arange(n) >= 235).astype(np.uint8)
+    batch = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "n_a": [400], "n_b": [400], "sketch_a": [a.tobytes()], "sketch_b": [b.tobytes()]})
+    assert next(minhash._likely(minhash.THRESHOLD)([batch])).num_rows == 1
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
