@@ -7,9 +7,9 @@ neighbours, and a search descends layer by layer, then widens into a beam on
 the lowest.  Every node queries every shard.
 
 Beams widen for two reasons.  A shard is audited when it is built: the links
-of a fixed set of its nodes, found by the beam, are held against brute force,
-and the shard's beam doubles until the recall passes (a beam as wide as the
-shard is exact).  And a query whose whole beam lies above the threshold
+of a fixed set of nodes, its own and other shards', found by the beam, are held
+against brute force, and the shard's beam doubles until the mean recall of the
+nodes that have links passes (a beam as wide as the shard is exact).  And a query whose whole beam lies above the threshold
 doubles its own beam until it does not, so large groups are found whole.
 
 Links are decided by cosine in double precision.  A task returns each query's
@@ -37,7 +37,7 @@ COSINE = 0.9
 LINKS, BEAM_BUILD, PEERS, BEAM = 10, 32, 12, 16
 SHARD_ROWS, LEAST_SHARDS = 50_000, 6
 QUERY_ROWS, COPIES = 1024, 8
-AUDIT, RECALL = 128, 0.999
+AUDIT, AUDIT_DRAWS, RECALL = 128, 8, 0.999
 
 
 class Graph:
@@ -192,19 +192,33 @@ class Graph:
             beam = min(2 * beam, len(self.x))
         return out
 
-    def audit(self, least: float, target: float) -> float:
-        """Recall of links for a fixed set of nodes; widens the beam until it
-        reaches ``target``."""
-        sample = np.unique(np.linspace(0, len(self.x) - 1, AUDIT).astype(int))
-        truth = self.x[sample] @ self.x.T >= least
-        truth[np.arange(len(sample)), sample] = False  # a node's link to itself proves nothing
-        while True:
-            found = self.near(self.x[sample], least)
-            hit = sum(int(t[f].sum()) for t, f in zip(truth, found))
-            recall = hit / max(1, int(truth.sum()))
+    def audit(self, least: float, target: float, others: np.ndarray | None = None) -> float:
+        """Mean recall by query, for a fixed set of nodes that have links and
+        for the ``others`` (vectors of other shards) that have; widens the beam
+        until it reaches ``target``.  A small group's query counts as much as
+        a large one's."""
+        sample = np.unique(np.linspace(0, len(self.x) - 1, AUDIT * AUDIT_DRAWS).astype(int))
+        q, truth = [], []
+        for part in np.split(sample, range(AUDIT, len(sample), AUDIT)):
+            near = self.x[part] @ self.x.T >= least
+            near[np.arange(len(part)), part] = False  # a node's link to itself proves nothing
+            has = near.any(1)
+            q.append(self.x[part[has]])
+            truth += [np.flatnonzero(t) for t in near[has]]
+        own = np.unique(np.linspace(0, len(truth) - 1, AUDIT).astype(int)) if truth else []
+        q, truth = np.concatenate(q)[own] if truth else self.x[:0], [truth[i] for i in own]
+        if others is not None and len(others):
+            near = others @ self.x.T >= least
+            has = near.any(1)
+            q = np.concatenate([q, others[has]])
+            truth += [np.flatnonzero(t) for t in near[has]]
+        while truth:
+            found = self.near(q, least)
+            recall = float(np.mean([np.isin(t, f).mean() for t, f in zip(truth, found)]))
             if recall >= target or self.beam >= len(self.x):
                 return recall
             self.beam = min(2 * self.beam, len(self.x))
+        return 1.0
 
 
 def _unit(raw: list) -> np.ndarray:
@@ -235,12 +249,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return keep
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard's graph as arrays."""
+def _build(pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """One shard's graph as arrays; ``asked``: nodes for the audit."""
+    if not len(pdf):
+        return pd.DataFrame(columns=["dim", "shard", "beam", "entry", "links", "nodes", "members", "vectors"], dtype=object)
     pdf = pdf.sort_values("node")
     x = _normal(_unit(pdf["raw"].tolist()))
     g = Graph(x, pdf["node"].to_numpy())
-    g.audit(COSINE, RECALL)
+    asked = asked[asked["home"] != pdf["shard"].iloc[0]].sort_values("node")
+    g.audit(COSINE, RECALL, _normal(_unit(asked["raw"].tolist())).astype(np.float32) if len(asked) else None)
     return pd.DataFrame({
         "dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "beam": [g.beam], "entry": [g.entry],
         "links": [[a.tobytes() for a in g.layers]], "nodes": [pdf["node"].to_numpy().tobytes()],
@@ -294,7 +311,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     count = rows.count()
     shards = max(LEAST_SHARDS, -(-count // shard_rows))
     nodes = cut(nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")))
-    index = cut(nodes.groupBy("dim", "shard").applyInPandas(
+    # About 2 * AUDIT nodes of all, by hash, audit every shard but their own.
+    asked = nodes.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(max(1, count // (2 * AUDIT)))) == 0) \
+        .select("node", "raw", "dim", F.col("shard").alias("home")) \
+        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    index = cut(nodes.groupBy("dim", "shard").cogroup(asked.groupBy("dim", "shard")).applyInPandas(
         _build, "dim int, shard int, beam long, entry long, links array<binary>, nodes binary, members binary, vectors binary"))
     blocks = max(1, -(-count // QUERY_ROWS))
     asked = (nodes.groupBy("dim", F.pmod(F.hash("node"), F.lit(blocks)).alias("block"))

@@ -209,6 +209,29 @@ def test_near_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i, _ in odd)
 
 
+def test_near_vectors_audit_counts_queries():
+    x = np.zeros((800, 16), np.float32)
+    x[:500, 0] = 1  # one large group, and pairs
+    x[np.arange(500, 800), 1:] = np.repeat(np.random.default_rng(4).normal(size=(150, 15)), 2, axis=0)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+
+    class Poor(hnsw.Graph):
+        def __init__(self):
+            self.x, self.beam = x, 16
+
+        def near(self, q, least, beam=None):
+            hit = [np.flatnonzero(r @ x.T >= least) for r in q]
+            return [h if len(h) > 100 or self.beam >= 64 else h[:0] for h in hit]
+
+    own, other = Poor(), Poor()
+    assert own.audit(0.9, 0.99) == 1 and own.beam >= 64
+    other.x = x[:500]  # its own nodes are all of the large group
+    other.near = lambda q, least: [np.arange(500) if r[0] > 0.9 or other.beam >= 64 else np.zeros(0, int) for r in q]
+    near = x[:1] + 0.3 * x[600:601]
+    other.audit(0.9, 0.99, near / np.linalg.norm(near))
+    assert other.audit(0.9, 0.99) == 1
+
+
 def test_quality(spark):
     good, bad = "plain words make a good text here. ", "#### $$$$ %%%% &&&& "
     rows = [(i, (good if i % 2 else bad) * (1 + i % 9)) for i in range(240)]
