@@ -42,8 +42,13 @@ CELLS = 1 << 15
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp "
               "small span strike strong sub sup time tt u var wbr br".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style template textarea noscript title svg math iframe object select".split())
+# Formulas are part of their block's text; drawings and frames are none.
+_MATH = set("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace "
+            "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+_RAW = set("script style template textarea noscript title svg annotation annotation-xml iframe select".split())
 _SKIP = _RAW - {"textarea"}
+#: Only these take the rest of the page where their end is missing.
+_CODE = {"script", "style"}
 #: Elements that a new one of the key closes when they are open.
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
            "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
@@ -98,6 +103,8 @@ def blocks(page: str) -> list[tuple[tuple, str, int, int]]:
         if not (m[4] or m[8]):
             break  # the page ends inside this tag
         closing, marks = bool(m[1] or m[5]), m[3] or m[7] or ""
+        if tag in _MATH:
+            continue
         if closing:
             if tag in _INLINE:
                 if tag == "a":
@@ -111,13 +118,15 @@ def blocks(page: str) -> list[tuple[tuple, str, int, int]]:
             continue
         if tag in _RAW:
             flush()
+            if marks.rstrip().endswith("/") and tag not in _CODE:
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag not in _SKIP and end:
                 text.append(page[at:end.start()])
                 stack.append((tag, marks))
                 flush()
                 stack.pop()
-            at = end.end() if end else len(page)
+            at = end.end() if end else len(page) if tag in _CODE else at
             continue
         if tag in _INLINE:
             inline += 1
@@ -148,9 +157,9 @@ def features(found: list) -> np.ndarray:
             for s in _path_slots(tag, marks):
                 x[i, s] = 1
         words = text.split()
-        few = words[:24]  # enough to place the block; its text is kept whole
-        for w in few:
-            x[i, PATH + _slot("word", w.lower().strip(".,;:!?"), TEXT)] += 1 / len(few)
+        for w in words:
+            x[i, PATH + _slot("word", w.lower().strip(".,;:!?"), TEXT)] += 1
+        x[i, PATH:PATH + TEXT] /= len(words)
         n = len(text)
         ends, digits = sum(map(text.count, ".!?")), sum(map(text.count, "0123456789"))
         x[i, PATH + TEXT:] = (np.log1p(n) / 6, np.log1p(len(words)) / 5, min(linked / n, 1), min(inline / len(words), 1),

@@ -258,6 +258,15 @@ def test_html(spark):
     assert right / total > 0.95
 
 
+def test_html_features_read_all_words_and_elements_end_at_their_tag():
+    lead = " ".join(f"w{i}" for i in range(24))
+    a, b = (html_blocks.features([((), f"{lead} {tail}", 0, 0)])[0] for tail in ("alpha beta gamma delta", "one two three four"))
+    words = slice(html_blocks.PATH, html_blocks.PATH + html_blocks.TEXT)
+    assert (a[words] != b[words]).any() and a[words].sum() == pytest.approx(1)
+    page = '<p>one</p><svg width="1"/><p>two</p><iframe src="x"><p>three</p><object><p>four</p></object><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><svg><text>no</text></svg><script>var a'
+    assert [t for _, t, _, _ in html_blocks.blocks(page)] == ["one", "two", "three", "four", "so x=2 holds"]
+
+
 def test_backoff(docs):
     got = Counter((r.doc_id, r.n_words, r.log_score_micro) for r in lm_backoff.backoff_scores(docs).collect())
     rows = [(r.doc_id, _words(r.text)) for r in docs.collect()]
