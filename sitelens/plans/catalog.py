@@ -147,8 +147,9 @@ AUDIT: dict[str, Query] = {
 
 
 def _stream(spark: SparkSession, sf: str):
-    # The given folder is the stream's landing place; nothing is staged.
-    return ST.request_stream(spark, sf, name="events.parquet")
+    # The given table is the stream's landing place; nothing is staged.  As a
+    # pattern the path names a single file as well as a folder of part files.
+    return ST.request_stream(spark, f"{sf.rstrip('/')}/events.parque[t]")
 
 
 def _stream_metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -80,6 +80,7 @@ def hourly_metrics(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 OUTCOME_SCHEMA = "event_id long, cache_key string, t long, outcome string"
 STATE_SCHEMA = "anchor long, gone long"
+NEVER_US = 9_180_000_000_000_000  # in 2260, within the nanosecond times of pandas
 
 
 def _ttl_step(ttl_us: int):
@@ -119,9 +120,13 @@ def _ttl_step(ttl_us: int):
 
 
 def _cache_walk(stream: DataFrame, forced: Column, ok: Column, inv: Column, ttl_seconds: int) -> DataFrame:
+    # Spark drops rows whose marked time is behind the watermark.  Late rows are
+    # answered as well, so the mark goes on a column that never is; the
+    # watermark itself follows ts_ltz and only ends states.
+    never = F.timestamp_micros(F.lit(NEVER_US)).alias("ts_ltz", metadata={"spark.watermarkDelayMs": ttl_seconds * 1000})
     log = (stream.where(X.url_ok("url")).withWatermark("ts_ltz", f"{ttl_seconds} seconds")
            .select(X.cache_key("url").alias("cache_key"), X.epoch_us("ts").alias("t"),
-                   F.col("event_id").alias("id"), forced.alias("forced"), ok.alias("ok"), inv.alias("inv"), "ts_ltz"))
+                   F.col("event_id").alias("id"), forced.alias("forced"), ok.alias("ok"), inv.alias("inv"), never))
     return log.groupBy("cache_key").applyInPandasWithState(
         _ttl_step(ttl_seconds * 1_000_000), OUTCOME_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 

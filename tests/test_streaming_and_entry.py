@@ -111,3 +111,31 @@ def test_stream_dedup_is_the_same_in_one_and_many_batches(spark):
     one, many = (ST.run_to_table(spark, ST.dedup_renders(ST.request_stream(spark, src, max_files=n)), "d") for n in (None, 1))
     assert many.select("_batch").distinct().count() >= 2
     assert one.drop("_batch").exceptAll(many.drop("_batch")).count() == 0 == many.drop("_batch").exceptAll(one.drop("_batch")).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_streams_read_a_folder_of_part_files(spark, tmp_path):
+    from sitelens.plans import catalog
+    from sitelens.sources import driver as D
+    D.read_table(spark, SF, "events").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("stream_bot_tags", "stream_ttl"):
+        want, got = (catalog.STREAMING[name](spark, sf) for sf in (SF, str(tmp_path)))
+        assert want.count() > 0 and got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_rows_later_than_the_ttl_are_answered(spark):
+    from pyspark.sql import functions as F
+    from sitelens.sources import driver as D
+    from sitelens.streaming import streams as ST
+    ev = D.read_table(spark, SF, "events")
+    days = [r.d for r in ev.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    src = ST.scratch(spark, "late-src")
+    sent = [days[4], days[5], days[0]]
+    for d in sent:
+        ev.where(F.to_date("ts") == d).coalesce(1).write.mode("append").parquet(src)
+    out = ST.run_to_table(spark, ST.ttl_outcomes(ST.request_stream(spark, src, max_files=1)), "late")
+    from sitelens.functions import columns as X
+    want = D.requests_table(spark, SF).where(F.to_date("ts").isin(sent) & X.url_ok("url"))
+    assert {r.event_id for r in out.collect()} == {r.event_id for r in want.collect()}
+    assert out.select("_batch").distinct().count() >= 3
