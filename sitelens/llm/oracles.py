@@ -93,5 +93,67 @@ FROM w LEFT JOIN d ON w.doc_id = d.doc_id
 """
 
 
+# crc32 of a list of bytes: its table is computed by eight shifts of each byte.
+_CRC = """
+crc AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+        CAST(b AS BIGINT)) AS c FROM (SELECT unnest(range(0, 256)) AS b)))
+"""
+# UTF-8 bytes of text whose letters are ASCII or U+00C0-U+00FF.
+_BYTES = "flatten(list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END))"
+
+_OP11 = f"""
+WITH RECURSIVE {_CRC},
+run AS (SELECT doc_id, r, count(*) AS n FROM (
+          SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS r FROM documents)
+        WHERE length(r) >= 6 GROUP BY 1, 2),
+h AS (SELECT r, n, xor(list_reduce({_BYTES.format(x="coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r")},
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM run, crc),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, n FROM h)
+      WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+gap AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS same, substr(word, 1, i - 1) || substr(word, i + 1) AS less
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n FROM gap a JOIN gap b ON a.same = b.same AND a.word <> b.word
+         UNION SELECT w.word, gap.word, gap.n FROM w JOIN gap ON w.word = gap.less UNION SELECT gap.word, w.word, w.n FROM w JOIN gap ON w.word = gap.less),
+best AS (SELECT word, other, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, encode(other)) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * w.n THEN other END AS form, CASE WHEN best.n >= 5 * w.n THEN best.n END AS form_n
+      FROM w LEFT JOIN best ON w.word = best.word AND k = 1),
+walk(word, root, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, form, step + 1 FROM walk JOIN f ON walk.root = f.word WHERE form IS NOT NULL)
+SELECT f.word, form, (SELECT arg_max(root, step) FROM walk WHERE walk.word = f.word) AS root, n, n_near, form_n FROM f
+"""
+
+_OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d)
+      LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2) USING (lang, source)),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 1)::HUGEINT) // (n + v) AS p
+      FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+q AS (SELECT lang, term, 1 + (1000000000 * (sum(c) + 1)::HUGEINT) // ((SELECT sum(n) FROM g WHERE g.lang = p.lang) + (SELECT v FROM v WHERE v.lang = p.lang)) AS q
+      FROM p GROUP BY 1, 2),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+         GROUP BY 1, 2, 3),
+term AS (SELECT p.lang, p.source, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p > q),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS k FROM every)
+WHERE part = 'pair' OR k <= 200
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op3_warc_fixity": _OP3, "op5_hyperminhash": _OP5, "op6_hnsw": _OP6, "op9_backoff_lm": _OP9}
+    return {"op1_substring_dedup": _OP1, "op3_warc_fixity": _OP3, "op5_hyperminhash": _OP5, "op6_hnsw": _OP6, "op9_backoff_lm": _OP9,
+            "op11_spelling_variants": _OP11, "op12_source_divergence": _OP12, "op13_exact_dedup": _OP13}

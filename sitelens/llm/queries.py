@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import bpe, decontaminate, hnsw, html_blocks, lm_backoff, minhash, quality, shard, substring_dedup, warc
+from sitelens.llm import (bpe, decontaminate, divergence, exact_dedup, hnsw, html_blocks, lm_backoff, minhash, quality, shard,
+                          spelling, substring_dedup, warc)
 from sitelens.llm.common import read
 
 SHARDS = 8
@@ -105,7 +106,21 @@ def op10_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(read(spark, sf_dir, "documents"), noise=True))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(read(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(read(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_byte_bpe, op3_warc_fixity, op4_decontaminate, op5_hyperminhash, op6_hnsw,
-        op7_quality_mil, op8_html_blocks, op9_backoff_lm, op10_hypergeometric_shards)}
+        op7_quality_mil, op8_html_blocks, op9_backoff_lm, op10_hypergeometric_shards, op11_spelling_variants,
+        op12_source_divergence, op13_exact_dedup)}
