@@ -50,24 +50,7 @@ STRIP_SCRIPTS = [
 
 
 # ---------------------------------------------------------------- FIXED VALUES
-# Routes (P1–P9).  Java spellings are possessive where nesting could recurse
-# deeply; ``re2()`` gives the oracle spelling (same language, no possessive).
-BRACE_DEPTH = 16
-
-
-def braced(depth: int = BRACE_DEPTH) -> str:
-    """Text in balanced braces, nested ``depth`` deep at most (a regular
-    expression cannot count further)."""
-    out = r"\{[^{}]*+\}"
-    for _ in range(depth - 1):
-        out = r"\{(?:[^{}]++|" + out + r")*+\}"
-    return out
-
-
-BRACED = braced()
-ROUTE_ELEMENT = r"<Route(?=[\s/>])((?:[^{}<>]++|" + BRACED + r")*+)>"
-ROUTE_ELEMENT_RE2 = r"<Route((?:[\s/](?:[^{}<>]|" + BRACED.replace("*+", "*").replace("++", "") + r")*)?)>"
-JSX_ATTR = (r"([A-Za-z_$][A-Za-z0-9_$.:-]*)(?:\s*=\s*(\"[^\"]*+\"|'[^']*+'|" + BRACED + r"))?")
+# Routes (P3–P9).
 CONFIG_ROUTE = (r"path\s*:\s*[\"']([^\"']+)[\"'][\s\S]{0,200}?"
                 r"(?:element\s*:\s*<([A-Z][A-Za-z0-9_]*)|component\s*:\s*([A-Z][A-Za-z0-9_]*))")
 ROUTE_PATH_FALLBACK = r"path\s*[=:]\s*[\"']([^\"']+)[\"']"
@@ -78,11 +61,5 @@ IMPORT_CLAUSE = r"import\s+([\p{L}\p{N}_\s{},*]+?)\s+from\s+[\"']([^\"']+)[\"']"
 JSX_COMPONENT_REF = r"<\s*([A-Z][A-Za-z0-9_]*)"
 IDENT_COMPONENT_REF = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Za-z0-9_]*)(?:[^\p{L}\p{N}_]|$)"
 USE_EFFECT_FETCH_ROUTE = r"useEffect\s*\([^)]*=>[\s\S]*?fetch\s*\("
-# Import declarations with their source (the AST form, P10) — one per line start.
-IMPORT_DECL = r"(?m)^[ \t]*import(?:[\s{][^;'\"]*?from)?\s*[\"']([^\"'\n]+)[\"']"
+USE_EFFECT, FETCH = r"useEffect\s*\(", r"fetch\s*\("
 # ------------------------------------------------------------ END FIXED VALUES
-
-
-def re2(p: str) -> str:
-    """Oracle spelling of a possessive Java pattern (same matches here)."""
-    return p.replace("*+", "*").replace("++", "+")

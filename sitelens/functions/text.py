@@ -1,16 +1,18 @@
-"""Text helpers over whole documents, all built-in Spark expressions.
-
-``with_matches`` adds every non-overlapping regex match of a text with its
-1-based start line, like iterating ``finditer`` and counting the newlines
-before each match.  It runs the regex sequentially twice per text
-(``regexp_extract_all`` for the matches, ``split`` for the text between them)
-and turns newline counts into start lines with one ``aggregate`` fold, so it
-stays JVM-side and linear in the text (a lazy ``(.*?)`` prefix would be
-quadratic on a long text without a final match).
+"""Text helpers over whole documents.
+
+``matches`` finds every non-overlapping match of a pattern with its 1-based
+start line: one pass of the pattern, and a binary search of each match in the
+text's sorted newline offsets.
 """
 
 from __future__ import annotations
 
+import re
+import sys
+from bisect import bisect_left
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,50 +33,33 @@ def strip_ws(c: Column) -> Column:
     return F.regexp_replace(c, "^\\s+|\\s+$", "")
 
 
-def with_matches(df, text: str, pattern: str, groups: int, out: str):
-    """Add ``out`` = array<struct<line:int, m:string, g1..gN:string>>.
-
-    Each regex pass is computed once into a temporary column, so the
-    expression is not duplicated."""
-    pat = F.lit(pattern)
-    t = F.col(text)
-    tm, tp = f"__{out}_m", f"__{out}_p"
-    df = df.withColumn(tm, F.regexp_extract_all(t, pat, 0)).withColumn(tp, F.split(t, pattern, -1))
-    gnames = []
-    for i in range(1, groups + 1):
-        g = f"__{out}_g{i}"
-        df = df.withColumn(g, F.regexp_extract_all(t, pat, i))
-        gnames.append(g)
-    ms = F.col(tm)
-    pre = F.transform(F.slice(F.col(tp), 1, F.size(ms)), newlines)
-    inside = F.transform(ms, newlines)
-    steps = F.zip_with(pre, inside, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    init = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
-    lines = F.aggregate(
-        steps, init,
-        lambda acc, x: F.struct(
-            (acc["run"] + x["p"] + x["m"]).alias("run"),
-            F.concat(acc["out"], F.array(acc["run"] + x["p"] + 1)).alias("out")),
-        lambda acc: acc["out"])
-    fields = [lines.alias("line"), ms.alias("m")] + [F.col(g).alias(f"g{i + 1}") for i, g in enumerate(gnames)]
-    return df.withColumn(out, F.arrays_zip(*fields)).drop(tm, tp, *gnames)
-
-
-# String literals first (quoted ones end with their line), so that ``"/docs/*"``
-# opens no comment; then block comments anywhere and line comments that start
-# a line.  (A ``//`` after code is left alone: it is too often part of a URL.)
-STRING_OR_COMMENT = (r"(?m)\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\[\s\S])*+`"
-                     r"|/\*[\s\S]*?\*/|^[ \t]*//[^\n]*")
-
-
-def mask_comments(text: Column) -> Column:
-    """The text with every comment replaced by its newlines only, so line
-    numbers are unchanged.  Used where the audited tool reads a syntax tree
-    (JSX elements, import declarations, calls), which ignores comments; comment
-    signs inside string literals are text."""
-    pieces = F.split(text, STRING_OR_COMMENT, -1)
-    tokens = F.regexp_extract_all(text, F.lit(STRING_OR_COMMENT), 0)
-    comment = lambda c: F.ltrim(c).startswith("//") | c.startswith("/*")
-    glued = F.zip_with(pieces, tokens, lambda p, c: F.concat(
-        p, F.coalesce(F.when(comment(c), F.repeat(F.lit("\n"), newlines(c))).otherwise(c), F.lit(""))))
-    return F.array_join(glued, "")
+def find_matches(text: str, pattern: re.Pattern) -> list[tuple]:
+    """(line, groups...) of each match; a group that took no part is ''."""
+    found = list(pattern.finditer(text))
+    if not found:
+        return []
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    return [(bisect_left(breaks, m.start()) + 1, *[g or "" for g in m.groups()]) for m in found]
+
+
+def matches(text: Column, pattern: str, last: str = "") -> Column:
+    """array<struct<line:int, g1..gN:string>> of the matches of ``pattern`` (an
+    Arrow UDF).  A match ends with ``last``, if given in lower case: what comes
+    after the last one of a text is not searched.  A null text has none."""
+    compiled = re.compile(pattern, re.ASCII)
+    names = ["line", *[f"g{i + 1}" for i in range(compiled.groups)]]
+
+    def run(texts: pa.Array) -> pa.Array:
+        ends, rows = [0], []
+        for t in texts.to_pylist():
+            t = t or ""
+            rows += find_matches(t[:t.lower().rfind(last) + len(last)] if last else t, compiled)
+            ends.append(len(rows))
+        columns = [pa.array([r[i] for r in rows], pa.string() if i else pa.int32()) for i in range(len(names))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
+
+    return F.arrow_udf(run, f"array<struct<{','.join(f'{n}:{'string' if i else 'int'}' for i, n in enumerate(names))}>>")(text)
+
+
+# The functions travel to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

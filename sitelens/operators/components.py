@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import constants as C
+from sitelens.functions import patterns as P
 from sitelens.functions.patterns import word
-from sitelens.functions.text import mask_comments
+from sitelens.operators.scan import with_syntax
 
-# Identifier chains followed by a call (optionally with type arguments).
-CALL = r"[\p{L}_$][\p{L}\p{N}_$]*(?:\s*\.\s*[\p{L}_$][\p{L}\p{N}_$]*)*\s*(?:<[^()]*>)?\s*\("
-CALLEE_LAST = r"([\p{L}\p{N}_$]+)\s*(?:<[^()]*>)?\s*\($"
 EVENT_HANDLER = r"on[A-Z][a-zA-Z]+\s*="
-USE_EFFECT_FETCH = r"useEffect\s*\([\s\S]*?fetch\s*\("
 
 # FIXED VALUES: classification texts.
 SERVER_REASON = "No client-only hooks, globals, or event handlers detected"
@@ -27,28 +24,26 @@ NOTE_SPLIT = ("Consider splitting this into a Server Component data wrapper and
 NOTE_PURE = "This looks like a candidate for a pure async Server Component in Next.js App Router."
 
 
-def called_hooks(text: Column) -> Column:
-    """Distinct client hooks called, in first-call order."""
-    callees = F.transform(F.regexp_extract_all(text, F.lit(CALL), 0),
-                          lambda c: F.regexp_extract(c, CALLEE_LAST, 1))
-    hooks = F.array(*[F.lit(h) for h in C.CLIENT_HOOKS])
-    return F.array_distinct(F.filter(callees, lambda c: F.array_contains(hooks, c)))
+def effect_then_fetch(text: Column) -> Column:
+    """An effect's call with a fetch call anywhere after the first one."""
+    after = F.regexp_replace(text, rf"(?s)^.*?{P.USE_EFFECT}", "")
+    return text.contains("useEffect") & text.contains("fetch") & text.rlike(P.USE_EFFECT) & after.rlike(P.FETCH)
 
 
 def classify_components(sources: DataFrame) -> DataFrame:
-    """P27–P31 per source file.  Every derived array is staged as its own
-    column, so each regex pass runs once per file."""
+    """P27–P31 per source file.  Hooks are those that the scanner saw called,
+    distinct, in first-call order; a global's pattern runs only on texts that
+    contain its name."""
     c = F.col("content")
     empty = F.array().cast("array<string>")
-    staged = (sources.select("project_id", F.col("path").alias("file_path"), "content")
-              .withColumn("hooks", called_hooks(mask_comments(c)))  # calls: syntax tree, no comments
+    staged = (with_syntax(sources).select("project_id", F.col("path").alias("file_path"), "content", F.col("syntax.hooks").alias("hooks"))
               .withColumn("globals", F.array_compact(F.array(*[
-                  F.when(c.rlike(word(g)), F.lit("Accesses browser global: " + g))
+                  F.when(c.contains(g) & c.rlike(word(g)), F.lit("Accesses browser global: " + g))
                   for g in sorted(C.CLIENT_GLOBALS)])))
               .withColumn("handler", c.rlike(EVENT_HANDLER))
               .withColumn("rq", c.contains("useQuery") | c.contains("useMutation"))
               .withColumn("swr", c.contains("useSWR"))
-              .withColumn("effect", c.rlike(USE_EFFECT_FETCH))
+              .withColumn("effect", effect_then_fetch(c))
               .withColumn("has_use_query", c.contains("useQuery"))
               .drop("content"))
     hooks = F.col("hooks")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import patterns as P
-from sitelens.functions.text import mask_comments, splitlines, with_matches
+from sitelens.functions.text import matches, splitlines
 from sitelens.operators.html import has_metadata_keyword, with_metadata_flags
+from sitelens.operators.scan import with_syntax
 
 
 def detect_metadata(sources: DataFrame) -> DataFrame:
@@ -17,18 +18,15 @@ def detect_metadata(sources: DataFrame) -> DataFrame:
     strategy or a flag.  ``line_numbers`` are 1-based, sorted and distinct.
     """
     c = F.col("content")
-    files = sources.where(has_metadata_keyword(c)).select("project_id", "path", "content")
-    # Import declarations come from a syntax tree in the audited tool.
-    files = files.withColumn("masked", mask_comments(c))
-    files = with_matches(files, "masked", P.IMPORT_DECL, 1, "imp_m").drop("masked")
-    files = with_matches(files, "content", P.HELMET_BLOCK, 0, "blk_m")
-    files = with_matches(files, "content", P.TITLE, 0, "ttl_m")
+    files = with_syntax(sources.where(has_metadata_keyword(c))).select(
+        "project_id", "path", "content", F.col("syntax.imports").alias("imp_m"),
+        matches(c, P.HELMET_BLOCK, "</helmet>").alias("blk_m"), matches(c, P.TITLE, "</title>").alias("ttl_m"))
     files = files.withColumn("doc_lines", F.filter(
         F.transform(splitlines(c), lambda ln, i: F.when(ln.contains("document.title"), i + 1)),
         lambda x: x.isNotNull()))
     files = with_metadata_flags(files, "content")
     imports = F.transform(F.col("imp_m"),
-                          lambda x, i: F.struct(i.alias("i"), x["line"].alias("line"), x["g1"].alias("src")))
+                          lambda x, i: F.struct(i.alias("i"), x["line"].alias("line"), x["source"].alias("src")))
     asyncs = F.filter(imports, lambda x: x["src"] == "react-helmet-async")
     helmets = F.filter(imports, lambda x: x["src"] == "react-helmet")
     first_async = F.array_min(F.transform(asyncs, lambda x: x["i"]))

@@ -2,7 +2,8 @@
 
 Every source file is scanned once; routes come from three extractors:
 
-* JSX ``<Route …>`` elements (kind 0 = opening, 1 = self-closing),
+* JSX ``<Route …>`` elements (kind 0 = opening, 1 = self-closing) of the
+  linear scanner in ``functions/jsx.py``,
 * router objects ``{ path: '…', element: <X/> }`` when the file names
   ``createBrowserRouter`` / ``createHashRouter`` / ``useRoutes`` (kind 2),
 * a ``path=``/``path:`` literal fallback, only for files where the first two
@@ -22,24 +23,17 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import constants as C
 from sitelens.functions import patterns as P
-from sitelens.functions.text import mask_comments, strip_ws, with_matches
+from sitelens.functions.text import matches, strip_ws
 from sitelens.operators.asof import running_sum
-from sitelens.operators.scan import path_order, project_status, source_files
+from sitelens.operators.scan import path_order, project_status, source_files, with_syntax
 
 SORTED_EXTS = sorted(C.JS_EXTENSIONS)
 
 
 # ----------------------------------------------------------- scalar pieces
-def attr_value(names: Column, values: Column, name: str) -> Column:
-    """First attribute ``name``; its value without whitespace, braces and
-    quotes.  A bare attribute yields its own name (parser quirk)."""
-    pos = F.array_position(names, name)
-    raw = F.when(pos > 0, F.element_at(values, pos.cast("int")))
-    raw = F.when(raw == "", F.lit(name)).otherwise(raw)
-    return _strip_value(raw)
-
-
-def _strip_value(raw: Column) -> Column:
+def attr_value(raw: Column) -> Column:
+    """An attribute's value without whitespace, braces and quotes (a bare
+    attribute yields its own name)."""
     s = strip_ws(raw)
     s = F.regexp_replace(s, r"^[{}]+|[{}]+$", "")
     return F.regexp_replace(s, "^['\"`]+|['\"`]+$", "")
@@ -66,7 +60,17 @@ def fetch_pattern(text: Column) -> Column:
     out = F.when(text.isNull(), F.lit("none"))
     for token, pattern in C.FETCH_HOOKS:
         out = out.when(text.contains(token), F.lit(pattern))
-    return out.when(text.rlike(P.USE_EFFECT_FETCH_ROUTE), "useEffect_fetch").otherwise("none")
+    return out.when(effect_fetches(text), "useEffect_fetch").otherwise("none")
+
+
+def effect_fetches(text: Column) -> Column:
+    """Whether ``USE_EFFECT_FETCH_ROUTE`` matches, in one pass: an effect's
+    call, an arrow before the next closing parenthesis, a fetch call later."""
+    signs = F.regexp_extract_all(text, F.lit(rf"{P.USE_EFFECT}|{P.FETCH}|=>|\)"), F.lit(0))
+    seen = F.aggregate(signs, F.lit(0), lambda s, x: F.when(
+        s < 2, F.when(x.startswith("useEffect"), 1).when(x == ")", 0).when((x == "=>") & (s == 1), 2).otherwise(s))
+        .when(x.startswith("fetch"), 3).otherwise(s))
+    return text.contains("useEffect") & text.contains("fetch") & (seen == 3)
 
 
 def imported_identifiers(clause: Column) -> Column:
@@ -183,37 +187,29 @@ def name_maps(sources: DataFrame, all_paths: DataFrame) -> tuple[DataFrame, Data
 def route_candidates(sources: DataFrame) -> DataFrame:
     """Route rows of every source file before resolution and dedup.
 
-    Matches are exploded to rows early and every derived value is its own
-    column, so each regex runs once per text or element."""
+    Elements come from the one-pass scanner, router objects and path literals
+    from one pass of their pattern each; matches are exploded to rows early."""
+    sources = with_syntax(sources)
     c = F.col("content")
     guard = F.lit(False)
     for g in C.ROUTER_OBJECT_GUARDS:
         guard = guard | c.contains(g)
     base = sources.select(
         "project_id", F.col("path").alias("file"), "is_router", "content",
-        guard.alias("guard"),
+        guard.alias("guard"), F.col("syntax.routes").alias("jsx"),
         F.regexp_extract_all(c, F.lit(P.LAZY_DECL), 1).alias("lazy_names"),
         (c.contains("React.lazy(") | c.contains("lazy(() => import(")).alias("any_lazy"))
-    # JSX elements come from a syntax tree in the audited tool: comments out.
-    base = base.withColumn("masked", mask_comments(F.col("content")))
-    base = with_matches(base, "masked", P.ROUTE_ELEMENT, 1, "jsx_m").drop("masked")
-    base = with_matches(base, "content", P.CONFIG_ROUTE, 3, "cfg_m")
-    base = with_matches(base, "content", P.ROUTE_PATH_FALLBACK, 1, "fb_m").drop("content")
+    base = base.withColumn("cfg_m", matches(c, P.CONFIG_ROUTE)).withColumn("fb_m", matches(c, P.ROUTE_PATH_FALLBACK)).drop("content")
     base = base.checkpoint(eager=True)  # one scan feeds three extractors
     keep = ["project_id", "file", "is_router", "lazy_names", "any_lazy"]
 
-    jsx = (base.select(*keep, F.posexplode("jsx_m").alias("pos", "e"))
-           .select(*keep, "pos", F.col("e.line").alias("line"), F.col("e.g1").alias("body"))
-           .withColumn("names", F.regexp_extract_all("body", F.lit(P.JSX_ATTR), 1))
-           .withColumn("vals", F.regexp_extract_all("body", F.lit(P.JSX_ATTR), 2))
-           .withColumn("path", attr_value(F.col("names"), F.col("vals"), "path"))
-           .withColumn("comp", attr_value(F.col("names"), F.col("vals"), "component"))
-           .withColumn("elem", attr_value(F.col("names"), F.col("vals"), "element"))
+    jsx = (base.select(*keep, F.posexplode("jsx").alias("pos", "e"))
+           .select(*keep, "pos", "e.line", F.when(F.col("e.self_closing"), 1).otherwise(0).alias("kind"),
+                   *[attr_value(F.col(f"e.{a}")).alias(b) for a, b in (("path", "path"), ("component", "comp"), ("element", "elem"))])
            .where(truthy(F.col("path")) & F.col("path").startswith("/"))
            .withColumn("raw", F.when(truthy(F.col("comp")), F.col("comp"))
                        .when(truthy(F.col("elem")), F.col("elem")).otherwise(F.lit("")))
            .withColumn("ref", component_ref(F.col("raw")))
-           .withColumn("kind", F.when(F.rtrim("body").endswith("/"), 1).otherwise(0))
            .withColumn("lazy_decl", F.when(F.col("ref").isNotNull(), F.array_contains("lazy_names", F.col("ref")))
                        .otherwise(F.col("any_lazy"))))
     cfg = (base.where("guard").select(*keep, F.posexplode("cfg_m").alias("pos", "e"))

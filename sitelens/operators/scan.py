@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import constants as C
+from sitelens.functions import jsx
 
 MANIFEST_SCHEMA = ("dependencies map<string,string>, devDependencies map<string,string>, "
                    "scripts map<string,string>, _corrupt_record string")
@@ -97,6 +98,14 @@ def source_files(site_files: DataFrame, status: DataFrame | None = None) -> Data
                         name.isin(C.ROUTER_NAMES).alias("is_router"))
 
 
+def with_syntax(sources: DataFrame) -> DataFrame:
+    """Source files with the ``syntax`` struct (route elements, hook calls,
+    imports); as they are where it is there already."""
+    if "syntax" in sources.columns:
+        return sources
+    return sources.withColumn("syntax", jsx.syntax(F.col("content"), F.col("path"), C.CLIENT_HOOKS))
+
+
 def path_order(path: Column) -> Column:
     """O1: files compare by path components."""
     return F.split(path, "/")

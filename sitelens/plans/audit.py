@@ -36,7 +36,8 @@ class Audit:
 
     @cached_property
     def sources(self) -> DataFrame:
-        return S.source_files(self.site_files, self.status).checkpoint(eager=True)
+        # One scan of each text serves routes, metadata and components.
+        return S.with_syntax(S.source_files(self.site_files, self.status)).checkpoint(eager=True)
 
     @cached_property
     def bundle(self) -> DataFrame:

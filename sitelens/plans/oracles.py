@@ -8,6 +8,7 @@ Spark side uses.
 from __future__ import annotations
 
 from sitelens.functions import constants as C
+from sitelens.plans.syntax_oracle import HOOK_LIST, SYNTAX_CTE
 from sitelens.sources import driver as D
 
 TTL_US = C.DEFAULT_TTL_SECONDS * 1_000_000
@@ -317,8 +318,8 @@ bundle AS (
 
 AUDIT = {
     "project_status": f"WITH {site_files_cte()}, {STATUS_CTE} SELECT * FROM status",
-    "source_files": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE} SELECT project_id, path, is_entry, is_router FROM sources",
-    "bundle_info": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {BUNDLE_CTE} SELECT * FROM bundle",
+    "source_files": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE} SELECT project_id, path, is_entry, is_router FROM sources",
+    "bundle_info": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, {BUNDLE_CTE} SELECT * FROM bundle",
 }
 
 
@@ -335,27 +336,19 @@ def match_lines(t: str, pattern: str) -> str:
             f"lambda p: {nl('p')})), 0) + coalesce(list_sum(list_transform({ms}[1:k - 1], lambda p: {nl('p')})), 0) AS INTEGER))")
 
 
-def mask_sql(t: str) -> str:
-    # Spelled here on its own: one token is a whole string or a whole comment.
-    token = q(r"""(?m)"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|/\*[\s\S]*?\*/|^[ \t]*//[^\n]*""")
-    pcs = f"string_split_regex({t}, {token})"
-    cms = f"regexp_extract_all({t}, {token}, 0)"
-    return (f"array_to_string(list_transform(range(1, len({pcs}) + 1), lambda i: concat({pcs}[i], CASE WHEN {cms}[i] IS NULL THEN '' "
-            f"WHEN starts_with({cms}[i], '/*') OR starts_with(ltrim({cms}[i], ' ' || chr(9)), '//') THEN repeat(chr(10), {nl(cms + '[i]')}) "
-            f"ELSE {cms}[i] END)), '')")
-
-
 def ordered_distinct(lst: str) -> str:
     return (f"list_filter(list_transform(range(1, len({lst}) + 1), lambda i: CASE WHEN list_position({lst}, {lst}[i]) = i "
             f"THEN {lst}[i] END), lambda x: x IS NOT NULL)")
 
 
-META_CTE = f"""mf AS (
-  SELECT project_id, path AS file_path, content,
-    regexp_extract_all(masked, {q(P.IMPORT_DECL)}, 1) AS srcs,
-    {match_lines('masked', P.IMPORT_DECL)} AS ilines,
+META_CTE = f"""mi AS (
+  SELECT project_id, path, list(substr(e, length(split_part(e, '|', 2)) + 4) ORDER BY k) AS srcs,
+    list(CAST(1 + {nl("substr(content, 1, CAST(split_part(e, '|', 2) AS BIGINT))")} AS INTEGER) ORDER BY k) AS ilines
+  FROM ev JOIN sources USING (project_id, path) WHERE starts_with(e, 'I|') GROUP BY 1, 2),
+mf AS (
+  SELECT s.project_id, s.path AS file_path, content, coalesce(srcs, []) AS srcs, coalesce(ilines, []) AS ilines,
     string_split_regex(content, {q(SPLITLINES)}) AS ls
-  FROM (SELECT *, {mask_sql('content')} AS masked FROM sources WHERE {has_keyword('content')})),
+  FROM sources s LEFT JOIN mi ON mi.project_id = s.project_id AND mi.path = s.path WHERE {has_keyword('content')}),
 mf2 AS (
   SELECT *, coalesce(list_position(srcs, 'react-helmet-async'), 0) AS fa, coalesce(list_position(srcs, 'react-helmet'), 0) AS fh,
     list_filter(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN contains(ls[i], 'document.title') THEN CAST(i AS INTEGER) END),
@@ -375,16 +368,14 @@ meta AS (
 
 from sitelens.operators import components as K  # noqa: E402
 
-HOOK_LIST = "[" + ", ".join(q(h) for h in C.CLIENT_HOOKS) + "]"
 COMP_CTE = f"""cc AS (
   SELECT project_id, path AS file_path, content,
-    list_filter(list_transform(regexp_extract_all({mask_sql('content')}, {q(K.CALL)}, 0), lambda c: regexp_extract(c, {q(K.CALLEE_LAST)}, 1)),
-                lambda c: list_contains({HOOK_LIST}, c)) AS calls
+    coalesce((SELECT list(substr(e, 3) ORDER BY k) FROM ev WHERE ev.project_id = sources.project_id AND ev.path = sources.path AND starts_with(e, 'H|')), []) AS calls
   FROM sources),
 cc2 AS (
   SELECT *, {ordered_distinct('calls')} AS hooks,
     contains(content, 'useQuery') OR contains(content, 'useMutation') AS rq, contains(content, 'useSWR') AS swr,
-    regexp_matches(content, {q(K.USE_EFFECT_FETCH)}) AS eff
+    regexp_matches(content, 'useEffect\\s*\\([\\s\\S]*?fetch\\s*\\(') AS eff
   FROM cc),
 cc3 AS (
   SELECT *, list_concat(list_transform(hooks, lambda h: concat('Uses ', h, '()')),
@@ -433,10 +424,10 @@ FROM j)"""
 
 _F_SRC_PLACEHOLDER = None
 AUDIT.update({
-    "metadata_findings": f"""WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {META_CTE}
+    "metadata_findings": f"""WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, {META_CTE}
 SELECT * FROM meta WHERE strategy <> 'none' OR sets_title OR sets_description OR sets_og_tags OR sets_canonical""",
-    "components": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {COMP_CTE} SELECT * FROM comps",
-    "chunks": "WITH RECURSIVE " + chunk_sql(f"{site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, cf AS (SELECT project_id, path, content FROM sources)") + " SELECT * FROM chunks",
+    "components": f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, {COMP_CTE} SELECT * FROM comps",
+    "chunks": "WITH RECURSIVE " + chunk_sql(f"{site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, cf AS (SELECT project_id, path, content FROM sources)") + " SELECT * FROM chunks",
     "document_chunks": "WITH RECURSIVE " + chunk_sql(
         "cf AS (SELECT source AS project_id, concat('docs/doc', CAST(doc_id AS VARCHAR), '.md') AS path, text AS content FROM documents)") + " SELECT * FROM chunks",
 })
@@ -452,12 +443,6 @@ def strip_value(x: str) -> str:
             f"'^[''\"`]+|[''\"`]+$', '', 'g')")
 
 
-def attr_sql(n: str) -> str:
-    pos = f"coalesce(list_position(names, {q(n)}), 0)"
-    raw = f"(CASE WHEN {pos} > 0 THEN CASE WHEN vals[{pos}] = '' THEN {q(n)} ELSE vals[{pos}] END END)"
-    return strip_value(raw)
-
-
 def ref_sql(raw: str) -> str:
     return (f"coalesce(nullif(regexp_extract({raw}, {q(P.JSX_COMPONENT_REF)}, 1), ''), "
             f"nullif(regexp_extract({raw}, {q(P.IDENT_COMPONENT_REF)}, 1), ''))")
@@ -474,23 +459,29 @@ def idents_sql(c: str) -> str:
 
 
 EXT_SORTED = sorted(C.JS_EXTENSIONS)
-ROUTE_RE2 = P.ROUTE_ELEMENT_RE2
-ATTR_RE2 = P.re2(P.JSX_ATTR)
+
+
+def _attr_event(name: str) -> str:
+    """The raw value of the first attribute of that name, or the name itself."""
+    e = f"'|' || v.start || {q('|' + name)}"
+    return (f"coalesce((SELECT arg_min(substr(content, CAST(split_part(e, '|', 4) AS BIGINT) + 1, CAST(split_part(e, '|', 5) AS BIGINT) - CAST(split_part(e, '|', 4) AS BIGINT)), k) "
+            f"FROM ev WHERE ev.project_id = v.project_id AND ev.path = v.file AND starts_with(e, 'V' || {e} || '|')), "
+            f"(SELECT {q(name)} FROM ev WHERE ev.project_id = v.project_id AND ev.path = v.file AND e = 'N' || {e} LIMIT 1))")
+
+
 ROUTES_CTE = f"""rb AS (
   SELECT project_id, path AS file, is_router, content,
     regexp_extract_all(content, {q(P.LAZY_DECL)}, 1) AS lazy_names,
     contains(content, 'React.lazy(') OR contains(content, 'lazy(() => import(') AS any_lazy,
     ({' OR '.join(f"contains(content, {q(g)})" for g in C.ROUTER_OBJECT_GUARDS)}) AS guard,
-    regexp_extract_all(masked, {q(ROUTE_RE2)}, 1) AS jb, {match_lines('masked', ROUTE_RE2)} AS jl,
     regexp_extract_all(content, {q(P.CONFIG_ROUTE)}, 1) AS cp, regexp_extract_all(content, {q(P.CONFIG_ROUTE)}, 2) AS ce,
     regexp_extract_all(content, {q(P.CONFIG_ROUTE)}, 3) AS cc, {match_lines('content', P.CONFIG_ROUTE)} AS cl,
     regexp_extract_all(content, {q(P.ROUTE_PATH_FALLBACK)}, 1) AS fp, {match_lines('content', P.ROUTE_PATH_FALLBACK)} AS fl
-  FROM (SELECT *, {mask_sql('content')} AS masked FROM sources)),
-jx0 AS (SELECT project_id, file, is_router, lazy_names, any_lazy, k AS pos, jl[k] AS line, jb[k] AS body
-        FROM (SELECT *, unnest(generate_series(1, len(jb))) AS k FROM rb WHERE len(jb) > 0)),
-jx1 AS (SELECT *, regexp_extract_all(body, {q(ATTR_RE2)}, 1) AS names, regexp_extract_all(body, {q(ATTR_RE2)}, 2) AS vals FROM jx0),
-jx2 AS (SELECT *, {attr_sql('path')} AS path, {attr_sql('component')} AS comp, {attr_sql('element')} AS elem FROM jx1),
-jx AS (SELECT project_id, file, is_router, pos, CASE WHEN ends_with(rtrim(body), '/') THEN 1 ELSE 0 END AS kind, line, path,
+  FROM sources),
+jx0 AS (SELECT rb.project_id, file, is_router, lazy_names, any_lazy, content, CAST(split_part(e, '|', 2) AS BIGINT) AS start, split_part(e, '|', 3) AS mark
+        FROM rb JOIN ev ON ev.project_id = rb.project_id AND ev.path = rb.file WHERE starts_with(e, 'E|')),
+jx2 AS (SELECT *, {strip_value(_attr_event('path'))} AS path, {strip_value(_attr_event('component'))} AS comp, {strip_value(_attr_event('element'))} AS elem FROM jx0 v),
+jx AS (SELECT project_id, file, is_router, start AS pos, CASE WHEN mark = '/>' THEN 1 ELSE 0 END AS kind, 1 + {nl('substr(content, 1, start)')} AS line, path,
          {ref_sql("(CASE WHEN comp IS NOT NULL AND comp <> '' THEN comp WHEN elem IS NOT NULL AND elem <> '' THEN elem ELSE '' END)")} AS ref,
          lazy_names, any_lazy
        FROM jx2 WHERE path IS NOT NULL AND path <> '' AND starts_with(path, '/')),
@@ -557,7 +548,7 @@ routes AS (SELECT project_id, path, component_file, is_dynamic, is_lazy, data_fe
   CAST(row_number() OVER (PARTITION BY project_id ORDER BY o1 NULLS FIRST, o2 NULLS FIRST, o3 NULLS FIRST, o4 NULLS FIRST, path) AS INTEGER) AS route_order
   FROM rfull)"""
 
-AUDIT["routes"] = f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {ROUTES_CTE} SELECT * FROM routes"
+AUDIT["routes"] = f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, {ROUTES_CTE} SELECT * FROM routes"
 
 
 
@@ -653,7 +644,7 @@ score AS (SELECT s.project_id, s.status, x.total_routes, x.dynamic_routes, x.laz
             CASE WHEN s.status <> 'ok' THEN 1 WHEN x.critical_count > 0 THEN 2 ELSE 0 END AS gate
           FROM status s LEFT JOIN scored x USING (project_id))"""
 
-_AUD = f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {BUNDLE_CTE}, {ROUTES_CTE}, {CWV_CTE}"
+_AUD = f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, {BUNDLE_CTE}, {ROUTES_CTE}, {CWV_CTE}"
 AUDIT["cwv_estimate"] = f"{_AUD} SELECT * FROM cwv"
 AUDIT["issues"] = f"{_AUD}, {META_CTE}, {FACTS_CTE} SELECT * FROM issues"
 AUDIT["issue_routes"] = f"{_AUD} SELECT project_id, 4 AS rule, route_order, path FROM routes WHERE is_dynamic"
@@ -686,7 +677,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 AUDIT["imports_resolved"] = (
-    f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {ROUTES_CTE} "
+    f"WITH {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, {ROUTES_CTE} "
     "SELECT project_id, file, name, lazy_file AS resolved, 'lazy' AS kind FROM lmap "
     "UNION ALL SELECT project_id, file, name, import_file AS resolved, 'import' AS kind FROM imap")
 
@@ -719,7 +710,7 @@ sitemap AS (SELECT project_id, part, url_count,
 
 AUDIT["sitemap"] = f"{_AUD}, {SITEMAP_CTE} SELECT * FROM sitemap"
 
-BUNDLE_TOKENS_SQL = f"""WITH RECURSIVE {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {BUNDLE_CTE}, {ROUTES_CTE},
+BUNDLE_TOKENS_SQL = f"""WITH RECURSIVE {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, {BUNDLE_CTE}, {ROUTES_CTE},
 {COMP_CTE}, {chunk_sql("cf AS (SELECT project_id, path, content FROM sources)")},
 sec AS (
   SELECT c.project_id, c.part_number, c.total_parts,

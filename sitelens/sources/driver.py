@@ -110,7 +110,11 @@ SITE_FILE_BRANCHES = [
         """concat('import Home from ''./Home'';', chr(10), 'export default () => <Routes>', chr(10),
     '  <Route path="/" element={<Home />} />', chr(10), '  <Route path="/docs/*" element={<Home />} />', chr(10),
     '  {/* admin area */}', chr(10), '  <Route path="/admin" component={Home} />', chr(10),
-    '  {/* <Route path="/old" element={<Home />} /> */}', chr(10), '</Routes>;', chr(10)) AS content""",
+    '  {/* <Route path="/old" element={<Home />} /> */}', chr(10),
+    '  <p>Don''t</p> {/* <Route path="/older" element={<Home />} /> */} <p>can''t: 12 o''clock</p>', chr(10),
+    '  <Route path="/live" element={<Guard ok={a < b && c > d}><Home /></Guard>} >', chr(10), '    <Route path="/live/part" component={Home} />', chr(10), '  </Route>', chr(10),
+    '  <Route path="/deep" element={<Home o={{{{{{{{{{{{{{{{{{{{ a: 1 }}}}}}}}}}}}}}}}}}}} />} /> {`<Route path="/text" /> ${a} it''s`}', chr(10),
+    '</Routes>; // it''s <Route path="/never" /> useState(0)', chr(10), 'const u = "https://x/*", v = useMemo(() => 1); /* useRef(0) */ function useContext() {}', chr(10)) AS content""",
     ]),
     (True, N + " % 10 IN (1, 9)", [
         "source AS project_id", "'src/App.jsx' AS path",
