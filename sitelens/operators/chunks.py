@@ -6,13 +6,11 @@ when the current part is non-empty and the next file would push it past the
 target; a file larger than the target sits alone.
 
 The packing is a sequential fold, but its state is only "where the current
-part started".  From a part starting at file ``i`` the next part starts at
-the first file ``k > i`` whose running size ``S[k]`` exceeds
-``S[i-1] + target`` — a forward as-of lookup on the running size.  Part
-starts are then the chain from the first file, walked by pointer doubling.
-Running sizes and ordinals are bucketed running sums; nothing is collected
-per project.  Projects whose total fits the target are one part (the
-audited tool's shortcut) and skip the lookup and walk.
+part started": from a part starting at file ``i`` the next part starts at the
+first later file whose running size exceeds the size before ``i`` plus the
+target.  Running sizes and ordinals are one prefix scan over sampled ranges,
+part starts a threshold chain over the same ranges (``operators/prefix.py``);
+a project of any number of files, in one folder or many, is spread over them.
 """
 
 from __future__ import annotations
@@ -21,9 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions import constants as C
-from sitelens.operators.asof import asof, running_sum
+from sitelens.operators.prefix import chain, prefix_sums
 from sitelens.operators.scan import basename
-from sitelens.operators.traffic import MAX_ID, _walk_chains
 
 
 def file_priority(path) -> F.Column:
@@ -32,50 +29,21 @@ def file_priority(path) -> F.Column:
     return F.coalesce(m[basename(path)], F.lit(C.DEFAULT_FILE_PRIORITY))
 
 
-def chunk_files(files: DataFrame, target_chars: int = C.DEFAULT_CHUNK_TARGET_CHARS,
-                prefix_len: int = 16) -> DataFrame:
-    """files(project_id, path, content) → one row per file with
-    part_number, total_parts, chars, part_chars and file order."""
-    f = files.select("project_id", "path", F.length("content").cast("long").alias("chars"),
-                     file_priority(F.col("path")).alias("priority"))
-    order = [F.col("priority").desc(), F.col("path").desc()]
-    bucket = [F.col("priority"), F.substring("path", 1, prefix_len)]
-    f = running_sum(f, "project_id", order, F.col("chars"), bucket, "S", descending=True)
-    f = running_sum(f, "project_id", order, F.lit(1).cast("long"), bucket, "ord", descending=True)
-    f = f.withColumn("S_prev", F.col("S") - F.col("chars"))
-    f = f.checkpoint(eager=True)
-    totals = f.groupBy("project_id").agg(F.max("ord").alias("n"))
-    return _pack(f, totals.select("project_id", "n"), target_chars).select(*CHUNK_COLUMNS)
-
-
 CHUNK_COLUMNS = ["project_id", "part_number", "path", "chars", "priority", "file_order",
                  "total_parts", "part_chars"]
 
 
-def _pack(f: DataFrame, n: DataFrame, target_chars: int) -> DataFrame:
-    """Greedy packing of every project, one part or many."""
-    # next part start for a part starting at each file
-    probes = f.select("project_id", (F.col("S_prev") + target_chars).alias("t"),
-                      F.lit(MAX_ID).alias("id"), F.col("ord").alias("src"))
-    cands = f.select("project_id", F.col("S").alias("t"), F.col("ord").alias("id"))
-    k = asof(probes, cands, "project_id", direction="forward", bucket_us=max(target_chars, 1), out="k")
-    nxt = (k.join(n, "project_id")
-           .select(F.struct("project_id", F.col("src").alias("ord")).alias("node"),
-                   F.when(F.col("k").isNull(), F.lit(None))
-                   .when(F.col("k.id") > F.col("src"), F.struct("project_id", F.col("k.id").alias("ord")))
-                   .when(F.col("src") < F.col("n"), F.struct("project_id", (F.col("src") + 1).alias("ord")))
-                   .alias("nxt")))
-    heads = n.select(F.struct("project_id", F.lit(1).cast("long").alias("ord")).alias("node"))
-    starts = _walk_chains(heads, nxt, 64).select(F.col("node.project_id").alias("project_id"),
-                                                 F.col("node.ord").alias("ord"))
-    starts = running_sum(starts, "project_id", [F.col("ord").asc()], F.lit(1).cast("long"),
-                         [F.floor(F.col("ord") / 4096)], "part_number")
-    total = starts.groupBy("project_id").agg(F.count(F.lit(1)).alias("total_parts"))
-    m = asof(f.select("project_id", F.col("ord").alias("t"), F.lit(1).alias("id"), "path", "chars",
-                      "priority", "ord"),
-             starts.select("project_id", F.col("ord").alias("t"), F.lit(0).alias("id"), "part_number"),
-             "project_id", direction="backward", value_cols=("part_number",), bucket_us=4096, out="p")
-    m = m.select("project_id", "path", "chars", "priority", F.col("ord").alias("file_order"),
-                 F.col("p.part_number").alias("part_number"))
-    part_chars = m.groupBy("project_id", "part_number").agg(F.sum("chars").alias("part_chars"))
-    return m.join(total, "project_id").join(part_chars, ["project_id", "part_number"])
+def chunk_files(files: DataFrame, target_chars: int = C.DEFAULT_CHUNK_TARGET_CHARS,
+                ranges: int | None = None) -> DataFrame:
+    """files(project_id, path, content) → one row per file with
+    part_number, total_parts, chars, part_chars and file order.  A null text
+    has no characters."""
+    f = files.select("project_id", "path", F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("chars"),
+                     file_priority(F.col("path")).alias("priority"))
+    order = [F.col("priority").desc(), F.col("path").desc()]
+    f = prefix_sums(f, "project_id", order, {"S": F.col("chars"), "file_order": F.lit(1).cast("long")},
+                    ranges, keep_range=True).checkpoint(eager=True)
+    parts = chain(f, "project_id", F.col("S"), F.col("S") - F.col("chars") + target_chars)
+    parts = parts.withColumnsRenamed({"part": "part_number", "total": "total_parts"}).checkpoint(eager=True)
+    part_chars = parts.groupBy("project_id", "part_number").agg(F.sum("chars").alias("part_chars"))
+    return parts.join(part_chars, ["project_id", "part_number"]).select(*CHUNK_COLUMNS)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import constants as C
 from sitelens.functions import patterns as P
 from sitelens.functions.text import matches, strip_ws
-from sitelens.operators.asof import running_sum
+from sitelens.operators.prefix import prefix_sums
 from sitelens.operators.scan import path_order, project_status, source_files, with_syntax
 
 SORTED_EXTS = sorted(C.JS_EXTENSIONS)
@@ -278,9 +278,9 @@ def map_routes(site_files: DataFrame, sources: DataFrame | None = None,
                        F.lit(None).cast("int").alias("line_number"),
                        F.lit(None).cast(routes.schema["o"].dataType).alias("o")))
     allr = routes.unionByName(default)
-    # Report order = running count in scan order, bucketed by (router
-    # file?, first path component) so one huge project is not one window.
-    order = [F.col("o").asc_nulls_first(), F.col("path").asc()]
-    bucket = [F.col("o.nr"), F.element_at(F.col("o.fp"), 1)]
-    ordered = running_sum(allr, "project_id", order, F.lit(1).cast("long"), bucket, "route_order")
-    return ordered.withColumn("route_order", F.col("route_order").cast("int")).drop("o")
+    # Report order = running count in scan order, and the same over static
+    # routes (a sitemap's numbering); ranges spread a project of one folder.
+    one = F.lit(1).cast("long")
+    ordered = prefix_sums(allr, "project_id", [F.col("o").asc_nulls_first(), F.col("path").asc()],
+                          {"route_order": one, "static_order": F.when(F.col("is_dynamic"), 0).otherwise(one)})
+    return ordered.withColumns({c: F.col(c).cast("int") for c in ("route_order", "static_order")}).drop("o")

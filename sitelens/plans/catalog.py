@@ -105,6 +105,15 @@ def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return CH.chunk_files(docs)
 
 
+# Small limits, so that the given tables make many parts.
+SMALL_SITEMAP, SMALL_PART = 20, 20_000
+
+
+def _document_parts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = D.read_table(spark, sf, "documents").selectExpr("source AS project_id", f"{D.PART_PATH} AS path", "text AS content")
+    return CH.chunk_files(docs, SMALL_PART)
+
+
 def _bundle_tokens(spark: SparkSession, sf: str) -> DataFrame:
     a = _audit(spark, sf)
     return RP.bundle_tokens(a.chunks, a.components, a.routes)
@@ -129,7 +138,7 @@ AUDIT: dict[str, Query] = {
     "source_files": lambda s, sf: S.source_files(_sf(s, sf)).drop("content"),
     "bundle_info": lambda s, sf: B.analyse_bundle(_sf(s, sf)),
     "imports_resolved": _imports_resolved,
-    "routes": lambda s, sf: _audit(s, sf).routes,
+    "routes": lambda s, sf: _audit(s, sf).routes.drop("static_order"),
     "metadata_findings": _metadata,
     "cwv_estimate": _cwv,
     "issues": lambda s, sf: _audit(s, sf).issues,
@@ -139,6 +148,8 @@ AUDIT: dict[str, Query] = {
     "document_chunks": _document_chunks,
     "bundle_tokens": _bundle_tokens,
     "sitemap": lambda s, sf: RP.sitemap(_audit(s, sf).routes),
+    "sitemap_index": lambda s, sf: RP.sitemap_index(RP.sitemap(_audit(s, sf).routes, max_urls=SMALL_SITEMAP)),
+    "document_parts": _document_parts,
     "report_json": lambda s, sf: RP.report_json(_report_rows(s, sf)),
     "report_lines": _report_lines,
     "issue_routes": lambda s, sf: I.issue_routes(_audit(s, sf).routes),

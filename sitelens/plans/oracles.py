@@ -403,8 +403,7 @@ def priority_sql(path: str) -> str:
         f" ELSE {C.DEFAULT_FILE_PRIORITY} END"
 
 
-def chunk_sql(files_cte: str) -> str:
-    t = C.DEFAULT_CHUNK_TARGET_CHARS
+def chunk_sql(files_cte: str, t: int = C.DEFAULT_CHUNK_TARGET_CHARS) -> str:
     return f"""{files_cte},
 o AS (SELECT project_id, path, CAST(length(content) AS BIGINT) AS chars, CAST({priority_sql('path')} AS INTEGER) AS priority,
         row_number() OVER (PARTITION BY project_id ORDER BY {priority_sql('path')} DESC, path DESC) AS rn FROM cf),
@@ -692,23 +691,32 @@ def xml_escape_sql(x: str) -> str:
     return x
 
 
-SITEMAP_CTE = f"""sm AS (
-  SELECT project_id, CAST(ceil(route_order / {RP.SITEMAP_MAX_URLS}) AS INTEGER) AS part, route_order, is_dynamic,
-    CASE WHEN NOT is_dynamic THEN concat('  <url>' || chr(10) || '    <loc>',
+def sitemap_cte(most: int = RP.SITEMAP_MAX_URLS) -> str:
+    return f"""sm AS (
+  SELECT project_id, CAST(1 + floor((row_number() OVER (PARTITION BY project_id ORDER BY route_order) - 1) / {most}) AS INTEGER) AS part, route_order,
+    concat('  <url>' || chr(10) || '    <loc>',
       {xml_escape_sql("concat('https://', project_id, '.example.com', path)")},
       '</loc>' || chr(10) || '    <changefreq>weekly</changefreq>' || chr(10) || '    <priority>',
-      CASE WHEN path = '/' THEN '1.0' ELSE '0.8' END, '</priority>' || chr(10) || '  </url>' || chr(10)) END AS line
-  FROM routes),
-smp AS (SELECT project_id, part, CAST(count_if(NOT is_dynamic) AS BIGINT) AS url_count,
-          coalesce(string_agg(line, '' ORDER BY route_order), '') AS body FROM sm GROUP BY 1, 2),
+      CASE WHEN path = '/' THEN '1.0' ELSE '0.8' END, '</priority>' || chr(10) || '  </url>' || chr(10)) AS line
+  FROM routes WHERE NOT is_dynamic),
+smp AS (SELECT project_id, part, count(*) AS n, string_agg(line, '' ORDER BY route_order) AS body FROM sm GROUP BY 1, 2),
 smd AS (SELECT project_id, count_if(is_dynamic) AS n_dynamic FROM routes GROUP BY 1),
-sitemap AS (SELECT project_id, part, url_count,
-  concat({q(RP.SITEMAP_HEAD)}, body,
-    CASE WHEN part = 1 AND n_dynamic > 0 THEN printf('  <!-- %d dynamic routes left out: list their real addresses to include them. -->' || chr(10), n_dynamic) ELSE '' END,
+sitemap AS (SELECT project_id, coalesce(part, 1) AS part, CAST(coalesce(n, 0) AS BIGINT) AS url_count,
+  concat({q(RP.SITEMAP_HEAD)}, coalesce(body, ''),
+    CASE WHEN coalesce(part, 1) = 1 AND n_dynamic > 0 THEN printf('  <!-- %d dynamic routes left out: list their real addresses to include them. -->' || chr(10), n_dynamic) ELSE '' END,
     {q(RP.SITEMAP_TAIL)}) AS xml
-  FROM smp JOIN smd USING (project_id))"""
-
-AUDIT["sitemap"] = f"{_AUD}, {SITEMAP_CTE} SELECT * FROM sitemap"
+  FROM smd LEFT JOIN smp USING (project_id))"""
+
+
+AUDIT["sitemap"] = f"{_AUD}, {sitemap_cte()} SELECT * FROM sitemap"
+AUDIT["sitemap_index"] = f"""{_AUD}, {sitemap_cte(20)}
+SELECT project_id, CAST(count(*) AS INTEGER) AS parts, CAST(sum(url_count) AS BIGINT) AS url_count,
+  concat({q(RP.SITEMAP_HEAD.replace('urlset', 'sitemapindex'))}, string_agg(concat('  <sitemap>' || chr(10) || '    <loc>',
+    {xml_escape_sql("concat('https://', project_id, '.example.com/sitemap-', part, '.xml')")}, '</loc>' || chr(10) || '  </sitemap>' || chr(10)), '' ORDER BY part),
+    {q(RP.SITEMAP_TAIL.replace('urlset', 'sitemapindex'))}) AS xml
+FROM sitemap GROUP BY 1 HAVING count(*) > 1"""
+AUDIT["document_parts"] = "WITH RECURSIVE " + chunk_sql(
+    f"cf AS (SELECT source AS project_id, {D.PART_PATH} AS path, text AS content FROM documents)", 20_000) + " SELECT * FROM chunks"
 
 BUNDLE_TOKENS_SQL = f"""WITH RECURSIVE {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, {BUNDLE_CTE}, {ROUTES_CTE},
 {COMP_CTE}, {chunk_sql("cf AS (SELECT project_id, path, content FROM sources)")},

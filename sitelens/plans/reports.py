@@ -30,30 +30,43 @@ def default_base_url(project_id: Column) -> Column:
     return F.concat(F.lit("https://"), project_id, F.lit(".example.com"))
 
 
-def sitemap(routes: DataFrame, base_url: Column | None = None) -> DataFrame:
+def _site(base_url: Column | None) -> Column:
+    base = F.rtrim(base_url if base_url is not None else default_base_url(F.col("project_id")))
+    return F.regexp_replace(base, "/+$", "")
+
+
+def sitemap(routes: DataFrame, base_url: Column | None = None, max_urls: int = SITEMAP_MAX_URLS) -> DataFrame:
     """K3 + P23: static routes as ``<url>`` entries in route order, priority
     1.0 for ``/`` else 0.8, weekly; dynamic routes are skipped and counted in
-    a comment of part 1.  One row per (project, part)."""
-    base = F.rtrim(base_url if base_url is not None else default_base_url(F.col("project_id")))
-    base = F.regexp_replace(base, "/+$", "")
+    a comment of part 1.  One row per (project, part): every part but the last
+    holds ``max_urls`` static routes; a project without any has one part."""
     line = F.concat(
-        F.lit("  <url>\n    <loc>"), xml_escape(F.concat(base, F.col("path"))),
+        F.lit("  <url>\n    <loc>"), xml_escape(F.concat(_site(base_url), F.col("path"))),
         F.lit("</loc>\n    <changefreq>weekly</changefreq>\n    <priority>"),
         F.when(F.col("path") == "/", "1.0").otherwise("0.8"), F.lit("</priority>\n  </url>\n"))
-    rows = routes.select("project_id", "route_order", "is_dynamic",
-                         F.ceil(F.col("route_order") / SITEMAP_MAX_URLS).cast("int").alias("part"),
-                         F.when(~F.col("is_dynamic"), line).alias("line"))
-    parts = rows.groupBy("project_id", "part").agg(
-        F.count_if(~F.col("is_dynamic")).alias("url_count"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.when(F.col("line").isNotNull(), F.struct("route_order", "line")))), lambda x: x["line"]),
-            "").alias("body"))
-    dyn = routes.groupBy("project_id").agg(F.count_if("is_dynamic").alias("n_dynamic"))
+    parts = (routes.where(~F.col("is_dynamic"))
+             .select("project_id", F.ceil(F.col("static_order") / max_urls).cast("int").alias("part"), F.struct("static_order", line.alias("line")).alias("u"))
+             .groupBy("project_id", "part").agg(F.array_sort(F.collect_list("u")).alias("urls")))
+    totals = routes.groupBy("project_id").agg(F.count_if("is_dynamic").alias("n_dynamic"))
+    out = totals.join(parts, "project_id", "left").withColumn("part", F.coalesce("part", F.lit(1)))
     comment = F.when((F.col("part") == 1) & (F.col("n_dynamic") > 0), F.format_string(
         "  <!-- %d dynamic routes left out: list their real addresses to include them. -->\n", F.col("n_dynamic"))).otherwise(F.lit(""))
-    return parts.join(dyn, "project_id").select(
-        "project_id", "part", "url_count",
-        F.concat(F.lit(SITEMAP_HEAD), F.col("body"), comment, F.lit(SITEMAP_TAIL)).alias("xml"))
+    body = F.coalesce(F.array_join(F.transform("urls", lambda u: u["line"]), ""), F.lit(""))
+    return out.select("project_id", "part", F.coalesce(F.size("urls"), F.lit(0)).cast("long").alias("url_count"),
+                      F.concat(F.lit(SITEMAP_HEAD), body, comment, F.lit(SITEMAP_TAIL)).alias("xml"))
+
+
+def sitemap_index(sitemaps: DataFrame, base_url: Column | None = None) -> DataFrame:
+    """The index sheet of every project with more than one sitemap part, one
+    ``<sitemap>`` a part in order (50,000 parts of 50,000 URLs at most, by the
+    protocol)."""
+    entry = F.concat(F.lit("  <sitemap>\n    <loc>"), xml_escape(F.concat(_site(base_url), F.format_string("/sitemap-%d.xml", F.col("part")))),
+                     F.lit("</loc>\n  </sitemap>\n"))
+    sheets = (sitemaps.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("part", entry.alias("entry")))).alias("e"),
+                                                 F.sum("url_count").alias("url_count")).where(F.size("e") > 1))
+    return sheets.select("project_id", F.size("e").alias("parts"), "url_count", F.concat(
+        F.lit(SITEMAP_HEAD.replace("urlset", "sitemapindex")), F.array_join(F.transform("e", lambda x: x["entry"]), ""),
+        F.lit(SITEMAP_TAIL.replace("urlset", "sitemapindex"))).alias("xml"))
 
 
 def file_section(name: Column, ctype: Column, reasons: Column, notes: Column, text: Column) -> Column:

@@ -113,7 +113,7 @@ SITE_FILE_BRANCHES = [
     '  {/* <Route path="/old" element={<Home />} /> */}', chr(10),
     '  <p>Don''t</p> {/* <Route path="/older" element={<Home />} /> */} <p>can''t: 12 o''clock</p>', chr(10),
     '  <Route path="/live" element={<Guard ok={a < b && c > d}><Home /></Guard>} >', chr(10), '    <Route path="/live/part" component={Home} />', chr(10), '  </Route>', chr(10),
-    '  <Route path="/deep" element={<Home o={{{{{{{{{{{{{{{{{{{{ a: 1 }}}}}}}}}}}}}}}}}}}} />} /> {`<Route path="/text" /> ${a} it''s`}', chr(10),
+    '  <Route path="/deep" element={<Home o={{{{{{{{{{{{{{{{{{{{ a: 1 }}}}}}}}}}}}}}}}}}}} />} /> {`<Route path="/text" /> $', '{a} it''s`}', chr(10),
     '</Routes>; // it''s <Route path="/never" /> useState(0)', chr(10), 'const u = "https://x/*", v = useMemo(() => 1); /* useRef(0) */ function useContext() {}', chr(10)) AS content""",
     ]),
     (True, N + " % 10 IN (1, 9)", [
@@ -159,6 +159,10 @@ SITE_FILE_BRANCHES = [
     ]),
 ]
 
+# File names of several priorities, one folder a project.
+PART_PATH = ("concat('src/d', CAST(doc_id AS STRING), '/', CASE doc_id % 6 WHEN 0 THEN 'index.jsx' WHEN 1 THEN 'App.tsx' "
+             "WHEN 2 THEN 'routes.jsx' WHEN 3 THEN 'Home.jsx' WHEN 4 THEN 'Product.tsx' ELSE 'note.js' END)")
+
 
 def _g(dialect: str) -> str:
     return ", 'g'" if dialect == "duckdb" else ""
