@@ -43,7 +43,8 @@ def chunk_files(files: DataFrame, target_chars: int = C.DEFAULT_CHUNK_TARGET_CHA
     order = [F.col("priority").desc(), F.col("path").desc()]
     f = prefix_sums(f, "project_id", order, {"S": F.col("chars"), "file_order": F.lit(1).cast("long")},
                     ranges, keep_range=True).checkpoint(eager=True)
-    parts = chain(f, "project_id", F.col("S"), F.col("S") - F.col("chars") + target_chars)
-    parts = parts.withColumnsRenamed({"part": "part_number", "total": "total_parts"}).checkpoint(eager=True)
-    part_chars = parts.groupBy("project_id", "part_number").agg(F.sum("chars").alias("part_chars"))
-    return parts.join(part_chars, ["project_id", "part_number"]).select(*CHUNK_COLUMNS)
+    parts = (chain(f, "project_id", ["file_order"], F.col("S"), F.col("S") - F.col("chars") + target_chars)
+             .withColumnRenamed("part", "part_number").checkpoint(eager=True))
+    sizes = parts.groupBy("project_id", "part_number").agg(F.sum("chars").alias("part_chars"))
+    totals = sizes.groupBy("project_id").agg(F.max("part_number").alias("total_parts"))
+    return parts.join(sizes, ["project_id", "part_number"]).join(totals, "project_id").select(*CHUNK_COLUMNS)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import columns as X
 from sitelens.functions import constants as C
-from sitelens.operators.asof import asof
+from sitelens.operators.prefix import chain, last_before
+from sitelens.operators.prefix import ranges as deal
 
 MAX_ID = (1 << 63) - 1
 # Longest crawler list that is read into a plan; a longer one is refused.
@@ -199,29 +200,29 @@ def snapshot_stats(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS
                     "deleted_entries", F.lit(ttl_seconds).alias("ttl_seconds"))
 
 
-def _with_end(writes: DataFrame, invalidated: DataFrame, bucket_us: int) -> DataFrame:
-    """Writes (cache_key, t, id, ...) with ``end_us``: the first invalidation
-    of their key at or after them (deletes of a microsecond come after its
-    requests)."""
-    inv = invalidated.select("cache_key", "t", F.lit(MAX_ID).alias("id"))
-    m = asof(writes, inv, "cache_key", direction="forward", bucket_us=bucket_us, out="v")
-    return m.select(*writes.columns, F.col("v.t").alias("end_us"))
+def _with_deletes(log: DataFrame, invalidated: DataFrame) -> DataFrame:
+    """The render log with a row for each invalidation (``clear``); deletes of
+    a microsecond come after its requests."""
+    inv = (invalidated.where("cache_key IS NOT NULL")
+           .select("cache_key", "t", F.lit(MAX_ID).alias("id"), F.lit(True).alias("clear")))
+    return log.withColumn("clear", F.lit(False)).unionByName(inv, allowMissingColumns=True)
 
 
 def snapshot_asof(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
-                  bucket_us: int = 3_600_000_000, invalidated: DataFrame | None = None) -> DataFrame:
+                  invalidated: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
     """For each render request, the freshest earlier successful write of
     its key that no invalidation has deleted since, and whether it is still
-    within TTL (age <= TTL is readable)."""
+    within TTL (age <= TTL is readable).
+
+    The last write or delete before each request is one scan over ranges of
+    the log (``operators/prefix.py``): no join, no pairs, and a hot key is
+    spread by its rows, not by its hours."""
     if invalidated is None:
         invalidated = invalidations(requests)
-    # The keyed log is materialised once: both sides of the lookup read it.
-    log = render_log(requests).select("cache_key", "t", "id", "ok").checkpoint(eager=True)
-    probes = log.select("cache_key", "t", "id")
-    writes = _with_end(log.where("ok").select("cache_key", "t", "id"), invalidated, bucket_us)
-    m = asof(probes, writes, "cache_key", direction="backward", bucket_us=bucket_us,
-             value_cols=("end_us",), out="w")
-    m = m.withColumn("w", F.when(F.col("w.end_us").isNull() | (F.col("w.end_us") >= F.col("t")), F.col("w")))
+    log = _with_deletes(render_log(requests).select("cache_key", "t", "id", "ok"), invalidated)
+    event = F.when(F.col("ok") | F.col("clear"), F.struct("t", "id", "clear"))
+    m = last_before(log, "cache_key", ["t", "id"], event, "w", ranges).where("NOT clear")
+    m = m.withColumn("w", F.when(~F.col("w.clear"), F.col("w")))
     age = F.col("t") - F.col("w.t")
     return m.select(
         F.col("id").alias("event_id"), "cache_key",
@@ -232,8 +233,7 @@ def snapshot_asof(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
 
 # --------------------------------------------- anchored-TTL HIT/MISS
 def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
-                 bucket_us: int = 3_600_000_000, max_rounds: int = 64,
-                 carry: tuple[str, ...] = (), invalidated: DataFrame | None = None) -> DataFrame:
+                 carry: tuple[str, ...] = (), invalidated: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
     """HIT / MISS / ERROR of every render request under an anchored TTL.
 
     A request is a HIT when it is not forced and the snapshot stored by the
@@ -241,80 +241,23 @@ def ttl_outcomes(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS,
     since (T6; by default each purchase invalidates); otherwise it
     renders (MISS, or ERROR when the render fails, which stores nothing).
 
-    The stored snapshots ("anchors") are found without a per-key fold:
-
-    * every forced successful render is an anchor, and so is the first
-      successful render of each key — these are chain heads;
-    * from an anchor ``a`` the next anchor is the earlier of the next forced
-      success (a head anyway) and the first success later than ``a.t + TTL``
-      or than the next invalidation; so each success gets an "expiry" pointer, kept only when it comes
-      before the next forced success.  Both are as-of lookups (no pairs).
-
-    The chains from the heads are walked by pointer doubling (log2 of the
-    longest chain rounds of id equi-joins, lineage cut by ``checkpoint``);
-    forced renders split long chains, so few rounds are needed.  A key with a
-    third of all traffic is processed by many tasks throughout.
+    The state of a key is the time until which its snapshot is good.  A success
+    later than that, and every forced success, sets it to its own time plus
+    TTL; an invalidation takes it away: a threshold chain over ranges of the
+    log (``operators/prefix.py``), so a key with a third of all traffic is
+    spread over a third of the ranges and nothing is folded key by key.
     """
-    ttl_us = ttl_seconds * 1_000_000
-    # The keyed log is materialised once; every lookup below reads it.
-    log = render_log(requests).select("cache_key", "t", "id", "forced", "ok", *carry).checkpoint(eager=True)
     if invalidated is None:
         invalidated = invalidations(requests)
-    # Every success with the invalidation that ends it; read three times below.
-    ok = _with_end(log.where("ok").select("cache_key", "t", "id", "forced"), invalidated, bucket_us).checkpoint(eager=True)
-
-    nxt_forced = asof(ok.select("cache_key", "t", "id"), ok.where("forced").select("cache_key", "t", "id"),
-                      "cache_key", direction="forward", bucket_us=bucket_us, out="f")
-    shifted = ok.select("cache_key", F.least(F.col("t") + ttl_us, F.col("end_us")).alias("t"),
-                        F.lit(MAX_ID).alias("id"), F.col("id").alias("src"))
-    nxt_expired = asof(shifted, ok.select("cache_key", "t", "id"), "cache_key", direction="forward",
-                       bucket_us=bucket_us, out="e")
-    nxt = (nxt_forced.select("id", "f")
-           .join(nxt_expired.select(F.col("src").alias("id"), "e"), "id")
-           .select(F.col("id").alias("node"),
-                   F.when(F.col("e").isNotNull() & (F.col("f").isNull() | (F.col("e") < F.col("f"))),
-                          F.col("e.id")).alias("nxt")))
-    firsts = ok.groupBy("cache_key").agg(F.min(F.struct("t", "id")).alias("h")).select(
-        F.col("h.id").alias("node"))
-    heads = firsts.unionByName(ok.where("forced").select(F.col("id").alias("node"))).distinct()
-
-    anchors = _walk_chains(heads, nxt, max_rounds)
-    anchor_rows = ok.select("cache_key", "t", "id", "end_us").join(
-        anchors.withColumnRenamed("node", "id"), "id", "left_semi")
-
-    m = asof(log, anchor_rows, "cache_key", direction="backward", bucket_us=bucket_us,
-             value_cols=("end_us",), out="a")
-    alive = F.col("a.end_us").isNull() | (F.col("a.end_us") >= F.col("t"))
-    hit = (~F.col("forced")) & F.col("a").isNotNull() & ((F.col("t") - F.col("a.t")) <= ttl_us) & alive
+    log = _with_deletes(render_log(requests).select("cache_key", "t", "id", "forced", "ok", *carry), invalidated)
+    rows = deal(log, "cache_key", [F.col("t"), F.col("id")], ranges)
+    m = chain(rows, "cache_key", ["t", "id"], F.col("t"), F.col("t") + ttl_seconds * 1_000_000, can=F.col("ok"),
+              must=F.col("ok") & F.col("forced"), clear=F.col("clear")).where("NOT clear")
+    hit = ~F.col("forced") & F.coalesce(F.col("t") <= F.col("enters"), F.lit(False))
     outcome = F.when(hit, "HIT").when(F.col("ok"), "MISS").otherwise("ERROR")
     return m.select(F.col("id").alias("event_id"), "cache_key", "t", outcome.alias("outcome"), *carry)
 
 
-def _walk_chains(heads: DataFrame, nxt: DataFrame, max_rounds: int) -> DataFrame:
-    """All nodes reachable from ``heads`` along ``nxt`` (node -> nxt).
-
-    Round j holds ``reach`` = the first 2^j nodes of every chain and ``jump``
-    = the 2^j-th successor of every node; both double per round.  Each round
-    is two equi-joins on the unique node id, checkpointed to cut lineage;
-    the walk stops when a round adds no node.
-    """
-    reach = heads.select("node").distinct().checkpoint(eager=True)
-    jump = nxt.select("node", "nxt").where(F.col("nxt").isNotNull()).checkpoint(eager=True)
-    size = reach.count()
-    for _ in range(max_rounds):
-        new = reach.join(jump, "node").select(F.col("nxt").alias("node"))
-        grown = reach.unionByName(new).distinct().checkpoint(eager=True)
-        grown_size = grown.count()
-        if grown_size == size:
-            return grown
-        reach, size = grown, grown_size
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = (a.join(b, F.col("a.nxt") == F.col("b.node"))
-                .select(F.col("a.node").alias("node"), F.col("b.nxt").alias("nxt"))
-                .checkpoint(eager=True))
-    raise RuntimeError("chain longer than 2^max_rounds")
-
-
 def service_metrics(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
     """A7 + P47 per day: renders (incl. failed), hits, errors, hit rate %,
     uptime (seconds between first and last request) and crawler share."""

@@ -108,15 +108,6 @@ export const r = <Route path="/" element={<Home />} />;
     assert meta["src/Home.jsx"].strategy == "none" and meta["src/Home.jsx"].sets_title
 
 
-def test_forward_asof_mirrors_backward(spark):
-    from sitelens.operators.asof import asof
-    rows = spark.range(2000).selectExpr("'k' AS k", "id * 7919 % 2000 AS t", "id")
-    cands = rows.where("id % 37 = 0")
-    want = sorted(r.t for r in cands.collect())
-    for r in asof(rows, cands, "k", direction="forward", bucket_us=500).collect():
-        assert (r.match.t if r.match else None) == next((t for t in want if t > r.t), None)
-
-
 def test_source_tree_with_binary_and_bad_bytes(spark, tmp_path):
     from sitelens.sources.tree import read_source_tree
     (tmp_path / "p" / "src").mkdir(parents=True)

@@ -1,10 +1,10 @@
+import pytest
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from sitelens.functions import columns as X
 from sitelens.operators import traffic as T
-from sitelens.operators.asof import asof
 
 UAS = [
     ("Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)", True),
@@ -104,23 +104,51 @@ def test_invalidation_makes_the_next_request_miss(spark):
     assert T.snapshot_clear(req).collect()[0].deleted_entries == 1
 
 
-def test_asof_matches_brute_force(spark):
+@pytest.mark.parametrize("ranges", [1, 3, 25])
+def test_ttl_and_asof_match_a_fold(spark, ranges):
     import random
-    rnd = random.Random(3)
-    probes = [(rnd.choice("ab"), rnd.randint(0, 10_000), i) for i in range(200)]
-    cands = [(rnd.choice("ab"), rnd.randint(0, 10_000), 1000 + i) for i in range(150)]
-    p = spark.createDataFrame(probes, "k string, t long, id long")
-    c = spark.createDataFrame(cands, "k string, t long, id long")
-    for direction in ("backward", "forward"):
-        got = {r.id: (r.m.id if r.m else None)
-               for r in asof(p, c, "k", direction=direction, bucket_us=700, out="m").collect()}
-        for k, t, i in probes:
-            same = [(ct, ci) for ck, ct, ci in cands if ck == k]
-            if direction == "backward":
-                best = max([x for x in same if x < (t, i)], default=None)
-            else:
-                best = min([x for x in same if x > (t, i)], default=None)
-            assert got[i] == (best[1] if best else None)
+    rnd = random.Random(ranges)
+    rows = []
+    for i in range(600):
+        url = "https://hot.com/" if rnd.random() < 0.6 else f"https://{rnd.choice('abc')}.com/"
+        rows.append((rnd.randint(0, 900), url, rnd.choice([200, 200, 200, 404, None]), rnd.choice(["view"] * 30 + ["purchase", "error"])))
+    rows += [(rnd.randint(0, 900), "https://calm.com/", 200, "view") for _ in range(200)]
+    req = _requests(spark, rows).repartition(4)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], i))
+    events = [(rows[i][0], 0, i) for i in order] + [(t, 1, -1 - i) for i, (t, _, _, kind) in enumerate(rows) if kind == "purchase"]
+    until, wrote, outcome, seen = {}, {}, {}, {}
+    for t, delete, i in sorted(events):
+        k = rows[i if i >= 0 else -1 - i][1]
+        if delete:
+            until.pop(k, None), wrote.pop(k, None)
+            continue
+        ok, forced = rows[i][2] == 200, rows[i][3] == "error"
+        seen[i] = wrote.get(k)
+        if not forced and k in until and t <= until[k]:
+            outcome[i] = "HIT"
+        else:
+            outcome[i] = "MISS" if ok else "ERROR"
+            if ok:
+                until[k] = t + 37
+        if ok:
+            wrote[k] = i
+    got = T.ttl_outcomes(req, 37, ranges=ranges, carry=("url",)).collect()
+    assert {r.event_id: r.outcome for r in got} == outcome and len(got) == len(rows)
+    assert {r.outcome for r in got} == {"HIT", "MISS", "ERROR"}
+    found = {r.event_id: (r.snapshot_event_id, r.fresh) for r in T.snapshot_asof(req, 37, ranges=ranges).collect()}
+    assert found == {i: (w, w is not None and rows[i][0] - rows[w][0] <= 37) for i, w in seen.items()}
+
+
+def test_ttl_of_nothing(spark):
+    req = _requests(spark, [(0, "https://a.com/", 200, "view")]).limit(0)
+    assert T.ttl_outcomes(req).count() == 0 and T.snapshot_asof(req).count() == 0
+
+
+def test_hot_key_is_spread_by_rows(spark):
+    from sitelens.operators.prefix import RANGE, ranges
+    log = spark.range(1_000_000).select(F.lit("hot").alias("k"), (F.col("id") % 3_000).alias("t"), "id")
+    sizes = sorted(r["count"] for r in ranges(log, "k", [F.col("t"), F.col("id")], 12).groupBy(RANGE).count().collect())
+    assert len(sizes) == 12 and sizes[-1] <= 2 * sizes[6]
 
 
 def test_routing_targets(spark):
