@@ -17,6 +17,7 @@ from sitelens.operators import chunks as CH
 from sitelens.operators import issues as I
 from sitelens.operators import routes as R
 from sitelens.plans import audit as A
+from sitelens.plans import context as CX
 from sitelens.plans import reports as RP
 from sitelens.operators import html as H
 from sitelens.operators import scan as S
@@ -106,7 +107,7 @@ def _document_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Small limits, so that the given tables make many parts.
-SMALL_SITEMAP, SMALL_PART = 20, 20_000
+SMALL_SITEMAP, SMALL_PART, SMALL_PAGE = 20, 20_000, 2_000
 
 
 def _document_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,9 +115,18 @@ def _document_parts(spark: SparkSession, sf: str) -> DataFrame:
     return CH.chunk_files(docs, SMALL_PART)
 
 
+def _context(a: A.Audit) -> DataFrame:
+    return CX.context_lines(a.score, a.bundle, a.routes, a.components).checkpoint(eager=True)
+
+
 def _bundle_tokens(spark: SparkSession, sf: str) -> DataFrame:
     a = _audit(spark, sf)
-    return RP.bundle_tokens(a.chunks, a.components, a.routes)
+    return RP.bundle_tokens(CH.chunk_files(a.sources, SMALL_PART), a.components, _context(a))
+
+
+def _bundle_texts(spark: SparkSession, sf: str) -> DataFrame:
+    a = _audit(spark, sf)
+    return RP.bundle_texts(CH.chunk_files(a.sources, SMALL_PART), a.components, a.sources, CX.context_pages(_context(a), SMALL_PAGE))
 
 
 # The report's time stamp is a parameter; the registered queries fix it.
@@ -147,6 +157,8 @@ AUDIT: dict[str, Query] = {
     "chunks": _chunks,
     "document_chunks": _document_chunks,
     "bundle_tokens": _bundle_tokens,
+    "bundle_context": lambda s, sf: CX.context_pages(_context(_audit(s, sf)), SMALL_PAGE),
+    "bundle_texts": _bundle_texts,
     "sitemap": lambda s, sf: RP.sitemap(_audit(s, sf).routes),
     "sitemap_index": lambda s, sf: RP.sitemap_index(RP.sitemap(_audit(s, sf).routes, max_urls=SMALL_SITEMAP)),
     "document_parts": _document_parts,

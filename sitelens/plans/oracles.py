@@ -718,32 +718,57 @@ FROM sitemap GROUP BY 1 HAVING count(*) > 1"""
 AUDIT["document_parts"] = "WITH RECURSIVE " + chunk_sql(
     f"cf AS (SELECT source AS project_id, {D.PART_PATH} AS path, text AS content FROM documents)", 20_000) + " SELECT * FROM chunks"
 
-BUNDLE_TOKENS_SQL = f"""WITH RECURSIVE {site_files_cte()}, {STATUS_CTE}, {SOURCES_CTE}, {SYNTAX_CTE}, {BUNDLE_CTE}, {ROUTES_CTE},
-{COMP_CTE}, {chunk_sql("cf AS (SELECT project_id, path, content FROM sources)")},
-sec AS (
-  SELECT c.project_id, c.part_number, c.total_parts,
-    length(concat('### `', {basename_sql('c.path')}, '`' || chr(10) || '**Type:** ', upper(coalesce(k.component_type, 'unknown')), chr(10),
+_BUNDLE_AUD = f"{_AUD.replace('WITH ', 'WITH RECURSIVE ', 1)}, {META_CTE}, {FACTS_CTE}, {COMP_CTE}"
+CONTEXT_CTE = f"""okp AS (SELECT s.project_id, s.seo_score, s.critical_count, b.framework, b.react_router_version, b.has_helmet, b.has_helmet_async,
+    (SELECT count(*) FROM comps k WHERE k.project_id = s.project_id AND component_type = 'server') AS n_server,
+    (SELECT count(*) FROM comps k WHERE k.project_id = s.project_id AND component_type = 'client') AS n_client
+  FROM score s LEFT JOIN bundle b USING (project_id) WHERE s.status = 'ok'),
+cl AS (
+  SELECT project_id, 0 AS section, 0 AS place, [] AS item, concat('## Project' || chr(10) || '- name: `', project_id, '`' || chr(10) || '- framework: ', framework, chr(10) || '- router: ',
+    coalesce(react_router_version, '-'), chr(10) || '- score before: ', seo_score, ' of 100' || chr(10) || '- critical issues: ', critical_count, chr(10)) AS line FROM okp
+  UNION ALL SELECT project_id, 1, 0, [], '## Routes' || chr(10) || '| Route | File | Dynamic | Hooks | Data |' || chr(10) || '|---|---|---|---|---|' || chr(10) FROM okp
+  UNION ALL SELECT project_id, 2, 0, [], concat('## Server components (', n_server, ')' || chr(10)) FROM okp
+  UNION ALL SELECT project_id, 3, 0, [], concat('## Client components (', n_client, ')' || chr(10)) FROM okp
+  UNION ALL SELECT project_id, 4, 0, [], '## Notes' || chr(10) FROM okp
+  UNION ALL SELECT r.project_id, 1, r.route_order, [], concat('| `', r.path, '` | `', coalesce({basename_sql('r.component_file')}, 'unknown'), '` | ',
+      CASE WHEN r.is_dynamic THEN 'Y' ELSE '-' END, ' | ', coalesce(nullif(k.client_hooks_found, ''), '-'), ' | ', r.data_fetch_pattern, ' |' || chr(10))
+    FROM routes r LEFT JOIN comps k ON k.project_id = r.project_id AND k.file_path = r.component_file
+  UNION ALL SELECT project_id, 2, 1, string_split(file_path, '/'), concat('- `', {basename_sql('file_path')}, '`' || chr(10)) FROM comps WHERE component_type = 'server'
+  UNION ALL SELECT project_id, 3, 1, string_split(file_path, '/'), concat('- `', {basename_sql('file_path')}, '`: ', replace(reasons, ' | ', ', '), chr(10)) FROM comps WHERE component_type = 'client'
+  UNION ALL SELECT project_id, 4, 1, string_split(file_path, '/'), concat('**`', {basename_sql('file_path')}, '`**' || chr(10) || '- ', replace(migration_notes, chr(10), chr(10) || '- '), chr(10))
+    FROM comps WHERE migration_notes <> ''
+  UNION ALL SELECT project_id, 5, 0, [], concat('## Dependencies' || chr(10) || '- remove: react-router-dom', CASE WHEN has_helmet THEN ', react-helmet' ELSE '' END,
+    CASE WHEN has_helmet_async THEN ', react-helmet-async' ELSE '' END, CASE WHEN framework = 'cra' THEN ', react-scripts' ELSE '' END,
+    chr(10) || '- add: next@14, @types/node, @types/react, @types/react-dom' || chr(10)) FROM okp),
+cn AS (SELECT *, strlen(line) AS b, row_number() OVER (PARTITION BY project_id ORDER BY section, place, item) AS i FROM cl),
+pw(project_id, i, page, cur) AS (
+  SELECT project_id, i, CAST(1 AS BIGINT), b FROM cn WHERE i = 1
+  UNION ALL SELECT cn.project_id, cn.i, CASE WHEN cur + b > 2000 THEN page + 1 ELSE page END, CASE WHEN cur + b > 2000 THEN b ELSE cur + b END
+  FROM pw JOIN cn ON cn.project_id = pw.project_id AND cn.i = pw.i + 1),
+pages AS (SELECT project_id, page, count(*) AS n_lines, CAST(sum(b) AS BIGINT) AS bytes, string_agg(line, '' ORDER BY i) AS text FROM pw JOIN cn USING (project_id, i) GROUP BY 1, 2)"""
+AUDIT["bundle_context"] = f"{_BUNDLE_AUD}, {CONTEXT_CTE} SELECT * FROM pages"
+
+TEXTS_CTE = f"""{CONTEXT_CTE}, {chunk_sql("cf AS (SELECT project_id, path, content FROM sources)", 20_000)},
+pt AS (SELECT DISTINCT project_id, part_number, total_parts FROM chunks),
+texts AS (
+  SELECT pt.*, 0 AS kind, page AS place, text FROM pt JOIN pages USING (project_id)
+  UNION ALL SELECT pt.*, 1, 0, concat('## Files' || chr(10), CASE WHEN total_parts > 1 THEN
+    printf('> Part %d of %d; the project context above holds for every part.' || chr(10), part_number, total_parts) ELSE '' END, chr(10)) FROM pt
+  UNION ALL SELECT c.project_id, c.part_number, c.total_parts, 2, c.file_order,
+    concat('### `', {basename_sql('c.path')}, '`' || chr(10) || '**Type:** ', upper(coalesce(k.component_type, 'unknown')), chr(10),
       CASE WHEN k.reasons IS NOT NULL AND k.reasons <> '' THEN concat('**Reason:** ', k.reasons, chr(10)) ELSE '' END,
       CASE WHEN k.migration_notes IS NOT NULL AND k.migration_notes <> '' THEN concat('**Migration notes:**' || chr(10) || '- ',
            replace(k.migration_notes, chr(10), chr(10) || '- '), chr(10)) ELSE '' END,
-      chr(10) || '```jsx' || chr(10), s.content, chr(10) || '```' || chr(10) || chr(10))) AS n
+      chr(10) || '```jsx' || chr(10), s.content, chr(10) || '```' || chr(10) || chr(10))
   FROM chunks c LEFT JOIN comps k ON k.project_id = c.project_id AND k.file_path = c.path
-  JOIN sources s ON s.project_id = c.project_id AND s.path = c.path),
-pp AS (SELECT project_id, part_number, total_parts, count(*) AS n_files, sum(n) AS section_chars FROM sec GROUP BY 1, 2, 3),
-ctx AS (SELECT r.project_id, sum(length(concat('| `', r.path, '` | `', coalesce({basename_sql('r.component_file')}, 'unknown'), '` | ',
-          CASE WHEN r.is_dynamic THEN 'Y' ELSE '-' END, ' | ',
-          CASE WHEN k.client_hooks_found IS NOT NULL AND k.client_hooks_found <> '' THEN k.client_hooks_found ELSE '-' END,
-          ' | ', r.data_fetch_pattern, ' |' || chr(10)))) AS context_chars
-        FROM routes r LEFT JOIN comps k ON k.project_id = r.project_id AND k.file_path = r.component_file GROUP BY 1),
-bt AS (SELECT pp.*, CAST(length(concat('## Files' || chr(10),
-          CASE WHEN total_parts > 1 THEN printf('> Part %d of %d; the project context above holds for every part.' || chr(10), part_number, total_parts) ELSE '' END,
-          chr(10))) + coalesce(ctx.context_chars, 0) + section_chars AS BIGINT) AS chars
-       FROM pp LEFT JOIN ctx USING (project_id))
-SELECT project_id, part_number, total_parts,
-  CASE WHEN total_parts = 1 THEN 'bundle.md' ELSE printf('bundle-part%d.md', part_number) END AS bundle_name,
-  CAST(n_files AS BIGINT) AS n_files, chars, CAST(floor(chars / 4) AS BIGINT) AS estimated_tokens
-FROM bt"""
-AUDIT["bundle_tokens"] = BUNDLE_TOKENS_SQL
+  JOIN sources s ON s.project_id = c.project_id AND s.path = c.path)"""
+AUDIT["bundle_texts"] = f"{_BUNDLE_AUD}, {TEXTS_CTE} SELECT * FROM texts"
+AUDIT["bundle_tokens"] = f"""{_BUNDLE_AUD}, {TEXTS_CTE},
+bt AS (SELECT project_id, part_number, any_value(total_parts) AS total_parts, CAST(count_if(kind = 2) AS BIGINT) AS n_files, CAST(sum(length(text)) AS BIGINT) AS chars
+       FROM texts GROUP BY 1, 2)
+SELECT project_id, part_number, total_parts, CASE WHEN total_parts = 1 THEN 'bundle.md' ELSE printf('bundle-part%d.md', part_number) END AS bundle_name,
+  n_files, chars, chars // 4 AS estimated_tokens FROM bt
+UNION ALL SELECT project_id, NULL, max(total_parts), 'bundle', CAST(sum(n_files) AS BIGINT), CAST(sum(chars) AS BIGINT), CAST(sum(chars // 4) AS BIGINT) FROM bt GROUP BY 1"""
 
 
 REPORT_MD_SQL = f"""{_AUD}, {META_CTE}, {FACTS_CTE},

@@ -87,27 +87,27 @@ def part_header(part: Column, total: Column) -> Column:
         part, total)).otherwise(""), F.lit("\n"))
 
 
-def route_row(path: Column, component_file: Column, dynamic: Column, hooks: Column, fetch: Column) -> Column:
-    return F.concat(
-        F.lit("| `"), path, F.lit("` | `"), F.coalesce(basename(component_file), F.lit("unknown")),
-        F.lit("` | "), F.when(dynamic, "Y").otherwise("-"), F.lit(" | "),
-        F.when(F.size(hooks) > 0, F.array_join(hooks, ", ")).otherwise("-"), F.lit(" | "), fetch, F.lit(" |\n"))
-
-
-def bundle_sections(chunks: DataFrame, components: DataFrame, files: DataFrame) -> DataFrame:
-    """K4 rows: one section per file, keyed by (project, part, file order)."""
+def bundle_texts(chunks: DataFrame, components: DataFrame, files: DataFrame, pages: DataFrame) -> DataFrame:
+    """K4 rows, the texts of every bundle part in order of (kind, place): the
+    context pages, repeated a part (kind 0), the part's header (1) and one
+    section a file (2).  A project without files has no bundle."""
+    parts = chunks.select("project_id", "part_number", "total_parts").distinct()
+    context = parts.join(pages.select("project_id", F.col("page").alias("place"), "text"), "project_id").withColumn("kind", F.lit(0))
+    header = parts.select("*", F.lit(0).cast("long").alias("place"), part_header(F.col("part_number"), F.col("total_parts")).alias("text"), F.lit(1).alias("kind"))
     j = (chunks.join(components.withColumnRenamed("file_path", "path"), ["project_id", "path"], "left")
          .join(files.select("project_id", "path", "content"), ["project_id", "path"]))
     section = file_section(basename(F.col("path")), F.coalesce("component_type", F.lit("unknown")),
                            F.coalesce("reasons", F.array().cast("array<string>")),
-                           F.coalesce("migration_notes", F.array().cast("array<string>")), F.col("content"))
-    return j.select("project_id", "part_number", "total_parts", "file_order", section.alias("section"))
+                           F.coalesce("migration_notes", F.array().cast("array<string>")), F.coalesce("content", F.lit("")))
+    own = j.select("project_id", "part_number", "total_parts", F.col("file_order").alias("place"), section.alias("text"), F.lit(2).alias("kind"))
+    return context.unionByName(header).unionByName(own)
 
 
-def bundle_tokens(chunks: DataFrame, components: DataFrame, routes: DataFrame) -> DataFrame:
+def bundle_tokens(chunks: DataFrame, components: DataFrame, lines: DataFrame) -> DataFrame:
     """P32 + A12 + J7: size and token estimate (chars // 4) of every bundle
-    part: part header + route manifest (context, repeated per part) + the
-    part's file sections.  Sizes are summed, texts are never concatenated."""
+    part and, rolled up, of the whole bundle (``part_number`` null).  A part is
+    the project context (repeated a part), its header and its file sections;
+    sizes are summed, texts are never concatenated."""
     # Section size = wrapper text (from the classification) + the file's
     # char count, so file texts are not joined or shuffled here.
     j = chunks.join(components.withColumnRenamed("file_path", "path"), ["project_id", "path"], "left")
@@ -118,26 +118,23 @@ def bundle_tokens(chunks: DataFrame, components: DataFrame, routes: DataFrame) -
                          (F.length(wrapper) + F.col("chars")).alias("n"))
                 .groupBy("project_id", "part_number", "total_parts")
                 .agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("section_chars")))
-    hooks = components.select("project_id", F.col("file_path").alias("component_file"),
-                              F.col("client_hooks_found").alias("hooks"))
-    ctx = (routes.join(hooks, ["project_id", "component_file"], "left")
-           .select("project_id", F.length(route_row(
-               F.col("path"), F.col("component_file"), F.col("is_dynamic"),
-               F.coalesce("hooks", F.array().cast("array<string>")), F.col("data_fetch_pattern"))).alias("n"))
-           .groupBy("project_id").agg(F.sum("n").alias("context_chars")))
-    out = per_part.join(ctx, "project_id", "left").na.fill(0, ["context_chars"])
+    context = lines.groupBy("project_id").agg(F.sum(F.length("line")).alias("context_chars"))
+    out = per_part.join(context, "project_id", "left").na.fill(0, ["context_chars"])
     chars = (F.length(part_header(F.col("part_number"), F.col("total_parts")))
              + F.col("context_chars") + F.col("section_chars")).cast("long")
-    name = F.when(F.col("total_parts") == 1, F.lit("bundle.md")).otherwise(
-        F.format_string("bundle-part%d.md", F.col("part_number")))
-    return out.select("project_id", "part_number", "total_parts", name.alias("bundle_name"), "n_files",
-                      chars.alias("chars"), F.floor(chars / 4).cast("long").alias("estimated_tokens"))
-
-
-def write_bundles(sections: DataFrame, out_dir: str) -> None:
-    """K4 sink: one text folder per (project, part), sections in file order."""
-    (sections.repartition("project_id", "part_number").sortWithinPartitions("file_order")
-     .select("project_id", "part_number", "section")
+    sized = out.select("project_id", "part_number", "total_parts", "n_files", chars.alias("chars"), F.floor(chars / 4).cast("long").alias("estimated_tokens"))
+    name = (F.when(F.col("part_number").isNull(), F.lit("bundle")).when(F.col("total_parts") == 1, F.lit("bundle.md"))
+            .otherwise(F.format_string("bundle-part%d.md", F.col("part_number"))))
+    rolled = sized.rollup("project_id", "part_number").agg(
+        F.max("total_parts").alias("total_parts"), *[F.sum(c).alias(c) for c in ("n_files", "chars", "estimated_tokens")])
+    return rolled.where("project_id IS NOT NULL").select(
+        "project_id", "part_number", "total_parts", name.alias("bundle_name"), "n_files", "chars", "estimated_tokens")
+
+
+def write_bundles(texts: DataFrame, out_dir: str) -> None:
+    """K4 sink: one text folder per (project, part), its texts in order."""
+    (texts.repartition("project_id", "part_number").sortWithinPartitions("project_id", "part_number", "kind", "place")
+     .select("project_id", "part_number", "text")
      .write.mode("overwrite").partitionBy("project_id", "part_number").text(out_dir))
 
 

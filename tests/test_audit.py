@@ -123,18 +123,48 @@ def test_reports(audit):
     assert report_json(r).count() == 2
 
 
-def test_bundle_sink_and_tokens(spark, audit, tmp_path):
+def test_bundle_texts_and_tokens(spark, audit, tmp_path):
     from sitelens.operators.chunks import chunk_files
-    from sitelens.operators.components import classify_components
-    from sitelens.plans.reports import bundle_sections, bundle_tokens, write_bundles
-    chunks, comps = chunk_files(audit.sources), classify_components(audit.sources)
-    tok = {r.project_id: r for r in bundle_tokens(chunks, comps, audit.routes).collect()}
-    assert tok["bakery"].bundle_name == "bundle.md" and tok["bakery"].n_files == 5
-    assert tok["bakery"].estimated_tokens == tok["bakery"].chars // 4
+    from sitelens.plans.context import context_lines, context_pages
+    from sitelens.plans.reports import bundle_texts, bundle_tokens, write_bundles
+    chunks = chunk_files(audit.sources, 400)
+    lines = context_lines(audit.score, audit.bundle, audit.routes, audit.components)
+    pages = context_pages(lines, 120)
+    assert all(r.bytes <= 120 and r.bytes == len(r.text.encode()) for r in pages.collect())
+    whole = {r.project_id: "".join(x.text for x in sorted(r.p)) for r in pages.groupBy("project_id").agg(
+        F.collect_list(F.struct("page", "text")).alias("p")).collect()}
+    bakery = whole["bakery"]
+    assert [x for x in bakery.split("\n") if x.startswith("## ")] == [
+        "## Project", "## Routes", "## Server components (2)", "## Client components (3)", "## Notes", "## Dependencies"]
+    assert "- `index.jsx`: Accesses browser global: window\n" in bakery and "| `/order/:cake` | `Order.jsx` | Y | useState | none |" in bakery
+    assert "- remove: react-router-dom, react-helmet-async, react-scripts\n" in bakery
+    texts = bundle_texts(chunks, audit.components, audit.sources, pages)
+    size = {(r.project_id, r.part_number): (r.chars, r.files) for r in texts.groupBy("project_id", "part_number").agg(
+        F.sum(F.length("text")).alias("chars"), F.count_if(F.col("kind") == 2).alias("files")).collect()}
+    tokens = bundle_tokens(chunks, audit.components, lines).collect()
+    parts = {(r.project_id, r.part_number): (r.chars, r.n_files) for r in tokens if r.part_number}
+    assert parts == size and max(n for _, n in parts) > 2
+    for r in tokens:
+        assert r.part_number is None or r.estimated_tokens == r.chars // 4
+        if r.part_number is None:
+            own = [v for (p, _), v in size.items() if p == r.project_id]
+            assert (r.chars, r.n_files, r.total_parts) == (sum(c for c, _ in own), sum(n for _, n in own), len(own))
+            assert r.estimated_tokens == sum(c // 4 for c, _ in own)
     out = str(tmp_path / "bundles")
-    write_bundles(bundle_sections(chunks, comps, audit.sources), out)
-    text = "\n".join(r.value for r in spark.read.text(out).where("project_id = 'bakery'").collect())
-    assert "### `App.jsx`" in text and "**Type:** CLIENT" in text
+    write_bundles(texts, out)
+    text = "\n".join(r.value for r in spark.read.text(out).where("project_id = 'bakery' AND part_number = 1").collect())
+    assert text.index("## Project") < text.index("## Files") < text.index("### `index.jsx`") and "**Type:** CLIENT" in text
+
+
+def test_context_pages_cut_long_lines(spark):
+    from sitelens.plans.context import context_pages
+    rows = [("p", 0, i, [], x) for i, x in enumerate(["é" * 30 + "\n", "", "ab\n", "x" * 41, "日本" * 9])]
+    df = spark.createDataFrame(rows, "project_id string, section int, place long, item array<string>, line string")
+    for ranges in (1, 4):
+        got = sorted(context_pages(df, 8, ranges).collect(), key=lambda r: r.page)
+        assert "".join(r.text for r in got) == "".join(r[4] for r in rows)
+        assert all(r.bytes <= 8 for r in got) and [r.page for r in got] == list(range(1, len(got) + 1))
+    assert context_pages(df.limit(0)).count() == 0
 
 
 def test_source_tree_reader(spark, tmp_path):
