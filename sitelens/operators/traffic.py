@@ -6,6 +6,9 @@ resource_type, status, forced, ...)``; ``pages(page_id, url, html)``.
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,8 @@ from sitelens.operators.prefix import chain, last_before
 from sitelens.operators.prefix import ranges as deal
 
 MAX_ID = (1 << 63) - 1
-# Longest crawler list that is read into a plan; a longer one is refused.
-MOST_TOKENS = 1000
+# Tokens of one automaton; a longer list is dealt into blocks.
+BLOCK_TOKENS = 100_000
 
 
 # --------------------------------------------------------------- bots
@@ -41,23 +44,51 @@ def tag_bots(requests: DataFrame) -> DataFrame:
     return requests.withColumn("is_bot", X.is_bot("user_agent"))
 
 
-def bot_token_hits(requests: DataFrame, bots: DataFrame) -> DataFrame:
+def _find_tokens(key, agents, tokens):
+    """The tokens of a block in each lower-cased agent: one automaton, one pass
+    an agent."""
+    import ahocorasick
+    import pyarrow as pa
+
+    versions: dict[str, list] = {}
+    for version, token in zip(tokens["version"].to_pylist(), tokens["token"].to_pylist()):
+        versions.setdefault(token, []).append(version)
+    automaton = ahocorasick.Automaton()
+    for token in versions:
+        if token:
+            automaton.add_word(token, token)
+    automaton.make_automaton()
+    out = []
+    for agent, low in zip(agents["user_agent"].to_pylist(), agents["low"].to_pylist()):
+        found = {token for _, token in automaton.iter(low)} if len(automaton) else set()
+        if "" in versions:  # contained in every agent
+            found.add("")
+        out += [(agent, v, t) for t in found for v in versions[t]]
+    return pa.table([pa.array([r[i] for r in out], pa.string()) for i in range(3)], ["user_agent", "version", "token"])
+
+
+def bot_token_hits(requests: DataFrame, bots: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Which crawler token each request matches, counted per token.
 
-    The list is fixed and short (41 rows), so it is read into one array
-    literal; each distinct user agent is matched once, and its tokens are
-    joined back to the counts by equality.
+    Each distinct user agent is matched once by an Aho-Corasick automaton, its
+    tokens joined back to the counts by equality.  The list may have any
+    length: it is dealt into blocks of about ``block_tokens``, the agents over
+    the session's shuffle partitions.  Null agents and tokens match nothing;
+    a list row counts as often as it stands in the list.
     """
-    listed = [(r.version, r.token) for r in bots.limit(MOST_TOKENS + 1).collect()]
-    if len(listed) > MOST_TOKENS:
-        raise ValueError(f"a crawler list of more than {MOST_TOKENS} rows")
-    tokens = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(t).alias("token")) for v, t in listed]) if listed else \
-        F.array().cast("array<struct<version:string,token:string>>")
-    agents = (requests.select("user_agent").distinct()
-              .withColumn("hit", F.explode(F.filter(tokens, lambda x: F.lower("user_agent").contains(x["token"]))))
-              .select("user_agent", "hit.*"))
+    salts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = -(-bots.count() // block_tokens) or 1
+
+    def dealt(column: str, own: str, n: int, other: str, m: int) -> list:
+        return [F.pmod(F.xxhash64(column), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)]
+
+    tokens = bots.where("token IS NOT NULL").select("version", "token", *dealt("token", "block", blocks, "salt", salts))
+    agents = (requests.select("user_agent").where("user_agent IS NOT NULL").distinct()
+              .select("user_agent", F.lower("user_agent").alias("low"), *dealt("user_agent", "salt", salts, "block", blocks)))
+    hits = agents.groupBy("block", "salt").cogroup(tokens.groupBy("block", "salt")).applyInArrow(
+        _find_tokens, "user_agent string, version string, token string")
     pairs = requests.groupBy("user_agent", "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.join(agents, "user_agent").groupBy("version", "token").agg(
+    return pairs.join(hits, "user_agent").groupBy("version", "token").agg(
         F.sum("n").alias("hits"), F.countDistinct("user_id").alias("users"))
 
 
@@ -272,3 +303,7 @@ def service_metrics(requests: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECOND
     total = F.col("render_count") + F.col("cache_hit_count")
     rate = F.when(total > 0, X.bround1(F.col("cache_hit_count") * 100.0 / total)).otherwise(F.lit(0.0))
     return g.withColumn("cache_hit_rate_pct", rate)
+
+
+# ``_find_tokens`` travels to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -183,3 +183,18 @@ def test_bot_regex_from_table(spark):
     got = {r.version: r.regex for r in T.bot_regex(bots).collect()}
     assert got[C.BOT_LIST_VERSION] == C.bot_alternation()
     assert got["x"] == r"a\.b\|c"
+
+
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_token_lists_of_any_length(spark, block):
+    agents = ["Googlebot/2.1 bot17x", "BOT999 bot99", "ab", "", None, "bot5 bot5 bot50", "ab"]
+    req = spark.createDataFrame([(a, i % 3) for i, a in enumerate(agents)], "user_agent string, user_id int")
+    words = [f"bot{i}" for i in range(20 if block == 3 else 100_000)] + ["", "a", "ab", "b", "nothing", None, "ab"]
+    bots = spark.createDataFrame([("v", w) for w in words], "version string, token string")
+    got = {(r.version, r.token): (r.hits, r.users) for r in T.bot_token_hits(req, bots, block).collect()}
+    want = {}
+    for w in set(words) - {None}:
+        users = [i % 3 for i, a in enumerate(agents) if a is not None and w in a.lower()]
+        if users:
+            want["v", w] = (len(users) * words.count(w), len(set(users)))
+    assert got == want
