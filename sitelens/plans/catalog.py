@@ -180,14 +180,18 @@ def _stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return ST.latest_versions(t, ["hour"])
 
 
+# A TTL that some snapshots of the given log have passed at its end.
+LIVE_TTL = 6 * 3600
+
 STREAMING: dict[str, Query] = {
     "stream_bot_tags": lambda s, sf: ST.run_to_table(s, ST.bot_tags(_stream(s, sf)), "bots").drop("_batch"),
     "stream_metrics": _stream_metrics,
-    "stream_dedup": lambda s, sf: ST.run_to_table(s, ST.dedup_renders(_stream(s, sf)), "dedup").drop("_batch"),
-    "stream_ttl": lambda s, sf: ST.run_to_table(s, ST.ttl_outcomes(_stream(s, sf)), "ttl").drop("_batch", "t"),
-    "stream_service": lambda s, sf: ST.service_counters(ST.run_to_table(s, ST.ttl_outcomes(_stream(s, sf)), "service")),
+    "stream_dedup": lambda s, sf: ST.run_dedup(s, _stream(s, sf)).drop("_batch"),
+    "stream_ttl": lambda s, sf: ST.run_ttl(s, _stream(s, sf)).drop("_batch", "t"),
+    "stream_service": lambda s, sf: ST.service_counters(ST.run_ttl(s, _stream(s, sf), "service")),
     "stream_snapshots": lambda s, sf: ST.snapshot_table(
         ST.run_to_table(s, ST.snapshot_events(_stream(s, sf)), "snapshots")),
+    "stream_live": lambda s, sf: ST.run_snapshots(s, _stream(s, sf), ttl_seconds=LIVE_TTL),
 }
 
 

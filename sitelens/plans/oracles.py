@@ -661,6 +661,8 @@ FROM walk w JOIN log l ON l.id = w.id GROUP BY 1""",
     "stream_bot_tags": TRAFFIC["bot_requests"],
     "stream_ttl": TRAFFIC["ttl_hits"],
     "stream_snapshots": TRAFFIC["snapshot_latest"],
+    "stream_live": f"""SELECT cache_key, norm_url, stored_event_id, stored_us FROM ({TRAFFIC['snapshot_latest']})
+WHERE stored_us + 6 * 3600 * 1000000 >= (SELECT max(epoch_us(ts)) FROM ({D.requests_sql()}) WHERE {URL_OK} AND (status < 400 OR event_type = 'purchase'))""",
     "stream_metrics": f"""WITH {requests_cte()}
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, CAST(count(*) AS BIGINT) AS requests,
        CAST(count_if({is_bot('user_agent')}) AS BIGINT) AS bot_requests

@@ -3,12 +3,14 @@
 * T1 ``bot_tags``: stateless projection of the request stream.
 * T3 ``hourly_metrics``: event-time hourly windows with a watermark, emitted
   in update mode; the sink keeps the last version of every window.
-* T5 ``dedup_renders``: one render per cache key and TTL.
-* T2/T6 ``ttl_outcomes``: anchored-TTL HIT/MISS/ERROR under invalidations with
-  O(1) state per key that expires (``applyInPandasWithState``); rows of a
-  micro-batch are applied in (time, id) order, late rows in arrival order.
-* T4/T6 ``snapshot_upserts``: successful renders and invalidations appended
-  per batch; the latest write per key wins, a later invalidation deletes it.
+* T2/T5/T6 ``run_ttl``, ``run_dedup``: anchored-TTL HIT/MISS/ERROR under
+  invalidations.  A micro-batch is the batch operator over its rows and the
+  anchors that the last one left, so a hot key is spread over ranges here as
+  well; the anchors are a small table that each batch replaces.
+* T4/T6 ``snapshot_events``: successful renders and invalidations appended per
+  batch.  ``run_snapshots`` folds them batch by batch into the live snapshots:
+  the latest write per key wins, a later invalidation deletes it, and what is
+  older than its TTL leaves.
 
 Sources and sinks live under the cluster's shared ``spark.checkpoint.dir``.
 """
@@ -17,15 +19,15 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sitelens.functions import columns as X
 from sitelens.functions import constants as C
+from sitelens.operators.prefix import chain, ranges
+from sitelens.operators.traffic import MAX_ID
 from sitelens.session import ensure_checkpoint_dir
 from sitelens.sources.driver import REQUEST_COLUMNS
 
@@ -78,70 +80,97 @@ def hourly_metrics(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
                     .alias("hour"), "requests", "bot_requests"))
 
 
-OUTCOME_SCHEMA = "event_id long, cache_key string, t long, outcome string"
-STATE_SCHEMA = "anchor long, gone long"
-NEVER_US = 9_180_000_000_000_000  # in 2260, within the nanosecond times of pandas
+# One row a key, and one without a key that holds the latest time seen.
+ANCHORS = "cache_key string, anchor long, gone long"
 
 
-def _ttl_step(ttl_us: int):
-    """One key's rows of a micro-batch.  State: the time of the stored
-    snapshot and of the last invalidation.
+def ttl_step(rows: DataFrame, anchors: DataFrame, ttl_us: int) -> DataFrame:
+    """Outcomes of a micro-batch ``rows`` (cache_key, t, id, forced, ok, inv)
+    after ``anchors``: the time of each key's stored snapshot and of its last
+    invalidation.  Rows are applied in (time, id) order, deletes of a
+    microsecond after its requests.
 
-    Late rows: a row older than the stored snapshot is answered by what the
-    cache holds when it arrives, a HIT unless forced, and its render never
-    moves the stored time back.
+    Late rows: a row not newer than the stored snapshot is answered by what the
+    cache holds, a HIT unless forced, and never moves the stored time back.
     """
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        anchor, gone = state.get if state.exists else (None, None)
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["t", "id"], kind="stable")
-        out = []
-        for t, i, forced, ok, inv in zip(rows["t"], rows["id"], rows["forced"], rows["ok"], rows["inv"]):
-            # Deletes of a microsecond come after its requests.
-            if anchor is not None and gone is not None and anchor <= gone < t:
-                anchor = None
-            if not forced and anchor is not None and t - anchor <= ttl_us:
-                out.append("HIT")
-            elif ok:
-                anchor = int(t) if anchor is None else max(anchor, int(t))
-                out.append("MISS")
-            else:
-                out.append("ERROR")
-            if inv:
-                gone = int(t) if gone is None else max(gone, int(t))
-        last = max(x for x in (anchor, gone, int(rows["t"].iloc[-1])) if x is not None)
-        state.update((anchor, gone))
-        # Beyond its TTL a snapshot answers nothing: the key's state goes.
-        state.setTimeoutTimestamp(max((last + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["id"].to_numpy(), "cache_key": key[0], "t": rows["t"].to_numpy(), "outcome": out})
-    return step
-
-
-def _cache_walk(stream: DataFrame, forced: Column, ok: Column, inv: Column, ttl_seconds: int) -> DataFrame:
-    # Spark drops rows whose marked time is behind the watermark.  Late rows are
-    # answered as well, so the mark goes on a column that never is; the
-    # watermark itself follows ts_ltz and only ends states.
-    never = F.timestamp_micros(F.lit(NEVER_US)).alias("ts_ltz", metadata={"spark.watermarkDelayMs": ttl_seconds * 1000})
-    log = (stream.where(X.url_ok("url")).withWatermark("ts_ltz", f"{ttl_seconds} seconds")
-           .select(X.cache_key("url").alias("cache_key"), X.epoch_us("ts").alias("t"),
-                   F.col("event_id").alias("id"), forced.alias("forced"), ok.alias("ok"), inv.alias("inv"), never))
-    return log.groupBy("cache_key").applyInPandasWithState(
-        _ttl_step(ttl_seconds * 1_000_000), OUTCOME_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def ttl_outcomes(stream: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
-    """T2/T6 with two numbers of state per key, dropped once the watermark
-    (one TTL behind) has passed the snapshot's expiry."""
-    return _cache_walk(stream, F.coalesce("forced", F.lit(False)), F.col("status").isNotNull() & (F.col("status") < 400),
-                       F.coalesce(F.col("event_type") == "purchase", F.lit(False)), ttl_seconds)
-
-
-def dedup_renders(stream: DataFrame, ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
+    held = anchors.where("cache_key IS NOT NULL AND anchor IS NOT NULL").select("cache_key", "anchor", F.col("gone").alias("held_gone"))
+    rows = rows.join(held, "cache_key", "left").withColumn("late", F.coalesce(F.col("t") <= F.col("anchor"), F.lit(False)))
+    plain = rows.select("cache_key", "t", "id", "forced", "ok", "inv", "late", F.lit(False).alias("clear"), F.lit(True).alias("own"))
+    marks = lambda t, **flags: (t.select("cache_key", "t", F.lit(MAX_ID).alias("id"), *[F.lit(v).alias(k) for k, v in flags.items()])
+                                .withColumn("own", F.lit(False)))
+    stored = marks(held.withColumn("t", F.col("anchor")), forced=True, ok=True, inv=False, late=False, clear=False)
+    deletes = (rows.where("inv").select("cache_key", "t")
+               .unionByName(anchors.where("cache_key IS NOT NULL AND gone >= anchor").select("cache_key", F.col("gone").alias("t"))))
+    deletes = marks(deletes, forced=False, ok=False, inv=False, late=False, clear=True)
+    log = plain.unionByName(stored).unionByName(deletes).withColumn("id", F.when(F.col("clear"), F.col("id")).otherwise(
+        F.when(F.col("own"), F.col("id")).otherwise(F.lit(-MAX_ID))))
+    # Late rows and late deletes change nothing: they stand before the stored snapshot.
+    dealt = ranges(log, "cache_key", [F.col("t"), F.col("id")])
+    goes = F.col("ok") & ~F.col("late")
+    walked = chain(dealt, "cache_key", ["t", "id"], F.col("t"), F.col("t") + ttl_us, can=goes, must=goes & F.col("forced"),
+                   clear=F.col("clear")).where("own")
+    hit = ~F.col("forced") & (F.col("late") | F.coalesce(F.col("t") <= F.col("enters"), F.lit(False)))
+    return walked.select(F.col("id").alias("event_id"), "cache_key", "t",
+                         F.when(hit, "HIT").when(F.col("ok"), "MISS").otherwise("ERROR").alias("outcome"), "inv")
+
+
+def next_anchors(outcomes: DataFrame, anchors: DataFrame, ttl_us: int) -> DataFrame:
+    """The anchors after a batch; those whose TTL the latest time seen has
+    passed can answer nothing more and leave."""
+    seen = outcomes.agg(F.max("t").alias("t")).unionByName(anchors.where("cache_key IS NULL").select(F.col("anchor").alias("t")))
+    now = seen.agg(F.max("t").alias("now"))
+    both = (outcomes.select("cache_key", F.when(F.col("outcome") == "MISS", F.col("t")).alias("anchor"), F.when(F.col("inv"), F.col("t")).alias("gone"))
+            .unionByName(anchors.where("cache_key IS NOT NULL")))
+    live = (both.groupBy("cache_key").agg(F.max("anchor").alias("anchor"), F.max("gone").alias("gone"))
+            .where(F.col("anchor") + ttl_us >= now.scalar()))
+    return live.unionByName(now.select(F.lit(None).cast("string").alias("cache_key"), F.col("now").alias("anchor"), F.lit(None).cast("long").alias("gone")))
+
+
+def _run_carried(spark: SparkSession, stream: DataFrame, name: str, schema: str,
+                 step: Callable[[DataFrame, DataFrame], DataFrame], carry: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[str, str]:
+    """Drive ``stream`` with a table carried from batch to batch: a batch's
+    output is ``step(rows, carried)``, the next table ``carry(output, carried)``.
+
+    The table has two places, used in turn, so a batch replayed after a failure
+    finds what the batch before it left; output folders are replaced by id."""
+    out, ckpt, at = scratch(spark, name), scratch(spark, name + "-ckpt"), scratch(spark, name + "-carried")
+    none = spark.createDataFrame([], schema)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        place = lambda i: os.path.join(at, str(i % 2))
+        held = own.read.schema(schema).parquet(place(batch_id - 1)) if batch_id else none
+        folder = os.path.join(out, f"_batch={batch_id}")
+        step(batch, held).write.mode("overwrite").parquet(folder)
+        carry(own.read.parquet(folder), held).write.mode("overwrite").parquet(place(batch_id))
+
+    (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    return out, at
+
+
+def _log(stream: DataFrame, forced: Column, ok: Column, inv: Column) -> DataFrame:
+    return stream.where(X.url_ok("url")).select(
+        X.cache_key("url").alias("cache_key"), X.epoch_us("ts").alias("t"), F.col("event_id").alias("id"),
+        forced.alias("forced"), ok.alias("ok"), inv.alias("inv"))
+
+
+def _run_walk(spark: SparkSession, log: DataFrame, name: str, ttl_seconds: int) -> DataFrame:
+    ttl_us = ttl_seconds * 1_000_000
+    out, _ = _run_carried(spark, log, name, ANCHORS, lambda rows, held: ttl_step(rows, held, ttl_us),
+                          lambda done, held: next_anchors(done, held, ttl_us))
+    return spark.read.option("basePath", out).parquet(out).drop("inv")
+
+
+def run_ttl(spark: SparkSession, stream: DataFrame, name: str = "ttl", ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
+    """(event_id, cache_key, t, outcome) of every request."""
+    return _run_walk(spark, _log(stream, F.coalesce("forced", F.lit(False)), F.col("status").isNotNull() & (F.col("status") < 400),
+                                 F.coalesce(F.col("event_type") == "purchase", F.lit(False))), name, ttl_seconds)
+
+
+def run_dedup(spark: SparkSession, stream: DataFrame, name: str = "dedup", ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
     """T5: one render per cache key and TTL, whatever the micro-batches."""
-    renders = _cache_walk(stream, F.lit(False), F.lit(True), F.lit(False), ttl_seconds)
-    return renders.where("outcome = 'MISS'").select("event_id", "cache_key")
+    renders = _run_walk(spark, _log(stream, F.lit(False), F.lit(True), F.lit(False)), name, ttl_seconds)
+    return renders.where("outcome = 'MISS'").select("event_id", "cache_key", "_batch")
 
 
 def service_counters(outcomes: DataFrame) -> DataFrame:
@@ -190,6 +219,45 @@ def latest_versions(table: DataFrame, key: list[str]) -> DataFrame:
             .select(*key, "v.*"))
 
 
+SNAPSHOTS = "cache_key string, w struct<t:long,id:long,norm_url:string>, inv_us long"
+
+
+def fold_snapshots(events: DataFrame, held: DataFrame, ttl_us: int) -> DataFrame:
+    """The stored snapshots after ``events``: per key the latest write and the
+    last invalidation, one row without a key for the latest time seen.  Rows
+    whose last write and invalidation are both older than the TTL leave."""
+    t = F.col("t")
+    write = F.when(F.col("is_write"), F.struct("t", "id", "norm_url"))
+    both = (events.select("cache_key", write.alias("w"), F.when(F.col("is_invalidation"), t).alias("inv_us"))
+            .unionByName(held.where("cache_key IS NOT NULL")))
+    now = (events.agg(F.max("t").alias("t")).unionByName(held.where("cache_key IS NULL").select(F.col("inv_us").alias("t")))
+           .agg(F.max("t").alias("now")))
+    live = (both.groupBy("cache_key").agg(F.max("w").alias("w"), F.max("inv_us").alias("inv_us"))
+            .where(F.greatest("w.t", "inv_us") + ttl_us >= now.scalar()))
+    return live.unionByName(now.select(F.lit(None).cast("string").alias("cache_key"), F.lit(None).cast(live.schema["w"].dataType).alias("w"),
+                                       F.col("now").alias("inv_us")))
+
+
+def live_snapshots(held: DataFrame, ttl_us: int) -> DataFrame:
+    """What the cache would return at the latest time seen."""
+    now = held.where("cache_key IS NULL").agg(F.max("inv_us")).scalar()
+    kept = F.col("w").isNotNull() & (F.col("inv_us").isNull() | (F.col("inv_us") < F.col("w.t"))) & (F.col("w.t") + ttl_us >= now)
+    return held.where(F.col("cache_key").isNotNull() & kept).select(
+        "cache_key", F.col("w.norm_url").alias("norm_url"), F.col("w.id").alias("stored_event_id"), F.col("w.t").alias("stored_us"))
+
+
+def run_snapshots(spark: SparkSession, stream: DataFrame, name: str = "live", ttl_seconds: int = C.DEFAULT_TTL_SECONDS) -> DataFrame:
+    """The live snapshots of the stream.  The log of a batch is folded
+    into the table the last one left, so what is kept grows with the live keys
+    and not with time."""
+    ttl_us = ttl_seconds * 1_000_000
+    out, _ = _run_carried(spark, snapshot_events(stream), name, SNAPSHOTS, lambda rows, held: fold_snapshots(rows, held, ttl_us),
+                          lambda done, held: done)
+    last = spark.read.option("basePath", out).parquet(out)
+    newest = last.agg(F.max("_batch")).first()[0]
+    return live_snapshots(last.where(F.col("_batch") == newest).drop("_batch"), ttl_us)
+
+
 def snapshot_table(upserts: DataFrame) -> DataFrame:
     """K5/K6 over the appended write/invalidation log."""
     w = upserts.where("is_write").groupBy("cache_key").agg(

@@ -11,8 +11,7 @@ def test_stream_ttl_equals_batch(spark):
     from sitelens.sources import driver as D
     from sitelens.streaming import streams as ST
     src = ST.stage_events(spark, D.read_table(spark, SF, "events"))
-    got = {(r.event_id, r.outcome) for r in ST.run_to_table(spark, ST.ttl_outcomes(ST.request_stream(spark, src)),
-                                                              "t").collect()}
+    got = {(r.event_id, r.outcome) for r in ST.run_ttl(spark, ST.request_stream(spark, src)).collect()}
     want = {(r.event_id, r.outcome) for r in T.ttl_outcomes(D.requests_table(spark, SF)).collect()}
     assert got == want
 
@@ -32,7 +31,7 @@ def test_stream_multi_batch_in_order(spark):
     for d in days:
         sub.where(F.to_date("ts") == d).coalesce(1).write.mode("append").parquet(src)
     stream = ST.request_stream(spark, src, max_files=1)
-    got = {(r.event_id, r.outcome) for r in ST.run_to_table(spark, ST.ttl_outcomes(stream), "t2").collect()}
+    got = {(r.event_id, r.outcome) for r in ST.run_ttl(spark, stream).collect()}
     req = D.requests_table(spark, SF).where(F.to_date("ts").isin(days))
     want = {(r.event_id, r.outcome) for r in T.ttl_outcomes(req).collect()}
     assert got == want
@@ -69,33 +68,70 @@ def test_stream_hourly_metrics_multi_batch(spark):
     assert got == want
 
 
-def test_late_rows_and_state_expiry():
-    """Late rows are answered from what the cache holds; a timed-out key's
-    state is removed."""
-    import pandas as pd
-    from sitelens.streaming.streams import _ttl_step
-
-    class State:
-        exists, hasTimedOut, get = True, False, (1000, None)
-
-        def update(self, v):
-            self.get = v
-
-        def remove(self):
-            self.exists = False
-
-        def setTimeoutTimestamp(self, ms):
-            self.ms = ms
+def _loop(rows, held, ttl):
+    """The rule row by row: (outcomes, anchors) after rows (t, id, forced, ok,
+    inv) of each key."""
+    out, state = {}, dict(held)
+    for k, t, i, forced, ok, inv in sorted(rows, key=lambda r: (r[1], r[2])):
+        anchor, gone = state.get(k, (None, None))
+        if anchor is not None and gone is not None and anchor <= gone < t:
+            anchor = None
+        if not forced and anchor is not None and t - anchor <= ttl:
+            out[i] = "HIT"
+        else:
+            out[i] = "MISS" if ok else "ERROR"
+            if ok:
+                anchor = t if anchor is None else max(anchor, t)
+        if inv:
+            gone = t if gone is None else max(gone, t)
+        state[k] = (anchor, gone)
+    return out, state
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ttl_step_matches_the_rule(spark, seed):
+    """Batch after batch, rows late by some, against the rule; expired anchors
+    leave the carried table."""
+    import random
+    from sitelens.streaming import streams as ST
+    rng = random.Random(seed)
+    schema = "cache_key string, t long, id long, forced boolean, ok boolean, inv boolean"
+    held, state, latest = spark.createDataFrame([], ST.ANCHORS), {}, 0
+    for batch in range(3):
+        start = 400 * batch
+        rows = [(rng.choice("hhhhab"), rng.randint(max(0, start - 60), start + 399), 1000 * batch + i,
+                 rng.random() < 0.05, rng.random() < 0.8, rng.random() < 0.03) for i in range(150)]
+        want, state = _loop(rows, state, 70)
+        done = ST.ttl_step(spark.createDataFrame(rows, schema).repartition(3), held, 70).checkpoint()
+        assert {r.event_id: r.outcome for r in done.collect()} == want
+        held = ST.next_anchors(done, held, 70).checkpoint()
+        latest = max([latest, *[r[1] for r in rows]])
+        got = {r.cache_key: (r.anchor, r.gone) for r in held.collect()}
+        assert got.pop(None) == (latest, None)
+        # A deleted anchor may stay in the table with its deletion: it answers nothing.
+        good = {k: a for k, (a, g) in state.items() if a is not None and a + 70 >= latest and (g is None or g < a)}
+        assert {k: a for k, (a, g) in got.items() if g is None or g < a} == good
+        assert all(a + 70 >= latest for a, _ in got.values())
+        state = {k: v for k, v in state.items() if v[0] is not None and v[0] + 70 >= latest}
 
-        def getCurrentWatermarkMs(self):
-            return 0
 
-    state, step = State(), _ttl_step(500)
-    rows = pd.DataFrame({"t": [900, 950, 1400], "id": [1, 2, 3], "forced": [False, True, False], "ok": True, "inv": False})
-    got = next(step(("k",), iter([rows]), state))
-    assert list(got["outcome"]) == ["HIT", "MISS", "HIT"] and state.get == (1000, None)
-    state.hasTimedOut = True
-    assert list(step(("k",), iter([]), state)) == [] and not state.exists
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+def test_live_snapshots_are_the_same_in_one_and_many_batches(spark):
+    from pyspark.sql import functions as F
+    from sitelens.operators import traffic as T
+    from sitelens.sources import driver as D
+    from sitelens.streaming import streams as ST
+    ev = D.read_table(spark, SF, "events")
+    days = [r.d for r in ev.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()][:6]
+    src = ST.scratch(spark, "live-src")
+    for d in days:
+        ev.where(F.to_date("ts") == d).coalesce(1).write.mode("append").parquet(src)
+    one, many = ({tuple(r) for r in ST.run_snapshots(spark, ST.request_stream(spark, src, max_files=n), ttl_seconds=36 * 3600).collect()} for n in (None, 1))
+    req = D.requests_table(spark, SF).where(F.to_date("ts").isin(days))
+    every = {(r.cache_key, r.norm_url, r.stored_event_id, r.stored_us) for r in T.snapshot_latest(req).collect()}
+    now = max(r.t for r in T.render_log(req).where("ok").collect())
+    assert one == many and 0 < len(one) < len(every) and one <= every
+    assert all((r in one) == (r[3] + 36 * 3600 * 10**6 >= now) or r[3] + 36 * 3600 * 10**6 < now + 10**9 for r in every)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -108,7 +144,7 @@ def test_stream_dedup_is_the_same_in_one_and_many_batches(spark):
     src = ST.scratch(spark, "dedup-src")
     for d in days:
         ev.where(F.to_date("ts") == d).coalesce(1).write.mode("append").parquet(src)
-    one, many = (ST.run_to_table(spark, ST.dedup_renders(ST.request_stream(spark, src, max_files=n)), "d") for n in (None, 1))
+    one, many = (ST.run_dedup(spark, ST.request_stream(spark, src, max_files=n)) for n in (None, 1))
     assert many.select("_batch").distinct().count() >= 2
     assert one.drop("_batch").exceptAll(many.drop("_batch")).count() == 0 == many.drop("_batch").exceptAll(one.drop("_batch")).count()
 
@@ -134,7 +170,7 @@ def test_rows_later_than_the_ttl_are_answered(spark):
     sent = [days[4], days[5], days[0]]
     for d in sent:
         ev.where(F.to_date("ts") == d).coalesce(1).write.mode("append").parquet(src)
-    out = ST.run_to_table(spark, ST.ttl_outcomes(ST.request_stream(spark, src, max_files=1)), "late")
+    out = ST.run_ttl(spark, ST.request_stream(spark, src, max_files=1))
     from sitelens.functions import columns as X
     want = D.requests_table(spark, SF).where(F.to_date("ts").isin(sent) & X.url_ok("url"))
     assert {r.event_id for r in out.collect()} == {r.event_id for r in want.collect()}
