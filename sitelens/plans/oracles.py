@@ -115,9 +115,9 @@ SELECT event_id, status, status IS NULL OR status >= 400 AS failed FROM requests
 
     "crawl_allowed": f"""SELECT page_id, CAST(len(l) AS INTEGER) AS n_links,
   CAST(len(list_filter(l, lambda x: NOT {starts_any('x', C.ROBOTS_DISALLOW)})) AS INTEGER) AS n_allowed
-FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""",
+FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM ({D.pages_sql()}))""",
 
-    "url_keys": f"""SELECT page_id, url, {norm_url('url')} AS norm_url, sha256({norm_url('url')}) AS cache_key FROM pages""",
+    "url_keys": f"""SELECT page_id, url, {norm_url('url')} AS norm_url, sha256({norm_url('url')}) AS cache_key FROM ({D.pages_sql()})""",
 
     "snapshot_latest": f"""WITH {requests_cte()}, {LOG_CTE},
 w AS (SELECT cache_key, CAST(count(*) AS BIGINT) AS writes, arg_max(norm_url, t) AS norm_url,
@@ -229,13 +229,13 @@ _F_SRC = flags_sql("content")
 HTML = {
     "html_metadata": "SELECT page_id, " + has_keyword("html") + " AS has_keywords, " + ", ".join(
         f"{has_keyword('html')} AND {_F[c]} AS {c}" for c in
-        ["sets_title", "sets_description", "sets_og_tags", "sets_canonical", "title_is_dynamic"]) + " FROM pages",
+        ["sets_title", "sets_description", "sets_og_tags", "sets_canonical", "title_is_dynamic"]) + f" FROM ({D.pages_sql()})",
     "html_counts": f"""SELECT page_id, CAST(length(html) AS INTEGER) AS html_chars,
   CAST({img_without_dims('html')} AS INTEGER) AS images_without_dimensions,
   CAST({count_matches('html', P.THIRD_PARTY_SCRIPT)} AS INTEGER) AS third_party_scripts,
-  CAST({count_matches('html', P.IMPORT_STMT)} AS INTEGER) AS import_statements FROM pages""",
+  CAST({count_matches('html', P.IMPORT_STMT)} AS INTEGER) AS import_statements FROM ({D.pages_sql()})""",
     "html_clean": f"""SELECT page_id, sha256(c) AS html_sha256, CAST(length(c) AS INTEGER) AS clean_chars
-FROM (SELECT page_id, {clean_sql('html')} AS c FROM pages)""",
+FROM (SELECT page_id, {clean_sql('html')} AS c FROM ({D.pages_sql()}))""",
 }
 
 
@@ -662,7 +662,7 @@ FROM walk w JOIN log l ON l.id = w.id GROUP BY 1""",
     "stream_ttl": TRAFFIC["ttl_hits"],
     "stream_snapshots": TRAFFIC["snapshot_latest"],
     "stream_live": f"""SELECT cache_key, norm_url, stored_event_id, stored_us FROM ({TRAFFIC['snapshot_latest']})
-WHERE stored_us + 6 * 3600 * 1000000 >= (SELECT max(epoch_us(ts)) FROM ({D.requests_sql()}) WHERE {URL_OK} AND (status < 400 OR event_type = 'purchase'))""",
+WHERE stored_us + CAST(6 AS BIGINT) * 3600 * 1000000 >= (SELECT max(epoch_us(ts)) FROM ({D.requests_sql()}) WHERE {URL_OK} AND (status < 400 OR event_type = 'purchase'))""",
     "stream_metrics": f"""WITH {requests_cte()}
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, CAST(count(*) AS BIGINT) AS requests,
        CAST(count_if({is_bot('user_agent')}) AS BIGINT) AS bot_requests

@@ -44,6 +44,7 @@ REQUEST_COLUMNS = [
     WHEN 3 THEN 'Screaming Frog SEO Spider/20.0'
     ELSE 'Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) Chrome/120.0.0.0 Safari/537.36' END AS user_agent""",
     """concat(CASE WHEN event_id % 97 = 0 THEN 'ftp' ELSE 'https' END, '://site', CAST(user_id % 20 AS STRING), '.example.com',
+    CASE WHEN event_id % 31 = 3 THEN '/v/google-analytics.com/collect.js' ELSE '' END,
     CASE event_id % 7 WHEN 0 THEN '/' WHEN 1 THEN '/about' WHEN 2 THEN '/api/items'
       WHEN 3 THEN '/_next/static/a.js' WHEN 4 THEN '/static/logo.PNG' WHEN 5 THEN '/product/7;v=2'
       ELSE '/docs/intro' END,
@@ -53,11 +54,32 @@ REQUEST_COLUMNS = [
     "event_type = 'error' AS forced",
 ]
 
+# ``pages`` as a browser leaves them: the given pages with the tags, trackers,
+# images and addresses that real ones have.
+PAGE_COLUMNS = [
+    "page_id",
+    """CASE page_id % 9 WHEN 1 THEN concat('https://shop.example.com/api/items/', CAST(page_id AS STRING))
+    WHEN 4 THEN concat('https://shop.example.com/admin/', CAST(page_id AS STRING)) ELSE url END AS url""",
+    """replace(replace(html, '</head>', concat(
+    CASE WHEN page_id % 2 = 0 THEN '<meta name="description" content="d">' ELSE '' END,
+    CASE WHEN page_id % 3 = 0 THEN '<meta property="og:title" content="t">' ELSE '' END,
+    CASE WHEN page_id % 5 = 0 THEN '<link rel="canonical" href="/x">' ELSE '' END,
+    CASE WHEN page_id % 4 = 1 THEN '<link rel="stylesheet" href="/static/a.css"><link rel="prefetch" href="/api/next">' ELSE '' END,
+    CASE WHEN page_id % 7 = 0 THEN '<title>{data.name}</title>' ELSE '' END,
+    CASE WHEN page_id % 4 = 0 THEN '<script async src="https://www.googletagmanager.com/gtag/js?id=1"></script>' ELSE '' END,
+    CASE WHEN page_id % 6 = 1 THEN '<script src="https://cdn.segment.com/a.js">load()</script>' ELSE '' END,
+    CASE WHEN page_id % 8 = 3 THEN '<SCRIPT src="https://widget.intercom.io/w"></SCRIPT><script src="/own.js"></script>' ELSE '' END, '</head>')),
+    '</body>', concat(CASE WHEN page_id % 3 = 1 THEN '<img src="/a.png">' ELSE '' END,
+    CASE WHEN page_id % 2 = 1 THEN '<IMG src="/b.png" width="2" height="2"><img alt="c">' ELSE '' END, '</body>',
+    CASE WHEN page_id % 5 = 2 THEN concat(chr(10), '//# sourceMappingURL=app.js.map', chr(10), 'import a from "b";', chr(10)) ELSE '' END)) AS html""",
+]
+
 # ``site_files`` over ``documents``: (distinct, where, select list) per branch.
 # ``{g}`` is the dialect token: DuckDB's regexp_replace needs ``'g'`` to
 # replace every match, Spark replaces every match by default.
 # ``N``: the project's number; its last digit picks the kind of project.
 N = "CAST(substr(source, 4) AS INT)"
+MINI = "doc_id % 20 = 7"
 SITE_FILE_BRANCHES = [
     (True, N + " % 10 <> 8", [
         "source AS project_id", "'package.json' AS path",
@@ -151,6 +173,22 @@ SITE_FILE_BRANCHES = [
         "concat('src/pages/Doc', CAST(doc_id AS STRING), CASE doc_id % 3 WHEN 0 THEN '.test.jsx' WHEN 1 THEN '.spec.jsx' ELSE '.stories.jsx' END) AS path",
         "'check();' AS content",
     ]),
+    # Small projects of three files: without metadata, with many imports for one
+    # route, with Open Graph tags only, with canonical links only.
+    (True, MINI, [
+        "concat('mini', CAST(doc_id AS STRING)) AS project_id", "'package.json' AS path",
+        """'{"dependencies":{"react":"18.2.0"}}' AS content""",
+    ]),
+    (True, MINI, [
+        "concat('mini', CAST(doc_id AS STRING)) AS project_id", "'src/index.jsx' AS path",
+        "concat('import App from ''./App'';', chr(10), 'mount(<App />);', chr(10)) AS content",
+    ]),
+    (True, MINI, [
+        "concat('mini', CAST(doc_id AS STRING)) AS project_id", "'src/App.jsx' AS path",
+        """concat(CASE WHEN doc_id % 80 = 7 THEN repeat(concat('import ''./m'';', chr(10)), 6) ELSE '' END,
+    'export default () => <>', CASE doc_id % 80 WHEN 47 THEN '<meta property="og:image" content="/i.png" />' WHEN 67 THEN '<link rel="canonical" href="/" />' ELSE '' END,
+    '<Route path="/" />', CASE WHEN doc_id % 80 = 27 THEN '<Route path="/more" element={<p>it''s</p>} />' ELSE '' END, '</>;', chr(10)) AS content""",
+    ]),
     (True, N + " % 2 = 0", [
         "source AS project_id", "'public/robots.txt' AS path", "'User-agent: *' AS content",
     ]),
@@ -202,5 +240,11 @@ def site_files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def pages_sql() -> str:
+    """The ``pages`` view as SQL (same text in Spark and DuckDB)."""
+    return "SELECT " + ",\n  ".join(PAGE_COLUMNS) + "\nFROM pages"
+
+
 def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "pages")
+    """``pages`` with the parts that the given ones lack."""
+    return read_table(spark, sf_dir, "pages").selectExpr(*PAGE_COLUMNS)
