@@ -15,7 +15,12 @@ Defined results: null and empty pages give an empty text.  Scripts, styles,
 templates and comments are never blocks.  Character references are decoded,
 white space inside a block becomes one space, blocks are joined by one.
 An unclosed tag at the end of a cut page is dropped; a cut reference stays as
-text.
+text.  Parsing and features are linear in the page, however deep its elements
+nest and whatever it leaves open; a worker holds ``BATCH_BLOCKS`` blocks or
+``BATCH_BYTES`` bytes of pages at a time, or one page, whose sequence is read
+in pieces.  Rows with equal ids, and columns of any name, are carried as they
+are; a column named like ``out`` is replaced.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import functools
 import html
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +44,8 @@ WIDTH = PATH + TEXT + DENSE
 SEED, PAGES, EPOCHS, RATE = 11, 1200, 12, 0.02
 # Blocks that one pass of the network holds at most, padding included.
 CELLS = 1 << 15
+# Blocks and bytes of the pages that a worker holds at a time.
+BATCH_BLOCKS, BATCH_BYTES = 1 << 15, 1 << 23
 
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp "
               "small span strike strong sub sup time tt u var wbr br".split())
@@ -65,26 +73,67 @@ def _slot(kind: str, word: str, size: int) -> int:
 
 
 @functools.lru_cache(maxsize=16384)
-def _path_slots(tag: str, marks: str) -> tuple[int, ...]:
+def _path_bits(tag: str, marks: str) -> int:
     words = {w for m in _ATTRIBUTE.findall(marks) for w in _WORD.findall(m.lower())}
-    return tuple({_slot("tag", tag, PATH), *(_slot("mark", w, PATH) for w in words)})
+    bits = 1 << _slot("tag", tag, PATH)
+    for w in words:
+        bits |= 1 << _slot("mark", w, PATH)
+    return bits
+
+
+class _Open:
+    """The open elements, outermost first.  Each holds the path bits of all
+    down to it; tags are counted, in all and since the last element that keeps
+    its content apart, so that no look-up walks the stack in vain."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.bits = [0]
+        self.count: dict[str, int] = {}
+        self.inside: list[dict[str, int]] = [{}]
+
+    def push(self, tag: str, marks: str) -> None:
+        self.tags.append(tag)
+        self.bits.append(self.bits[-1] | _path_bits(tag, marks))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if tag in _SCOPE:
+            self.inside.append({})
+        level = self.inside[-1]
+        level[tag] = level.get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self.bits.pop()
+        self.count[tag] -= 1
+        if tag in _SCOPE:
+            self.inside.pop()
+        else:
+            self.inside[-1][tag] -= 1
+        return tag
+
+    def close(self, tags: set[str]) -> None:
+        """Close open elements of these tags up to one that keeps apart."""
+        while any(self.inside[-1].get(t) for t in tags):
+            while self.pop() not in tags:
+                pass
 
 
-def blocks(page: str) -> list[tuple[tuple, str, int, int]]:
+def blocks(page: str) -> list[tuple[tuple[int, int], str, int, int]]:
     """(path, text, characters in links, inline tags) of each leaf block;
-    path: (tag, attributes) of the open elements, outermost first."""
+    path: the hashed tags and attributes of the open elements, their number."""
     out: list = []
-    stack: list[tuple[str, str]] = []
+    stack = _Open()
     text: list[str] = []
     linked = inline = 0
     in_link = 0
+    endless: set[str] = set()  # tags without an end in the rest of the page
 
     def flush():
         nonlocal linked, inline
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((tuple(stack), joined, linked, inline))
+                out.append(((stack.bits[-1], len(stack.tags)), joined, linked, inline))
             text.clear()
         linked = inline = 0
 
@@ -110,9 +159,9 @@ def blocks(page: str) -> list[tuple[tuple, str, int, int]]:
                 if tag == "a":
                     in_link = max(0, in_link - 1)
                 continue
-            if any(t == tag for t, _ in stack):
+            if stack.count.get(tag):
                 flush()
-                while stack.pop()[0] != tag:
+                while stack.pop() != tag:
                     pass
                 in_link = 0
             continue
@@ -120,10 +169,12 @@ def blocks(page: str) -> list[tuple[tuple, str, int, int]]:
             flush()
             if marks.rstrip().endswith("/") and tag not in _CODE:
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not end:
+                endless.add(tag)
             if tag not in _SKIP and end:
                 text.append(page[at:end.start()])
-                stack.append((tag, marks))
+                stack.push(tag, marks)
                 flush()
                 stack.pop()
             at = end.end() if end else len(page) if tag in _CODE else at
@@ -137,25 +188,20 @@ def blocks(page: str) -> list[tuple[tuple, str, int, int]]:
             continue
         flush()
         in_link = 0
-        closes = _CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in closes:
-                del stack[i:]
-            elif stack[i][0] in _SCOPE:
-                break
+        stack.close(_CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set()))
         if tag not in _VOID and not marks.rstrip().endswith("/"):
-            stack.append((tag, marks))
+            stack.push(tag, marks)
     flush()
     return out
 
 
-def features(found: list) -> np.ndarray:
-    """A row for each block."""
-    x = np.zeros((len(found), WIDTH))
-    for i, (path, text, linked, inline) in enumerate(found):
-        for tag, marks in path:
-            for s in _path_slots(tag, marks):
-                x[i, s] = 1
+def features(found: list, first: int = 0, last: int | None = None) -> np.ndarray:
+    """A row for each block from ``first`` to before ``last`` of a page's."""
+    part = found[first:last]
+    x = np.zeros((len(part), WIDTH))
+    paths = b"".join(path[0].to_bytes(PATH // 8, "little") for path, *_ in part)
+    x[:, :PATH] = np.unpackbits(np.frombuffer(paths, np.uint8).reshape(-1, PATH // 8), axis=1, bitorder="little")
+    for i, (path, text, linked, inline) in enumerate(part):
         words = text.split()
         for w in words:
             x[i, PATH + _slot("word", w.lower().strip(".,;:!?"), TEXT)] += 1
@@ -163,7 +209,7 @@ def features(found: list) -> np.ndarray:
         n = len(text)
         ends, digits = sum(map(text.count, ".!?")), sum(map(text.count, "0123456789"))
         x[i, PATH + TEXT:] = (np.log1p(n) / 6, np.log1p(len(words)) / 5, min(linked / n, 1), min(inline / len(words), 1),
-                              ends / n * 10, text[-1] in ".!?\"", len(path) / 10, i / len(found),
+                              ends / n * 10, text[-1] in ".!?\"", path[1] / 10, (first + i) / len(found),
                               text[0].isupper(), "©" in text, digits / n, 1)
     return x
 
@@ -231,9 +277,10 @@ class Labeller:
             grads |= {"x" + d: gx, "h" + d: gh, "o" + d: go}
         return grads
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Article or not, for every block of every page; pages of similar
-        length go through together."""
+    def label(self, pages: list[list]) -> list[np.ndarray]:
+        """Article or not, for every block (of ``blocks``) of every page; pages
+        of similar length go through together, a page of more than ``CELLS``
+        blocks by itself."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
         at = 0
@@ -242,13 +289,40 @@ class Labeller:
             while end < len(order) and len(pages[order[end]]) * (end + 1 - at) <= CELLS:
                 end += 1
             part = order[at:end]
-            x, mask = _pad([pages[i] for i in part])
-            s = self.forward(x, mask)[0]
-            for k, i in enumerate(part):
-                out[i] = s[:len(pages[i]), k] >= 0
+            if len(pages[part[0]]) > CELLS:
+                out[part[0]] = self._long(pages[part[0]]) >= 0
+            else:
+                x, mask = _pad([features(pages[i]) for i in part])
+                s = self.forward(x, mask)[0]
+                for k, i in enumerate(part):
+                    out[i] = s[:len(pages[i]), k] >= 0
             at = end
         return out
 
+    def _long(self, found: list, step: int = CELLS // 4) -> np.ndarray:
+        """Scores of one page's blocks, ``step`` of them in memory at a time:
+        each direction carries its state from piece to piece."""
+        scores = np.zeros(len(found))
+        pieces = [(a, min(a + step, len(found))) for a in range(0, len(found), step)]
+        for d, part, turn in (("f", slice(0, HIDDEN), 1), ("b", slice(HIDDEN, None), -1)):
+            # sigmoid(x) = (1 + tanh(x / 2)) / 2: one tanh serves gates and input.
+            half = np.concatenate([np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)])
+            u, h, c = self.w["h" + d] * half, np.zeros(HIDDEN), np.zeros(HIDDEN)
+            for a, b in pieces[::turn]:
+                x = features(found, a, b)
+                pre = (x @ self.w["x" + d] + self.w["o" + d]) * half
+                states = np.empty((b - a, HIDDEN))
+                for t in range(b - a)[::turn]:
+                    z = np.tanh(pre[t] + h @ u)
+                    gates = (z[:3 * HIDDEN] + 1) * 0.5
+                    c = gates[:HIDDEN] * c + gates[HIDDEN:2 * HIDDEN] * z[3 * HIDDEN:]
+                    h = gates[2 * HIDDEN:] * np.tanh(c)
+                    states[t] = h
+                scores[a:b] += states @ self.w["out"][part]
+                if d == "f":
+                    scores[a:b] += x @ self.w["skip"] + self.w["bias"][0]
+        return scores
+
 
 def _pad(pages):
     steps = max(map(len, pages))
@@ -463,10 +537,22 @@ def trained(seed: int = SEED, pages: int = PAGES, epochs: int = EPOCHS) -> Label
 
 def extract(page: str | None, model: Labeller) -> str:
     found = blocks(page or "")
-    return " ".join(b[1] for b, k in zip(found, model.label([features(found)])[0]) if k) if found else ""
+    return " ".join(b[1] for b, k in zip(found, model.label([found])[0]) if k)
+
+
+def _together(texts: pa.Array, model: Labeller) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts of the articles) for runs of pages that fit a worker."""
+    first, found, held, size = 0, [], 0, 0
+    for i, t in enumerate(texts):
+        page = t.as_py() or ""
+        found.append(blocks(page))
+        held, size = held + len(found[-1]), size + len(page)
+        if held >= BATCH_BLOCKS or size >= BATCH_BYTES or i + 1 == len(texts):
+            yield first, [" ".join(b[1] for b, k in zip(f, ks) if k) for f, ks in zip(found, model.label(found))]
+            first, found, held, size = i + 1, [], 0, 0
 
 
-def extract_text(pages: DataFrame, html_col: str = "html", out: str = "text", at_once: int = 512,
+def extract_text(pages: DataFrame, html_col: str = "html", out: str = "text",
                  carry: tuple[str, ...] | None = None) -> DataFrame:
     """``pages`` (or their ``carry`` columns) with each one's main text as
     ``out``; a column of that name is replaced."""
@@ -479,11 +565,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", out: str = "text", at
         model.w = shared.value
         for batch in batches:
             rows, texts = batch.column(batch.schema.get_field_index("row")), batch.column(batch.schema.get_field_index("text"))
-            for at in range(0, batch.num_rows, at_once):
-                found = [blocks(x or "") for x in texts.slice(at, at_once).to_pylist()]
-                keep = model.label([features(f) for f in found])
-                done = [" ".join(b[1] for b, k in zip(f, ks) if k) for f, ks in zip(found, keep)]
-                yield pa.RecordBatch.from_arrays([rows.slice(at, at_once), pa.array(done, pa.string())], names=["row", "text"])
+            for at, done in _together(texts, model):
+                yield pa.RecordBatch.from_arrays([rows.slice(at, len(done)), pa.array(done, pa.string())], names=["row", "text"])
         release()
 
     return unpacked(base.mapInArrow(run, T.StructType([base.schema["row"], T.StructField("text", T.StringType())])), "text", out)

@@ -253,14 +253,14 @@ def test_html(spark):
     for _ in range(60):
         made, truth = html_blocks.make_page(rng)
         found = html_blocks.blocks(made)
-        right += int((model.label([html_blocks.features(found)])[0] == np.array(truth)).sum()) if found else 0
+        right += int((model.label([found])[0] == np.array(truth)).sum()) if found else 0
         total += len(truth)
     assert right / total > 0.95
 
 
 def test_html_features_read_all_words_and_elements_end_at_their_tag():
     lead = " ".join(f"w{i}" for i in range(24))
-    a, b = (html_blocks.features([((), f"{lead} {tail}", 0, 0)])[0] for tail in ("alpha beta gamma delta", "one two three four"))
+    a, b = (html_blocks.features([((0, 0), f"{lead} {tail}", 0, 0)])[0] for tail in ("alpha beta gamma delta", "one two three four"))
     words = slice(html_blocks.PATH, html_blocks.PATH + html_blocks.TEXT)
     assert (a[words] != b[words]).any() and a[words].sum() == pytest.approx(1)
     page = '<p>one</p><svg width="1"/><p>two</p><iframe src="x"><p>three</p><object><p>four</p></object><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><svg><text>no</text></svg><script>var a'
