@@ -7,14 +7,18 @@ repeats, and by hashed words; a small network encodes it, a gated attention
 sum is scored.  Scoring reads whole texts, passage by passage, where the
 documents are; only the trained weights are broadcast (a few thousand numbers).
 
-Training runs on the driver on a bounded sample: ``SAMPLE`` labelled rows by
-a hash of their id, with ``BAG`` passages each at most, spread evenly.  Rows
-whose crc32(id as text) mod 3 is 1 are never learned from.
+Training runs on the driver on a bounded sample of rows: ``SAMPLE`` labelled
+rows by a hash of their id, those of them that together hold ``SAMPLE_BYTES``
+of text, each with every passage of its whole text.  Rows whose crc32(id as
+text) mod 3 is 1 are never learned from.
 
 Defined results: null and blank texts are bags without passages; they get the
 score of an empty representation.  Labels that are null or neither 0 nor 1
 are not learned from; without two classes every score is the share of label 1
-(0.5 without labels).  Labelled rows that repeat an id count once.
+(0.5 without labels).  Of labels that repeat an id the smaller counts, of texts
+the first in byte order, so the model is the same whatever the order of rows.
+Columns of any name are carried as they are; one named like ``out`` is
+replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +26,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.llm import textops as X
-from sitelens.llm.common import column, packed, session, slices, unpacked
+from sitelens.llm.common import column, cut, packed, session, slices, unpacked
 
-PASSAGE, SAMPLE, BAG = 64, 6000, 32
+PASSAGE, SAMPLE, SAMPLE_BYTES = 64, 6000, 1 << 25
 HASHED, HIDDEN, ATTENTION, STEPS, RATE, DECAY = 48, 24, 16, 400, 0.02, 1e-4
 SEED = 7
 
@@ -154,15 +158,11 @@ class Attention:
 
 
 def _bags(batches):
-    """Features of BAG passages at most of each sampled text."""
+    """Features of every passage of each sampled text."""
     for part, texts in slices(batches):
         x, text = passages(texts)
-        rows = []
-        for i in range(len(texts)):
-            own = np.flatnonzero(text == i)
-            if len(own) > BAG:
-                own = own[np.linspace(0, len(own) - 1, BAG).astype(int)]
-            rows.append(x[own].astype(np.float64).tobytes())
+        first = np.searchsorted(text, np.arange(len(texts) + 1))
+        rows = [x[i:j].astype(np.float64).tobytes() for i, j in zip(first, first[1:])]
         yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "y": part.column(1), "x": pa.array(rows, pa.binary())})
 
 
@@ -171,7 +171,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-          sample: int = SAMPLE, seed: int = SEED) -> Attention:
+          sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = SEED) -> Attention:
     """A model of ``label_col`` from rows that are not held out."""
     session(docs)
     y = labels.select(column(labels, id_col, "doc_id", "bigint"), F.col(f"`{label_col}`").cast("int").alias("y"))
@@ -180,8 +180,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     # Labels come first and are few: the sample is drawn before texts are joined.
     drawn = y.join(base.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # ``sample`` rows of two numbers: small enough to broadcast by construction.
-    got = (base.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text").mapInArrow(_bags, "doc_id long, y int, x binary")
-           .dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id"))
+    rows = cut(base.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+               .withColumn("order", F.struct(F.xxhash64("doc_id"), "doc_id")))
+    # A running sum over ``sample`` sizes at most, on one task.
+    upto = F.sum(F.coalesce("size", F.lit(0))).over(Window.orderBy("order"))
+    fit = rows.select("doc_id", "order", F.octet_length("text").cast("long").alias("size")).select("doc_id", upto.alias("upto")).where(F.col("upto") <= sample_bytes)
+    got = (rows.join(F.broadcast(fit.select("doc_id")), "doc_id").select("doc_id", "y", "text").mapInArrow(_bags, "doc_id long, y int, x binary")
+           .toPandas().sort_values("doc_id"))
     model = Attention(np.random.default_rng(seed), FEATURES)
     target = got["y"].to_numpy(np.float64)
     if len(set(target)) < 2:
