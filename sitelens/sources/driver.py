@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -230,14 +231,18 @@ def site_files_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``site_files`` derived from ``documents`` (some three files per document and
     ten per project)."""
     docs = read_table(spark, sf_dir, "documents")
-    out = None
-    for distinct, where, cols in SITE_FILE_BRANCHES:
-        part = docs.where(where) if where else docs
-        part = part.selectExpr(*[c.replace("{g}", _g("spark")) for c in cols])
-        if distinct:
-            part = part.distinct()
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def rows(distinct: bool) -> DataFrame:
+        """All branches of a kind in one scan: a document's files as an array."""
+        files = []
+        for kind, where, cols in SITE_FILE_BRANCHES:
+            if kind == distinct:
+                fields = F.struct(*[F.expr(c.replace("{g}", _g("spark"))) for c in cols])
+                files.append(F.when(F.expr(where), fields) if where else fields)
+        found = docs.select(F.explode(F.array_compact(F.array(*files))).alias("f")).select("f.*")
+        return found.distinct() if distinct else found
+
+    return rows(False).unionByName(rows(True))
 
 
 def pages_sql() -> str:
