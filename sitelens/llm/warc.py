@@ -9,14 +9,16 @@ replicas line up even where one lacks a record.
 
 The audit compares the two roots and descends: at each level only the
 children of nodes that differ are compared, first across files by joins, then
-down the levels of each file.  Equal replicas cost one comparison,
-and a few bad records cost a few branches.
+down the levels of each file.  The leaf ranges of both replicas are
+checkpointed, so records are read and hashed once: equal replicas end at their
+roots, and a few bad records open a few ranges.
 
 Defined results: a record that one replica lacks is ``missing`` or ``extra``;
 one that differs is ``corrupt``.  Rows with a null file or offset have no
 place in a tree and are left out by ``leaves``; a null record counts as empty.  Repeated
 rows (same file and offset) are one place that holds several records; the
-place is ``corrupt`` if the two replicas' lists differ.
+place is ``corrupt`` if the two replicas' lists differ.  Columns other than those
+named are not read, whatever their names.  An empty replica lacks every record.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from sitelens.llm.common import cut, session
 
 RANGE, FANOUT, FILE_LEVELS, NAMES = 1 << 18, 16, 4, 256
 PLACE = ["file", "offset"]
+FOUND = "file string, offset long, kind string, length_a long, length_b long, digest_a string, digest_b string"
 
 
 def record(uri: Column, payload: Column) -> Column:
@@ -87,29 +90,30 @@ def _hash(nodes: Column) -> Column:
     return F.sha2(F.to_json(nodes), 256)
 
 
-def _up(nodes: Column) -> Column:
-    """The next level of a file's ordered nodes."""
-    parent = lambda x: F.floor(x["node"] / FANOUT)
-    return F.transform(F.array_distinct(F.transform(nodes, parent)), lambda p: F.struct(
-        p.alias("node"), _hash(F.filter(nodes, lambda x: parent(x) == p)).alias("hash")))
+def ranges(found: DataFrame) -> DataFrame:
+    """(file, node, hash, places): each leaf range with what starts in it, in
+    order.  ``found`` is as ``leaves`` gives it; a range is bounded in bytes."""
+    return (found.groupBy("file", F.floor(F.col("offset") / RANGE).alias("node"))
+            .agg(F.array_sort(F.collect_list(F.struct("offset", "length", "digest"))).alias("places"))
+            .withColumn("hash", _hash(F.col("places"))))
 
 
-def file_trees(found: DataFrame) -> DataFrame:
-    """(file, name, hash, l0, l1, ...): each file's ordered ranges with their
-    hashes, the levels above, and its root.  ``found`` is as ``leaves`` gives
-    it; what one row holds is bounded by the size of a file."""
-    ranges = found.groupBy("file", F.floor(F.col("offset") / RANGE).alias("node")).agg(
-        _hash(F.array_sort(F.collect_list(F.struct("offset", "length", "digest")))).alias("hash"))
-    out = ranges.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("l0"))
-    for k in range(1, FILE_LEVELS):
-        out = out.withColumn(f"l{k}", _up(F.col(f"l{k - 1}")))
-    name = F.pmod(F.xxhash64("file"), F.lit(NAMES ** 2)).cast("long")
-    return out.withColumn("hash", _hash(F.col(f"l{FILE_LEVELS - 1}"))).withColumn("name", name)
+def file_levels(leaf_ranges: DataFrame) -> list[DataFrame]:
+    """(file, node, hash) of the leaf ranges, of the levels above them, and of
+    the files (node 0): every node is hashed over its children alone."""
+    listed = F.array_sort(F.collect_list(F.struct("node", "hash")))
+    out = [cut(leaf_ranges.select("file", "node", "hash"))]
+    for k in range(FILE_LEVELS):
+        up = F.floor(F.col("node") / FANOUT) if k + 1 < FILE_LEVELS else F.lit(0).cast("long")
+        out.append(out[-1].groupBy("file", up.alias("up")).agg(_hash(listed).alias("hash"))
+                   .select("file", F.col("up").alias("node"), "hash"))
+    return out
 
 
-def name_tree(files: DataFrame) -> list[DataFrame]:
-    """Levels of (node, hash) above the files: by name key, by NAMES keys, root."""
-    levels = [files.groupBy(F.col("name").alias("node")).agg(_hash(F.array_sort(F.collect_list(F.struct("file", "hash")))).alias("hash"))]
+def name_levels(files: DataFrame) -> list[DataFrame]:
+    """(node, hash) above the files: by name key, by NAMES keys, root."""
+    key = F.pmod(F.xxhash64("file"), F.lit(NAMES ** 2)).cast("long")
+    levels = [files.groupBy(key.alias("node")).agg(_hash(F.array_sort(F.collect_list(F.struct("file", "hash")))).alias("hash"))]
     for _ in range(2):
         listed = F.array_sort(F.collect_list(F.struct("node", "hash")))
         levels.append(levels[-1].groupBy(F.floor(F.col("node") / NAMES).alias("up")).agg(_hash(listed).alias("hash"))
@@ -125,40 +129,39 @@ def _differ(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFram
 def audit(one: DataFrame, other: DataFrame) -> DataFrame:
     """Where two replicas, as ``leaves`` gives them, differ: file, offset,
     kind, length_a, length_b, digest_a, digest_b (lists joined by a comma
-    where a place holds several records)."""
-    a, b = cut(file_trees(one)), cut(file_trees(other))
-    names_a, names_b = ([cut(x) for x in name_tree(t)] for t in (a, b))
+    where a place holds several records).
+
+    Each replica is read once, for its leaf ranges; these are kept, and only
+    the differing ones are opened again."""
+    kept = [cut(ranges(x)) for x in (one, other)]
+    levels = [file_levels(x) for x in kept]
+    names = [[cut(x) for x in name_levels(t[-1])] for t in levels]
     bad = None
-    for x, y in zip(reversed(names_a), reversed(names_b)):
+    for x, y in zip(*(reversed(t) for t in names)):
         if bad is not None:
             up = bad.withColumnRenamed("node", "up")
             x, y = (t.join(up, F.floor(t["node"] / NAMES) == up["up"], "left_semi") for t in (x, y))
         bad = cut(_differ(x, y, ["node"], "hash"))
-        if not bad.limit(1).count():
-            break
+        if bad.isEmpty():
+            return one.sparkSession.createDataFrame([], FOUND)
     # Files under differing names, then down each file's levels.
     under = bad.withColumnRenamed("node", "name")
-    levels = [f"l{k}" for k in range(FILE_LEVELS)]
-    x, y = (t.join(under, "name", "left_semi").select("file", F.col("hash").alias(f"hash_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in levels])
-            for t, s in ((a, "a"), (b, "b")))
-    both = x.join(y, "file", "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
-    nothing = F.array().cast("array<struct<node:bigint,hash:string>>")
-    bad_nodes = None
-    for c in reversed(levels):
-        p, q = (F.coalesce(F.col(f"{c}_{s}"), nothing) for s in "ab")
-        if bad_nodes is not None:
-            p, q = (F.filter(v, lambda n: F.array_contains(F.col("bad"), F.floor(n["node"] / FANOUT))) for v in (p, q))
-        bad_nodes = F.array_distinct(F.transform(F.concat(F.array_except(p, q), F.array_except(q, p)), lambda n: n["node"]))
-        both = both.withColumn("bad", bad_nodes)
-    ranges = both.select("file", F.explode("bad").alias("node"))
+    key = F.pmod(F.xxhash64("file"), F.lit(NAMES ** 2)).cast("long")
+    inside = [t[-1].join(under, key == under["name"], "left_semi") for t in levels]
+    bad = cut(_differ(*inside, ["file", "node"], "hash"))
+    for k in reversed(range(FILE_LEVELS)):
+        up = F.floor(F.col("node") / FANOUT) if k + 1 < FILE_LEVELS else F.lit(0).cast("long")
+        above = bad.withColumnRenamed("node", "up")
+        inside = [t[k].withColumn("up", up).join(above, ["file", "up"], "left_semi") for t in levels]
+        bad = cut(_differ(*inside, ["file", "node"], "hash"))
 
     def records(x, suffix):
-        inside = x.withColumn("node", F.floor(F.col("offset") / RANGE)).join(ranges, ["file", "node"], "left_semi")
         listed = F.array_sort(F.collect_list(F.struct("length", "digest")))
-        return (inside.groupBy(*PLACE).agg(F.sum("length").alias(f"length_{suffix}"), listed.alias("all"))
+        return (x.join(bad, ["file", "node"], "left_semi").select("file", F.explode("places").alias("p")).select("file", "p.*")
+                .groupBy(*PLACE).agg(F.sum("length").alias(f"length_{suffix}"), listed.alias("all"))
                 .select(*PLACE, f"length_{suffix}", F.array_join(F.col("all.digest"), ",").alias(f"digest_{suffix}")))
 
-    both = records(one, "a").join(records(other, "b"), PLACE, "full")
+    both = records(kept[0], "a").join(records(kept[1], "b"), PLACE, "full")
     kind = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("corrupt")
     return both.where(~F.col("digest_a").eqNullSafe(F.col("digest_b"))).select(
         *PLACE, kind.alias("kind"), "length_a", "length_b", "digest_a", "digest_b")
