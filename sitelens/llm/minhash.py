@@ -9,9 +9,9 @@
 2. Texts with equal keys collapse to one node: copies are never paired.
 3. Bands of ``ROWS`` registers are hashed.  Within a band bucket nodes are
    compared with the bucket's first node only.  Where the nodes that share a
-   first node then fall into several components, pairs across components are
-   compared in blocks, in the tasks: every colliding pair is compared or
-   already connected, and no bucket emits its pairs.
+   first node then fall into several components, those outside the largest are
+   compared with all others in blocks, in the tasks: every colliding pair is
+   compared or already connected, and no bucket emits its pairs.
 4. Pairs whose register agreement, corrected for accidental collisions, is
    clearly below the threshold are dropped; the rest is decided on full sets.
 5. Links are unioned by ``graph.components``.
@@ -25,7 +25,8 @@ A-Z lower-cased.  Under ``shingle`` words the whole sequence is the one
 shingle; null, empty and blank texts have an empty set and link with nothing.
 A row with a null id takes part, but its id is never the smallest.  Rows that
 repeat an id are the same document: with equal texts they are kept or dropped
-together.
+together.  Columns other than the two named are not read, whatever their names.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ REGISTERS = BANDS * ROWS
 ZERO_BITS, MANTISSA_BITS = 4, 4
 MARGIN = 6  # standard deviations of the estimate below the threshold
 CHUNK = 1024  # nodes of a star on either side of a block
+TARGET, STRANGER, LEAD = 0, 1, 2
 BROADCAST_ROWS = 100_000
 U = X.U
 
@@ -280,25 +282,43 @@ def _estimated(nodes: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
                .mapInArrow(_likely(threshold), "a long, b long, n_a long, n_b long"))
 
 
-def _across(base: DataFrame, nodes: DataFrame, pairs: DataFrame, labels: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
-    """Links between components among the nodes that share a first node.
+def _blocks(pairs: DataFrame, labels: DataFrame, chunk: int) -> DataFrame:
+    """(a, block, against, role, node, component): who is compared with whom.
 
     Nodes that collide have the first node of their bucket in common, so all
-    colliding pairs meet here.  A star is compared in blocks of ``CHUNK`` by
-    ``CHUNK`` nodes, where the blocks are, and only links become rows.
+    colliding pairs meet in its star.  In a star of several components the
+    members of the largest need no look among themselves: only the others, the
+    strangers, lead, and everyone is a target.  Targets lie in one block of
+    ``chunk`` for each ``chunk`` strangers, strangers are copied to each block of
+    targets; one stranger among m members makes about m rows.
+    Roles: ``TARGET``, ``STRANGER`` (a target that leads elsewhere), ``LEAD``.
     """
     told = (pairs.select("a", F.col("b").alias("node")).unionByName(pairs.select("a", F.col("a").alias("node")).distinct())
             .join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    mixed = (told.groupBy("a").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members"))
-             .where("least <> most AND members > 2").select("a", "members"))
-    told = cut(told.join(mixed, "a"))
-    if not told.limit(1).count():
+    mixed = (told.groupBy("a", "component").agg(F.count("*").alias("size"))
+             .groupBy("a").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("members"))
+             .where("members > top.size AND members > 2"))
+    strange = F.col("component") != F.col("top.component")
+    blocks = F.ceil(F.col("members") / chunk).cast("int")
+    againsts = F.ceil((F.col("members") - F.col("top.size")) / chunk).cast("int")
+    told = cut(told.join(mixed, "a").select(
+        "a", "node", "component", strange.alias("strange"), blocks.alias("blocks"), againsts.alias("againsts"),
+        F.pmod(F.hash("node"), blocks).alias("block"), F.pmod(F.hash("node", F.lit(1)), againsts).alias("against")))
+    targets = told.select("a", "block", F.explode(F.sequence(F.lit(0), F.col("againsts") - 1)).alias("against"),
+                          F.when(F.col("strange"), STRANGER).otherwise(TARGET).alias("role"), "node", "component")
+    leads = told.where("strange").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "against",
+                                         F.lit(LEAD).alias("role"), "node", "component")
+    return targets.unionByName(leads)
+
+
+def _across(base: DataFrame, nodes: DataFrame, pairs: DataFrame, labels: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
+    """Links between components among the nodes that share a first node,
+    compared in the tasks; only links become rows."""
+    told = cut(_blocks(pairs, labels, CHUNK))
+    if told.isEmpty():
         return None
-    k = F.ceil(F.col("members") / CHUNK).cast("int")
-    told = (told.withColumn("chunk", F.pmod(F.hash("node"), k)).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
-            .select("a", "node", "component", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")))
     cells = told.join(nodes.select("node", "n", "sketch"), "node").join(_sets_of(base, nodes, told.select("node").distinct(), shingle), "node")
-    return cut(cells.groupBy("a", "low", "high").applyInPandas(_compare(threshold), "a long, b long"))
+    return cut(cells.groupBy("a", "block", "against").applyInPandas(_compare(threshold), "a long, b long"))
 
 
 def _compare(threshold: int):
@@ -307,7 +327,7 @@ def _compare(threshold: int):
 
     @frees
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, n, of, chunk = (pdf[c].to_numpy() for c in ("node", "n", "component", "chunk"))
+        node, n, of, role = (pdf[c].to_numpy() for c in ("node", "n", "component", "role"))
         regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, REGISTERS)
         sets = [np.asarray(x, np.int64).view(U) for x in pdf["shingles"]]  # sorted as unsigned
         parent = {int(c): int(c) for c in of}
@@ -317,15 +337,11 @@ def _compare(threshold: int):
                 parent[c] = c = parent[parent[c]]
             return c
 
-        names, counts = np.unique(of, return_counts=True)
-        largest = of == names[counts.argmax()]
-        across = len(set(chunk.tolist())) > 1
         links = []
-        # Pairs within the largest component need no look, so its nodes never lead.
-        for i in np.flatnonzero(~largest):
-            ok = (of != of[i]) & (largest | (node > node[i])) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]))
-            if across:
-                ok &= chunk != chunk[i]
+        for i in np.flatnonzero(role == LEAD):
+            # Two strangers lead against each other in two blocks; one look is enough.
+            ok = (role == TARGET) | ((role == STRANGER) & (node > node[i]))
+            ok &= (of != of[i]) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]))
             ok = np.flatnonzero(ok)
             if not len(ok):
                 continue
