@@ -156,6 +156,22 @@ def test_bundle_texts_and_tokens(spark, audit, tmp_path):
     assert text.index("## Project") < text.index("## Files") < text.index("### `index.jsx`") and "**Type:** CLIENT" in text
 
 
+def test_pages_of_every_part_are_dealt_in_cells(spark):
+    from sitelens.plans.reports import repeated
+    parts = spark.createDataFrame([(p, i, 9) for p, n in (("big", 40), ("one", 1), ("bare", 3), (None, 2)) for i in range(1, n + 1)],
+                                  "project_id string, part_number long, total_parts long")
+    pages = spark.createDataFrame([(p, i, f"{p}{i}") for p, n in (("big", 30), ("one", 2), ("other", 1), (None, 1)) for i in range(1, n + 1)]
+                                  + [("big", 7, "again")], "project_id string, place long, text string")
+    columns = ["project_id", "part_number", "total_parts", "place", "text"]
+    want = rows(parts.join(pages, "project_id"), *columns)
+    assert len(want) == 40 * 31 + 2
+    for cell in ((4, 3), (4096, 256)):
+        assert rows(repeated(parts, pages, *cell), *columns) == want
+    # A cell is bounded: the largest project is spread over the tasks.
+    shares = [r["count"] for r in repeated(parts, pages, 4, 3).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) < len(want) / 2
+
+
 def test_context_pages_cut_long_lines(spark):
     from sitelens.plans.context import context_pages
     rows = [("p", 0, i, [], x) for i, x in enumerate(["é" * 30 + "\n", "", "ab\n", "x" * 41, "日本" * 9])]
