@@ -21,9 +21,9 @@ def detect_metadata(sources: DataFrame) -> DataFrame:
     files = with_syntax(sources.where(has_metadata_keyword(c))).select(
         "project_id", "path", "content", F.col("syntax.imports").alias("imp_m"),
         matches(c, P.HELMET_BLOCK, "</helmet>").alias("blk_m"), matches(c, P.TITLE, "</title>").alias("ttl_m"))
-    files = files.withColumn("doc_lines", F.filter(
+    files = files.withColumn("doc_lines", F.when(c.contains("document.title"), F.filter(
         F.transform(splitlines(c), lambda ln, i: F.when(ln.contains("document.title"), i + 1)),
-        lambda x: x.isNotNull()))
+        lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>")))
     files = with_metadata_flags(files, "content")
     imports = F.transform(F.col("imp_m"),
                           lambda x, i: F.struct(i.alias("i"), x["line"].alias("line"), x["source"].alias("src")))

@@ -154,7 +154,8 @@ def name_maps(sources: DataFrame, all_paths: DataFrame) -> tuple[DataFrame, Data
     """Per file: lazy map (name → file) and import map (identifier → file).
     Later entries win; entries whose import does not resolve are skipped."""
     c = F.col("content")
-    lazy = (sources.select("project_id", F.col("path").alias("file"),
+    lazy = (sources.where(c.contains("lazy"))
+            .select("project_id", F.col("path").alias("file"),
                            F.posexplode(F.arrays_zip(
                                F.regexp_extract_all(c, F.lit(P.LAZY_ASSIGN), 1).alias("name"),
                                F.regexp_extract_all(c, F.lit(P.LAZY_ASSIGN), 2).alias("source"))))
@@ -199,7 +200,7 @@ def route_candidates(sources: DataFrame) -> DataFrame:
         guard.alias("guard"), F.col("syntax.routes").alias("jsx"),
         F.regexp_extract_all(c, F.lit(P.LAZY_DECL), 1).alias("lazy_names"),
         (c.contains("React.lazy(") | c.contains("lazy(() => import(")).alias("any_lazy"))
-    base = base.withColumn("cfg_m", matches(c, P.CONFIG_ROUTE)).withColumn("fb_m", matches(c, P.ROUTE_PATH_FALLBACK)).drop("content")
+    base = base.withColumn("cfg_m", matches(F.when(F.col("guard"), c), P.CONFIG_ROUTE)).withColumn("fb_m", matches(c, P.ROUTE_PATH_FALLBACK)).drop("content")
     base = base.checkpoint(eager=True)  # one scan feeds three extractors
     keep = ["project_id", "file", "is_router", "lazy_names", "any_lazy"]
 
@@ -270,7 +271,7 @@ def map_routes(site_files: DataFrame, sources: DataFrame | None = None,
         F.col("line").alias("line_number"), "o")
     # A project without routes gets the catch-all default.
     ok = status.where(F.col("status") == "ok").select("project_id")
-    default = (ok.join(routes.select("project_id"), "project_id", "left_anti")
+    default = (ok.join(first.select("project_id").distinct(), "project_id", "left_anti")
                .select("project_id", F.lit("/*").alias("path"),
                        F.lit(None).cast("string").alias("component_file"),
                        F.lit(True).alias("is_dynamic"), F.lit(False).alias("is_lazy"),

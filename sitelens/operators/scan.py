@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from sitelens.functions import constants as C
 from sitelens.functions import jsx
 
+# A project with more than one in so many of all files is joined without an
+# exchange; there are fewer of them than that, however many projects there are.
+LARGE_PROJECTS = 1000
+
 MANIFEST_SCHEMA = ("dependencies map<string,string>, devDependencies map<string,string>, "
                    "scripts map<string,string>, _corrupt_record string")
 
@@ -81,17 +85,22 @@ def source_files(site_files: DataFrame, status: DataFrame | None = None) -> Data
 
     The search root is ``src/`` when the project has one.  That is a
     per-project aggregate (partial aggregation, one row per project) joined
-    back, not a window over a possibly huge project.
+    back, not a window over a possibly huge project.  Texts of a large project
+    stay where they are: dealt by project they would meet in one task, and in
+    one partition of all that is built on them.
     """
     if status is None:
         status = project_status(site_files)
     roots = (site_files.groupBy("project_id")
-             .agg(F.max(F.col("path").startswith("src/")).alias("has_src"))
+             .agg(F.max(F.col("path").startswith("src/")).alias("has_src"), F.count(F.lit(1)).alias("n"))
              .join(status.where(F.col("status") == "ok"), "project_id")
-             .select("project_id", "has_src"))
+             .select("project_id", "has_src", "n").checkpoint(eager=True))
+    large = F.col("n") * LARGE_PROJECTS > roots.agg(F.sum("n")).scalar()
     path = F.col("path")
     files = site_files.where(~is_excluded(path) & ~is_skipped_name(path) & has_source_extension(path))
-    files = files.join(roots, "project_id").where(~F.col("has_src") | path.startswith("src/"))
+    few = F.broadcast(roots.where(large).drop("n"))
+    rest = files.join(few, "project_id", "left_anti").join(roots.where(~large).drop("n"), "project_id")
+    files = files.join(few, "project_id").unionByName(rest).where(~F.col("has_src") | path.startswith("src/"))
     name = basename(path)
     return files.select("project_id", "path", "content",
                         name.isin(C.ENTRY_NAMES).alias("is_entry"),

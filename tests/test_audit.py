@@ -172,6 +172,20 @@ def test_pages_of_every_part_are_dealt_in_cells(spark):
     assert max(shares) < len(want) / 2
 
 
+def test_texts_of_a_large_project_stay_spread(spark):
+    from sitelens.operators.scan import project_status, source_files
+    manifest = ("package.json", '{"dependencies":{"react":"18"}}')
+    files = [("big", *manifest), ("small", *manifest), ("bad", "src/a.js", "z"), (None, "src/a.js", "n"),
+             ("small", "b.js", "1"), ("small", "b.js", "1"), ("big", "lib/no.js", "x")]
+    files += [("big", f"src/f{i}.js", str(i)) for i in range(5000)]
+    sf = spark.createDataFrame(files, "project_id string, path string, content string").repartition(8).checkpoint()
+    got = source_files(sf, project_status(sf))
+    want = sorted([("small", "b.js", "1")] * 2 + [("big", f"src/f{i}.js", str(i)) for i in range(5000)])
+    assert rows(got, "project_id", "path", "content") == want
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) < len(want) / 4
+
+
 def test_context_pages_cut_long_lines(spark):
     from sitelens.plans.context import context_pages
     rows = [("p", 0, i, [], x) for i, x in enumerate(["é" * 30 + "\n", "", "ab\n", "x" * 41, "日本" * 9])]
