@@ -172,6 +172,12 @@ def test_pages_of_every_part_are_dealt_in_cells(spark):
     assert max(shares) < len(want) / 2
 
 
+def test_context_reads_no_text(spark, audit, capsys):
+    from sitelens.plans.context import context_lines
+    context_lines(audit.score, audit.bundle, audit.routes, audit.components).explain()
+    assert "RLIKE(" not in capsys.readouterr().out.upper()
+
+
 def test_texts_of_a_large_project_stay_spread(spark):
     from sitelens.operators.scan import project_status, source_files
     manifest = ("package.json", '{"dependencies":{"react":"18"}}')
