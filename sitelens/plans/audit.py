@@ -41,7 +41,7 @@ class Audit:
 
     @cached_property
     def bundle(self) -> DataFrame:
-        return B.analyse_bundle(self.site_files, self.sources)
+        return B.analyse_bundle(self.site_files, self.sources).checkpoint(eager=True)
 
     @cached_property
     def routes(self) -> DataFrame:
@@ -53,11 +53,11 @@ class Audit:
 
     @cached_property
     def cwv(self) -> DataFrame:
-        return W.estimate_cwv(self.site_files, self.sources, self.routes)
+        return W.estimate_cwv(self.site_files, self.sources, self.routes).checkpoint(eager=True)
 
     @cached_property
     def facts(self) -> DataFrame:
-        return I.project_facts(self.site_files, self.bundle, self.routes, self.findings, self.cwv)
+        return I.project_facts(self.site_files, self.bundle, self.routes, self.findings, self.cwv).checkpoint(eager=True)
 
     @cached_property
     def issues(self) -> DataFrame:

@@ -178,6 +178,13 @@ def test_context_reads_no_text(spark, audit, capsys):
     assert "RLIKE(" not in capsys.readouterr().out.upper()
 
 
+def test_facts_are_computed_once(audit, capsys):
+    from sitelens.plans.reports import report_rows
+    audit.score.explain()
+    report_rows(audit.score, audit.bundle, audit.cwv, audit.issues, "2024-05-06T07:08:09Z").explain()
+    assert not any(x in capsys.readouterr().out for x in ("is_lazy", "sets_og_tags"))
+
+
 def test_texts_of_a_large_project_stay_spread(spark):
     from sitelens.operators.scan import project_status, source_files
     manifest = ("package.json", '{"dependencies":{"react":"18"}}')
