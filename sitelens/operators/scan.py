@@ -93,14 +93,15 @@ def source_files(site_files: DataFrame, status: DataFrame | None = None) -> Data
         status = project_status(site_files)
     roots = (site_files.groupBy("project_id")
              .agg(F.max(F.col("path").startswith("src/")).alias("has_src"), F.count(F.lit(1)).alias("n"))
-             .join(status.where(F.col("status") == "ok"), "project_id")
-             .select("project_id", "has_src", "n").checkpoint(eager=True))
+             .join(status, "project_id")
+             .select("project_id", "has_src", "n", (F.col("status") == "ok").alias("ok")).checkpoint(eager=True))
     large = F.col("n") * LARGE_PROJECTS > roots.agg(F.sum("n")).scalar()
     path = F.col("path")
     files = site_files.where(~is_excluded(path) & ~is_skipped_name(path) & has_source_extension(path))
-    few = F.broadcast(roots.where(large).drop("n"))
-    rest = files.join(few, "project_id", "left_anti").join(roots.where(~large).drop("n"), "project_id")
-    files = files.join(few, "project_id").unionByName(rest).where(~F.col("has_src") | path.startswith("src/"))
+    few, others = roots.where(large).drop("n"), roots.where(~large & F.col("ok")).drop("n")
+    rest = files.join(F.broadcast(few), "project_id", "left_anti").join(others, "project_id")
+    files = (files.join(F.broadcast(few.where("ok")), "project_id").unionByName(rest)
+             .where(~F.col("has_src") | path.startswith("src/")))
     name = basename(path)
     return files.select("project_id", "path", "content",
                         name.isin(C.ENTRY_NAMES).alias("is_entry"),

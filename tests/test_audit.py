@@ -190,7 +190,7 @@ def test_texts_of_a_large_project_stay_spread(spark):
     manifest = ("package.json", '{"dependencies":{"react":"18"}}')
     files = [("big", *manifest), ("small", *manifest), ("bad", "src/a.js", "z"), (None, "src/a.js", "n"),
              ("small", "b.js", "1"), ("small", "b.js", "1"), ("big", "lib/no.js", "x")]
-    files += [("big", f"src/f{i}.js", str(i)) for i in range(5000)]
+    files += [(p, f"src/f{i}.js", str(i)) for p in ("big", "bad") for i in range(5000)]
     sf = spark.createDataFrame(files, "project_id string, path string, content string").repartition(8).checkpoint()
     got = source_files(sf, project_status(sf))
     want = sorted([("small", "b.js", "1")] * 2 + [("big", f"src/f{i}.js", str(i)) for i in range(5000)])
