@@ -172,6 +172,22 @@ def test_pages_of_every_part_are_dealt_in_cells(spark):
     assert max(shares) < len(want) / 2
 
 
+def test_rows_of_a_page_follow_each_other(spark):
+    from sitelens.plans.reports import repeated
+    parts = spark.createDataFrame([("big", i, 400) for i in range(1, 401)] + [("gaps", i, 9) for i in (1, 1, 3, 3, 4, 9)] + [("gaps", None, 9)],
+                                  "project_id string, part_number long, total_parts long")
+    pages = spark.createDataFrame([(p, i, f"{p}{i}") for p, n in (("big", 20), ("gaps", 3)) for i in range(1, n + 1)], "project_id string, place long, text string")
+    columns = ["project_id", "part_number", "total_parts", "place", "text"]
+    want = rows(parts.where("part_number IS NOT NULL").join(pages, "project_id"), *columns)
+    for cell in ((128, 4), (3, 4), (4096, 256)):
+        assert rows(repeated(parts, pages, *cell), *columns) == want
+    # A sink that writes a repeated text once finds it repeated: in long runs, not part by part.
+    for cell in ((128, 4), (4096, 256)):
+        texts = repeated(parts, pages, *cell).where("project_id = 'big'").select("text").rdd.map(lambda r: r.text).glom().collect()
+        assert sum(len(t) for t in texts) == 8000
+        assert sum(a != b for t in texts for a, b in zip(t, t[1:])) < 8000 / 30
+
+
 def test_context_reads_no_text(spark, audit, capsys):
     from sitelens.plans.context import context_lines
     context_lines(audit.score, audit.bundle, audit.routes, audit.components).explain()
